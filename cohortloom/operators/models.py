@@ -8,6 +8,7 @@ jobs, and data rows are never copied per model.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -222,8 +223,9 @@ def coefficients(spark: SparkSession, fits: Sequence[Fit], intercept: bool = Fal
             if term == "(Intercept)" and not intercept:
                 continue
             z = float(b / s) if s > 0 else float("nan")
+            ratio = math.exp(b) if b < 700 else math.inf
             rows.append((f.spec.model_id, f.spec.imp, term, float(b), float(s), z,
-                         normal_two_sided(z), float(np.exp(b)), f.loglik, f.aic, f.n, f.converged))
+                         normal_two_sided(z), ratio, f.loglik, f.aic, f.n, f.converged))
     return spark.createDataFrame(rows, COEF_SCHEMA)
 
 
