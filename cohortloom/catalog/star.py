@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions.predicates import code_matches, guarded_inclusion, starts_with_any
+from cohortloom.functions.skew import BROADCAST_ROWS, fits
 from cohortloom.functions.values import age_years, days_between, event_date, recode
 from cohortloom.operators.codesets import DrugRule, build_drug_codeset, crosswalk_codes
 from cohortloom.operators.cohort import apply_exclusion, exclusion_set, index_event
@@ -257,30 +258,32 @@ procedures AS (
 # -- endpoints ------------------------------------------------------------------------------------
 
 
-def surgery(spark: SparkSession, sf: str, who: DataFrame) -> DataFrame:
+def surgery(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = None) -> DataFrame:
     px = procedures(spark, sf).filter(code_matches(F.col("px"), PX_EXACT, PX_PREFIXES))
-    return first_event_after_index(who, px, KEYS, "index_date", "px_date")
+    return first_event_after_index(who, px, KEYS, "index_date", "px_date", small=small)
 
 
-def first_prescriptions(spark: SparkSession, sf: str, who: DataFrame) -> DataFrame:
+def first_prescriptions(spark: SparkSession, sf: str, who: DataFrame,
+                        small: bool | None = None) -> DataFrame:
     rx = code_events(prescribing(spark, sf), codeset(spark, sf), "code", "p_partkey", "therapy")
-    return first_event_after_index(who, rx, KEYS, "index_date", "start_date", ["therapy"], 30)
+    return first_event_after_index(who, rx, KEYS, "index_date", "start_date", ["therapy"], 30, small=small)
 
 
-def censoring(spark: SparkSession, sf: str, who: DataFrame) -> DataFrame:
+def censoring(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = None) -> DataFrame:
     sources = [ActivitySource(diagnoses(spark, sf), "admit_date", "dx_date"),
                ActivitySource(procedures(spark, sf), "admit_date", "px_date"),
                ActivitySource(prescribing(spark, sf), "start_date", "order_date")]
-    return censor_date(who, sources, KEYS, "index_date")
+    return censor_date(who, sources, KEYS, "index_date", small=small)
 
 
 def stack(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFrame:
     # the cohort feeds five joins, so it is persisted as a table first, as a study would
     who = materialize(cohort(spark, sf).select(*KEYS, "index_date")) if who is None else who
+    small = fits(who, BROADCAST_ROWS)
     return endpoint_stack({
-        "surgery": (surgery(spark, sf, who), "first_date", None),
-        "drug": (first_prescriptions(spark, sf, who), "first_date", "therapy"),
-        "censor": (censoring(spark, sf, who), "censor_date", None),
+        "surgery": (surgery(spark, sf, who, small), "first_date", None),
+        "drug": (first_prescriptions(spark, sf, who, small), "first_date", "therapy"),
+        "censor": (censoring(spark, sf, who, small), "censor_date", None),
     }, KEYS, "index_date")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortloom.catalog import query, star
@@ -52,12 +53,9 @@ def q_denominators(spark, sf):
 SELECT c_mktsegment AS site, {_cell('count(*)', 'max(t.n)')} AS cell
 FROM customer, (SELECT count(*) AS n FROM customer) t GROUP BY 1""")
 def q_n_pct_cell(spark, sf):
-    by = star.table(spark, sf, "customer").rollup("c_mktsegment").agg(
-        F.grouping("c_mktsegment").alias("g"), F.count(F.lit(1)).alias("n"))
-    rows = by.agg(F.collect_list(F.struct("c_mktsegment", "n", "g")).alias("r"),
-                  F.max(F.when(F.col("g") == 1, F.col("n"))).alias("total"))
-    return (rows.select("total", F.inline("r")).filter("g = 0")
-            .select(F.col("c_mktsegment").alias("site"), n_pct(F.col("n"), F.col("total")).alias("cell")))
+    by = star.table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("site")).count()
+    total = F.sum("count").over(Window.partitionBy(F.lit(0)))  # one row per site only
+    return by.select("site", n_pct(F.col("count"), total).alias("cell"))
 
 
 @query("mean_sd_cell", """

@@ -53,16 +53,17 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
 
 
 def attach_index(events: DataFrame, cohort: DataFrame, keys: Sequence[str],
-                 distinct: bool = False, max_rows: int = BROADCAST_ROWS,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 distinct: bool = False, small: bool | None = None,
+                 max_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner-join event rows to their cohort row.
 
-    A cohort that fits is broadcast and the events are never shuffled. For a larger one, callers
-    whose result does not depend on repeats pass ``distinct=True``: equal event rows collapse
-    map-side first, which also flattens a hot person to its distinct dates.
+    A cohort that fits is broadcast and the events are never shuffled; ``small`` passes on the
+    answer of an earlier ``fits``. For a larger cohort, callers whose result does not depend on
+    repeats pass ``distinct=True``: equal event rows collapse map-side first, which also
+    flattens a hot person to its distinct dates.
     """
     keys = list(keys)
-    if fits(cohort, max_rows):
+    if fits(cohort, max_rows) if small is None else small:
         return events.join(F.broadcast(cohort), keys)
     if distinct:
         return events.distinct().join(cohort, keys)

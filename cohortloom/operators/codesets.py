@@ -14,6 +14,7 @@ from cohortloom.functions.predicates import (
     text_like,
     type_matches,
 )
+from cohortloom.functions.skew import lookup_join
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,8 @@ def crosswalk_codes(codeset: DataFrame, attributes: DataFrame, code: str, filter
     for name, value in filters.items():
         narrowed = narrowed.filter(F.col(name) == value)
     narrowed = narrowed.select(code, F.col(target).alias(target_name), *attribute_keep)
-    out = codeset.select(*keep).distinct().join(narrowed, code).distinct()
+    out = lookup_join(narrowed, codeset.select(*keep).distinct(), [code])
+    out = out.select(*keep, target_name, *attribute_keep).distinct()
     if copies > 1:
         out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_copy")
     return out

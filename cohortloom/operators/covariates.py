@@ -20,7 +20,7 @@ REFERENCE_ROWS = 20_000
 def vitals_stack(cohort: DataFrame, wide: DataFrame, long: DataFrame, keys: Sequence[str],
                  index: str, wide_columns: Mapping[str, tuple[str, str]], wide_date: str,
                  long_codes: Mapping[str, str], long_code: str, long_value: str, long_unit: str,
-                 long_date: str) -> DataFrame:
+                 long_date: str, small: bool | None = None) -> DataFrame:
     """Measurements from a wide table and a coded long table as distinct rows.
 
     ``wide_columns`` maps a type to ``(column, unit)`` and is unpivoted in one scan;
@@ -39,13 +39,14 @@ def vitals_stack(cohort: DataFrame, wide: DataFrame, long: DataFrame, keys: Sequ
                          F.col(long_value).cast("double").alias("vital_val"),
                          F.col(long_unit).alias("vital_unit")))
     stacked = from_wide.unionByName(from_long).distinct()
-    joined = attach_index(stacked, cohort.select(*keys, index), keys)
+    joined = attach_index(stacked, cohort.select(*keys, index), keys, small=small)
     return joined.select(*keys, "vital_type", "vital_val", "vital_unit", "measure_date",
                          days_between(F.col(index), F.col("measure_date")).alias("days"))
 
 
 def dx_groups(cohort: DataFrame, events: DataFrame, rules: Mapping[str, Sequence[str]],
-              keys: Sequence[str], index: str, code: str, date: Column) -> DataFrame:
+              keys: Sequence[str], index: str, code: str, date: Column,
+              small: bool | None = None) -> DataFrame:
     """Distinct (person, group, code, date) rows for code-prefix groups, in one scan."""
     every = [p for prefixes in rules.values() for p in prefixes]
     hits = F.array_compact(F.array(*[
@@ -54,30 +55,31 @@ def dx_groups(cohort: DataFrame, events: DataFrame, rules: Mapping[str, Sequence
     tagged = (events.filter(starts_with_any(F.col(code), every))
               .select(*keys, F.explode(hits).alias("dx_group"), F.col(code).alias("dx"),
                       date.alias("dx_date")).distinct())
-    joined = attach_index(tagged, cohort.select(*keys, index), keys, distinct=True)
+    joined = attach_index(tagged, cohort.select(*keys, index), keys, distinct=True, small=small)
     return joined.select(*keys, "dx_group", "dx", "dx_date",
                          days_between(F.col(index), F.col("dx_date")).alias("days"))
 
 
 def lab_events(cohort: DataFrame, labs: DataFrame, codeset: DataFrame, keys: Sequence[str],
                index: str, code: str, codeset_code: str, name: str,
-               dates: Mapping[str, str], keep: Sequence[str]) -> DataFrame:
+               dates: Mapping[str, str], keep: Sequence[str], small: bool | None = None) -> DataFrame:
     """All result rows of the wanted labs with one day offset per date; nothing is removed.
 
     ``dates`` maps a date column to the name of its offset.
     """
     codes = codeset.select(F.col(codeset_code).alias(code), name)
     wanted = lookup_join(labs.select(*keys, code, *dates, *keep), codes, [code])
-    joined = attach_index(wanted, cohort.select(*keys, index), keys)
+    joined = attach_index(wanted, cohort.select(*keys, index), keys, small=small)
     offsets = [days_between(F.col(index), F.col(d)).alias(o) for d, o in dates.items()]
     return joined.select(*keys, name, *dates, *keep, *offsets)
 
 
 def inpatient_encounters(cohort: DataFrame, encounters: DataFrame, keys: Sequence[str], index: str,
-                         kind: str, kinds: Sequence[str], admit: str, discharge: str) -> DataFrame:
+                         kind: str, kinds: Sequence[str], admit: str, discharge: str,
+                         small: bool | None = None) -> DataFrame:
     """Stays of the wanted types with admission offset and length."""
     stays = encounters.filter(F.col(kind).isin(*kinds)).select(*keys, kind, admit, discharge)
-    joined = attach_index(stays, cohort.select(*keys, index), keys)
+    joined = attach_index(stays, cohort.select(*keys, index), keys, small=small)
     return joined.select(*keys, kind, admit, discharge,
                          days_between(F.col(index), F.col(admit)).alias("admit_days"),
                          days_between(F.col(admit), F.col(discharge)).alias("los"))
@@ -177,9 +179,9 @@ def derived_bmi(df: DataFrame, height: str = "HT", weight: str = "WT", bmi: str
 
 
 def growth_age(df: DataFrame, persons: DataFrame, keys: Sequence[str], age_days: str, sex: str,
-               day: str) -> DataFrame:
+               day: str, small: bool | None = None) -> DataFrame:
     """Age in months at the measurement, its decade bucket, and the numeric sex code."""
-    joined = attach_index(df, persons.select(*keys, age_days, sex), keys)
+    joined = attach_index(df, persons.select(*keys, age_days, sex), keys, small=small)
     months = F.bround((F.col(age_days) + F.col(day)) / 30, 1)
     return (joined.withColumn("agemos", months)
             .withColumn("bucket", decade_bucket(F.col("agemos")).cast("int"))

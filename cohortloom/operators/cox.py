@@ -168,7 +168,7 @@ def _event_day_sums(per_day: DataFrame, dims: Sequence[int]) -> DataFrame:
 
 
 def fit_cox(df: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
-            imp: str | None = None, max_iter: int = 50, tol: float = 1e-12,
+            imp: str | None = None, max_iter: int = 50, tol: float = 1e-9,
             prepared: bool = False) -> list[Fit]:
     """Log hazard ratios of every spec; ``n`` counts the events."""
     specs = list(specs)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.predicates import on_or_after
-from cohortloom.functions.skew import attach_index, lookup_join
+from cohortloom.functions.skew import BROADCAST_ROWS, attach_index, fits, lookup_join
 from cohortloom.functions.values import days_between
 
 
@@ -25,11 +25,11 @@ def code_events(events: DataFrame, codeset: DataFrame, code: str, codeset_code:
 
 def first_event_after_index(cohort: DataFrame, events: DataFrame, keys: Sequence[str], index: str,
                             date: str, group: Sequence[str] = (), lookback_days: int = 0,
-                            first: str = "first_date") -> DataFrame:
+                            first: str = "first_date", small: bool | None = None) -> DataFrame:
     """Earliest event per person (and group) not before ``index - lookback_days``."""
     cols = [*keys, *group]
     dated = events.select(*cols, F.to_date(date).alias("_date"))
-    joined = attach_index(dated, cohort.select(*keys, index), keys, distinct=True)
+    joined = attach_index(dated, cohort.select(*keys, index), keys, distinct=True, small=small)
     inside = joined.filter(on_or_after(F.col("_date"), F.col(index), lookback_days))
     return inside.groupBy(*keys, index, *group).agg(F.min("_date").alias(first))
 
@@ -49,7 +49,7 @@ class ActivitySource:
 
 
 def censor_date(cohort: DataFrame, sources: Sequence[ActivitySource], keys: Sequence[str],
-                index: str, alias: str = "censor_date") -> DataFrame:
+                index: str, alias: str = "censor_date", small: bool | None = None) -> DataFrame:
     """Last activity on or after the index date over all sources.
 
     Per source the result is the latest primary date, or the latest fallback date when no
@@ -58,12 +58,13 @@ def censor_date(cohort: DataFrame, sources: Sequence[ActivitySource], keys: Sequ
     maxima per (person, that date) when the cohort is too large to broadcast.
     """
     slim = cohort.select(*keys, index)
+    small = fits(slim, BROADCAST_ROWS) if small is None else small
     parts = []
     for src in sources:
         dated = src.events.select(
             *keys, F.to_date(src.primary).alias("_a"), F.to_date(src.fallback).alias("_b")
         ).withColumn("_d", F.coalesce("_a", "_b"))
-        joined = attach_index(dated, slim, keys, distinct=True)
+        joined = attach_index(dated, slim, keys, distinct=True, small=small)
         parts.append(joined.filter(F.col("_d") >= F.col(index))
                      .groupBy(*keys, index)
                      .agg(F.coalesce(F.max("_a"), F.max("_b")).alias(alias)))

@@ -2,8 +2,8 @@
 
 All data sets live in one frame. A sweep visits the incomplete columns in turn: linear
 prediction is one batched least-squares job for all data sets, the random-forest method draws an
-observed donor that falls into the same leaf. Frames are written out between the columns, so the
-plan stays short and a lost executor never repeats earlier sweeps.
+observed donor that falls into the same leaf. Frames are written out after every donor draw and
+every sweep, so the plan stays short and a lost executor never repeats earlier sweeps.
 """
 
 from __future__ import annotations
@@ -147,10 +147,13 @@ def mice_impute(df: DataFrame, row_id: str, methods: Mapping[str, str], predicto
         for n, (target, method) in enumerate(methods.items()):
             used = [*predictors, *[c for c in methods if c != target]]
             if method == "norm.predict":
-                frame = materialize(_predict_column(frame, target, used, m, imp))
+                # a narrow expression over literals: the next job may compute it again
+                frame = _predict_column(frame, target, used, m, imp)
             else:
                 frame = materialize(_draw_column(frame, row_id, target, used, m, imp, trees, depth,
                                                  seed + sweep * len(methods) + n))
+        if list(methods.values())[-1] == "norm.predict":
+            frame = materialize(frame)
     return frame.drop(*[_missing(c) for c in methods])
 
 

@@ -157,7 +157,7 @@ def _finish(specs, results, terms_of) -> list[Fit]:
 
 
 def fit_logistic(df: DataFrame, y: str, specs: Sequence[ModelSpec], imp: str | None = None,
-                 max_iter: int = 50, tol: float = 1e-12, prepared: bool = False) -> list[Fit]:
+                 max_iter: int = 50, tol: float = 1e-9, prepared: bool = False) -> list[Fit]:
     """Logistic regression of every spec; rows with a missing value are left out per model."""
     specs = list(specs)
     frame = df if prepared else design_frame(df, specs, [y], imp)
