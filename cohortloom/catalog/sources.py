@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortloom.catalog import query
 from cohortloom.catalog import star
 from cohortloom.catalog.star import table
 from cohortloom.session import scratch_dir
+from cohortloom.sources.contracts import schema
 from cohortloom.sources.reference_files import read_codeset, read_growth_reference
 from cohortloom.sources.tables import (
     append_table,
@@ -78,7 +78,7 @@ def q_read_growth_reference(spark, sf):
     return read_growth_reference(spark, path)
 
 
-PRICE_SCHEMA = T.StructType.fromDDL("key bigint, price int, day date, status string")
+PRICE_SCHEMA = schema("key bigint, price int, day date, status string")
 
 
 @query("create_table", """
@@ -145,4 +145,4 @@ def q_round_on_insert(spark, sf):
     li = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"),
         F.col("l_extendedprice").alias("price"))
-    return conform(li, T.StructType.fromDDL("k bigint, line int, price int"))
+    return conform(li, schema("k bigint, line int, price int"))

@@ -131,7 +131,7 @@ IMPUTE_METHODS = {
 FLAG_VARIABLES = ["BMI_ind"] + [f"{lab}_ind" for lab in (
     "hemoglobin", "platelet_count", "leukocyte", "ESR", "CRP", "albumin", "25_OH_VD", "basophil",
     "eosinophil", "neutrophil", "monocyte", "lymphocyte")]
-HAND_LOGISTIC = {"drop_pattern": "RACE|race|leukocyte|ESR", "force": ["race", "hemoglobin", "BMI_Z"]}
-HAND_COX = {"drop_pattern": "RACE|race|leukocyte|basophil|ESR|HT_Z", "force": ["race"]}
+HAND_LOGISTIC = {"drop_pattern": "race|leukocyte|ESR", "force": ["race", "hemoglobin", "BMI_Z"]}
+HAND_COX = {"drop_pattern": "race|leukocyte|basophil|ESR|HT_Z", "force": ["race"]}
 SURVIVAL_DAYS = [365 * i for i in range(1, 11)]
 IMPUTATIONS = 10
