@@ -168,8 +168,8 @@ def _event_day_sums(per_day: DataFrame, dims: Sequence[int]) -> DataFrame:
 
 
 def fit_cox(df: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
-            imp: str | None = None, max_iter: int = 50, tol: float = 1e-9,
-            prepared: bool = False) -> list[Fit]:
+            imp: str | None = None, max_iter: int = 50, tol: float = 1e-12,
+            prepared: bool = False, starts: Sequence[np.ndarray] | None = None) -> list[Fit]:
     """Log hazard ratios of every spec; ``n`` counts the events."""
     specs = list(specs)
     frame = df if prepared else design_frame(df, specs, [time, status], imp)
@@ -200,5 +200,5 @@ def fit_cox(df: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
             out.append((v[t + d], v[t:t + d], unpack(v[:t], d), v[t + d + 1]))
         return out
 
-    results = newton(specs, dims, evaluate, max_iter, tol)
+    results = newton(specs, dims, evaluate, max_iter, tol, starts)
     return _finish(specs, results, lambda s: list(s.columns))

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -23,6 +25,7 @@ from cohortloom.operators.models import ModelSpec, fit_linear
 from cohortloom.session import materialize
 
 ROWS_PER_BUCKET = 100_000
+PARALLEL_FITS = 8
 
 
 def _missing(column: str) -> str:
@@ -78,54 +81,68 @@ def _predict_column(frame: DataFrame, target: str, predictors: Sequence[str], m:
     return frame.withColumn(target, F.when(F.col(_missing(target)), value).otherwise(F.col(target)))
 
 
+def _leaves(rows: DataFrame, row_id: str, target: str, predictors: Sequence[str], missing: str,
+            trees: int, depth: int, seed: int, m: int, imp: str) -> DataFrame:
+    """Leaf of every row in each tree of its data set's forest.
+
+    The forests of the data sets are independent, so they are grown by concurrent jobs.
+    """
+    wanted = rows.select(row_id, imp, missing, F.col(target).cast("double").alias(target),
+                         *[F.col(p).cast("double").alias(p) for p in predictors])
+    assembled = VectorAssembler(inputCols=list(predictors), outputCol="_x").transform(wanted)
+
+    def grow(i: int) -> DataFrame:
+        forest = RandomForestRegressor(featuresCol="_x", labelCol=target, leafCol="_leaf",
+                                       numTrees=trees, maxDepth=depth, seed=seed * 1009 + i)
+        part = assembled.filter(F.col(imp) == i)
+        model = forest.fit(part.filter(~F.col(missing)))
+        return model.transform(part).select(row_id, imp, missing, target, vector_to_array("_leaf").alias("_leaf"))
+
+    with ThreadPoolExecutor(min(m, PARALLEL_FITS)) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(grow), range(1, m + 1)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def leaf_donors(rows: DataFrame, row_id: str, target: str, predictors: Sequence[str], missing: str,
-                trees: int, depth: int, seed: int) -> DataFrame:
+                trees: int, depth: int, seed: int, m: int, imp: str) -> DataFrame:
     """One donor value per row with a gap, from the leaves it shares with observed rows.
 
-    A forest is grown on the observed rows. The donors of a gap are all observed rows of its
-    leaf, over all trees; a seeded draw picks one by its rank. Leaf sizes are a table of at most
-    trees x 2^depth counts, which is part of the model, so it travels as a literal.
+    A forest per data set is grown on the observed rows. The donors of a gap are all observed
+    rows of its leaf, over all trees; a seeded draw picks one by its rank. Leaf sizes are at most
+    trees x 2^depth counts per data set, part of the models, so they travel as a literal.
     """
-    assembled = VectorAssembler(inputCols=list(predictors), outputCol="_x").transform(
-        rows.select(row_id, missing, F.col(target).cast("double").alias(target),
-                    *[F.col(p).cast("double").alias(p) for p in predictors]))
-    forest = RandomForestRegressor(featuresCol="_x", labelCol=target, leafCol="_leaf", numTrees=trees,
-                                   maxDepth=depth, seed=seed)
-    model = forest.fit(assembled.filter(~F.col(missing)))
-    leaves = model.transform(assembled).select(
-        row_id, missing, target, vector_to_array("_leaf").alias("_leaf"))
+    leaves = _leaves(rows, row_id, target, predictors, missing, trees, depth, seed, m, imp)
     donors = leaves.filter(~F.col(missing)).select(
-        row_id, F.col(target).alias("_val"), F.posexplode("_leaf").alias("_tree", "_node"))
+        row_id, imp, F.col(target).alias("_val"), F.posexplode("_leaf").alias("_tree", "_node"))
     donors = donors.withColumn("_node", F.col("_node").cast("int"))
-    counts = [[0] * (2**depth) for _ in range(trees)]
+    counts = [[[0] * (2**depth) for _ in range(trees)] for _ in range(m)]
     biggest = 1
-    for r in donors.groupBy("_tree", "_node").count().collect():
-        counts[r["_tree"]][r["_node"]] = r["count"]
+    for r in donors.groupBy(imp, "_tree", "_node").count().collect():
+        counts[r[imp] - 1][r["_tree"]][r["_node"]] = r["count"]
         biggest = max(biggest, r["count"])
-    ranked = bucketed_rank(donors, ["_tree", "_node"], [F.col(row_id), F.col("_tree"), F.lit(seed)],
+    ranked = bucketed_rank(donors, [imp, "_tree", "_node"], [F.col(row_id), F.col("_tree"), F.lit(seed)],
                            max(1, math.ceil(biggest / ROWS_PER_BUCKET)), "_rank")
-    table = F.array(*[F.array(*[F.lit(int(n)).cast("bigint") for n in tree]) for tree in counts])
-    sizes = F.transform(F.col("_leaf"), lambda leaf, t: F.get(F.get(table, t), leaf.cast("int")))
+    table = F.array(*[
+        F.array(*[F.array(*[F.lit(n).cast("bigint") for n in tree]) for tree in one]) for one in counts])
+    own = F.element_at(table, F.col(imp))
+    sizes = F.transform(F.col("_leaf"), lambda leaf, t: F.get(F.get("_table", t), leaf.cast("int")))
     ends = F.transform(F.sequence(F.lit(1), F.lit(trees)),
                        lambda t: F.aggregate(F.slice("_sizes", F.lit(1), t), F.lit(0).cast("bigint"),
                                              lambda a, b: a + b))
-    gaps = (leaves.filter(F.col(missing)).withColumn("_sizes", sizes).withColumn("_ends", ends)
-            .withColumn("_pick", _draw(seed, target, F.get("_ends", F.lit(trees - 1)), row_id))
+    gaps = (leaves.filter(F.col(missing)).withColumn("_table", own)
+            .withColumn("_sizes", sizes).withColumn("_ends", ends)
+            .withColumn("_pick", _draw(seed, target, F.get("_ends", F.lit(trees - 1)), row_id, imp))
             .withColumn("_tree", F.size(F.filter("_ends", lambda e: e <= F.col("_pick"))))
-            .select(row_id, "_tree", F.get("_leaf", F.col("_tree")).cast("int").alias("_node"),
+            .select(row_id, imp, "_tree", F.get("_leaf", F.col("_tree")).cast("int").alias("_node"),
                     (F.col("_pick") - F.when(F.col("_tree") > 0, F.get("_ends", F.col("_tree") - 1))
                      .otherwise(0)).alias("_rank")))
-    return gaps.join(ranked.select("_tree", "_node", "_rank", "_val"),
-                     ["_tree", "_node", "_rank"]).select(row_id, "_val")
+    return gaps.join(ranked.select(imp, "_tree", "_node", "_rank", "_val"),
+                     [imp, "_tree", "_node", "_rank"]).select(row_id, imp, "_val")
 
 
 def _draw_column(frame: DataFrame, row_id: str, target: str, predictors: Sequence[str], m: int,
                  imp: str, trees: int, depth: int, seed: int) -> DataFrame:
-    drawn = [
-        leaf_donors(frame.filter(F.col(imp) == i), row_id, target, predictors, _missing(target),
-                    trees, depth, seed * 1009 + i).withColumn(imp, F.lit(i))
-        for i in range(1, m + 1)]
-    values = reduce(lambda a, b: a.unionByName(b), drawn)
+    values = leaf_donors(frame, row_id, target, predictors, _missing(target), trees, depth, seed, m, imp)
     joined = frame.join(values, [row_id, imp], "left")
     return joined.withColumn(target, F.coalesce("_val", target)).select(*frame.columns)
 

@@ -112,13 +112,13 @@ def batch_sums(frame: DataFrame, specs: Sequence[ModelSpec], sizes: Sequence[int
 
 def newton(specs: Sequence[ModelSpec], dims: Sequence[int],
            evaluate: Callable[[list[int], list[np.ndarray]], list[tuple]],
-           max_iter: int, tol: float) -> list[tuple]:
+           max_iter: int, tol: float, starts: Sequence[np.ndarray] | None = None) -> list[tuple]:
     """Newton-Raphson with step halving for all models side by side.
 
     ``evaluate(active, betas)`` returns ``(loglik, score, information, n)`` per active model.
-    Converged models drop out of the later jobs.
+    Converged models drop out of the later jobs; ``starts`` are guesses to begin from.
     """
-    beta = [np.zeros(d) for d in dims]
+    beta = [np.zeros(d) for d in dims] if starts is None else [np.array(b, float) for b in starts]
     step = [np.zeros(d) for d in dims]
     best: list[tuple | None] = [None] * len(specs)
     done = [False] * len(specs)
@@ -139,7 +139,9 @@ def newton(specs: Sequence[ModelSpec], dims: Sequence[int],
             gain = float(score @ step[i]) if len(score) else 0.0
             done[i] = len(score) == 0 or gain < tol
             if done[i]:
+                # the last step is taken without a job; half the gain is its rise in likelihood
                 beta[i] = b + step[i]
+                best[i] = (ll + gain / 2.0, score, info, _n)
         active = [i for i in active if not done[i]]
         if not active:
             break
@@ -157,7 +159,8 @@ def _finish(specs, results, terms_of) -> list[Fit]:
 
 
 def fit_logistic(df: DataFrame, y: str, specs: Sequence[ModelSpec], imp: str | None = None,
-                 max_iter: int = 50, tol: float = 1e-9, prepared: bool = False) -> list[Fit]:
+                 max_iter: int = 50, tol: float = 1e-12, prepared: bool = False,
+                 starts: Sequence[np.ndarray] | None = None) -> list[Fit]:
     """Logistic regression of every spec; rows with a missing value are left out per model."""
     specs = list(specs)
     frame = df if prepared else design_frame(df, specs, [y], imp)
@@ -183,7 +186,7 @@ def fit_logistic(df: DataFrame, y: str, specs: Sequence[ModelSpec], imp: str | N
             out.append((v[t + d], v[t:t + d], unpack(v[:t], d), v[t + d + 1]))
         return out
 
-    results = newton(specs, dims, evaluate, max_iter, tol)
+    results = newton(specs, dims, evaluate, max_iter, tol, starts)
     return _finish(specs, results, lambda s: ["(Intercept)", *s.columns])
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.operators.models import Fit, ModelSpec, design_frame, fit_logistic
 from cohortloom.operators.cox import fit_cox
+from cohortloom.operators.models import Fit, ModelSpec, design_frame, fit_logistic
 
+SEARCH_TOL = 1e-6
+FINAL_TOL = 1e-12
 PATH_SCHEMA = "imp int, step int, action string, aic double"
 
 
@@ -23,19 +26,27 @@ class Selection:
     path: list[tuple[str, float]] = field(default_factory=list)
 
 
-def stepwise_aic(fit_many: Callable[[list[ModelSpec]], list[Fit]],
-                 terms: Mapping[str, Sequence[str]], imps: Sequence[int | None] = (None,),
-                 max_steps: int = 200) -> list[Selection]:
+def _carried(spec: ModelSpec, fit: Fit) -> np.ndarray:
+    """Starting values of a candidate: the current coefficients, zero for new columns."""
+    known = dict(zip(fit.terms, fit.beta))
+    terms = (["(Intercept)"] if "(Intercept)" in known else []) + list(spec.columns)
+    return np.array([known.get(t, 0.0) for t in terms])
+
+
+def stepwise_aic(fit_many: Callable[..., list[Fit]], terms: Mapping[str, Sequence[str]],
+                 imps: Sequence[int | None] = (None,), max_steps: int = 200) -> list[Selection]:
     """Start from the model without variables; add or drop one variable while AIC falls.
 
-    Every data set follows its own way, but the candidates of all of them share each batch.
-    A factor enters or leaves with all its columns.
+    ``fit_many(specs, starts, tol)`` fits a batch. Every data set follows its own way, but the
+    candidates of all of them share each batch. A factor enters or leaves with all its columns.
+    Candidates start from the coefficients of the model they change and stop as soon as their
+    likelihood is settled; the chosen models are fitted to full precision at the end.
     """
     def spec(variables: Sequence[str], imp: int | None) -> ModelSpec:
         cols = tuple(c for v in variables for c in terms[v])
         return ModelSpec("+".join(variables) or "1", cols, imp)
 
-    fits = fit_many([spec([], i) for i in imps])
+    fits = fit_many([spec([], i) for i in imps], None, SEARCH_TOL)
     state = [Selection(i, [], f, [("start", f.aic)]) for i, f in zip(imps, fits)]
     running = list(state)
     for _ in range(max_steps):
@@ -48,7 +59,8 @@ def stepwise_aic(fit_many: Callable[[list[ModelSpec]], list[Fit]],
                     moves.append((sel, f"+ {v}", [*sel.variables, v]))
         if not moves:
             break
-        tried = fit_many([spec(vs, sel.imp) for sel, _a, vs in moves])
+        specs = [spec(vs, sel.imp) for sel, _a, vs in moves]
+        tried = fit_many(specs, [_carried(s, sel.fit) for s, (sel, _a, _vs) in zip(specs, moves)], SEARCH_TOL)
         moved = []
         for sel in running:
             own = [(f.aic, n) for n, (m, f) in enumerate(zip(moves, tried)) if m[0] is sel]
@@ -60,6 +72,9 @@ def stepwise_aic(fit_many: Callable[[list[ModelSpec]], list[Fit]],
         running = moved
         if not running:
             break
+    final = fit_many([sel.fit.spec for sel in state], [sel.fit.beta for sel in state], FINAL_TOL)
+    for sel, fit in zip(state, final):
+        sel.fit = fit
     return state
 
 
@@ -70,13 +85,15 @@ def _all_columns(terms: Mapping[str, Sequence[str]]) -> list[ModelSpec]:
 def stepwise_logistic(df: DataFrame, y: str, terms: Mapping[str, Sequence[str]],
                       imp: str | None = None, imps: Sequence[int | None] = (None,)) -> list[Selection]:
     frame = design_frame(df, _all_columns(terms), [y], imp)
-    return stepwise_aic(lambda specs: fit_logistic(frame, y, specs, prepared=True), terms, imps)
+    return stepwise_aic(
+        lambda specs, starts, tol: fit_logistic(frame, y, specs, tol=tol, prepared=True, starts=starts), terms, imps)
 
 
 def stepwise_cox(df: DataFrame, time: str, status: str, terms: Mapping[str, Sequence[str]],
                  imp: str | None = None, imps: Sequence[int | None] = (None,)) -> list[Selection]:
     frame = design_frame(df, _all_columns(terms), [time, status], imp)
-    return stepwise_aic(lambda specs: fit_cox(frame, time, status, specs, prepared=True), terms, imps)
+    return stepwise_aic(
+        lambda specs, starts, tol: fit_cox(frame, time, status, specs, tol=tol, prepared=True, starts=starts), terms, imps)
 
 
 def selection_path(spark: SparkSession, selections: Sequence[Selection]) -> DataFrame:
