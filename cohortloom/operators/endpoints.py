@@ -64,7 +64,9 @@ def censor_date(cohort: DataFrame, sources: Sequence[ActivitySource], keys: Sequ
         dated = src.events.select(
             *keys, F.to_date(src.primary).alias("_a"), F.to_date(src.fallback).alias("_b")
         ).withColumn("_d", F.coalesce("_a", "_b"))
-        joined = attach_index(dated, slim, keys, distinct=True, small=small)
+        if not small:
+            dated = dated.groupBy(*keys, "_d").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+        joined = dated.join(F.broadcast(slim) if small else slim, keys)
         parts.append(joined.filter(F.col("_d") >= F.col(index))
                      .groupBy(*keys, index)
                      .agg(F.coalesce(F.max("_a"), F.max("_b")).alias(alias)))

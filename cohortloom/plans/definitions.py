@@ -1,4 +1,4 @@
-"""Fixed values of the pediatric colitis study: codes, patterns, units, limits and variable lists.
+"""Fixed values of the built-in study: codes, patterns, units, limits and variable lists.
 
 All of them must be as they are for the results to be right; other studies pass their own.
 """

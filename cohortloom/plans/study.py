@@ -231,7 +231,7 @@ def describe(aset: DataFrame) -> dict[str, DataFrame]:
     stepped = (F.col("status_immunomodulator") == 1) | (F.col("status_biologics") == 1)
     curve = kaplan_meier(chosen, "time6", "status6")
     variables = [*D.MODEL_VARIABLES, *D.IMPUTE_EXTRA, "age_12y", "25_OH_VD", *D.FLAG_VARIABLES]
-    factors = ["sex", "race", "hispanic", "IP_IND1", *D.IMPUTE_EXTRA, "age_12y", *D.FLAG_VARIABLES]
+    factors = [*D.MODEL_FACTORS, *D.IMPUTE_EXTRA, "age_12y", *D.FLAG_VARIABLES]
     return {
         "yearly": yearly,
         "first_treatment": S.any_treatment_rows(rates, yearly, "index_year"),
@@ -256,7 +256,7 @@ def impute(aset: DataFrame, m: int = D.IMPUTATIONS, sweeps: int = 5, seed: int =
     filled = fill_constants(modelling_cohort(aset).select("patid", "status6", "time6", *columns), D.FILLS)
     coded, terms = dummy_code(materialize(filled), D.MODEL_FACTORS)
     fixed = [c for cols in terms.values() for c in cols]
-    numeric = ["age_at_index", "albumin", "basophil", *D.IMPUTE_EXTRA]
+    numeric = [c for c in columns if c not in D.MODEL_FACTORS and c not in D.IMPUTE_METHODS]
     counts = coded.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in D.IMPUTE_METHODS]).first()
     methods = {c: how for c, how in D.IMPUTE_METHODS.items() if counts[c]}
     complete = [c for c in D.IMPUTE_METHODS if c not in methods]

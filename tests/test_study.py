@@ -9,9 +9,19 @@ from cohortloom.sources.contracts import ATTRITION, COHORT, assert_not_null, ass
 from tests.clinic import SITES, build
 
 
+VARIABLES = ["age_at_index", "sex", "race", "HT_Z", "hemoglobin", "platelet_count", "ESR", "albumin"]
+
+
 @pytest.fixture(scope="module")
 def results(spark):
-    return study.run(build(spark), SITES, m=2, sweeps=1, trees=3)
+    with pytest.MonkeyPatch.context() as patch:
+        # fewer regressors keep the model searches short
+        patch.setattr(D, "MODEL_VARIABLES", VARIABLES)
+        patch.setattr(D, "MODEL_FACTORS", {"sex": None, "race": "white"})
+        patch.setattr(D, "IMPUTE_METHODS", {c: D.IMPUTE_METHODS[c] for c in VARIABLES if c in D.IMPUTE_METHODS})
+        patch.setattr(D, "FILLS", {"albumin": 4})
+        patch.setattr(D, "IMPUTE_EXTRA", [])
+        yield study.run(build(spark), SITES, m=2, sweeps=1, trees=3)
 
 
 def test_cohort_and_attrition(results):
