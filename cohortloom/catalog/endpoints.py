@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.catalog import query, star
+from cohortloom.functions.skew import BROADCAST_ROWS, fits
 from cohortloom.operators.endpoints import code_events, first_event_after_index, union_sources
 from cohortloom.operators.timelines import (
     after_first_flags,
@@ -50,40 +51,38 @@ ep_admin_nd AS (
 """
 
 
-def _first(spark, sf, who, events, codes, code, codeset_code, date, condition=None):
+def _first(who, events, codes, code, codeset_code, date, condition=None, small=None):
     tagged = code_events(events, codes, code, codeset_code, "therapy", condition)
-    return first_event_after_index(who, tagged, KEYS, "index_date", date, ["therapy"], 30)
+    return first_event_after_index(who, tagged, KEYS, "index_date", date, ["therapy"], 30, small=small)
 
 
-def _dispensed(spark, sf, who):
-    return _first(spark, sf, who, star.dispensing(spark, sf), star.crosswalk(spark, sf), "ndc", "ndc",
-                  "dispense_date")
+def _dispensed(spark, sf, who, ndc, small=None):
+    return _first(who, star.dispensing(spark, sf), ndc, "ndc", "ndc", "dispense_date", small=small)
 
 
-def _admin_rx(spark, sf, who):
-    codes = star.codeset(spark, sf).withColumn("p_partkey", F.col("p_partkey").cast("string"))
-    return _first(spark, sf, who, star.med_admin(spark, sf), codes, "code", "p_partkey", "start_date",
-                  F.col("kind") == "RX")
+def _admin_rx(spark, sf, who, codes, small=None):
+    codes = codes.withColumn("p_partkey", F.col("p_partkey").cast("string"))
+    return _first(who, star.med_admin(spark, sf), codes, "code", "p_partkey", "start_date",
+                  F.col("kind") == "RX", small)
 
 
-def _admin_nd(spark, sf, who):
-    return _first(spark, sf, who, star.med_admin(spark, sf), star.crosswalk(spark, sf), "code", "ndc",
-                  "start_date", F.col("kind") == "ND")
+def _admin_nd(spark, sf, who, ndc, small=None):
+    return _first(who, star.med_admin(spark, sf), ndc, "code", "ndc", "start_date", F.col("kind") == "ND", small)
 
 
 @query("first_dispensing", star.sql_stack("SELECT * FROM ep_disp", MED_SQL))
 def q_first_dispensing(spark, sf):
-    return _dispensed(spark, sf, _who(spark, sf))
+    return _dispensed(spark, sf, _who(spark, sf), star.crosswalk(spark, sf))
 
 
 @query("first_administration_rx", star.sql_stack("SELECT * FROM ep_admin_rx", MED_SQL))
 def q_first_administration_rx(spark, sf):
-    return _admin_rx(spark, sf, _who(spark, sf))
+    return _admin_rx(spark, sf, _who(spark, sf), star.codeset(spark, sf))
 
 
 @query("first_administration_nd", star.sql_stack("SELECT * FROM ep_admin_nd", MED_SQL))
 def q_first_administration_nd(spark, sf):
-    return _admin_nd(spark, sf, _who(spark, sf))
+    return _admin_nd(spark, sf, _who(spark, sf), star.crosswalk(spark, sf))
 
 
 @query("union_sources", star.sql_stack("""
@@ -91,8 +90,13 @@ SELECT * FROM ep_rx UNION SELECT * FROM ep_disp UNION SELECT * FROM ep_admin_rx
 """, MED_SQL))
 def q_union_sources(spark, sf):
     who = _who(spark, sf)
-    return union_sources(star.first_prescriptions(spark, sf, who), _dispensed(spark, sf, who),
-                         _admin_rx(spark, sf, who), _admin_nd(spark, sf, who))
+    small = fits(who, BROADCAST_ROWS)
+    # both code sets serve two sources each, so they are persisted like the cohort
+    codes = materialize(star.codeset(spark, sf))
+    ndc = materialize(star.crosswalk(spark, sf, codes=codes))
+    return union_sources(star.first_prescriptions(spark, sf, who, small, codes),
+                         _dispensed(spark, sf, who, ndc, small), _admin_rx(spark, sf, who, codes, small),
+                         _admin_nd(spark, sf, who, ndc, small))
 
 
 @query("censor_date", star.sql_stack("SELECT person_id, index_date, censor_date FROM ep_censor"))

@@ -167,8 +167,8 @@ def attributes(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("N"), F.col("p_partkey").cast("string")).alias("atv"))
 
 
-def crosswalk(spark: SparkSession, sf: str, copies: int = 1) -> DataFrame:
-    return crosswalk_codes(codeset(spark, sf), attributes(spark, sf), "p_partkey",
+def crosswalk(spark: SparkSession, sf: str, copies: int = 1, codes: DataFrame | None = None) -> DataFrame:
+    return crosswalk_codes(codeset(spark, sf) if codes is None else codes, attributes(spark, sf), "p_partkey",
                            {"atn": "NDC", "sab": "MAIN"}, "atv", "ndc",
                            ["therapy", "p_partkey", "p_name"], copies=copies)
 
@@ -272,8 +272,9 @@ def surgery(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = N
 
 
 def first_prescriptions(spark: SparkSession, sf: str, who: DataFrame,
-                        small: bool | None = None) -> DataFrame:
-    rx = code_events(prescribing(spark, sf), codeset(spark, sf), "code", "p_partkey", "therapy")
+                        small: bool | None = None, codes: DataFrame | None = None) -> DataFrame:
+    codes = codeset(spark, sf) if codes is None else codes
+    rx = code_events(prescribing(spark, sf), codes, "code", "p_partkey", "therapy")
     return first_event_after_index(who, rx, KEYS, "index_date", "start_date", ["therapy"], 30, small=small)
 
 

@@ -309,7 +309,8 @@ CONTRAST_SQL = " UNION ALL ".join([
 TESTS_SQL = BASE_SQL + """,
 f_stat AS (""" + " UNION ALL ".join(f"""
   SELECT '{v}' AS var, 'F' AS test,
-         (sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(n * vp) / (sum(n) - count(*))) AS statistic,
+         (sum(n * (m - gm) * (m - gm)) / nullif(count(*) - 1, 0))
+         / nullif(sum(n * vp) / nullif(sum(n) - count(*), 0), 0) AS statistic,
          CAST(count(*) - 1 AS DOUBLE) AS df1, CAST(sum(n) - count(*) AS DOUBLE) AS df2
   FROM (SELECT grp, count({v}) AS n, avg({v}) AS m, var_pop({v}) AS vp FROM base GROUP BY 1),
        (SELECT avg({v}) AS gm FROM base)""" for v in ("age", "balance")) + """),

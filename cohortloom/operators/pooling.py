@@ -30,16 +30,17 @@ def rubin_pool(coefs: DataFrame, n_obs: int, m: int | None = None, keys: Sequenc
     out = out.withColumn("var_between", F.when(F.col("_m") > 1, F.col("_ss") / (F.col("_m") - 1)).otherwise(0.0))
     out = out.withColumn("var_total", F.col("var_within") + F.col("var_between")
                          + F.col("var_between") / F.col("_m"))
-    out = out.withColumn("lambda", (F.col("var_between") + F.col("var_between") / F.col("_m"))
-                         / F.col("var_total"))
+    # a term without any variance (a regressor that never varies) has lambda 0 and no test
+    out = out.withColumn("lambda", F.coalesce(F.try_divide(
+        F.col("var_between") + F.col("var_between") / F.col("_m"), F.col("var_total")), F.lit(0.0)))
     lam = F.col("lambda")
     out = out.withColumns({
-        "df_old": F.when(lam > 0, (F.col("_m") - 1) / (lam * lam)).otherwise(F.lit(float("inf"))),
+        "df_old": F.when(lam * lam > 0, (F.col("_m") - 1) / (lam * lam)).otherwise(F.lit(float("inf"))),
         "df_obs": F.lit((dof + 1) / (dof + 3) * dof) * (1 - lam),
-        "wald": F.col("estimate") / F.sqrt("var_total"),
+        "wald": F.try_divide(F.col("estimate"), F.sqrt("var_total")),
     })
-    out = out.withColumn("df_adj", F.when(lam > 0, 1 / (1 / F.col("df_old") + 1 / F.col("df_obs")))
-                         .otherwise(F.col("df_obs")))
+    # 1 / (1/old + 1/observed), in a form that holds for infinite and zero degrees of freedom
+    out = out.withColumn("df_adj", F.col("df_obs") / (1 + F.try_divide(F.col("df_obs"), F.col("df_old"))))
     half = t_quantile_udf(F.lit(0.5 + level / 2), F.col("df_adj")) * F.sqrt("var_total")
     out = out.withColumns({"p_value": t_two_sided_udf("wald", "df_adj"), "_half": half})
     return out.select(
