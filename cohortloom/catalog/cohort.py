@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.catalog import query, star
 from cohortloom.catalog.star import table
+from cohortloom.functions.skew import lookup_join
 from cohortloom.operators.cohort import attrition, dedup_person, exclusion_counts
 
 
@@ -22,7 +23,7 @@ FROM dx d JOIN persons p ON d.person_id = p.person_id WHERE d.code LIKE '3-%'"""
 def q_person_join(spark, sf):
     dx = star.diagnoses(spark, sf).filter(F.col("code").startswith("3-")).select("event_id", "person_id")
     people = star.persons(spark, sf).select("person_id", "site", "sex", "race", "birth_date")
-    return dx.join(people, "person_id")
+    return lookup_join(dx, people, ["person_id"])
 
 
 @query("exclusion_set", star.sql_cohort("SELECT person_id FROM excluded"))

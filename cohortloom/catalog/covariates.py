@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.catalog import query, star
 from cohortloom.catalog.star import KEYS, LOG_SQL, log, sql, table, visitors
+from cohortloom.functions.skew import attach_index
 from cohortloom.functions.values import event_date, lms_zscore, round_to_int
 from cohortloom.operators import covariates as C
 from cohortloom.session import materialize
@@ -322,7 +323,7 @@ def q_derived_bmi(spark, sf):
 def _measured(spark, sf, who):
     m = log(spark, sf).select("person_id", "event_id", "day", (1.0 + F.col("k") / 100).alias("HT"),
                               (20 + F.col("k") * 0.5).alias("WT"), (12 + F.col("k") * 0.2).alias("BMI"))
-    dated = m.join(who.select(*KEYS, "index_date"), KEYS).withColumn(
+    dated = attach_index(m, who.select(*KEYS, "index_date"), KEYS).withColumn(
         "days", F.datediff("day", "index_date")).drop("day", "index_date")
     return C.growth_age(dated, who, KEYS, "age_days", "sex", "days")
 

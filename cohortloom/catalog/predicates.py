@@ -8,6 +8,8 @@ from cohortloom.catalog import query, star
 from cohortloom.catalog.star import table
 from cohortloom.functions import predicates as P
 from cohortloom.functions import values as V
+from cohortloom.functions.skew import lookup_join
+from cohortloom.operators.design import dummy_code
 
 
 @query("code_prefix_filter", """
@@ -69,19 +71,16 @@ def q_multi_wildcard_like(spark, sf):
     return part.select("p_partkey", "p_name").union(docs.select("doc_id", "lang"))
 
 
-GUARD_SQL = star.sql("""
-SELECT d.event_id, d.code, d.dx_date FROM dx d JOIN persons p ON d.person_id = p.person_id
-WHERE d.code LIKE '1-%' {0} d.code LIKE '2-%' {1} d.dx_date >= p.birth_date + 7300""", star.COHORT_SQL)
-
-
 def _guarded(spark, sf, mode):
-    joined = star.diagnoses(spark, sf).join(star.persons(spark, sf), "person_id")
+    joined = lookup_join(star.diagnoses(spark, sf), star.persons(spark, sf), ["person_id"])
     guard = F.col("dx_date") >= F.date_add(F.col("birth_date"), 7300)
     return joined.filter(P.guarded_inclusion(F.col("code"), ["1-"], ["2-"], guard, mode)).select(
         "event_id", "code", "dx_date")
 
 
-@query("guarded_inclusion_as_written", GUARD_SQL.format("OR", "AND"))
+@query("guarded_inclusion_as_written", star.sql("""
+SELECT d.event_id, d.code, d.dx_date FROM dx d JOIN persons p ON d.person_id = p.person_id
+WHERE d.code LIKE '1-%' OR d.code LIKE '2-%' AND d.dx_date >= p.birth_date + 7300""", star.COHORT_SQL))
 def q_guarded_as_written(spark, sf):
     return _guarded(spark, sf, "as_written")
 
@@ -124,7 +123,8 @@ SELECT d.event_id, CAST(round(date_diff('day', p.birth_date, d.admit_date) / 365
        CAST(date_diff('day', p.birth_date, d.admit_date) AS INTEGER) AS age_days
 FROM dx d JOIN persons p ON d.person_id = p.person_id""", star.COHORT_SQL))
 def q_age_at_index(spark, sf):
-    j = star.diagnoses(spark, sf).join(star.persons(spark, sf).select("person_id", "birth_date"), "person_id")
+    people = star.persons(spark, sf).select("person_id", "birth_date")
+    j = lookup_join(star.diagnoses(spark, sf), people, ["person_id"])
     birth, at = F.col("birth_date"), F.col("admit_date")
     return j.select("event_id", V.age_years(birth, at).alias("age"), V.days_between(birth, at).alias("age_days"))
 
@@ -178,8 +178,6 @@ SELECT c_custkey, CAST(c_mktsegment = 'AUTOMOBILE' AS DOUBLE) AS segAUTOMOBILE,
        CAST(c_mktsegment = 'FURNITURE' AS DOUBLE) AS segFURNITURE,
        CAST(c_mktsegment = 'HOUSEHOLD' AS DOUBLE) AS segHOUSEHOLD FROM customer""")
 def q_relevel(spark, sf):
-    from cohortloom.operators.design import dummy_code
-
     c = table(spark, sf, "customer").withColumnRenamed("c_mktsegment", "seg")
     coded, terms = dummy_code(c, {"seg": "MACHINERY"})
     return coded.select("c_custkey", *terms["seg"])

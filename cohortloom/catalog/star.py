@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortloom.functions.predicates import code_matches, guarded_inclusion, starts_with_any
-from cohortloom.functions.skew import BROADCAST_ROWS, fits
+from cohortloom.functions.skew import BROADCAST_ROWS, fits, lookup_join
 from cohortloom.functions.values import age_years, days_between, event_date, recode
 from cohortloom.operators.codesets import DrugRule, build_drug_codeset, crosswalk_codes
 from cohortloom.operators.cohort import apply_exclusion, exclusion_set, index_event
@@ -209,7 +209,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person_id"),
         F.to_date("o_orderdate").alias("ordered"))
-    return li.join(o, "l_orderkey")
+    return lookup_join(li, o, ["l_orderkey"])
 
 
 def prescribing(spark: SparkSession, sf: str) -> DataFrame:

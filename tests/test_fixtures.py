@@ -18,6 +18,8 @@ from cohortloom.operators.timelines import (
     treatment_sequence,
 )
 from cohortloom.plans import definitions as D
+from cohortloom.sources.contracts import assert_not_null, assert_unique, schema
+from cohortloom.sources.tables import conform, union_sites
 
 KEYS = ["patid", "site"]
 
@@ -247,3 +249,26 @@ def test_crosswalk_copies(spark):
         out = crosswalk_codes(codes, attr, "rxcui", D.CROSSWALK_FILTERS, "atv", "ndc", ["therapy", "rxcui", "str"],
                               copies=copies)
         assert [r["ndc"] for r in out.collect()] == ["001"] * copies
+
+
+def test_key_checks(spark):
+    df = spark.createDataFrame([("p", 1), ("p", 2), ("q", None)], "patid string, v int")
+    with pytest.raises(ValueError, match="duplicate key"):
+        assert_unique(df, ["patid"])
+    assert assert_unique(df, ["patid", "v"]) is df
+    with pytest.raises(ValueError, match="missing values"):
+        assert_not_null(df, ["patid", "v"])
+
+
+def test_insert_rounds_and_casts_by_position(spark):
+    df = spark.createDataFrame([("p", 2.7, "2016-01-01"), ("q", -2.5, "2016-01-02")], "a string, b double, c string")
+    out = conform(df.toDF("k", "v", "d"), schema("k string, v int, d date"))
+    assert [tuple(r) for r in out.collect()] == [("p", 3, day("2016-01-01")), ("q", -3, day("2016-01-02"))]
+
+
+def test_sites_with_different_columns(spark):
+    a = spark.createDataFrame([(1, "x")], "id int, a string")
+    b = spark.createDataFrame([(2, "y")], "id int, b string")
+    rows = {r["id"]: r.asDict() for r in union_sites({"A": a, "B": b}).collect()}
+    assert rows[1] == {"id": 1, "a": "x", "site": "A", "b": None}
+    assert rows[2] == {"id": 2, "a": None, "site": "B", "b": "y"}

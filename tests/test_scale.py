@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.quantiles import grouped_quantiles
 from cohortloom.functions.ranks import bucketed_rank
 from cohortloom.functions.skew import attach_index, lookup_join, skew_join
+from cohortloom.session import scratch_dir
 
 
 def rows(df):
@@ -78,3 +79,25 @@ def test_quantiles_with_a_coarse_sketch(spark):
     for r in out:
         part = v[:3750] if r["g"] == 0 else v[3750:]
         assert r["value"] == pytest.approx(np.percentile(part, r["prob"] * 100))
+
+
+class _Conf:
+    def __init__(self, value):
+        self.value = value
+
+    def get(self, _key, default=None):
+        return self.value or default
+
+
+class _Session:
+    def __init__(self, master, folder):
+        self.conf = _Conf(folder)
+        self.sparkContext = type("Context", (), {"master": master})()
+
+
+def test_scratch_folder_comes_from_the_session():
+    assert scratch_dir(_Session("spark://host", "hdfs://shared/ck/")).startswith("hdfs://shared/ck/")
+    a, b = (scratch_dir(_Session("local[2]", None)) for _ in range(2))
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
+    with pytest.raises(RuntimeError):
+        scratch_dir(_Session("spark://host", None))
