@@ -19,7 +19,8 @@ from cohortloom.llm.common import whole_text
 from cohortloom.llm.piece_store import PieceStore, spread, sums
 from cohortloom.llm.tokenizer_cache import balanced
 
-BATCH_CHARS = 1 << 20
+#: Characters worked on at a time, pre-tokens remembered.
+BATCH_CHARS, MEMORY = 1 << 19, 600_000
 #: Between texts of a batch; no character has this number.
 END = 0x110000
 
@@ -274,7 +275,7 @@ class Codec:
     def __init__(self, path: str):
         self.ranks = ranks = load_ranks(path)
         merger = Merger(ranks)
-        self.store = PieceStore(lambda pieces: merger([p.encode("utf-8", "surrogatepass") for p in pieces]))
+        self.store = PieceStore(lambda pieces: merger([p.encode("utf-8", "surrogatepass") for p in pieces]), MEMORY)
         width = max(ranks.values()) + 1
         words = [b""] * width
         for word, rank in ranks.items():

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces and characters remembered at most; beyond that, pieces met only once are dropped, or all.
-MAX_PIECES, MAX_CHARS = 800_000, 16 << 20
+#: Characters remembered at most.
+MAX_CHARS = 16 << 20
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -25,10 +26,10 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class PieceStore:
-    """``learn`` gives the ids of new pieces, in their order."""
+    """``learn`` gives the ids of new pieces, in their order; beyond ``limit`` pieces those met once are forgotten, or all."""
 
-    def __init__(self, learn: Callable[[list], list]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[list], list], limit: int):
+        self.learn, self.limit = learn, limit
         self.clear()
 
     def clear(self) -> None:
@@ -39,11 +40,11 @@ class PieceStore:
 
     def forget(self) -> None:
         """Call between batches: numbers given out before are void afterwards."""
-        if len(self.known) <= MAX_PIECES and self.chars <= MAX_CHARS:
+        if len(self.known) <= self.limit and self.chars <= MAX_CHARS:
             return
         often = [(p, k) for p, k in self.known.items() if self.uses[k] > 1]
         chars = sum(len(p) for p, _ in often)
-        if len(often) > MAX_PIECES // 2 or chars > MAX_CHARS // 2:
+        if len(often) > self.limit // 2 or chars > MAX_CHARS // 2:
             self.clear()
             return
         old = np.fromiter((k for _, k in often), np.int64, len(often))
@@ -61,8 +62,10 @@ class PieceStore:
     def number(self, pieces: list) -> np.ndarray:
         """The pieces' numbers; unknown ones are learnt first, each once."""
         known = self.known
-        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
-        if fresh:
+        numbers = np.fromiter(map(known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(numbers < 0).tolist()
+        if new:
+            fresh = list(dict.fromkeys([pieces[k] for k in new]))
             ids = self.learn(fresh)
             at = len(known)
             count = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -77,7 +80,7 @@ class PieceStore:
             self.used += int(count.sum())
             self.chars += sum(map(len, fresh))
             known.update(zip(fresh, range(at, at + len(fresh))))
-        numbers = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+            numbers[new] = [known[pieces[k]] for k in new]
         self.uses[:len(known)] += np.bincount(numbers, minlength=len(known))
         return numbers
 

@@ -15,6 +15,7 @@ from cohortloom.llm.pii import pii
 from cohortloom.llm.quality_rules import quality_rules
 from cohortloom.llm.simhash import simhash
 from cohortloom.llm.source_mix import source_mix
+from cohortloom.llm.suffix_dedup import suffix_dedup
 from cohortloom.llm.token_counts import token_counts
 from cohortloom.llm.token_files import token_files
 
@@ -22,6 +23,7 @@ JSON_FILE = public_tokenizers.path("byte_bpe_50k.json")
 RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": lambda spark, sf: suffix_dedup(documents(spark, sf)),
     "op2_license_scan": lambda spark, sf: license_scan(documents(spark, sf)),
     "op3_token_files": lambda spark, sf: token_files(documents(spark, sf), JSON_FILE),
     "op4_exact_dedup": lambda spark, sf: exact_dedup(documents(spark, sf)),

@@ -18,7 +18,7 @@ from cohortloom.session import scratch_dir
 #: Writer settings: version 2 pages delta-encode the integers that are no dictionary, row groups of 16 MB let a
 #: reader skip to a range of doc_id, and column indexes (always written) to the pages in it.
 WRITER = {"parquet.writer.version": "v2", "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10),
-          "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "compression": "zstd"}
+          "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "compression": "snappy"}
 
 
 def encode_rows(texts: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import sys
@@ -14,6 +15,8 @@ from cohortloom.llm.piece_store import PieceStore, sums
 
 #: Characters worked on at a time, and characters given to one call of the library.
 BATCH_CHARS, CALL_CHARS = 1 << 20, 1 << 18
+#: Pieces remembered, and parts of pieces.
+MEMORY, FINE_MEMORY = 600_000, 300_000
 #: A byte-level pattern never goes on across the place between a character that is not white space and white
 #: space, special strings hold no white space, and the next match does not look back. So texts are cut before blanks,
 #: unless white space stands before the blank: such texts take the careful pattern.
@@ -23,6 +26,10 @@ OTHER_SPACE = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace() and
 #: follows. Not for pieces with other characters, or with a part of a special string.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 FINE = re.compile(rf"[ \n]*[^ \n{LETTERS}]*[{LETTERS}]+|[ \n]*[^ \n{LETTERS}]+|[ \n]+")
+MATCH = re.compile(f" ?[{LETTERS}]+")
+#: The character that a byte-level vocabulary writes for each byte: its own if it is visible, else the next from 256 on.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_NAMES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 PLAIN = re.compile(rf"[\x00-\x7f{LETTERS}]*")
 
 
@@ -37,11 +44,16 @@ def load(path: str):
 
 
 def cut(text: str) -> list[str]:
-    """Pieces that add up to the text, each but the first beginning with white space."""
+    """Names of the pieces of a text: a blank and a word go by the word, anything else by a blank and itself."""
     if "  " in text or "\n " in text or any(c in text for c in OTHER_SPACE):
-        return CAREFUL.split(text)
-    first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)]
+        return [p[1:] if p[:1] == " " and " " not in p[1:] else " " + p for p in CAREFUL.split(text)]
+    names = text.split(" ")
+    names[0] = " " + names[0]
+    return names
+
+
+def piece(name: str) -> str:
+    return name[1:] if name[:1] == " " else " " + name
 
 
 def balanced(texts: list[str], size: int) -> Iterator[list[str]]:
@@ -64,12 +76,26 @@ class CachedEncoder:
         self.tokenizer = load(path)
         special = {c for t in self.tokenizer.get_added_tokens_decoder().values() for c in t.content if not c.isalnum()}
         self.special = re.compile("[" + re.escape("".join(sorted(special))) + "]") if special else None
-        self.words, self.store = PieceStore(self._encode), PieceStore(self._by_words)
+        self.words, self.store = PieceStore(self._encode, FINE_MEMORY), PieceStore(self._by_words, MEMORY)
+        # A blank and letters are one match of the byte-level pattern: its merges can be asked for directly.
+        kind = self.tokenizer.pre_tokenizer
+        self.direct = type(kind).__name__ == "ByteLevel" and kind.use_regex and not kind.add_prefix_space and self.tokenizer.normalizer is None
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
+        if not self.direct:
+            return self._whole(pieces)
+        merges = self.tokenizer.model.tokenize
+        out = [[t.id for t in merges(p.encode().decode("latin-1").translate(BYTE_NAMES))] if MATCH.fullmatch(p) else None for p in pieces]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._whole([pieces[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    def _whole(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for part in balanced(pieces, CALL_CHARS) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
-    def _by_words(self, pieces: list[str]) -> list[list[int]]:
+    def _by_words(self, names: list[str]) -> list[list[int]]:
+        pieces = list(map(piece, names))
         plain = [PLAIN.fullmatch(p) and not (self.special and self.special.search(p)) for p in pieces]
         cuts = [FINE.findall(p) if ok else [p] for p, ok in zip(pieces, plain)]
         self.words.forget()
@@ -79,10 +105,10 @@ class CachedEncoder:
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        pieces = [cut(t) for t in texts]
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        names = [cut(t) for t in texts]
+        counts = np.fromiter(map(len, names), np.int64, len(names))
         self.store.forget()
-        return self.store.number([p for one in pieces for p in one]), counts
+        return self.store.number(list(itertools.chain.from_iterable(names))), counts
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Token count of each text."""
