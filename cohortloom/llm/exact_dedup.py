@@ -79,7 +79,7 @@ def exact_dedup(docs: DataFrame, min_chunk: int = MIN_CHUNK, max_chunk: int = MA
     form a group. Of rows that repeat a doc_id, still one of the group stays. Other columns are ignored.
     """
     made = recipes(docs, min_chunk, max_chunk)
-    best = groups(made)
+    best = materialize(groups(made))  # so that the join is of two tables, and the rows of a hot group can be split
     return made.join(best, "recipe").select(
         "doc_id", F.col("best.c").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.d")).alias("kept"), "text_sha256")
 
