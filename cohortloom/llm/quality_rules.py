@@ -21,9 +21,16 @@ def _window_hashes(hashed: Column) -> Column:
     return F.transform(F.slice(hashed, 1, count), lambda first, i: F.xxhash64(first, *[F.get(hashed, i + k) for k in range(1, WINDOW)]))
 
 
-def _repeated_places(windows: Column) -> Column:
-    """Sorted places of the windows found twice or more: those with an equal neighbour in the order of hashes."""
-    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _by_hash(windows: Column) -> Column:
+    """The windows as (hash, place), sorted."""
+    return F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+
+def _repeated_places(ordered: Column) -> Column:
+    """Sorted places of the windows found twice or more: those with an equal neighbour in the order of hashes.
+
+    ``ordered`` is looked into for every element, so it has to be a computed column.
+    """
 
     def twice(s: Column, k: Column) -> Column:
         # Past either end there is nothing to be equal to.
@@ -53,7 +60,8 @@ def measured(docs: DataFrame) -> DataFrame:
     step = raw.withColumn("_lines", lines).withColumn("_hashed", F.transform(words, lambda w: F.xxhash64(w)))
     step = step.withColumn("_windows", _window_hashes(F.col("_hashed")))
     # Most texts repeat no window; only the others are sorted.
-    step = step.withColumn("_at", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _repeated_places(F.col("_windows"))))
+    step = step.withColumn("_ordered", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _by_hash(F.col("_windows"))))
+    step = step.withColumn("_at", _repeated_places(F.col("_ordered")))
     return materialize(step.select(
         "row_id", "doc_id", "text_key", "host", F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
