@@ -34,4 +34,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": lambda spark, sf: simhash(documents(spark, sf)),
     "op10_pii": lambda spark, sf: pii(documents(spark, sf)),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+g AS (SELECT norm, first(doc_id ORDER BY n_chars DESC, doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM t GROUP BY norm)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
+FROM t JOIN g ON t.norm = g.norm""",
+    "op5_source_mix": r"""
+WITH rows_ AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(sha256(text), 'null')), 1, 15) AS BIGINT) AS draw
+  FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows_ GROUP BY source),
+weighted AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, source_size * 3 AS most FROM totals),
+levels AS (
+  SELECT *, ((SELECT sum(source_size) FROM totals) - coalesce(sum(most) OVER filled, 0))
+            / ((SELECT sum(weight) FROM weighted) - coalesce(sum(weight) OVER filled, 0)) AS level
+  FROM weighted
+  WINDOW filled AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+opened AS (SELECT first(level ORDER BY most / weight, source NULLS LAST) AS open_level FROM levels WHERE level * weight <= most),
+targets AS (
+  SELECT source, source_size, CASE WHEN open_level IS NULL OR open_level * weight > most THEN CAST(most AS DOUBLE) ELSE open_level * weight END AS target
+  FROM levels, opened),
+planned AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / greatest(source_size, 1)) END AS passes FROM targets),
+goals AS (SELECT *, target - passes * source_size AS rest FROM planned),
+parts AS (SELECT source, draw, sum(size) AS part FROM rows_ GROUP BY source, draw),
+run AS (SELECT source, draw, part, sum(part) OVER (PARTITION BY source ORDER BY draw ROWS UNBOUNDED PRECEDING) AS upto FROM parts),
+chosen AS (
+  SELECT r.source, r.draw, r.upto <= g.rest OR (r.upto - r.part <= g.rest AND r.upto - g.rest < g.rest - (r.upto - r.part)) AS extra
+  FROM run r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source)
+SELECT r.doc_id, r.size, g.source_size, g.target,
+       CAST(r.size * least(g.passes + CAST(c.extra AS INTEGER), 3) AS BIGINT) AS taken
+FROM rows_ r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source
+JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source AND r.draw = c.draw""",
+}

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.llm.arrow_text import joined, portions
 from cohortloom.llm.common import materialize, whole_text
 from cohortloom.llm.lyndon import suffix_order
 
@@ -50,15 +51,6 @@ def _numbered(docs: DataFrame, text) -> DataFrame:
 
 # Anchors
 
-def _binary(column) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of an Arrow column one after the other, and the offsets of its values."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
-
-
 def _hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the K bytes from each place on (K a power of two); the last K - 1 places are void."""
     out, size = _TABLE[data], 1
@@ -106,17 +98,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     return place - offsets[text], text, value[place], mixed
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of about BATCH_BYTES together: row numbers, joined bytes, offsets."""
-    rows = batch.column("row").to_numpy()
-    data, offsets = _binary(batch.column("text"))
-    at = 0
-    while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, "right")) - 1)
-        yield rows[at:to], data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
-        at = to
-
-
 def find_anchors(texts: DataFrame) -> DataFrame:
     """Anchors (klass, around, row, pos), and spans (row, pos, stop) already known to repeat.
 
@@ -126,7 +107,8 @@ def find_anchors(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in _chunks(batch):
+            for first, data, offsets in portions(batch.column("text"), BATCH_BYTES):
+                rows = batch.column("row").slice(first, len(offsets) - 1).to_numpy()
                 pos, text, klass, around = anchors(data, offsets)
                 row = rows[text]
                 order = np.lexsort((pos, row, around, klass))
@@ -201,7 +183,7 @@ def compare(around: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def arrays():
             for b in batches:
-                data, offsets = _binary(b.column("bytes"))
+                data, offsets = joined(b.column("bytes"))
                 size = np.diff(offsets)
                 matrix = np.zeros((b.num_rows, WIDTH + 16), np.uint8)
                 matrix[np.arange(WIDTH + 16) < size[:, None]] = data
@@ -270,7 +252,7 @@ def cut_out(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _binary(batch.column("text"))
+            data, offsets = joined(batch.column("text"))
             removed, count, digest = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             lists = batch.column("spans")
             edges = lists.offsets.to_numpy()

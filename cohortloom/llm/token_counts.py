@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.llm.arrow_text import portions
 from cohortloom.llm.common import whole_text
-from cohortloom.llm.tokenizer_cache import BATCH_CHARS, balanced, encoder
+from cohortloom.llm.tokenizer_cache import BATCH_BYTES, encoder
 
 
 def token_lengths(texts: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -19,7 +20,7 @@ def token_lengths(texts: DataFrame, tokenizer_path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = encoder(tokenizer_path)
         for batch in batches:
-            rows = [worker.counts(part) for part in balanced(batch.column("text").to_pylist(), BATCH_CHARS)]
+            rows = [worker.counts(data, offsets) for _, data, offsets in portions(batch.column("text"), BATCH_BYTES)]
             total = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(total, pa.int64())],
                                              ["doc_id", "n_bytes", "n_tokens"])
@@ -34,5 +35,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     remembered pieces. Rows that repeat are counted each; other columns are not read.
     """
     text = whole_text(docs)
-    sent = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    sent = docs.select(docs["doc_id"].alias("doc_id"), text.cast("binary").alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     return token_lengths(sent, tokenizer_path).withColumn("over_limit", F.col("n_tokens") > limit)

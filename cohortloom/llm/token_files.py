@@ -11,8 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.llm.arrow_text import portions
 from cohortloom.llm.common import whole_text
-from cohortloom.llm.tokenizer_cache import BATCH_CHARS, balanced, encoder
+from cohortloom.llm.tokenizer_cache import BATCH_BYTES, encoder
 from cohortloom.session import scratch_dir
 
 #: Writer settings: version 2 pages delta-encode the integers that are no dictionary, row groups of 16 MB let a
@@ -27,18 +28,17 @@ def encode_rows(texts: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker, part, at = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            row = 0
-            for some in balanced(batch.column("text").to_pylist(), BATCH_CHARS):
-                flat, counts = worker.ids(some)
+            for row, data, texts_at in portions(batch.column("text"), BATCH_BYTES):
+                flat, counts = worker.ids(data, texts_at)
                 # The end id goes behind each document's ids.
                 flat = np.insert(flat, np.cumsum(counts), end_id).astype(np.int32)
                 ends = np.cumsum(counts + 1)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, len(some)), pa.array(np.full(len(some), part, np.int32)),
+                    [batch.column("doc_id").slice(row, len(counts)), pa.array(np.full(len(counts), part, np.int32)),
                      pa.array(at + ends - counts - 1), pa.array(counts + 1), pa.ListArray.from_arrays(offsets, pa.array(flat))],
                     ["doc_id", "part", "at", "n_tokens", "ids"])
-                row, at = row + len(some), at + int(ends[-1])
+                at += int(ends[-1])
 
     return texts.mapInArrow(encode, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, part int, at long, n_tokens long, ids array<int>")
 
@@ -50,7 +50,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     for one task. A null doc_id comes first.
     """
     tie = F.xxhash64("text")
-    ordered = (docs.select(docs["doc_id"].alias("doc_id"), whole_text(docs).alias("text"))
+    ordered = (docs.select(docs["doc_id"].alias("doc_id"), whole_text(docs).cast("binary").alias("text"))
                .repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie))
     encode_rows(ordered, tokenizer_path, end_id).write.options(**WRITER).parquet(path)
 
