@@ -24,6 +24,7 @@ LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1
 WIDTH = SPAN - 1 + LENGTH
 BATCH_BYTES, SORT_ROWS = 1 << 20, 512
+_ODD = 0x5851F42D4C957F2D
 _MIX = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(100).integers(0, 1 << 64, 256, dtype=np.uint64)
 
@@ -34,7 +35,8 @@ def ordered(docs: DataFrame) -> DataFrame:
     one = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("different")).first()
     if one["n"] == one["ids"] == one["different"] and docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
         row = docs["doc_id"].cast("long")
-        return docs.select(row.alias("row"), text.alias("text"))
+        # The filter keeps all rows. It makes the text's two joins by row ask for the same exchange.
+        return docs.select(row.alias("row"), text.alias("text")).filter("row is not null")
     return _numbered(docs, text)
 
 
@@ -99,10 +101,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 
 
 def find_anchors(texts: DataFrame) -> DataFrame:
-    """Anchors (klass, around, row, pos), and spans (row, pos, stop) already known to repeat.
+    """Anchors (klass, around, row, pos, stop = -1), and spans (row, pos, stop) already known to repeat.
 
     Of equal anchors in equal surroundings within a batch only the first is sent on; the others repeat it. So the
-    rows of a hot passage are as many as batches, not documents.
+    rows of a hot passage are as many as batches, not documents. Spans take any class, to travel with the anchors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +117,13 @@ def find_anchors(texts: DataFrame) -> DataFrame:
                 pos, row, klass, around, text = (x[order] for x in (pos, row, klass, around, text))
                 again = np.append(False, (klass[1:] == klass[:-1]) & (around[1:] == around[:-1]))[:len(pos)]
                 size = (offsets[1:] - offsets[:-1])[text]
-                stop = np.where(again, np.minimum(pos + LENGTH, size), -1)
-                begin = np.where(again, np.maximum(pos - SPAN + 1, 0), pos)
+                span_row, begin, stop = merged_spans(row[again], np.maximum(pos[again] - SPAN + 1, 0), np.minimum(pos[again] + LENGTH, size[again]))
+                fresh, none = ~again, np.zeros(len(stop), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(klass.view(np.int64), mask=again), pa.array(around.view(np.int64), mask=again), pa.array(row),
-                     pa.array(begin), pa.array(stop)], ["klass", "around", "row", "pos", "stop"])
+                    [pa.array(np.concatenate(x)) for x in ((klass[fresh].view(np.int64), span_row * np.int64(_ODD) + begin),
+                                                           (around[fresh].view(np.int64), none), (row[fresh], span_row),
+                                                           (pos[fresh], begin), (np.full(int(fresh.sum()), -1), stop))],
+                    ["klass", "around", "row", "pos", "stop"])
 
     return texts.select("row", "text").mapInArrow(run, "klass long, around long, row long, pos long, stop long")
 
@@ -133,11 +137,17 @@ def _runs(change: np.ndarray) -> np.ndarray:
 def settle(found: DataFrame) -> DataFrame:
     """Anchors by class, in order: spans that repeat (stop > 0), and the first anchor of each of several surroundings
     (stop = -1), which have to be compared byte by byte. A batch goes on until its last class is whole."""
-    dealt = found.filter("klass is not null").select("klass", "around", "row", "pos").repartition("klass").sortWithinPartitions("klass", "around", "row", "pos")
+    dealt = found.repartition("klass").sortWithinPartitions("klass", "around", "row", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("klass", "around", "row", "pos")
-        for klass, around, row, pos in whole_classes(([b.column(c).to_numpy() for c in names] for b in batches)):
+        names = ("klass", "around", "row", "pos", "stop")
+        for now in whole_classes([b.column(c).to_numpy() for c in names] for b in batches):
+            span = now[4] > 0
+            if span.any():
+                yield pa.RecordBatch.from_arrays([pa.array(now[k][span]) for k in (0, 2, 3, 4)], ["klass", "row", "pos", "stop"])
+            klass, around, row, pos, _ = (x[~span] for x in now)
+            if not len(klass):
+                continue
             kin = _runs(klass[1:] != klass[:-1])
             same = _runs((klass[1:] != klass[:-1]) | (around[1:] != around[:-1]))
             first = np.append(True, same[1:] != same[:-1])
@@ -238,11 +248,9 @@ def merged_spans(row: np.ndarray, pos: np.ndarray, stop: np.ndarray):
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """row, spans: for each row the stretches to remove."""
-    found = materialize(find_anchors(texts))
-    settled = materialize(settle(found))
+    settled = materialize(settle(find_anchors(texts)))
     sorted_ = compare(surroundings(texts, settled.filter("stop < 0").select("klass", "row", "pos")))
-    spans = (found.filter("klass is null").select("row", "pos", "stop")
-             .unionByName(settled.filter("stop > 0").select("row", "pos", "stop")).unionByName(sorted_))
+    spans = settled.filter("stop > 0").select("row", "pos", "stop").unionByName(sorted_)
     return spans.groupBy("row").agg(F.collect_list(F.struct("pos", "stop")).alias("spans"))  # those of one text
 
 
