@@ -19,9 +19,9 @@ def q_index_event(spark, sf):
 
 @query("person_join", star.sql("""
 SELECT d.event_id, d.person_id, p.site, p.sex, p.race, p.birth_date
-FROM dx d JOIN persons p ON d.person_id = p.person_id WHERE d.code LIKE '3-%'""", star.COHORT_SQL))
+FROM dx d JOIN persons p ON d.person_id = p.person_id""", star.COHORT_SQL))
 def q_person_join(spark, sf):
-    dx = star.diagnoses(spark, sf).filter(F.col("code").startswith("3-")).select("event_id", "person_id")
+    dx = star.diagnoses(spark, sf).select("event_id", "person_id")
     people = star.persons(spark, sf).select("person_id", "site", "sex", "race", "birth_date")
     return lookup_join(dx, people, ["person_id"])
 

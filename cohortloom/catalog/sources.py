@@ -33,12 +33,13 @@ def q_read_sites(spark, sf):
 
 
 @query("union_sites", """
-SELECT CASE WHEN o_orderstatus = 'F' THEN 'north' ELSE 'south' END AS site, CAST(count(*) AS BIGINT) AS n,
+SELECT CASE o_orderstatus WHEN 'F' THEN 'north' WHEN 'P' THEN 'south' ELSE 'west' END AS site, CAST(count(*) AS BIGINT) AS n,
        round(sum(o_totalprice), 2) AS total
-FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1""")
+FROM orders GROUP BY 1""")
 def q_union_sites(spark, sf):
     o = table(spark, sf, "orders")
-    both = union_sites({"north": o.filter("o_orderstatus = 'F'"), "south": o.filter("o_orderstatus = 'P'")})
+    both = union_sites({"north": o.filter("o_orderstatus = 'F'"), "south": o.filter("o_orderstatus = 'P'"),
+                        "west": o.filter("o_orderstatus NOT IN ('F', 'P')")})
     return both.groupBy("site").agg(F.count(F.lit(1)).alias("n"),
                                     F.round(F.sum("o_totalprice"), 2).alias("total"))
 
@@ -96,13 +97,13 @@ SELECT status, CAST(count(*) AS BIGINT) AS n, CAST(sum(price) AS BIGINT) AS tota
   SELECT o_orderstatus AS status, CAST(round(o_totalprice) AS BIGINT) AS price FROM orders
   WHERE o_orderstatus = 'F'
   UNION ALL
-  SELECT 'X', CAST(round(o_totalprice) AS BIGINT) FROM orders WHERE o_orderstatus = 'P') GROUP BY 1""")
+  SELECT 'X', CAST(round(o_totalprice) AS BIGINT) FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1""")
 def q_append_table(spark, sf):
     path = scratch_dir(spark)
     o = table(spark, sf, "orders")
     rows = o.select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
     create_table(rows.filter("o_orderstatus = 'F'").toDF(*PRICE_SCHEMA.names), path, PRICE_SCHEMA)
-    second = rows.filter("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("X"))
+    second = rows.filter("o_orderstatus <> 'F'").withColumn("o_orderstatus", F.lit("X"))
     both = append_table(second, path, PRICE_SCHEMA)
     return both.groupBy("status").agg(F.count(F.lit(1)).alias("n"),
                                       F.sum(F.col("price").cast("bigint")).alias("total"))

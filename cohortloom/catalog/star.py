@@ -34,7 +34,7 @@ from cohortloom.operators.timelines import (
     pivot_endpoints,
     status_time,
     transition_times,
-    treatment_sequence,
+    with_sequence,
 )
 from cohortloom.session import materialize
 
@@ -103,7 +103,7 @@ def included(spark: SparkSession, sf: str, date_guard: str = "as_written") -> Da
     wanted = dx.filter(starts_with_any(F.col("code"), ["1-", "2-"]))
     cond = guarded_inclusion(F.col("code"), ["1-"], ["2-"], F.col("dx_date") >= F.col("birth_date"), date_guard)
     out = index_event(wanted, persons(spark, sf), KEYS, "index_date", cond, event_keep=["enc_type"],
-                      tiebreak=["event_id"], guard_columns=["code", "dx_date"],
+                      tiebreak=["event_id"],
                       person_keep=["birth_date", "site", "sex", "race", "balance"])
     birth, at = F.col("birth_date"), F.col("index_date")
     return out.withColumns({"age": age_years(birth, at), "age_days": days_between(birth, at)})
@@ -201,19 +201,21 @@ crosswalk AS (
 """
 
 
-def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines with their person."""
+def lines(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFrame:
+    """Order lines with their person, of the given persons or of all."""
     li = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus",
         F.to_date("l_shipdate").alias("ship"))
     o = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person_id"),
         F.to_date("o_orderdate").alias("ordered"))
+    if who is not None:
+        o = o.join(who.select(*KEYS), KEYS, "left_semi")
     return lookup_join(li, o, ["l_orderkey"])
 
 
-def prescribing(spark: SparkSession, sf: str) -> DataFrame:
-    return lines(spark, sf).filter("l_returnflag = 'R'").select(
+def prescribing(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return (lines(spark, sf) if rows is None else rows).filter("l_returnflag = 'R'").select(
         "person_id", F.col("l_partkey").alias("code"),
         F.when(F.col("l_linenumber") % 5 != 0, F.col("ship")).alias("start_date"),
         F.col("ordered").alias("order_date"))
@@ -234,8 +236,8 @@ def med_admin(spark: SparkSession, sf: str) -> DataFrame:
         F.col("ship").alias("start_date"))
 
 
-def procedures(spark: SparkSession, sf: str) -> DataFrame:
-    return lines(spark, sf).filter("l_returnflag = 'A'").select(
+def procedures(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return (lines(spark, sf) if rows is None else rows).filter("l_returnflag = 'A'").select(
         "person_id", F.col("l_partkey").cast("string").alias("px"),
         F.col("ship").alias("px_date"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("ordered")).alias("admit_date"))
@@ -266,22 +268,27 @@ procedures AS (
 # -- endpoints ------------------------------------------------------------------------------------
 
 
-def surgery(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = None) -> DataFrame:
-    px = procedures(spark, sf).filter(code_matches(F.col("px"), PX_EXACT, PX_PREFIXES))
+def surgery(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = None,
+            rows: DataFrame | None = None) -> DataFrame:
+    px = procedures(spark, sf, rows).filter(code_matches(F.col("px"), PX_EXACT, PX_PREFIXES))
     return first_event_after_index(who, px, KEYS, "index_date", "px_date", small=small)
 
 
 def first_prescriptions(spark: SparkSession, sf: str, who: DataFrame,
-                        small: bool | None = None, codes: DataFrame | None = None) -> DataFrame:
+                        small: bool | None = None, codes: DataFrame | None = None,
+                        rows: DataFrame | None = None) -> DataFrame:
     codes = codeset(spark, sf) if codes is None else codes
-    rx = code_events(prescribing(spark, sf), codes, "code", "p_partkey", "therapy")
+    rx = code_events(prescribing(spark, sf, rows), codes, "code", "p_partkey", "therapy")
     return first_event_after_index(who, rx, KEYS, "index_date", "start_date", ["therapy"], 30, small=small)
 
 
-def censoring(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = None) -> DataFrame:
+def censoring(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = None,
+              rows: DataFrame | None = None) -> DataFrame:
+    if rows is None:
+        rows = materialize(lines(spark, sf, who))
     sources = [ActivitySource(diagnoses(spark, sf), "admit_date", "dx_date"),
-               ActivitySource(procedures(spark, sf), "admit_date", "px_date"),
-               ActivitySource(prescribing(spark, sf), "start_date", "order_date")]
+               ActivitySource(procedures(spark, sf, rows), "admit_date", "px_date"),
+               ActivitySource(prescribing(spark, sf, rows), "start_date", "order_date")]
     return censor_date(who, sources, KEYS, "index_date", small=small)
 
 
@@ -289,10 +296,12 @@ def stack(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFra
     # the cohort feeds five joins, so it is persisted as a table first, as a study would
     who = materialize(cohort(spark, sf).select(*KEYS, "index_date")) if who is None else who
     small = fits(who, BROADCAST_ROWS)
+    # so do the cohort's lines: they are scanned and joined once
+    rows = materialize(lines(spark, sf, who))
     return endpoint_stack({
-        "surgery": (surgery(spark, sf, who, small), "first_date", None),
-        "drug": (first_prescriptions(spark, sf, who, small), "first_date", "therapy"),
-        "censor": (censoring(spark, sf, who, small), "censor_date", None),
+        "surgery": (surgery(spark, sf, who, small, rows), "first_date", None),
+        "drug": (first_prescriptions(spark, sf, who, small, rows=rows), "first_date", "therapy"),
+        "censor": (censoring(spark, sf, who, small, rows), "censor_date", None),
     }, KEYS, "index_date")
 
 
@@ -345,9 +354,9 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
 def timeline(spark: SparkSession, sf: str) -> DataFrame:
     """Wide endpoints with order, status and time columns, transitions and the outcome."""
     w = wide(spark, sf)
-    seq = after_first_flags(treatment_sequence(w, KEYS, TREATMENTS), {
+    seq = after_first_flags(with_sequence(w, TREATMENTS), {
         "surgery_after": "surgery", "step_1_after": "step_1", "step_2_after": "step_2"})
-    out = status_time(w.join(seq, KEYS, "left"), ENDPOINTS[:-1])
+    out = status_time(seq, ENDPOINTS[:-1])
     out = transition_times(out, TRANSITIONS)
     return escalation_outcome(index_to_first(out, ["base_a", "base_b"]), "surgery", ["step_1", "step_2"])
 

@@ -118,7 +118,7 @@ DATED_SQL = """
 dated AS (SELECT t.*, CAST(year(c.index_date) AS INTEGER) AS index_year
           FROM timeline t JOIN cohort c ON t.person_id = c.person_id),
 rates AS (
-  SELECT a.index_year, b.n_year, a.var, a.n, round(a.n / b.n_year, 3) AS p FROM (
+  SELECT a.index_year, b.n_year, a.var, a.n, round_even(a.n / b.n_year, 3) AS p FROM (
     SELECT index_year, trt1 AS var, CAST(count(DISTINCT person_id) AS BIGINT) AS n FROM dated
     WHERE trt1 IS NOT NULL GROUP BY 1, 2) a
   JOIN (SELECT index_year, CAST(count(DISTINCT person_id) AS BIGINT) AS n_year FROM dated
@@ -134,7 +134,7 @@ def q_first_treatment_rates(spark, sf):
 @query("any_treatment_rows", sql_timeline("""
 SELECT index_year, n_year, var, n, p FROM rates
 UNION ALL
-SELECT r.index_year, d.n_year, 'any', r.n_year, round(r.n_year / d.n_year, 3)
+SELECT r.index_year, d.n_year, 'any', r.n_year, round_even(r.n_year / d.n_year, 3)
 FROM (SELECT DISTINCT index_year, n_year FROM rates) r
 LEFT JOIN (SELECT index_year, CAST(count(DISTINCT person_id) AS BIGINT) AS n_year FROM dated GROUP BY 1) d
   ON r.index_year = d.index_year""", DATED_SQL))
@@ -159,7 +159,7 @@ FLAGS = {"base_a_ind": "base_a", "base_b_ind": "base_b", "step_1_ind": "step_1",
          "surgery_ind": "surgery"}
 MISSING_SQL = " UNION ALL ".join(f"""
 SELECT index_year, CAST(count(DISTINCT person_id) AS BIGINT) AS n_year, '{f}' AS var,
-       CAST(count({c}) AS BIGINT) AS n, round(count({c}) / count(DISTINCT person_id), 3) AS p
+       CAST(count({c}) AS BIGINT) AS n, round_even(count({c}) / count(DISTINCT person_id), 3) AS p
 FROM dated GROUP BY 1""" for f, c in FLAGS.items())
 
 

@@ -23,37 +23,40 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Se
                       accuracy: int = 10_000) -> DataFrame:
     """Exact quantiles per group without bringing a group into one task.
 
-    A sketch gives, for each probability, a bracket that surely holds the wanted order
-    statistics. One more pass counts the rows below the bracket and ranks only the distinct
-    values inside it, about ``rows / accuracy`` of them. Result: ``(group, prob, value)``.
+    A sketch gives, for each probability, a bracket around the wanted order statistics. The rows are
+    held against the brackets where they are read: those below are counted, those inside are kept value
+    by value, and only the latter, about ``rows / accuracy`` of a group's distinct values, are shuffled and
+    ranked. That a bracket does hold its order statistics is checked, and an error raised if not. A missing
+    group is a group. Result: ``(group, prob, value)``.
     """
-    keep, group = list(group), list(group) or ["_all"]
-    known = (df.withColumn("_all", F.lit(0)).filter(F.col(value).isNotNull())
-             .select(*group, F.col(value).cast("double").alias("_v")))
-    counts = known.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    keep = list(group)
+    known = (df.filter(F.col(value).isNotNull())
+             .select(F.struct(F.lit(0).alias("_all"), *[F.col(f"`{g}`").alias(g) for g in keep]).alias("_g"),
+                     F.col(value).cast("double").alias("_v")))
     # twice the sketch error, and again as much for the step from one order statistic to the next
     margin = 4.0 / accuracy
     lows = [max(0.0, p - margin) for p in probs]
     highs = [min(1.0, p + margin) for p in probs]
-    sketch = known.groupBy(*group).agg(
+    sketch = known.groupBy("_g").agg(
         F.percentile_approx("_v", lows, accuracy).alias("_lo"),
         F.percentile_approx("_v", highs, accuracy).alias("_hi"),
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     few = F.col("_n") <= accuracy
-    brackets = sketch.select(*group, "_n", F.inline(F.array(*[
+    brackets = sketch.select("_g", "_n", F.array(*[
         F.struct(F.lit(float(p)).alias("prob"),
                  F.when(few | F.lit(p <= margin), F.col("_min"))
-                 .otherwise(F.get("_lo", F.lit(i))).alias("_lo"),
+                 .otherwise(F.get("_lo", F.lit(i))).alias("lo"),
                  F.when(few | F.lit(p + margin >= 1), F.col("_max"))
-                 .otherwise(F.get("_hi", F.lit(i))).alias("_hi"))
-        for i, p in enumerate(probs)])))
-    joined = lookup_join(counts, brackets, group)
-    keys = [*group, "prob"]
+                 .otherwise(F.get("_hi", F.lit(i))).alias("hi"))
+        for i, p in enumerate(probs)]).alias("_b"))
+    joined = lookup_join(known, brackets, ["_g"])
+    under = F.filter("_b", lambda b: F.col("_v") <= b["hi"])
     # everything below a bracket folds into one row at -inf, its inside stays value by value
-    folded = (joined.filter(F.col("_v") <= F.col("_hi"))
-              .withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
-                          .otherwise(F.lit(float("-inf"))))
-              .groupBy(*keys, "_n", "_v").agg(F.sum("_c").alias("_c")))
+    seen = F.transform(under, lambda b: F.struct(
+        b["prob"].alias("prob"), F.when(F.col("_v") >= b["lo"], F.col("_v")).otherwise(F.lit(float("-inf"))).alias("_v")))
+    keys = ["_g", "prob"]
+    folded = (joined.select("_g", "_n", F.inline(seen))
+              .groupBy(*keys, "_n", "_v").agg(F.count(F.lit(1)).alias("_c")))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")
                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     position = F.col("prob") * (F.col("_n") - 1)
@@ -61,5 +64,8 @@ def grouped_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Se
     pick = lambda at: F.min(F.when(F.col("_upto") > at, F.col("_v")))
     ends = ranked.groupBy(*keys, "_n").agg(pick(F.floor(position)).alias("_a"),
                                            pick(F.ceil(position)).alias("_b"))
+    held = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_a") > float("-inf"))
     weight = position - F.floor(position)
-    return ends.select(*keep, "prob", (F.col("_a") + weight * (F.col("_b") - F.col("_a"))).alias("value"))
+    found = F.when(held, F.col("_a") + weight * (F.col("_b") - F.col("_a"))).otherwise(
+        F.raise_error(F.lit("a quantile lies outside its bracket: raise accuracy")).cast("double"))
+    return ends.select(*[F.col(f"_g.`{g}`").alias(g) for g in keep], "prob", found.alias("value"))

@@ -24,6 +24,12 @@ def bucketed_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     offsets = (hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_size"))
                .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
                .drop("_size"))
-    return (ranked.join(offsets, [*group, "_b"])
+    # a missing group is a group like any other
+    offsets = offsets.select(*[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(group)],
+                             F.col("_b").alias("_ob"), "_offset")
+    same = F.col("_b") == F.col("_ob")
+    for i, g in enumerate(group):
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}"))
+    return (ranked.join(offsets, same)
             .withColumn(alias, F.col("_offset") + F.col("_local") - 1)
-            .drop("_h", "_b", "_local", "_offset"))
+            .drop("_h", "_b", "_ob", "_local", "_offset", *[f"_g{i}" for i in range(len(group))]))

@@ -8,12 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 2_000_000
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's upper estimate of the frame's size; starts no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows (``0`` skips the count and says no)."""
-    return max_rows > 0 and df.count() <= max_rows
+    """Whether ``df`` may be broadcast: at most BROADCAST_BYTES and ``max_rows`` rows (0 says no).
+
+    The estimate of the plan answers without a job. Only where it is too large, which an estimate
+    over joins often is, rows are counted and weighed by the width of a row.
+    """
+    if max_rows <= 0:
+        return False
+    if max_rows >= BROADCAST_ROWS and plan_bytes(df) <= BROADCAST_BYTES:
+        return True
+    rows = df.count()
+    width = sum(64 if f.dataType.simpleString() == "string" else 8 for f in df.schema.fields) + 16
+    return rows <= max_rows and rows * width <= BROADCAST_BYTES
 
 
 def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
@@ -21,13 +37,17 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     """Shuffle join in which every key above ``hot_rows`` rows is spread over several tasks.
 
     A hot key gets ``ceil(count / hot_rows)`` salts, its partner rows are copied to each salt,
-    and all other keys keep salt 0. At most ``rows / hot_rows`` keys can be hot, so the table
-    of hot keys is small by construction and may be broadcast. The salt is a hash of the row
-    and its input partition: stable when a task is retried, spread even among equal rows.
+    and all other keys keep salt 0. The salt is a hash of the row and its input partition: stable
+    when a task is retried, spread even among equal rows. Rows with a missing key match nothing:
+    they go round the join. The engine broadcasts the table of hot keys if it is small.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
     on = list(on)
+    missing = F.lit(False)
+    for c in on:
+        missing = missing | F.col(f"`{c}`").isNull()
+    apart, big = big.filter(missing), big.filter(~missing)
     hot = (
         big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > hot_rows)
@@ -35,12 +55,13 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     )
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns], F.spark_partition_id()),
                     F.coalesce("_salts", F.lit(1)))
-    left = (big.join(F.broadcast(hot), on, "left")
+    left = (big.join(hot, on, "left")
             .withColumn("_salt", spread.cast("int")).drop("_salts"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    right = (small.join(F.broadcast(hot), on, "left")
+    right = (small.join(hot, on, "left")
              .withColumn("_salt", copies).drop("_salts"))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    joined = left.join(right, [*on, "_salt"], how).drop("_salt")
+    return joined if how == "inner" else joined.unionByName(apart, allowMissingColumns=True)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",

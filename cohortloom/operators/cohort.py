@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.skew import BROADCAST_ROWS, fits
+from cohortloom.functions.skew import BROADCAST_ROWS, fits, skew_join
 
 
 def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
@@ -26,23 +26,18 @@ def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep:
 
 def index_event(events: DataFrame, persons: DataFrame, keys: Sequence[str], date: str,
                 condition: Column, event_keep: Sequence[str] = (), tiebreak: Sequence[str] = (),
-                person_keep: Sequence[str] = (), guard_columns: Sequence[str] = (),
-                small: bool | None = None) -> DataFrame:
+                person_keep: Sequence[str] = (), small: bool | None = None) -> DataFrame:
     """First qualifying event per person with its attributes and the person's.
 
-    ``condition`` may use event columns, ``guard_columns`` among them, and person columns. A
-    person table that fits is broadcast. Before a shuffle join the events are reduced to one row
-    per (person, guard columns, date), so a person is bounded by its distinct dates.
+    ``condition`` may use any event and person column: it is tested on every joined event row. A
+    person table that fits is broadcast; otherwise the events of a hot person are spread over
+    several tasks by ``skew_join``. Both ways test the same rows.
     """
     keys = list(keys)
-    carried = [c for c in dict.fromkeys([*tiebreak, *event_keep]) if c not in guard_columns]
-    per_day = list(dict.fromkeys([*keys, *guard_columns, date]))
     if fits(persons, BROADCAST_ROWS) if small is None else small:
-        joined = events.select(*per_day, *carried).join(F.broadcast(persons), keys)
+        joined = events.join(F.broadcast(persons), keys)
     else:
-        reduced = (earliest(events, per_day, [F.col(c) for c in carried], carried) if carried
-                   else events.select(*per_day).distinct())
-        joined = reduced.join(persons, keys)
+        joined = skew_join(events, persons, keys)
     joined = joined.filter(condition)
     order = [F.col(c) for c in dict.fromkeys([date, *tiebreak, *person_keep])]
     keep = list(dict.fromkeys([date, *event_keep, *person_keep]))

@@ -194,8 +194,10 @@ def nearest_reference_join(df: DataFrame, reference: DataFrame, keys: Sequence[s
     """Left join to the reference row nearest to ``value`` among those with equal keys.
 
     A reference that is measured to fit becomes one broadcast row per equality key holding its
-    sorted points, and the choice is an array expression inside the row. A larger one takes the
-    salted shuffle join and a map-side combined minimum. Ties take the lower point.
+    sorted points, and the choice is an array expression inside the row. With a larger one the
+    distinct combinations of keys and value are answered by the salted shuffle join and a map-side
+    combined minimum, and every input row takes the answer of its combination. Ties take the lower
+    point; both ways answer each input row once.
     ``keep`` maps reference columns to output names.
     """
     renamed = reference.select(
@@ -211,11 +213,16 @@ def nearest_reference_join(df: DataFrame, reference: DataFrame, keys: Sequence[s
         best = joined.withColumn("_best", F.array_min(ranked)["_hit"])
         return best.select(*df.columns, F.col("_best._point").alias(point),
                            *[F.col(f"_best._k_{c}").alias(n) for c, n in keep.items()])
-    joined = skew_join(df, renamed, list(equal), "left")
-    out = earliest(joined, keys, [gap(F.col("_point")), F.col("_point")],
-                   [c for c in joined.columns if c not in keys])
-    return out.select(*df.columns, F.col("_point").alias(point),
-                      *[F.col(f"_k_{c}").alias(n) for c, n in keep.items()])
+    asked = [*equal, value]
+    joined = skew_join(df.select(*asked).distinct(), renamed, list(equal))
+    found = earliest(joined, asked, [gap(F.col("_point")), F.col("_point")],
+                     ["_point", *[f"_k_{c}" for c in keep]])
+    found = found.select(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(asked)], "_point", *[f"_k_{c}" for c in keep])
+    same = F.lit(True)
+    for i, c in enumerate(asked):
+        same = same & (F.col(f"`{c}`") == F.col(f"_a{i}") if c != value else F.col(f"`{c}`").eqNullSafe(F.col(f"_a{i}")))
+    return df.join(found, same, "left").select(*df.columns, F.col("_point").alias(point),
+                                               *[F.col(f"_k_{c}").alias(n) for c, n in keep.items()])
 
 
 def growth_zscores(df: DataFrame, curves: Mapping[str, tuple[DataFrame, float]],

@@ -1,14 +1,14 @@
 """Batched proportional-hazards regression with Efron's handling of ties.
 
-Times are whole days. Each Newton step sums the risk terms per (model, day, moment), turns them
-into risk-set totals with one running sum over days per moment, and adds the event days'
-contributions per model. A moment has at most one value per calendar day, so every window is
-bounded by the calendar, not by the number of persons.
+Times are whole days. A Newton step takes two passes over the rows. The first sums 1 and x, weighted by exp(xb),
+per (model, event day): a running sum over days gives the risk sets, and these the likelihood, the score, and
+two numbers per event day. The second adds up the weighted xx' of all rows into one matrix per model: summed over
+event days, a row's weight is what the risk sets up to its own day give it. So no second moment is held by day, and
+nothing per day is larger than the calendar.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,154 +17,145 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.operators.models import (
-    SUMS_SCHEMA,
     Fit,
     ModelSpec,
     _finish,
+    batch_sums,
     design_frame,
     model_rows,
     newton,
     unpack,
 )
 
-DAY_SCHEMA = "model int, day int, k int, risk double, event double"
-DIRECT_TIES = 32
+#: Terms of a tied day that are added one by one.
+TAIL = 64
 
 
-def _psi(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digamma and trigamma for x >= 1."""
-    x = np.array(x, dtype="float64")
-    first, second = np.zeros_like(x), np.zeros_like(x)
-    for _ in range(15):
-        low = x < 15.0
-        first[low] -= 1.0 / x[low]
-        second[low] += 1.0 / x[low] ** 2
-        x[low] += 1.0
-    i2 = 1.0 / (x * x)
-    first += np.log(x) - 0.5 / x - i2 * (1 / 12 - i2 * (1 / 120 - i2 * (1 / 252 - i2 / 240)))
-    second += 1.0 / x + 0.5 * i2 + i2 / x * (1 / 6 - i2 * (1 / 30 - i2 * (1 / 42 - i2 / 30)))
-    return first, second
+def _series(x: np.ndarray) -> np.ndarray:
+    """(1 - x) log(1 - x) + x without cancellation for small x."""
+    small = np.minimum(x, 0.05)
+    total = sum(small**k / (k * (k - 1)) for k in range(2, 14))
+    rest = np.clip(1.0 - x, 1e-300, None)
+    return np.where(x < 0.05, total, rest * np.log(rest) + x)
 
 
 def efron_sums(s0: np.ndarray, e0: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums over r < d of log, reciprocal and squared reciprocal of ``s0 - r/d * e0``.
 
-    Days with few events are added term by term. For many, the terms are an arithmetic
-    progression, so the sums are differences of gamma-type functions and cost the same
-    whatever the number of tied events.
+    With ``s0`` taken out, the terms are those of ``1 - c r`` for ``c = e0 / (s0 d)``. The last
+    TAIL of them, nearest to the singularity, are added one by one; those before by the
+    Euler-Maclaurin formula, so a day costs the same whatever the number of tied events.
     """
-    logs, inv, inv2 = (np.zeros_like(s0) for _ in range(3))
-    few = d <= DIRECT_TIES
-    for r in range(int(d[few].max()) if few.any() else 0):
-        on = few & (d > r)
-        phi = s0[on] - r / d[on] * e0[on]
+    d = d.astype("float64")
+    head = np.maximum(d - TAIL, 0.0)
+    share = e0 / s0
+    c = share / d
+    free = (s0 - e0) / s0  # 1 - c r is this and c (d - r): no difference of near equals
+    q = free + c * (d - head)
+    x = c * head
+    log_q = np.where(x < 0.5, np.log1p(-np.minimum(x, 0.5)), np.log(q))
+    ends = lambda f, at: f(at) - f(np.ones_like(at))
+    logs = np.where(head > 0, -_series(x) / c - log_q / 2 + ends(lambda u: -c / u, q) / 12
+                    + ends(lambda u: 2 * c**3 / u**3, q) / 720 - ends(lambda u: 24 * c**5 / u**5, q) / 30240, 0.0)
+    inv = np.where(head > 0, -log_q / c - ends(lambda u: 1 / u, q) / 2 + ends(lambda u: c / u**2, q) / 12
+                   - ends(lambda u: 6 * c**3 / u**4, q) / 720 + ends(lambda u: 120 * c**5 / u**6, q) / 30240, 0.0)
+    inv2 = np.where(head > 0, head / q - ends(lambda u: 1 / u**2, q) / 2 + ends(lambda u: 2 * c / u**3, q) / 12
+                    - ends(lambda u: 24 * c**3 / u**5, q) / 720 + ends(lambda u: 720 * c**5 / u**7, q) / 30240, 0.0)
+    for back in range(1, TAIL + 1):
+        on = d >= back
+        phi = free[on] + c[on] * back
         logs[on] += np.log(phi)
         inv[on] += 1.0 / phi
         inv2[on] += 1.0 / phi**2
-    many = ~few
-    if many.any():
-        step = e0[many] / d[many]
-        top = s0[many] / step
-        bottom = np.maximum(top - d[many] + 1.0, 1.0)
-        hi1, hi2 = _psi(top + 1.0)
-        lo1, lo2 = _psi(bottom)
-        inv[many] = (hi1 - lo1) / step
-        inv2[many] = (lo2 - hi2) / step**2
-        lg = np.array([math.lgamma(a + 1.0) - math.lgamma(b) for a, b in zip(top, bottom)])
-        logs[many] = lg + d[many] * np.log(step)
-    return logs, inv, inv2
-
-
-def _sum_days(day: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(day, kind="stable")
-    day, values = day[order], values[order]
-    start = np.flatnonzero(np.r_[True, day[1:] != day[:-1]])
-    return day[start], np.add.reduceat(values, start, axis=0)
+    return d * np.log(s0) + logs, inv / s0, inv2 / s0**2
+
+
+def _event_days(frame: DataFrame, time: str, status: str, specs: Sequence[ModelSpec]) -> list[np.ndarray]:
+    """Sorted event days of each model's data set: at most one value per calendar day and data set."""
+    found = frame.filter(F.col(f"`{status}`") > 0).select("_imp", F.col(f"`{time}`").cast("long").alias("day")).distinct().collect()
+    by: dict[int, set[int]] = {}
+    for r in found:
+        by.setdefault(r["_imp"], set()).add(r["day"])
+    every = np.array(sorted(set().union(*by.values())), dtype="int64")
+    return [every if s.imp is None else np.array(sorted(by.get(s.imp, ())), dtype="int64") for s in specs]
+
+
+def _add_by_day(place: np.ndarray, values: np.ndarray, days: int) -> np.ndarray:
+    out = np.zeros((days, values.shape[1]))
+    order = np.argsort(place, kind="stable")
+    place, values = place[order], values[order]
+    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    out[place[start]] = np.add.reduceat(values, start, axis=0)
+    return out
 
 
 def _risk_terms(frame: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
-                betas: Sequence[np.ndarray]) -> DataFrame:
-    """Per (model, day, k): risk-weighted moments of all rows and of the event rows.
+                betas: Sequence[np.ndarray], days: Sequence[np.ndarray]) -> DataFrame:
+    """One row per (model, place of the event day) and task with the sums of its rows.
 
-    Moments 0..K-1 are 1, x, and the upper triangle of xx' weighted by exp(xb). Behind them the
-    event part holds the number of events, their sum of xb, and their sum of x.
+    ``v``: 1 and x weighted by exp(xb), over all rows; the same over event rows; number of events, their sum of xb,
+    their sum of x. A row counts at the last event day it is at risk on; one that is over before the first, nowhere.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def flush():
-            for m, (days, sums) in held.items():
-                width = sums.shape[1] // 2
-                yield pd.DataFrame({
-                    "model": np.full(len(days) * width, m, dtype="int32"),
-                    "day": np.repeat(days, width).astype("int32"),
-                    "k": np.tile(np.arange(width), len(days)).astype("int32"),
-                    "risk": sums[:, :width].ravel(),
-                    "event": sums[:, width:].ravel(),
-                })
-            held.clear()
-
+        held = [np.zeros((len(d), 2 * (len(s.columns) + 1) + len(s.columns) + 2)) for s, d in zip(specs, days)]
         for pdf in batches:
             for m, spec in enumerate(specs):
                 y, x = model_rows(pdf, spec, [time, status], False)
+                place = np.searchsorted(days[m], y[:, 0], "right") - 1
+                y, x, place = y[place >= 0], x[place >= 0], place[place >= 0]
                 if not len(y):
                     continue
-                q = x.shape[1]
-                iu = np.triu_indices(q)
                 eta = x @ betas[m]
-                weight = np.exp(np.clip(eta, -500, 500))
-                moments = np.column_stack([np.ones(len(x)), x, x[:, iu[0]] * x[:, iu[1]]])
-                risk = np.column_stack([moments * weight[:, None], np.zeros((len(x), q + 2))])
-                event = risk * y[:, 1:2]
-                event[:, -(q + 2):] = np.column_stack([np.ones(len(x)), eta, x]) * y[:, 1:2]
-                day, sums = _sum_days(y[:, 0].astype("int64"), np.column_stack([risk, event]))
-                if m in held:
-                    day = np.concatenate([held[m][0], day])
-                    sums = np.concatenate([held[m][1], sums])
-                    day, sums = _sum_days(day, sums)
-                held[m] = (day, sums)
-            if sum(v[1].size for v in held.values()) > 4_000_000:
-                yield from flush()
-        yield from flush()
-
-    return frame.mapInPandas(task, DAY_SCHEMA)
+                with np.errstate(over="ignore"):  # an overflow is a step too far: Newton halves it
+                    weight = np.exp(eta)
+                one = np.column_stack([np.ones(len(x)), x])
+                risk = one * weight[:, None]
+                with np.errstate(invalid="ignore"):
+                    event = risk * y[:, 1:2]
+                seen = np.column_stack([np.ones(len(x)), eta, x]) * y[:, 1:2]
+                held[m] += _add_by_day(place, np.column_stack([risk, event, seen]), len(days[m]))
+        for m, sums in enumerate(held):
+            some = np.flatnonzero(sums.any(axis=1))
+            if len(some):
+                yield pd.DataFrame({"model": np.full(len(some), m, dtype="int32"), "place": some.astype("int32"), "v": list(sums[some])})
+
+    return frame.mapInPandas(task, "model int, place int, v array<double>")
 
 
 def _event_day_sums(per_day: DataFrame, dims: Sequence[int]) -> DataFrame:
-    """Log-likelihood, score and information contributions of the event days, per model."""
+    """Contributions of the event days, summed per model (place -1), and two numbers for each of them (k 0 and 1)."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, np.ndarray] = {}
         for pdf in batches:
             for m, part in pdf.groupby("model"):
                 q = dims[m]
-                tri = q * (q + 1) // 2
-                risk = np.array(part["risk"].tolist(), dtype="float64")
-                event = np.array(part["event"].tolist(), dtype="float64")
-                d, eta, sum_x = event[:, -(q + 2)], event[:, -(q + 1)], event[:, len(event[0]) - q:]
-                s0, e0 = risk[:, 0], event[:, 0]
+                v = np.array([r[:3 * q + 4] for r in part["v"]], dtype="float64")
+                risk = np.array([r[:q + 1] for r in part["risk"]], dtype="float64")
+                event, seen = v[:, q + 1:2 * q + 2], v[:, 2 * q + 2:]
+                d, eta, sum_x = seen[:, 0], seen[:, 1], seen[:, 2:]
+                s0, e0, s1, e1 = risk[:, 0], event[:, 0], risk[:, 1:], event[:, 1:]
                 logs, inv, inv2 = efron_sums(s0, e0, d)
-                s1, e1 = risk[:, 1:q + 1], event[:, 1:q + 1]
-                s2, e2 = risk[:, q + 1:q + 1 + tri], event[:, q + 1:q + 1 + tri]
                 # (s - f*e) / (s0 - f*e0) = a + b / (s0 - f*e0), linear in the reciprocal
                 a1 = e1 / e0[:, None]
                 b1 = s1 - a1 * s0[:, None]
-                a2 = e2 / e0[:, None]
-                b2 = s2 - a2 * s0[:, None]
                 score = sum_x - (a1 * d[:, None] + b1 * inv[:, None])
                 i, j = np.triu_indices(q)
                 outer = (a1[:, i] * a1[:, j] * d[:, None]
                          + (a1[:, i] * b1[:, j] + b1[:, i] * a1[:, j]) * inv[:, None]
                          + b1[:, i] * b1[:, j] * inv2[:, None])
-                info = a2 * d[:, None] + b2 * inv[:, None] - outer
-                part_sum = np.concatenate([info.sum(0), score.sum(0), [(eta - logs).sum(), d.sum()]])
+                part_sum = np.concatenate([outer.sum(0), score.sum(0), [(eta - logs).sum(), d.sum()]])
                 totals[m] = totals.get(m, 0.0) + part_sum
+                n = len(part)
+                yield pd.DataFrame({"model": np.full(2 * n, m, dtype="int32"), "place": np.tile(part["place"].to_numpy("int32"), 2),
+                                    "k": np.repeat(np.arange(2, dtype="int32"), n),
+                                    "v": np.concatenate([inv, (s0 * inv - d) / e0])})
         for m, v in totals.items():
-            yield pd.DataFrame({"model": np.full(len(v), m, dtype="int32"),
+            yield pd.DataFrame({"model": np.full(len(v), m, dtype="int32"), "place": np.full(len(v), -1, dtype="int32"),
                                 "k": np.arange(len(v), dtype="int32"), "v": v})
 
-    return per_day.mapInPandas(task, SUMS_SCHEMA)
+    return per_day.mapInPandas(task, "model int, place int, k int, v double")
 
 
 def fit_cox(df: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
@@ -174,30 +165,45 @@ def fit_cox(df: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
     specs = list(specs)
     frame = df if prepared else design_frame(df, specs, [time, status], imp)
     dims = [len(s.columns) for s in specs]
+    days = _event_days(frame, time, status, specs)
 
     def evaluate(active: list[int], betas: list[np.ndarray]) -> list[tuple]:
-        chosen = [specs[i] for i in active]
+        chosen, held = [specs[i] for i in active], [days[i] for i in active]
         q = [dims[i] for i in active]
-        sums = (_risk_terms(frame, time, status, chosen, betas)
-                .groupBy("model", "day", "k")
-                .agg(F.sum("risk").alias("risk"), F.sum("event").alias("event")))
-        later = (Window.partitionBy("model", "k").orderBy(F.col("day").desc())
+        width = max(q)
+        added = F.array(*[F.sum(F.get("v", F.lit(k))) for k in range(3 * width + 4)])
+        sums = _risk_terms(frame, time, status, chosen, betas, held).groupBy("model", "place").agg(added.alias("v"))
+        later = (Window.partitionBy("model").orderBy(F.col("place").desc())
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        at_risk = sums.withColumn("risk", F.sum("risk").over(later))
-        ordered = F.array_sort(F.collect_list(F.struct("k", "risk", "event")))
-        per_day = (at_risk.groupBy("model", "day").agg(ordered.alias("_m"))
-                   .select("model", F.col("_m.risk").alias("risk"), F.col("_m.event").alias("event"))
-                   # the first moment of the event part is positive on event days only
-                   .filter(F.get("event", F.lit(0)) > 0))
-        rows = (_event_day_sums(per_day, q).groupBy("model", "k").agg(F.sum("v").alias("v")).collect())
+        at_risk = F.array(*[F.sum(F.get("v", F.lit(k))).over(later) for k in range(width + 1)])
+        per_day = sums.withColumn("risk", at_risk)
+        # days on which this model has no event are left out; its number of events stands behind the moments
+        events = F.element_at(F.array(*[F.lit(2 * d + 2) for d in q]), F.col("model") + 1)
+        rows = _event_day_sums(per_day.filter(F.get("v", events) > 0), q)
+        rows = rows.groupBy("model", "place", "k").agg(F.sum("v").alias("v")).collect()
         sizes = [d * (d + 1) // 2 + d + 2 for d in q]
         flat = [np.zeros(n) for n in sizes]
+        hazard, own = ([np.zeros(len(d)) for d in held] for _ in range(2))
         for r in rows:
-            flat[r["model"]][r["k"]] = r["v"]
+            if r["place"] < 0:
+                flat[r["model"]][r["k"]] = r["v"]
+            else:
+                (hazard, own)[r["k"]][r["model"]][r["place"]] = r["v"]
+        hazard = [np.cumsum(h) for h in hazard]
+
+        def add(pdf: pd.DataFrame, m: int) -> np.ndarray:
+            y, x = model_rows(pdf, chosen[m], [time, status], False)
+            place = np.searchsorted(held[m], y[:, 0], "right") - 1
+            y, x, place = y[place >= 0], x[place >= 0], place[place >= 0]
+            with np.errstate(over="ignore", invalid="ignore"):
+                weight = np.exp(x @ betas[m]) * (hazard[m][place] - y[:, 1] * own[m][place])
+                return (x.T @ (x * weight[:, None]))[np.triu_indices(q[m])]
+
+        second = batch_sums(frame, chosen, [d * (d + 1) // 2 for d in q], add)
         out = []
-        for d, v in zip(q, flat):
+        for d, v, whole in zip(q, flat, second):
             t = d * (d + 1) // 2
-            out.append((v[t + d], v[t:t + d], unpack(v[:t], d), v[t + d + 1]))
+            out.append((v[t + d], v[t:t + d], unpack(whole - v[:t], d), v[t + d + 1]))
         return out
 
     results = newton(specs, dims, evaluate, max_iter, tol, starts)

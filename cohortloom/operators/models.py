@@ -174,7 +174,7 @@ def fit_logistic(df: DataFrame, y: str, specs: Sequence[ModelSpec], imp: str | N
         def add(pdf: pd.DataFrame, m: int) -> np.ndarray:
             obs, x = model_rows(pdf, chosen[m], [y], True)
             eta = x @ betas[m]
-            prob = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
+            prob = np.exp(-np.logaddexp(0.0, -eta))
             weight = prob * (1.0 - prob)
             info = x.T @ (x * weight[:, None])
             ll = float(np.sum(obs[:, 0] * eta - np.logaddexp(0.0, eta)))

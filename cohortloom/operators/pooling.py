@@ -17,13 +17,15 @@ def rubin_pool(coefs: DataFrame, n_obs: int, m: int | None = None, keys: Sequenc
 
     ``m`` is the number of imputations (by default the rows found per term) and ``n_obs`` the
     rows of one data set. Without variation between imputations lambda is zero, the old degrees
-    of freedom are infinite and the observed ones are used.
+    of freedom are infinite and the observed ones are used. ``converged`` is true where every pooled
+    fit had settled; a term with an unfinished or singular fit is reported, but marked.
     """
     est = F.col(estimate)
+    settled = F.min("converged") if "converged" in coefs.columns else F.lit(None).cast("boolean")
     groups = coefs.groupBy(*keys).agg(
         F.avg(est).alias("estimate"), (F.var_pop(est) * F.count(est)).alias("_ss"),
         F.avg(F.col(std_error) * F.col(std_error)).alias("var_within"),
-        F.count(est).alias("imputations"))
+        F.count(est).alias("imputations"), settled.alias("converged"))
     size = F.lit(float(m)) if m is not None else F.col("imputations").cast("double")
     dof = float(n_obs - params)
     out = groups.withColumn("_m", size)
@@ -47,14 +49,15 @@ def rubin_pool(coefs: DataFrame, n_obs: int, m: int | None = None, keys: Sequenc
         *keys, "estimate", "var_within", "var_between", "var_total", "lambda", "df_old", "df_obs",
         "df_adj", "wald", "p_value", F.exp("estimate").alias("ratio"),
         F.exp(F.col("estimate") - F.col("_half")).alias("ratio_lower"),
-        F.exp(F.col("estimate") + F.col("_half")).alias("ratio_upper"), "imputations")
+        F.exp(F.col("estimate") + F.col("_half")).alias("ratio_upper"), "imputations", "converged")
 
 
 def result_table(pooled: DataFrame, ratio: str, keys: Sequence[str] = ("term",)) -> DataFrame:
     """The reported columns: ratio (``OR`` or ``HR``), interval and p-value."""
     return pooled.select(
-        *keys, F.round("ratio", 3).alias(ratio), F.col("ratio_lower").alias(f"{ratio}_ci_lower"),
-        F.col("ratio_upper").alias(f"{ratio}_ci_upper"), F.col("p_value").alias(f"pval_{ratio}"))
+        *keys, F.bround("ratio", 3).alias(ratio), F.col("ratio_lower").alias(f"{ratio}_ci_lower"),
+        F.col("ratio_upper").alias(f"{ratio}_ci_upper"), F.col("p_value").alias(f"pval_{ratio}"),
+        F.col("converged").alias(f"converged_{ratio}"))
 
 
 def paired_table(odds: DataFrame, hazards: DataFrame, keys: Sequence[str] = ("term",)) -> DataFrame:

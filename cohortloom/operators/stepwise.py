@@ -72,6 +72,8 @@ def stepwise_aic(fit_many: Callable[..., list[Fit]], terms: Mapping[str, Sequenc
         running = moved
         if not running:
             break
+    else:
+        raise RuntimeError(f"the search has not ended after {max_steps} steps")
     final = fit_many([sel.fit.spec for sel in state], [sel.fit.beta for sel in state], FINAL_TOL)
     for sel, fit in zip(state, final):
         sel.fit = fit

@@ -33,6 +33,12 @@ def _counts_by_site(df: DataFrame, label: str, person: str, site: str) -> DataFr
             .select(label, F.col("_site").alias(site), "cnt"))
 
 
+def _with_total(counts: DataFrame, totals: DataFrame, site: str) -> DataFrame:
+    """Joins the totals of each site; a missing site is a site like any other."""
+    totals = totals.select(F.col(site).alias("_site"), "total")
+    return counts.join(totals, counts[site].eqNullSafe(F.col("_site"))).drop("_site")
+
+
 def table_one(df: DataFrame, person: str, site: str, age: str,
               categories: Mapping[str, str]) -> DataFrame:
     """Long table of text cells ``(summ_var, site, summ_val)``.
@@ -45,12 +51,12 @@ def table_one(df: DataFrame, person: str, site: str, age: str,
     counted = _counts_by_site(df.select(person, site, F.explode(labels).alias("summ_var")),
                               "summ_var", person, site)
     totals = denominators(df, person, site).withColumnRenamed("n", "total")
-    cells = counted.join(totals, site).select(
+    cells = _with_total(counted, totals, site).select(
         "summ_var", site, n_pct(F.col("cnt"), F.col("total")).alias("summ_val"))
     ages = df.rollup(site).agg(
-        _site_label(site).alias("_site"), F.avg(age).alias("m"), F.stddev_samp(age).alias("s"))
+        _site_label(site).alias("_site"), F.avg(age).alias("_mean"), F.stddev_samp(age).alias("_sd"))
     age_cells = ages.select(F.lit(f"2_{age}").alias("summ_var"), F.col("_site").alias(site),
-                            mean_sd(F.col("m"), F.col("s")).alias("summ_val"))
+                            mean_sd(F.col("_mean"), F.col("_sd")).alias("summ_val"))
     return cells.unionByName(age_cells)
 
 
@@ -69,7 +75,7 @@ def endpoint_table(cohort: DataFrame, endpoints: DataFrame, person: str, site: s
     totals = denominators(cohort, person, site).withColumnRenamed("n", "total")
     size = totals.select(F.lit("1_N").alias("summ_var"), site,
                          n_pct(F.col("total"), F.col("total")).alias("summ_val"))
-    counts = _counts_by_site(endpoints, endpoint, person, site).join(totals, site)
+    counts = _with_total(_counts_by_site(endpoints, endpoint, person, site), totals, site)
     name = F.concat(F.lit("2_"), F.col(endpoint))
     both = F.array(
         F.struct(F.concat(name, F.lit("_w")).alias("summ_var"),
@@ -89,7 +95,7 @@ def first_treatment_rates(df: DataFrame, person: str, year: str, first: str = "t
     per = given.groupBy(year, F.col(first).alias("var")).agg(F.countDistinct(person).alias("n"))
     total = given.groupBy(year).agg(F.countDistinct(person).alias("n_year"))
     return per.join(total, year).select(
-        year, "n_year", "var", "n", F.round(F.col("n") / F.col("n_year"), 3).alias("p"))
+        year, "n_year", "var", "n", F.bround(F.col("n") / F.col("n_year"), 3).alias("p"))
 
 
 def any_treatment_rows(rates: DataFrame, yearly: DataFrame, year: str) -> DataFrame:
@@ -97,7 +103,7 @@ def any_treatment_rows(rates: DataFrame, yearly: DataFrame, year: str) -> DataFr
     anyone = (rates.select(year, F.col("n_year").alias("n")).distinct()
               .join(yearly, year, "left")
               .select(year, "n_year", F.lit("any").alias("var"), "n",
-                      F.round(F.col("n") / F.col("n_year"), 3).alias("p")))
+                      F.bround(F.col("n") / F.col("n_year"), 3).alias("p")))
     return rates.unionByName(anyone)
 
 
@@ -116,7 +122,7 @@ def missingness_rates(df: DataFrame, person: str, year: str, flags: Sequence[str
         F.countDistinct(person).alias("n_year"), *[F.sum(F.col(f"`{f}`")).alias(f) for f in flags])
     long = per_year.unpivot([year, "n_year"], [F.col(f"`{f}`") for f in flags], "var", "n")
     return long.select(year, "n_year", "var", "n",
-                       F.round(F.col("n") / F.col("n_year"), 3).alias("p"))
+                       F.bround(F.col("n") / F.col("n_year"), 3).alias("p"))
 
 
 def quartiles_by_outcome(df: DataFrame, person: str, time: str,
@@ -167,7 +173,7 @@ def univariate_summary(df: DataFrame, variables: Sequence[str], categorical: Seq
 
     Numeric variables give mean (sd), categorical ones n (share) per level, both with the count
     of missing values; the test is one-way F or Pearson chi-square, from aggregated moments and
-    counts. Output: ``(var, level, grp, n, missing, mean, sd, share, test, statistic, df1, df2,
+    counts. Rows without a group count for ``ALL`` only and enter no test. Output: ``(var, level, grp, n, missing, mean, sd, share, test, statistic, df1, df2,
     p_value)`` with the group ``ALL`` for everybody.
     """
     numeric = [v for v in variables if v not in categorical]
@@ -176,7 +182,7 @@ def univariate_summary(df: DataFrame, variables: Sequence[str], categorical: Seq
     parts = []
     if numeric:
         long = _long_values(df, numeric, "double", [grp])
-        by = long.groupBy("var", "grp").agg(
+        by = long.filter("grp is not null").groupBy("var", "grp").agg(
             F.count("val").alias("n"), F.count_if(F.col("val").isNull()).alias("missing"),
             F.avg("val").alias("mean"), F.stddev_samp("val").alias("sd"),
             F.var_pop("val").alias("vp"))
@@ -186,7 +192,8 @@ def univariate_summary(df: DataFrame, variables: Sequence[str], categorical: Seq
             F.avg("val").alias("mean"), F.stddev_samp("val").alias("sd"), F.var_pop("val").alias("vp"))
         cells = whole.unionByName(by) if group else whole
         if group:
-            grand = whole.select("var", F.col("mean").alias("gm"))
+            grand = by.groupBy("var").agg(
+                F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("gm"))
             within = F.sum(F.col("n") * F.col("vp"))
             between = F.sum(F.col("n") * F.pow(F.col("mean") - F.col("gm"), 2))
             k, n = F.count_if(F.col("n") > 0), F.sum("n")
@@ -202,6 +209,7 @@ def univariate_summary(df: DataFrame, variables: Sequence[str], categorical: Seq
         counts = long.groupBy("var", "grp", F.col("val").alias("level")).agg(
             F.count(F.lit(1)).alias("n"))
         whole = counts.groupBy("var", "level").agg(F.sum("n").alias("n")).withColumn("grp", F.lit(ALL))
+        counts = counts.filter("grp is not null")
         cells = whole.unionByName(counts) if group else whole
         sizes = cells.groupBy("var", "grp").agg(
             F.sum(F.when(F.col("level").isNotNull(), F.col("n")).otherwise(0)).alias("_known"),

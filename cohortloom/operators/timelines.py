@@ -38,7 +38,13 @@ def composite_endpoint(df: DataFrame, name: str, members: Sequence[str]) -> Data
 
 def treatment_sequence(df: DataFrame, keys: Sequence[str], treatments: Sequence[str],
                        prefix: str = "trt", mode: str = "rank") -> DataFrame:
-    """Names of the treatments in time order, ``trt1`` .. ``trtN``.
+    """Names of the treatments in time order, for those with any; see ``with_sequence``."""
+    out = with_sequence(df, treatments, prefix, mode).filter(F.col(f"{prefix}1").isNotNull())
+    return out.select(*keys, *[f"{prefix}{k}" for k in range(1, len(treatments) + 1)])
+
+
+def with_sequence(df: DataFrame, treatments: Sequence[str], prefix: str = "trt", mode: str = "rank") -> DataFrame:
+    """``trt1`` .. ``trtN`` beside the other columns: the names of the treatments in time order.
 
     ``rank`` labels each treatment with its position in time (ties by column order). ``order``
     reproduces labels taken from a sorting permutation: treatment number i gets the position
@@ -48,6 +54,7 @@ def treatment_sequence(df: DataFrame, keys: Sequence[str], treatments: Sequence[
         F.when(F.col(t).isNotNull(), F.struct(
             F.col(t).alias("val"), F.lit(i).alias("pos"), F.lit(t).alias("name")))
         for i, t in enumerate(treatments)]))
+    columns = df.columns
     df = df.withColumn("_given", given).withColumn("_sorted", F.array_sort("_given"))
     out = []
     for k in range(1, len(treatments) + 1):
@@ -60,7 +67,7 @@ def treatment_sequence(df: DataFrame, keys: Sequence[str], treatments: Sequence[
         else:
             raise ValueError(f"mode must be 'rank' or 'order', not {mode!r}")
         out.append(entry["name"].alias(f"{prefix}{k}"))
-    return df.filter(F.size("_given") > 0).select(*keys, *out)
+    return df.select(*[F.col(f"`{c}`") for c in columns], *out)
 
 
 def after_first_flags(df: DataFrame, flags: dict[str, str], treatments: int = 4,

@@ -108,7 +108,7 @@ def cohort(src: Sources, date_guard: str = "as_written") -> tuple[DataFrame, Dat
     condition = guarded_inclusion(F.col("dx"), D.INCLUDE_OPEN, D.INCLUDE_GUARDED,
                                   F.col("dx_date") >= F.col("birth_date"), date_guard)
     first = index_event(wanted, persons, KEYS, "index_date", condition, ["enc_type"], ["enc_type"],
-                        ["birth_date", "sex", "race", "hispanic"], ["dx", "dx_date"])
+                        ["birth_date", "sex", "race", "hispanic"])
     birth, at = F.col("birth_date"), F.col("index_date")
     included = materialize(conform(first.withColumns({
         "age_at_index": age_years(birth, at), "age_at_index_days": days_between(birth, at),

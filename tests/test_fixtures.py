@@ -36,7 +36,7 @@ def included(spark, events, births, small):
     people = spark.createDataFrame([(p, "S", day(b)) for p, b in births], "patid string, site string, birth_date date")
     cond = guarded_inclusion(F.col("dx"), D.INCLUDE_OPEN, D.INCLUDE_GUARDED, F.col("dx_date") >= F.col("birth_date"))
     wanted = ev.filter(starts_with_any(F.col("dx"), ["556", "K51"]))
-    out = index_event(wanted, people, KEYS, "index_date", cond, [], [], ["birth_date"], ["dx", "dx_date"], small)
+    out = index_event(wanted, people, KEYS, "index_date", cond, [], [], ["birth_date"], small)
     out = out.withColumn("age", age_years(F.col("birth_date"), F.col("index_date")))
     return ev, out
 

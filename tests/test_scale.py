@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from cohortloom.functions.quantiles import grouped_quantiles
 from cohortloom.functions.ranks import bucketed_rank
 from cohortloom.functions.skew import attach_index, lookup_join, skew_join
+from cohortloom.operators.cohort import index_event
+from cohortloom.operators.covariates import nearest_reference_join
+from cohortloom.operators.summaries import first_treatment_rates, table_one, univariate_summary
 from cohortloom.session import scratch_dir
 
 
@@ -101,3 +104,54 @@ def test_scratch_folder_comes_from_the_session():
     assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
     with pytest.raises(RuntimeError):
         scratch_dir(_Session("spark://host", None))
+
+
+def test_index_event_same_at_any_size(spark):
+    """The condition may test any event column, also one that tells two events of a day apart."""
+    events = spark.createDataFrame([(1, "2020-01-01", "A", 1), (1, "2020-01-01", "B", 2), (2, "2020-01-02", "A", 3), (None, "2020-01-02", "B", 4)],
+                                   "p int, d string, kind string, e int")
+    persons = spark.createDataFrame([(1, "x"), (2, "y")], "p int, sex string")
+    got = [sorted(map(tuple, index_event(events, persons, ["p"], "d", F.col("kind") == "B", ["e"], ["e"], ["sex"], small).collect()))
+           for small in (True, False)]
+    assert got[0] == got[1] == [(1, "2020-01-01", 2, "x")]
+
+
+def test_nearest_reference_answers_every_row(spark):
+    rows = spark.createDataFrame([(1, 5, 2.0), (1, 5, 2.0), (1, 5, 9.0), (2, None, 1.0), (3, 6, None), (3, 7, 1.0)], "id int, b int, v double")
+    ref = spark.createDataFrame([(5, 1.0, "a"), (5, 3.0, "b"), (5, 8.0, "c"), (6, 1.0, "d")], "b int, at double, name string")
+    got = [sorted(map(str, nearest_reference_join(rows, ref, ["id"], {"b": "b"}, "v", "at", {"name": "name"}, n).collect())) for n in (100, 0)]
+    assert got[0] == got[1] and len(got[0]) == 6
+
+
+def test_missing_keys_go_round_the_skew_join(spark):
+    big = spark.range(4000).select(F.when(F.col("id") < 9, F.col("id")).alias("k"), "id")
+    small = spark.createDataFrame([(k, k * 2) for k in range(5)], "k long, w long")
+    out = skew_join(big, small, ["k"], "left", hot_rows=100)
+    assert out.count() == 4000 and out.filter("w is not null").count() == 5
+    assert skew_join(big, small, ["k"], hot_rows=100).count() == 5
+
+
+def test_missing_group_has_quantiles_and_ranks(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 5.0), (None, 7.0), ("b", None)], "g string, v double")
+    got = {(r["g"], r["prob"]): r["value"] for r in grouped_quantiles(df, ["g"], "v", [0.0, 0.5]).collect()}
+    assert got == {("a", 0.0): 1.0, ("a", 0.5): 1.5, (None, 0.0): 5.0, (None, 0.5): 6.0}
+    ranks = bucketed_rank(df, ["g"], [F.col("v")], 3).collect()
+    assert sorted((str(r["g"]), r["rank"]) for r in ranks) == [("None", 0), ("None", 1), ("a", 0), ("a", 1), ("b", 0)]
+
+
+def test_missing_group_enters_no_test(spark):
+    df = spark.createDataFrame([("x", "u", 1.0), ("x", "u", 2.0), ("y", "v", 3.0), ("y", "v", 5.0), (None, "u", 9.0)], "g string, f string, n double")
+    rows = univariate_summary(df, ["n", "f"], ["f"], "g").collect()
+    assert {r["grp"] for r in rows} == {"ALL", "x", "y"}
+    assert {r["n"] for r in rows if r["var"] == "n" and r["grp"] == "ALL"} == {5}
+    test = {r["var"]: r for r in rows}
+    assert test["n"]["df1"] == 1 and test["n"]["df2"] == 2 and abs(test["n"]["statistic"] - 5.0) < 1e-9
+    assert abs(test["f"]["statistic"] - 4.0) < 1e-9
+
+
+def test_missing_site_keeps_its_rows(spark):
+    df = spark.createDataFrame([(1, "a", 3, "m"), (2, None, 4, "f"), (3, None, 6, "f")], "p int, s string, age int, sex string")
+    cells = {(r["summ_var"], r["s"]): r["summ_val"] for r in table_one(df, "p", "s", "age", {"sex": "sex"}).collect()}
+    assert cells["1_N", None] == "2 (100%)" and cells["sex:f", None] == "2 (100%)" and cells["2_age", None] == "5 (1.4)"
+    rates = first_treatment_rates(spark.createDataFrame([(k, 2020, "t" if k else "u") for k in range(16)], "p int, y int, trt1 string"), "p", "y")
+    assert {r["var"]: r["p"] for r in rates.collect()}["u"] == 0.062
