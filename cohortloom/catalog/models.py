@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.catalog import query, star
+from cohortloom.catalog.newton_sql import aic_walk, cox_subsets, logistic_subsets
 from cohortloom.catalog.star import sql, sql_timeline, table
 from cohortloom.operators import models as M
 from cohortloom.operators.cox import fit_cox
@@ -132,33 +133,63 @@ def _full(spark, sf):
     return coded, {"odd": ["odd"], "rich": ["rich"], "balance": ["balance"], "urgent": ["urgent"], **terms}
 
 
-@query("logistic_full_model")
+FULL_COLUMNS = ["(Intercept)", "odd", "rich", "balance", "urgent", *[f"site{s}" for s in SITES if s != "BUILDING"]]
+FULL_TERMS = {"odd": [1], "rich": [2], "balance": [3], "urgent": [4], "site": [5, 6, 7, 8]}
+FULL_SQL = f"""
+urgent AS (SELECT o_custkey AS person_id, count(*) FILTER (o_orderpriority LIKE '1-%') AS urgent FROM orders GROUP BY 1),
+wide_points AS (
+  SELECT s.imp, CAST(s.y AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS x0, CAST(s.odd AS DOUBLE) AS x1, CAST(s.rich AS DOUBLE) AS x2,
+         c.c_acctbal / 1000 AS x3, CAST(u.urgent AS DOUBLE) AS x4,
+         {', '.join(f"CAST(s.site = '{n[4:]}' AS DOUBLE) AS x{j}" for j, n in enumerate(FULL_COLUMNS) if j > 4)}
+  FROM stacked s JOIN customer c ON c.c_custkey = s.person_id JOIN urgent u ON u.person_id = s.person_id),
+column_names(place, term) AS (VALUES {', '.join(f"({j}, '{n}')" for j, n in enumerate(FULL_COLUMNS))})
+"""
+FULL_FITS = logistic_subsets("wide_points", list(FULL_TERMS.values()), len(FULL_COLUMNS))
+ALL_TERMS = (1 << len(FULL_TERMS)) - 1
+
+
+def _estimates(spark, fits):
+    return M.coefficients(spark, fits).select(
+        "imp", "term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
+
+
+@query("logistic_full_model", sql(f"""
+SELECT CAST(f.imp AS INTEGER) AS imp, n.term, round(f.b, 6) AS estimate, round(f.se, 6) AS std_error
+FROM fitted f JOIN column_names n ON n.place = f.place WHERE f.mask = {ALL_TERMS} AND f.place > 0
+""", STACKED_SQL, FULL_SQL, FULL_FITS))
 def q_logistic_full_model(spark, sf):
     coded, terms = _full(spark, sf)
-    return M.coefficients(spark, M.fit_logistic(coded, "y", M.joint_specs("full", terms, IMPS), "imp"))
+    return _estimates(spark, M.fit_logistic(coded, "y", M.joint_specs("full", terms, IMPS), "imp"))
 
 
-@query("stepwise_logistic")
+@query("stepwise_logistic", sql("""
+SELECT CAST(imp AS INTEGER) AS imp, CAST(step AS INTEGER) AS step, action, round(aic, 4) AS aic FROM walk
+""", STACKED_SQL, FULL_SQL, FULL_FITS, aic_walk(list(FULL_TERMS))))
 def q_stepwise_logistic(spark, sf):
     coded, terms = _full(spark, sf)
-    return selection_path(spark, stepwise_logistic(coded, "y", terms, "imp", IMPS))
+    path = selection_path(spark, stepwise_logistic(coded, "y", terms, "imp", IMPS))
+    return path.withColumn("aic", F.round("aic", 4))
 
 
-def _hand_picked(spark, coded, terms, selections, drop, force, fit):
+def _hand_picked(coded, terms, selections, drop, force, fit):
     specs = []
     for s in selections:
         names = select_terms(s.variables, drop, force)
         specs.append(M.ModelSpec("manual", tuple(c for v in names for c in terms[v]), s.imp))
-    return M.coefficients(spark, fit(specs))
+    return fit(specs)
 
 
-@query("hand_selected_logistic")
+@query("hand_selected_logistic", sql("""
+SELECT CAST(f.imp AS INTEGER) AS imp, n.term, round(f.b, 6) AS estimate, round(f.se, 6) AS std_error
+FROM (SELECT imp, arg_max(mask, step) AS mask FROM walk GROUP BY 1) w
+JOIN fitted f ON f.imp = w.imp AND f.mask = ((w.mask & 11) | 3) JOIN column_names n ON n.place = f.place
+WHERE f.place > 0""", STACKED_SQL, FULL_SQL, FULL_FITS, aic_walk(list(FULL_TERMS))))
 def q_hand_selected_logistic(spark, sf):
     coded, terms = _full(spark, sf)
     coded = materialize(coded)
     picked = stepwise_logistic(coded, "y", terms, "imp", IMPS)
-    return _hand_picked(spark, coded, terms, picked, "site|balance", ["odd", "rich"],
-                        lambda specs: M.fit_logistic(coded, "y", specs, "imp"))
+    return _estimates(spark, _hand_picked(coded, terms, picked, "site|balance", ["odd", "rich"],
+                                          lambda specs: M.fit_logistic(coded, "y", specs, "imp")))
 
 
 @query("linear_fit", """
@@ -217,24 +248,46 @@ def _cox_frame(spark, sf):
     return coded, {"age": ["age"], "rich": ["rich"], "orders": ["orders"], **factors}
 
 
-@query("cox_full_model")
+COX_COLUMNS = ["age", "rich", "orders", "sexM", "raceblack", "raceot", "raceunk"]
+COX_TERMS = {"age": [0], "rich": [1], "orders": [2], "sex": [3], "race": [4, 5, 6]}
+COX_POINTS_SQL = f"""
+cox_points AS (
+  SELECT i.imp, r.time6 AS t, r.status6 AS s, CAST(r.age AS DOUBLE) AS x0, CAST(r.balance > 1000 * i.imp AS DOUBLE) AS x1,
+         CAST(n.orders AS DOUBLE) AS x2, CAST(r.sex = 'M' AS DOUBLE) AS x3, CAST(r.race = 'black' AS DOUBLE) AS x4,
+         CAST(r.race = 'ot' AS DOUBLE) AS x5, CAST(r.race = 'unk' AS DOUBLE) AS x6
+  FROM outcomes r JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) n ON n.o_custkey = r.person_id,
+       (VALUES (1), (2), (3)) i(imp)),
+column_names(place, term) AS (VALUES {', '.join(f"({j}, '{n}')" for j, n in enumerate(COX_COLUMNS))})
+"""
+COX_FITS = cox_subsets("cox_points", list(COX_TERMS.values()), len(COX_COLUMNS))
+
+
+@query("cox_full_model", sql_timeline("""
+SELECT CAST(f.imp AS INTEGER) AS imp, n.term, round(f.b, 6) AS estimate, round(f.se, 6) AS std_error
+FROM fitted f JOIN column_names n ON n.place = f.place WHERE f.mask = 31""", COX_POINTS_SQL, COX_FITS))
 def q_cox_full_model(spark, sf):
     coded, terms = _cox_frame(spark, sf)
-    return M.coefficients(spark, fit_cox(coded, "time6", "status6", M.joint_specs("full", terms, IMPS), "imp"))
+    return _estimates(spark, fit_cox(coded, "time6", "status6", M.joint_specs("full", terms, IMPS), "imp"))
 
 
-@query("stepwise_cox")
+@query("stepwise_cox", sql_timeline("""
+SELECT CAST(imp AS INTEGER) AS imp, CAST(step AS INTEGER) AS step, action, round(aic, 4) AS aic FROM walk
+""", COX_POINTS_SQL, COX_FITS, aic_walk(list(COX_TERMS))))
 def q_stepwise_cox(spark, sf):
     coded, terms = _cox_frame(spark, sf)
-    return selection_path(spark, stepwise_cox(coded, "time6", "status6", terms, "imp", IMPS))
+    return selection_path(spark, stepwise_cox(coded, "time6", "status6", terms, "imp", IMPS)).withColumn("aic", F.round("aic", 4))
 
 
-@query("hand_selected_cox")
+@query("hand_selected_cox", sql_timeline("""
+SELECT CAST(f.imp AS INTEGER) AS imp, n.term, round(f.b, 6) AS estimate, round(f.se, 6) AS std_error
+FROM (SELECT imp, arg_max(mask, step) AS mask FROM walk GROUP BY 1) w
+JOIN fitted f ON f.imp = w.imp AND f.mask = ((w.mask & 14) | 16) JOIN column_names n ON n.place = f.place
+""", COX_POINTS_SQL, COX_FITS, aic_walk(list(COX_TERMS))))
 def q_hand_selected_cox(spark, sf):
     coded, terms = _cox_frame(spark, sf)
     picked = stepwise_cox(coded, "time6", "status6", terms, "imp", IMPS)
-    return _hand_picked(spark, coded, terms, picked, "age|race", ["race"],
-                        lambda specs: fit_cox(coded, "time6", "status6", specs, "imp"))
+    return _estimates(spark, _hand_picked(coded, terms, picked, "age|race", ["race"],
+                                          lambda specs: fit_cox(coded, "time6", "status6", specs, "imp")))
 
 
 # -- pooling ----------------------------------------------------------------------------------------
