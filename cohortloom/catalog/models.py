@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.catalog import query, star
-from cohortloom.catalog.newton_sql import aic_walk, cox_subsets, logistic_subsets
+from cohortloom.catalog.newton_sql import aic_walk, cox_subsets, logistic_subsets, pooled
 from cohortloom.catalog.star import sql, sql_timeline, table
 from cohortloom.operators import models as M
 from cohortloom.operators.cox import fit_cox
@@ -315,38 +315,70 @@ def q_rubin_pool(spark, sf):
     return out.select("term", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
-@query("pooled_univariate_table")
-def q_pooled_univariate_table(spark, sf):
-    """Odds and hazard ratios of every single-variable model, pooled over the data sets."""
+ODDS_POINTS_SQL = """
+odds_points AS (SELECT imp, CAST(s AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS x0, x0 AS x1, x1 AS x2, x2 AS x3, x3 AS x4, x4 AS x5,
+                       x5 AS x6, x6 AS x7 FROM cox_points)
+"""
+ODDS_FITS = logistic_subsets("odds_points", [[c + 1 for c in cs] for cs in COX_TERMS.values()], len(COX_COLUMNS) + 1, name="odds_")
+ONE_SET = "SELECT count(*) FROM cox_points WHERE imp = 1"
+
+
+def _sql_pooled(masks: str) -> tuple[str, ...]:
+    """Pooled odds and hazards of the models whose ``mask`` is asked for."""
+    odds = f"SELECT n.term, f.b, f.se FROM odds_fitted f JOIN column_names n ON n.place + 1 = f.place WHERE f.place > 0 AND f.mask IN ({masks})"
+    hazards = f"SELECT n.term, f.b, f.se FROM fitted f JOIN column_names n ON n.place = f.place WHERE f.mask IN ({masks})"
+    return (COX_POINTS_SQL, COX_FITS, ODDS_POINTS_SQL, ODDS_FITS, pooled(odds, ONE_SET, len(IMPS), "odds_"), pooled(hazards, ONE_SET, len(IMPS), "hazards_"))
+
+
+def _sql_ratio(name: str, table: str) -> str:
+    return (f"round_even({table}.ratio, 3) AS \"{name}\", round({table}.lower, 4) AS {name}_ci_lower, round({table}.upper, 4) AS {name}_ci_upper, "
+            f"round({table}.p, 6) AS pval_{name}, true AS converged_{name}")
+
+
+PAIRED_SQL = f"""
+SELECT o.term, {_sql_ratio('OR', 'o')}, {_sql_ratio('HR', 'h')} FROM odds_pooled o LEFT JOIN hazards_pooled h ON h.term = o.term"""
+
+
+def _rounded(table):
+    """Intervals and p-values to the digits that are compared."""
+    digits = {c: 4 if "_ci_" in c else 6 for c in table.columns if "_ci_" in c or c.startswith("pval_")}
+    return table.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
+def _pooled_pair(spark, sf, specs_of):
     coded, terms = _cox_frame(spark, sf)
     coded = materialize(coded)
     n = coded.filter("imp = 1").count()
-    specs = M.univariate_specs(terms, IMPS)
+    specs = specs_of(terms)
     odds = M.coefficients(spark, M.fit_logistic(coded, "status6", specs, "imp"))
     hazards = M.coefficients(spark, fit_cox(coded, "time6", "status6", specs, "imp"))
-    return paired_table(rubin_pool(odds, n, len(IMPS)), rubin_pool(hazards, n, len(IMPS)))
+    return _rounded(paired_table(rubin_pool(odds, n, len(IMPS)), rubin_pool(hazards, n, len(IMPS))))
+
+
+@query("pooled_univariate_table", sql_timeline(PAIRED_SQL, *_sql_pooled("1, 2, 4, 8, 16")))
+def q_pooled_univariate_table(spark, sf):
+    """Odds and hazard ratios of every single-variable model, pooled over the data sets."""
+    return _pooled_pair(spark, sf, lambda terms: M.univariate_specs(terms, IMPS))
 
 
-@query("pooled_full_tables")
+@query("pooled_full_tables", sql_timeline(PAIRED_SQL, *_sql_pooled("31")))
 def q_pooled_full_tables(spark, sf):
     """Pooled full logistic and Cox models of the outcome."""
-    coded, terms = _cox_frame(spark, sf)
-    coded = materialize(coded)
-    n = coded.filter("imp = 1").count()
-    specs = M.joint_specs("full", terms, IMPS)
-    odds = M.coefficients(spark, M.fit_logistic(coded, "status6", specs, "imp"))
-    hazards = M.coefficients(spark, fit_cox(coded, "time6", "status6", specs, "imp"))
-    return paired_table(rubin_pool(odds, n, len(IMPS)), rubin_pool(hazards, n, len(IMPS)))
+    return _pooled_pair(spark, sf, lambda terms: M.joint_specs("full", terms, IMPS))
 
 
-@query("pooled_selected_table")
+@query("pooled_selected_table", sql(f"""
+SELECT term, {_sql_ratio('OR', 'p')} FROM odds_pooled p""", STACKED_SQL, FULL_SQL, FULL_FITS, aic_walk(list(FULL_TERMS)),
+    pooled("""SELECT n.term, f.b, f.se FROM (SELECT imp, arg_max(mask, step) AS mask FROM walk GROUP BY 1) w
+              JOIN fitted f ON f.imp = w.imp AND f.mask = w.mask JOIN column_names n ON n.place = f.place WHERE f.place > 0""",
+           "SELECT count(*) FROM wide_points WHERE imp = 1", len(IMPS), "odds_")))
 def q_pooled_selected_table(spark, sf):
     """Pooled coefficients of the stepwise logistic models."""
     coded, terms = _full(spark, sf)
     coded = materialize(coded)
     n = coded.filter("imp = 1").count()
     fits = [s.fit for s in stepwise_logistic(coded, "y", terms, "imp", IMPS)]
-    return result_table(rubin_pool(M.coefficients(spark, fits), n, len(IMPS)), "OR")
+    return _rounded(result_table(rubin_pool(M.coefficients(spark, fits), n, len(IMPS)), "OR"))
 
 
 # -- imputation -------------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ def _eliminated(inner: str, keep: Sequence[str], k: int, inverse: bool) -> str:
     return inner
 
 
-def _models(points: str, columns: Sequence[Sequence[int]], k: int, always: Sequence[int], sums, steps: int) -> str:
+def _models(points: str, columns: Sequence[Sequence[int]], k: int, always: Sequence[int], sums, steps: int, name: str) -> str:
     """Newton steps over all subsets of the terms; ``sums(where)`` gives the matrix, the score and loglik per fit."""
     sets, js = range(1 << len(columns)), range(k)
     used = [[int(j in always or any(m >> t & 1 and j in c for t, c in enumerate(columns))) for j in js] for m in sets]
@@ -30,21 +30,21 @@ def _models(points: str, columns: Sequence[Sequence[int]], k: int, always: Seque
     step = _eliminated(sums(f"f.i < {steps}"), ["i", "imp", "mask", *[f"b{j}" for j in js]], k, False)
     keep = ["imp", "mask", *[f"b{j}" for j in js], *[f"u{j}" for j in js], "loglik"]
     last = _eliminated(sums(f"f.i = {steps}"), keep, k, True)
-    rows = " UNION ALL ".join(f"SELECT imp, mask, {j} AS place, b{j} AS b, sqrt(e{j}_{j}) AS se FROM ended WHERE u{j} = 1" for j in js)
+    rows = " UNION ALL ".join(f"SELECT imp, mask, {j} AS place, b{j} AS b, sqrt(e{j}_{j}) AS se FROM {name}ended WHERE u{j} = 1" for j in js)
     return f"""
-masks(mask, {u}) AS (VALUES {masks}),
-fit(i, imp, mask, {b}) AS (
-  SELECT 0, imp, mask, {', '.join('CAST(0 AS DOUBLE)' for _ in js)} FROM (SELECT DISTINCT imp FROM {points}), masks
+{name}masks(mask, {u}) AS (VALUES {masks}),
+{name}fit(i, imp, mask, {b}) AS (
+  SELECT 0, imp, mask, {', '.join('CAST(0 AS DOUBLE)' for _ in js)} FROM (SELECT DISTINCT imp FROM {points}), {name}masks
   UNION ALL
   SELECT i + 1, imp, mask, {', '.join(f'b{j} + g{j}' for j in js)} FROM ({step})),
-ended AS ({last}),
-fitted AS ({rows}),
-scores AS (SELECT imp, mask, -2 * loglik + 2 * ({' + '.join(f'u{j}' for j in js)}) AS aic FROM ended)
+{name}ended AS ({last}),
+{name}fitted AS ({rows}),
+{name}scores AS (SELECT imp, mask, -2 * loglik + 2 * ({' + '.join(f'u{j}' for j in js)}) AS aic FROM {name}ended)
 """
 
 
-def logistic_subsets(points: str, columns: Sequence[Sequence[int]], k: int, steps: int = 14) -> str:
-    """Tables ``fitted`` (imp, mask, place, b, se) and ``scores`` (imp, mask, aic) of logistic models.
+def logistic_subsets(points: str, columns: Sequence[Sequence[int]], k: int, steps: int = 14, name: str = "") -> str:
+    """Tables ``fitted`` (imp, mask, place, b, se) and ``scores`` (imp, mask, aic) of logistic models, after ``name``.
 
     ``points`` has imp, y, x0 (ones) to x{k-1}. Bit t of a mask takes in the columns of term t; columns left out get a
     unit diagonal and no score, so they stay at zero.
@@ -59,13 +59,13 @@ def logistic_subsets(points: str, columns: Sequence[Sequence[int]], k: int, step
           SELECT *, 1 / (1 + exp(-eta)) AS p FROM (
             SELECT f.i, f.imp, f.mask, {', '.join(f'f.b{j}, m.u{j}, q.x{j} * m.u{j} AS z{j}' for j in js)}, q.y,
                    {' + '.join(f'f.b{j} * q.x{j}' for j in js)} AS eta
-            FROM fit f JOIN masks m ON m.mask = f.mask JOIN {points} q ON q.imp = f.imp WHERE {where}))
+            FROM {name}fit f JOIN {name}masks m ON m.mask = f.mask JOIN {points} q ON q.imp = f.imp WHERE {where}))
           GROUP BY i, imp, mask, {both}"""
 
-    return _models(points, columns, k, [0], sums, steps)
+    return _models(points, columns, k, [0], sums, steps, name)
 
 
-def cox_subsets(points: str, columns: Sequence[Sequence[int]], k: int, steps: int = 8) -> str:
+def cox_subsets(points: str, columns: Sequence[Sequence[int]], k: int, steps: int = 8, name: str = "") -> str:
     """The same for Cox models with Efron's ties; ``points`` has imp, t, s, x0 to x{k-1}.
 
     Risk sets are a join of event days with the rows not over before; tied events are counted out one by one.
@@ -90,12 +90,12 @@ def cox_subsets(points: str, columns: Sequence[Sequence[int]], k: int, steps: in
                 SELECT i, imp, mask, {both}, t, sum(w) AS s_, sum(w * ev) AS e_, sum(ev) AS d, sum(eta * ev) AS eta, {first}, {second} FROM (
                   SELECT *, exp(eta) AS w FROM (
                     SELECT f.i, f.imp, f.mask, {z}, {eta} AS eta, o.t, CAST(q.t = o.t AND q.s = 1 AS INTEGER) AS ev
-                    FROM fit f JOIN masks m ON m.mask = f.mask JOIN event_days o ON o.imp = f.imp
+                    FROM {name}fit f JOIN {name}masks m ON m.mask = f.mask JOIN event_days o ON o.imp = f.imp
                     JOIN {points} q ON q.imp = f.imp AND q.t >= o.t WHERE {where}))
                 GROUP BY i, imp, mask, {both}, t))))
           GROUP BY i, imp, mask, {both}"""
 
-    return f"event_days AS (SELECT DISTINCT imp, t FROM {points} WHERE s = 1)," + _models(points, columns, k, [], sums, steps)
+    return f"event_days AS (SELECT DISTINCT imp, t FROM {points} WHERE s = 1)," + _models(points, columns, k, [], sums, steps, name)
 
 
 def aic_walk(names: Sequence[str]) -> str:
@@ -111,3 +111,37 @@ walk(imp, step, mask, aic, action) AS (
   FROM walk w JOIN bits t ON true JOIN scores s ON s.imp = w.imp AND s.mask = xor(w.mask, t.bit)
   WHERE s.aic < w.aic - 1e-7 GROUP BY w.imp, w.step)
 """
+
+
+def _t_mass(w: str, df: str) -> str:
+    """Probability of t between 0 and ``w``, by Simpson's rule over 2,000 steps."""
+    weight = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return (f"(list_sum(list_transform(range(0, 2001), lambda i: ({weight}) * pow(1 + pow(i * ({w}) / 2000, 2) / ({df}), -(({df}) + 1) / 2)))"
+            f" * ({w}) / 6000 * {_t_height(df)})")
+
+
+def _t_height(df: str) -> str:
+    return f"(exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(({df}) * pi()))"
+
+
+def pooled(estimates: str, rows: str, m: int, name: str) -> str:
+    """Table ``{name}pooled`` (term, ratio, lower, upper, p) from (term, b, se): Rubin's rules with t intervals.
+
+    ``rows`` is the number of rows of one data set. The quantile comes from Newton steps on the t distribution.
+    """
+    return f"""
+{name}parts AS (
+  SELECT term, avg(b) AS est, avg(se * se) AS vw, var_pop(b) * count(b) / {m - 1} AS vb, ({rows}) - 2 AS dof FROM ({estimates}) GROUP BY 1),
+{name}sums AS (SELECT *, vw + vb + vb / {m} AS vt, (vb + vb / {m}) / (vw + vb + vb / {m}) AS lam FROM {name}parts),
+{name}free AS (SELECT *, (dof + 1) / (dof + 3) * dof * (1 - lam) AS df_obs FROM {name}sums),
+{name}tests AS (SELECT *, df_obs / (1 + df_obs * lam * lam / {m - 1}) AS df, est / sqrt(vt) AS wald FROM {name}free),
+{name}quantile(i, term, df, q) AS (
+  SELECT 0, term, df, CAST(1.96 AS DOUBLE) FROM {name}tests
+  UNION ALL
+  SELECT i + 1, term, df, q - ({_t_mass('q', 'df')} - 0.475) / ({_t_height('df')} * pow(1 + q * q / df, -(df + 1) / 2))
+  FROM {name}quantile WHERE i < 12),
+{name}pooled AS (
+  SELECT t.term, exp(est) AS ratio, exp(est - q * sqrt(vt)) AS lower, exp(est + q * sqrt(vt)) AS upper,
+         1 - 2 * {_t_mass('abs(wald)', 't.df')} AS p
+  FROM {name}tests t JOIN {name}quantile k ON k.term = t.term AND k.i = 12)
+"""
