@@ -26,6 +26,7 @@ from cohortloom.session import materialize
 
 ROWS_PER_BUCKET = 100_000
 PARALLEL_FITS = 8
+MAX_DEPTH, SPARE_LEVELS = 30, 4
 
 
 def _missing(column: str) -> str:
@@ -81,8 +82,13 @@ def _predict_column(frame: DataFrame, target: str, predictors: Sequence[str], m:
     return frame.withColumn(target, F.when(F.col(_missing(target)), value).otherwise(F.col(target)))
 
 
+def tree_depth(observed: int, min_leaf: int) -> int:
+    """Levels that let leaves shrink to ``min_leaf`` rows, with room for uneven splits; the learner takes 30 at most."""
+    return min(MAX_DEPTH, max(1, math.ceil(math.log2(max(observed, 2) / min_leaf)) + SPARE_LEVELS))
+
+
 def _leaves(rows: DataFrame, row_id: str, target: str, predictors: Sequence[str], missing: str,
-            trees: int, depth: int, seed: int, m: int, imp: str) -> DataFrame:
+            trees: int, min_leaf: int, bins: int, seed: int, m: int, imp: str) -> DataFrame:
     """Leaf of every row in each tree of its data set's forest.
 
     The forests of the data sets are independent, so they are grown by concurrent jobs.
@@ -90,10 +96,11 @@ def _leaves(rows: DataFrame, row_id: str, target: str, predictors: Sequence[str]
     wanted = rows.select(row_id, imp, missing, F.col(target).cast("double").alias(target),
                          *[F.col(p).cast("double").alias(p) for p in predictors])
     assembled = VectorAssembler(inputCols=list(predictors), outputCol="_x").transform(wanted)
+    depth = tree_depth(rows.filter((F.col(imp) == 1) & ~F.col(missing)).count(), min_leaf)
 
     def grow(i: int) -> DataFrame:
-        forest = RandomForestRegressor(featuresCol="_x", labelCol=target, leafCol="_leaf",
-                                       numTrees=trees, maxDepth=depth, seed=seed * 1009 + i)
+        forest = RandomForestRegressor(featuresCol="_x", labelCol=target, leafCol="_leaf", numTrees=trees, maxDepth=depth,
+                                       minInstancesPerNode=min_leaf, maxBins=bins, seed=seed * 1009 + i)
         part = assembled.filter(F.col(imp) == i)
         model = forest.fit(part.filter(~F.col(missing)))
         return model.transform(part).select(row_id, imp, missing, target, vector_to_array("_leaf").alias("_leaf"))
@@ -104,57 +111,52 @@ def _leaves(rows: DataFrame, row_id: str, target: str, predictors: Sequence[str]
 
 
 def leaf_donors(rows: DataFrame, row_id: str, target: str, predictors: Sequence[str], missing: str,
-                trees: int, depth: int, seed: int, m: int, imp: str) -> DataFrame:
+                trees: int, min_leaf: int, bins: int, seed: int, m: int, imp: str) -> DataFrame:
     """One donor value per row with a gap, from the leaves it shares with observed rows.
 
-    A forest per data set is grown on the observed rows. The donors of a gap are all observed
-    rows of its leaf, over all trees; a seeded draw picks one by its rank. Leaf sizes are at most
-    trees x 2^depth counts per data set, part of the models, so they travel as a literal.
+    A forest per data set is grown on the observed rows. The donors of a gap are all observed rows of its leaf, over
+    all trees: a seeded draw picks a rank among them. Leaf sizes are counted on the map side, and only leaves that
+    a draw has fallen on have their rows ranked.
     """
-    leaves = _leaves(rows, row_id, target, predictors, missing, trees, depth, seed, m, imp)
-    donors = leaves.filter(~F.col(missing)).select(
-        row_id, imp, F.col(target).alias("_val"), F.posexplode("_leaf").alias("_tree", "_node"))
-    donors = donors.withColumn("_node", F.col("_node").cast("int"))
-    counts = [[[0] * (2**depth) for _ in range(trees)] for _ in range(m)]
-    biggest = 1
-    for r in donors.groupBy(imp, "_tree", "_node").count().collect():
-        counts[r[imp] - 1][r["_tree"]][r["_node"]] = r["count"]
-        biggest = max(biggest, r["count"])
-    ranked = bucketed_rank(donors, [imp, "_tree", "_node"], [F.col(row_id), F.col("_tree"), F.lit(seed)],
+    leaves = materialize(_leaves(rows, row_id, target, predictors, missing, trees, min_leaf, bins, seed, m, imp))
+    leaf = [imp, "_tree", "_node"]
+    exploded = leaves.select(row_id, imp, missing, F.col(target).alias("_val"), F.posexplode("_leaf").alias("_tree", "_node"))
+    exploded = exploded.withColumn("_node", F.col("_node").cast("int"))
+    donors, gaps = exploded.filter(~F.col(missing)), exploded.filter(F.col(missing))
+    sizes = donors.groupBy(*leaf).agg(F.count(F.lit(1)).alias("_size"))
+    parts = gaps.join(sizes, leaf).groupBy(row_id, imp).agg(
+        F.sort_array(F.collect_list(F.struct("_tree", "_node", "_size"))).alias("_parts"))
+    ends = F.transform("_parts", lambda p, t: F.aggregate(F.slice("_parts", F.lit(1), t + 1), F.lit(0).cast("bigint"),
+                                                          lambda total, x: total + x["_size"]))
+    picked = (parts.withColumn("_ends", ends)
+              .withColumn("_pick", _draw(seed, target, F.element_at("_ends", -1), row_id, imp))
+              .withColumn("_at", F.size(F.filter("_ends", lambda e: e <= F.col("_pick"))))
+              .withColumn("_part", F.get("_parts", F.col("_at"))))
+    picked = materialize(picked.select(row_id, imp, F.col("_part._tree").alias("_tree"), F.col("_part._node").alias("_node"),
+                                       (F.col("_pick") - F.col("_ends")[F.col("_at")] + F.col("_part._size")).alias("_rank")))
+    asked = donors.join(picked.select(*leaf).distinct(), leaf, "left_semi")
+    biggest = sizes.agg(F.max("_size")).first()[0] or 1
+    ranked = bucketed_rank(asked, leaf, [F.col(row_id), F.col("_tree"), F.lit(seed)],
                            max(1, math.ceil(biggest / ROWS_PER_BUCKET)), "_rank")
-    table = F.array(*[
-        F.array(*[F.array(*[F.lit(n).cast("bigint") for n in tree]) for tree in one]) for one in counts])
-    own = F.element_at(table, F.col(imp))
-    sizes = F.transform(F.col("_leaf"), lambda leaf, t: F.get(F.get("_table", t), leaf.cast("int")))
-    ends = F.transform(F.sequence(F.lit(1), F.lit(trees)),
-                       lambda t: F.aggregate(F.slice("_sizes", F.lit(1), t), F.lit(0).cast("bigint"),
-                                             lambda a, b: a + b))
-    gaps = (leaves.filter(F.col(missing)).withColumn("_table", own)
-            .withColumn("_sizes", sizes).withColumn("_ends", ends)
-            .withColumn("_pick", _draw(seed, target, F.get("_ends", F.lit(trees - 1)), row_id, imp))
-            .withColumn("_tree", F.size(F.filter("_ends", lambda e: e <= F.col("_pick"))))
-            .select(row_id, imp, "_tree", F.get("_leaf", F.col("_tree")).cast("int").alias("_node"),
-                    (F.col("_pick") - F.when(F.col("_tree") > 0, F.get("_ends", F.col("_tree") - 1))
-                     .otherwise(0)).alias("_rank")))
-    return gaps.join(ranked.select(imp, "_tree", "_node", "_rank", "_val"),
-                     [imp, "_tree", "_node", "_rank"]).select(row_id, imp, "_val")
+    return picked.join(ranked.select(*leaf, "_rank", "_val"), [*leaf, "_rank"]).select(row_id, imp, "_val")
 
 
 def _draw_column(frame: DataFrame, row_id: str, target: str, predictors: Sequence[str], m: int,
-                 imp: str, trees: int, depth: int, seed: int) -> DataFrame:
-    values = leaf_donors(frame, row_id, target, predictors, _missing(target), trees, depth, seed, m, imp)
+                 imp: str, trees: int, min_leaf: int, bins: int, seed: int) -> DataFrame:
+    values = leaf_donors(frame, row_id, target, predictors, _missing(target), trees, min_leaf, bins, seed, m, imp)
     joined = frame.join(values, [row_id, imp], "left")
     return joined.withColumn(target, F.coalesce("_val", target)).select(*frame.columns)
 
 
 def mice_impute(df: DataFrame, row_id: str, methods: Mapping[str, str], predictors: Sequence[str],
-                m: int = 10, sweeps: int = 5, seed: int = 20, trees: int = 10, depth: int = 5,
-                imp: str = "imp") -> DataFrame:
+                m: int = 10, sweeps: int = 5, seed: int = 20, trees: int = 10, min_leaf: int = 5,
+                bins: int = 32, imp: str = "imp") -> DataFrame:
     """Completed data sets 1..m stacked in one frame with the column ``imp``.
 
     ``methods`` maps each incomplete column to ``norm.predict`` or ``rf``; columns are visited in
     that order. ``predictors`` are numeric columns without gaps of their own; the other incomplete
-    columns always take part as well. Observed values are never changed.
+    columns always take part as well. Observed values are never changed. Trees of the forest method grow until a
+    leaf would hold fewer than ``min_leaf`` rows, splitting at ``bins`` candidate points per column.
     """
     unknown = set(methods.values()) - {"norm.predict", "rf"}
     if unknown:
@@ -167,7 +169,7 @@ def mice_impute(df: DataFrame, row_id: str, methods: Mapping[str, str], predicto
                 # a narrow expression over literals: the next job may compute it again
                 frame = _predict_column(frame, target, used, m, imp)
             else:
-                frame = materialize(_draw_column(frame, row_id, target, used, m, imp, trees, depth,
+                frame = materialize(_draw_column(frame, row_id, target, used, m, imp, trees, min_leaf, bins,
                                                  seed + sweep * len(methods) + n))
         if list(methods.values())[-1] == "norm.predict":
             frame = materialize(frame)

@@ -34,17 +34,28 @@ def get_spark(app: str = "cohortloom", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder name below the shared checkpoint folder of the cluster.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this run below the shared checkpoint folder of the cluster.
 
-    A machine-local folder is only used for a local master without that setting, as in tests.
+    Only a local master without that setting, as in tests, gets a folder of its own, which is then set.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         root = _local_root()
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder name in this run's scratch folder."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all that this run has written to its scratch folder, once the results are stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @functools.cache
