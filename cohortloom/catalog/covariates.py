@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.catalog import query, star
-from cohortloom.catalog.star import KEYS, LOG_SQL, log, sql, table, visitors
+from cohortloom.catalog.endpoints import STD_START, _gap
+from cohortloom.catalog.star import (CODESET_SQL, COHORT_SQL, EVENTS_SQL, KEYS, LOG_SQL, STACK_SQL, TIMELINE_SQL, log, sql, table,
+                                     visitors)
 from cohortloom.functions.skew import attach_index
 from cohortloom.functions.values import event_date, lms_zscore, round_to_int
 from cohortloom.operators import covariates as C
@@ -478,3 +480,38 @@ def q_analysis_set(spark, sf):
     return out.select("person_id", "site", "sex", "index_year", "n_events", F.round("BMI", 6).alias("BMI"),
                       F.round("hemoglobin", 6).alias("hemoglobin"), F.round("CRP", 6).alias("CRP"),
                       "IP_IND1", "IP_IND2", "IP_IND3", "abdominal_pain", "diarrhea", "rectal_bleeding")
+
+
+FULL_LABS = ", ".join(f"round(l.{c}, 6) AS {c}, CAST(l.{c} IS NOT NULL AS INTEGER) AS {c}_ind" for c in LABS)
+FULL_Z = ", ".join(f"round(z.{m}_Z, 6) AS {m}_Z" for m in ("HT", "WT", "BMI"))
+FULL_TIMES = ["base_a", "base_b", "step_1", "step_2", "surgery"]
+
+
+@query("analysis_set_full", sql(f"""
+SELECT c.person_id, c.site, c.sex, c.age, CAST(year(c.index_date) AS INTEGER) AS index_year, t.trt1, t.trt2, t.trt3, t.trt4,
+       {', '.join(f't.status_{e}, t.time_{e}' for e in FULL_TIMES)}, t.status6, t.time6,
+       {_gap('standard', STD_START, 'step_1')} AS time_std2s1, {_gap('standard', STD_START, 'surgery')} AS time_std2sur,
+       {FULL_Z}, {FULL_LABS}, i.IP_IND1, i.IP_IND2, i.IP_IND3, d.abdominal_pain, d.diarrhea, d.rectal_bleeding
+FROM cohort c JOIN timeline t ON c.person_id = t.person_id
+LEFT JOIN (SELECT a.person_id, max(h.z) AS HT_Z, max(w.z) AS WT_Z, max(b.z) AS BMI_Z
+           FROM aged a JOIN z_HT h ON a.event_id = h.event_id JOIN z_WT w ON a.event_id = w.event_id
+           JOIN z_BMI b ON a.event_id = b.event_id GROUP BY 1) z ON c.person_id = z.person_id
+LEFT JOIN labs l ON c.person_id = l.person_id LEFT JOIN ip i ON c.person_id = i.person_id
+LEFT JOIN dxf d ON c.person_id = d.person_id""", COHORT_SQL, CODESET_SQL, EVENTS_SQL, STACK_SQL, TIMELINE_SQL, LOG_SQL, VITALS_SQL, MORE_SQL,
+    GROWTH_SQL, _z("HT", 0.5, 100), _z("WT", 2.0, 1), _z("BMI", 4.5, 1)))
+def q_analysis_set_full(spark, sf):
+    """Cohort, endpoints, sequence, transitions, z-scores, labs with presence flags, stays and diagnoses, keys checked."""
+    base = materialize(star.cohort(spark, sf).select("person_id", "site", "sex", "age", "index_date"))
+    endpoints = materialize(star.timeline(spark, sf))
+    who = materialize(_who(spark, sf))
+    scores = _zscores(spark, sf, who).groupBy(*KEYS).agg(*[F.max(f"{m}_Z").alias(f"{m}_Z") for m in ("HT", "WT", "BMI")])
+    labs = materialize(_lab_wide(spark, sf, who))
+    sides = [materialize(scores), labs, C.presence_flags(base, labs, KEYS, LABS),
+             materialize(C.inpatient_flags(who, _stays(spark, sf, who), KEYS, "enc_type", ["IP", "EI"])),
+             materialize(C.baseline_dx_flags(who, _dx(spark, sf, who), KEYS, list(DX_RULES)))]
+    out = C.analysis_set(base, endpoints, sides, KEYS, "index_date")
+    return out.select(
+        "person_id", "site", "sex", "age", "index_year", *[f"trt{k}" for k in range(1, 5)],
+        *[f"{kind}_{e}" for e in FULL_TIMES for kind in ("status", "time")], "status6", "time6", "time_std2s1", "time_std2sur",
+        *[F.round(f"{m}_Z", 6).alias(f"{m}_Z") for m in ("HT", "WT", "BMI")], *[F.round(c, 6).alias(c) for c in LABS],
+        *[f"{c}_ind" for c in LABS], "IP_IND1", "IP_IND2", "IP_IND3", "abdominal_pain", "diarrhea", "rectal_bleeding")
