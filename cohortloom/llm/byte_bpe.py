@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cohortloom.llm.common import whole_text
 from cohortloom.llm.piece_store import PieceStore, spread, sums

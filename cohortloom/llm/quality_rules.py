@@ -57,7 +57,8 @@ def measured(docs: DataFrame) -> DataFrame:
     raw = numbered(docs, docs["source"].cast("string").alias("host"), text_key(docs).alias("text_key"), text.alias("_text"), word_array(text).alias("_words"))
     words = F.col("_words")
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    step = raw.withColumn("_lines", lines).withColumn("_hashed", F.transform(words, lambda w: F.xxhash64(w)))
+    step = raw.withColumn("_lines", lines).withColumn("_normal", F.transform("_lines", normal_line))
+    step = step.withColumn("_hashed", F.transform(words, lambda w: F.xxhash64(w)))
     step = step.withColumn("_windows", _window_hashes(F.col("_hashed")))
     # Most texts repeat no window; only the others are sorted.
     step = step.withColumn("_ordered", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _by_hash(F.col("_windows"))))
@@ -68,17 +69,18 @@ def measured(docs: DataFrame) -> DataFrame:
         (F.length("_text") - F.length(F.regexp_replace("_text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_cover(F.col("_at")), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.transform("_lines", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.length(x).alias("chars"))).alias("lines")))
+        F.array_min(F.transform("_normal", lambda x: F.md5(x.cast("binary")))).alias("sketch"),
+        F.transform("_lines", lambda x, i: F.struct(F.xxhash64(F.get("_normal", i)).alias("h"), F.length(x).alias("chars"))).alias("lines")))
 
 
 def common_lines(made: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
     """host, h of the lines above the limit.
 
-    Documents are told apart by their smallest line hash, so a group of copies or near copies counts as a few. A hot
+    Documents are told apart by their smallest line digest, so a group of copies or near copies counts as a few. A hot
     line of a hot host is summed on the map side.
     """
     hashes = F.array_distinct(F.transform("lines", lambda x: x["h"]))
-    seen = made.select("host", F.array_min(hashes).alias("sketch"), F.explode(hashes).alias("h"))
+    seen = made.select("host", "sketch", F.explode(hashes).alias("h"))
     per = seen.groupBy("host", "h", "sketch").agg(F.count(F.lit(1)).alias("n"))
     wide = per.groupBy("host", "h").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("n"))
     return wide.filter((F.col("different") > line_docs) & (F.col("different") >= DIFFERENT * F.col("n"))).select("host", "h")

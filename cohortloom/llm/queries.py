@@ -68,4 +68,32 @@ SELECT r.doc_id, r.size, g.source_size, g.target,
        CAST(r.size * least(g.passes + CAST(c.extra AS INTEGER), 3) AS BIGINT) AS taken
 FROM rows_ r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source
 JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source AND r.draw = c.draw""",
+    "op7_quality_rules": r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS x FROM documents),
+lists AS (SELECT rid, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws FROM t),
+words AS (SELECT rid, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM lists),
+grams AS (
+  SELECT rid, pos, word || chr(32) || lead(word, 1) OVER w || chr(32) || lead(word, 2) OVER w || chr(32) || lead(word, 3) OVER w
+         || chr(32) || lead(word, 4) OVER w AS gram
+  FROM words WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+twice AS (SELECT rid, pos FROM grams WHERE gram IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([pos, pos + 1, pos + 2, pos + 3, pos + 4]) AS p FROM twice) GROUP BY rid),
+lines0 AS (SELECT rid, source, unnest(string_split(x, chr(10))) AS line FROM t),
+lines AS (
+  SELECT rid, source, line, regexp_replace(regexp_replace(lower(trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))), '[0-9]', '0', 'g'),
+                                           '[\x20\x09-\x0D]+', ' ', 'g') AS norm
+  FROM lines0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+sketches AS (SELECT rid, min(md5(norm)) AS sketch, count(*) - count(DISTINCT line) AS n_dup, sum(length(line)) AS chars FROM lines GROUP BY rid),
+common AS (
+  SELECT source, norm FROM (SELECT DISTINCT l.rid, l.source, l.norm, s.sketch FROM lines l JOIN sketches s ON l.rid = s.rid)
+  GROUP BY source, norm HAVING count(DISTINCT sketch) > 50 AND count(DISTINCT sketch) >= 0.5 * count(*)),
+lost AS (SELECT l.rid, sum(length(l.line)) AS lost FROM lines l JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.norm = c.norm GROUP BY l.rid),
+counts AS (
+  SELECT t.rid, t.doc_id, CAST(len(l.ws) AS BIGINT) AS n_words, CAST(length(array_to_string(l.ws, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t.x, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(s.n_dup, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(s.chars, 0) AS chars, coalesce(o.lost, 0) AS lost
+  FROM t JOIN lists l ON l.rid = t.rid LEFT JOIN sketches s ON s.rid = t.rid LEFT JOIN covered c ON c.rid = t.rid LEFT JOIN lost o ON o.rid = t.rid),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND chars - lost >= 0.1 * chars AS kept
+FROM judged""",
 }
