@@ -95,11 +95,11 @@ class _Conf:
 class _Session:
     def __init__(self, master, folder):
         self.conf = _Conf(folder)
-        self.sparkContext = type("Context", (), {"master": master})()
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})()
 
 
 def test_scratch_folder_comes_from_the_session():
-    assert scratch_dir(_Session("spark://host", "hdfs://shared/ck/")).startswith("hdfs://shared/ck/")
+    assert scratch_dir(_Session("spark://host", "hdfs://shared/ck/")).startswith("hdfs://shared/ck/app-1/")
     a, b = (scratch_dir(_Session("local[2]", None)) for _ in range(2))
     assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
     with pytest.raises(RuntimeError):
