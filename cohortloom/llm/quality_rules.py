@@ -11,8 +11,6 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: A line above LINE_DOCS different documents of a host is removed; what keeps less than MIN_LEFT of its characters is rejected.
 LINE_DOCS, MIN_LEFT = 50, 0.1
-#: Of the documents with a line, this share has to differ otherwise: copies of one text do not make a line common.
-DIFFERENT = 0.5
 
 
 def _window_hashes(hashed: Column) -> Column:
@@ -69,21 +67,20 @@ def measured(docs: DataFrame) -> DataFrame:
         (F.length("_text") - F.length(F.regexp_replace("_text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_cover(F.col("_at")), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.array_min(F.transform("_normal", lambda x: F.md5(x.cast("binary")))).alias("sketch"),
+        F.unhex(F.md5(F.array_join("_normal", "\n").cast("binary"))).alias("digest"),
         F.transform("_lines", lambda x, i: F.struct(F.xxhash64(F.get("_normal", i)).alias("h"), F.length(x).alias("chars"))).alias("lines")))
 
 
 def common_lines(made: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
     """host, h of the lines above the limit.
 
-    Documents are told apart by their smallest line digest, so a group of copies or near copies counts as a few. A hot
-    line of a hot host is summed on the map side.
+    Documents are told apart by a digest of their whole text, line by line in the form in which lines are compared, so
+    copies count once: also those that differ in nothing but digits, case and blanks. A hot line of a hot host, and a
+    line of many copies, is summed on the map side.
     """
     hashes = F.array_distinct(F.transform("lines", lambda x: x["h"]))
-    seen = made.select("host", "sketch", F.explode(hashes).alias("h"))
-    per = seen.groupBy("host", "h", "sketch").agg(F.count(F.lit(1)).alias("n"))
-    wide = per.groupBy("host", "h").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("n"))
-    return wide.filter((F.col("different") > line_docs) & (F.col("different") >= DIFFERENT * F.col("n"))).select("host", "h")
+    seen = made.select("host", "digest", F.explode(hashes).alias("h")).distinct()
+    return seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > line_docs).select("host", "h")
 
 
 def judged(made: DataFrame, line_docs: int = LINE_DOCS, min_left: float = MIN_LEFT) -> DataFrame:

@@ -1,6 +1,7 @@
 """The operators against plain Python on the odd cases and on a small corpus."""
 
 import collections
+import random
 
 import public_tokenizers
 import pytest
@@ -106,3 +107,21 @@ def test_quality_lines(spark):
     out = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, data.SCHEMA)).collect()}
     assert all(out[k] for k in range(80)) and all(out[2000 + k] for k in range(80))
     assert not any(out[1000 + k] for k in range(80))
+
+
+def test_quality_depleted_pages(spark):
+    """Pages that are boilerplate but for a line of their own are rejected, though they pass the base rule."""
+    rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+
+    def line(n):
+        return " ".join("".join(rng.choices(letters, k=7)) for _ in range(n))
+
+    shared, rows = [line(12) for _ in range(20)], []
+    for k in range(51):
+        rows.append((k, "\n".join([*shared, line(3)]), "en", "host", 0))
+        rows.append((1000 + k, "\n".join([*shared[:2], line(60)]), "en", "host", 0))
+    few, one = [line(12) for _ in range(20)], line(12) + "\n" + line(3)
+    rows += [(2000 + k, "\n".join([*few, line(3)]), "en", "small", 0) for k in range(50)] + [(3000 + k, one, "en", "copies", 0) for k in range(80)]
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, data.SCHEMA)).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert {d for d, r in out.items() if not r["kept"]} == set(range(51))
