@@ -1,6 +1,7 @@
 """Every stage of the corpus pipeline against plain Python on its own input, and the whole of it."""
 
 import collections
+import random
 
 import numpy as np
 import public_tokenizers
@@ -88,3 +89,21 @@ def test_near_copies_leave_one(spark):
         docs += [(3 * k, " ".join(own), "en", "s", 0), (3 * k + 1, " ".join([*own[:150], "changed", *own[151:]]), "en", "s", 0)]
     out = simhash.drop_near_copies(spark.createDataFrame(docs, data.SCHEMA)).collect()
     assert sorted(r["doc_id"] for r in out) == [3 * k for k in range(40)]
+
+
+def test_near_copies_by_similarity(spark):
+    """Against all pairs: similar documents leave one, also beyond 12 bits; pairs below 0.8 stay, short ones too."""
+    rng, docs = random.Random(3), []
+    for k in range(300):
+        words = [f"w{rng.randrange(10 ** 9)}" for _ in range((64, 64, 304)[k % 3])]
+        other = list(words)
+        for i in range(2, 5 * (1 + k % 5), 5) if k % 3 < 2 else range(2, 5 * (5 + k % 15), 5):
+            other[i] = f"x{rng.randrange(10 ** 9)}"
+        docs += [(2 * k, " ".join(words), "en", "s", 0), (2 * k + 1, " ".join(other), "en", "s", 0)]
+    sets = [set(simhash.shingle_hashes(d[1], simhash.NEAR_WORDS)) for d in docs]
+    alike = {k: len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(300)}
+    assert {True, False} == {v >= 0.8 for v in alike.values()}
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(docs, data.SCHEMA)).collect()}
+    assert kept >= {2 * k for k in range(300)}
+    assert not [k for k, v in alike.items() if v < 0.8 and 2 * k + 1 not in kept]
+    assert not [k for k, v in alike.items() if v >= 0.8 and 2 * k + 1 in kept]
