@@ -1,4 +1,4 @@
-"""Licence scan by a positional rare-token index of licence notices; DataFrame functions only."""
+"""Licence scan by a positional index of licence words and key phrases of notices; DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -37,8 +37,8 @@ COMMON = frozenset("a and any are by charge for forms free in into is of or pers
                    "under version 0 2 3 4 copy files source fee".split())
 WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Licence words looked up per file; share of the looked-up weight of a template that has to line up.
-TOP_WORDS, MIN_SHARE = 8, 0.5
+#: Share of the weight of a template's licence words that has to line up.
+MIN_SHARE = 0.5
 
 VOCABULARY = sorted({w for _, words, _ in TEMPLATES for w in words.split()} - COMMON)
 
@@ -98,8 +98,9 @@ def word_weights(read: DataFrame) -> dict[str, float]:
 def match_templates(read: DataFrame, weights: dict[str, float]) -> DataFrame:
     """row_id, label, score of the templates that stand in a file.
 
-    The file's rarest licence words vote for (template, shift): their position less that of the same word in the
-    template. A shift counts if the key phrase stands at it and the votes hold enough of the template's weight.
+    Where a key phrase stands is a candidate (template, shift). All licence words of the file vote: their position less
+    that of the same word in the template. A candidate counts if its votes hold enough of the template's weight, whatever
+    other notices or words the file has.
     """
     spark = read.sparkSession
     idf = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])
@@ -108,13 +109,10 @@ def match_templates(read: DataFrame, weights: dict[str, float]) -> DataFrame:
     # Both tables are as long as the templates above, whatever the data.
     index = F.broadcast(spark.createDataFrame(postings, "word string, template int, at int"))
     wanted = F.broadcast(spark.createDataFrame(totals, "template int, label string, total double"))
-    names = F.array_distinct(F.transform("found", lambda s: s["word"]))
-    ranked = F.sort_array(F.transform(names, lambda w: F.struct((-F.element_at(idf, w)).alias("a"), w.alias("word"))))
-    rare = read.filter("size(found) > 0").select("row_id", F.transform(F.slice(ranked, 1, TOP_WORDS), lambda s: s["word"]).alias("rare"), "found", "keys")
-    votes = (rare.select("row_id", F.explode(F.filter("found", lambda s: F.array_contains("rare", s["word"]))).alias("s"))
-             .select("row_id", "s.word", "s.pos").join(index, "word")
+    likely = read.filter("size(keys) > 0").select("row_id", "found", "keys")
+    votes = (likely.select("row_id", F.explode("found").alias("s")).select("row_id", "s.word", "s.pos").join(index, "word")
              .select("row_id", "template", (F.col("pos") - F.col("at")).alias("shift"), F.element_at(idf, F.col("word")).alias("vote"), F.lit(0).alias("key")))
-    keys = rare.select("row_id", F.explode("keys").alias("k")).select("row_id", "k.template", F.col("k.pos").alias("shift"), F.lit(0.0).alias("vote"), F.lit(1).alias("key"))
+    keys = likely.select("row_id", F.explode("keys").alias("k")).select("row_id", "k.template", F.col("k.pos").alias("shift"), F.lit(0.0).alias("vote"), F.lit(1).alias("key"))
     lined = votes.unionByName(keys).groupBy("row_id", "template", "shift").agg(F.sum("vote").alias("vote"), F.max("key").alias("key"))
     share = F.least(F.round(F.col("vote") / F.col("total"), 6), F.lit(1.0))
     return (lined.filter("key = 1").join(wanted, "template").withColumn("score", share).filter(F.col("score") >= MIN_SHARE)

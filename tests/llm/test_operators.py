@@ -125,3 +125,17 @@ def test_quality_depleted_pages(spark):
     out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, data.SCHEMA)).collect()}
     assert not any(r["base_failed"] for r in out.values())
     assert {d for d, r in out.items() if not r["kept"]} == set(range(51))
+
+
+def test_license_many_notices(spark):
+    """Every notice that stands in a file gives its label, however many other notices and licence words the file has."""
+    notices, words = license_scan.TEMPLATES, " ".join(license_scan.VOCABULARY)
+    rng, rows = random.Random(9), [(k, f"plain text {k} without any notice", "en", "s", 0) for k in range(100)]
+    want = {}
+    for k in range(60):
+        some = notices if k == 0 else rng.sample(notices, 1 + k % 8)
+        want[1000 + k] = {label for label, _, _ in some}
+        rows.append((1000 + k, " . ".join([words] * (k % 2) + [f"part {i} {text} end" for i, (_, text, _) in enumerate(some)]), "en", "s", 0))
+    out = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, data.SCHEMA)).collect()}
+    for d, labels in want.items():
+        assert labels <= set(out[d]["labels"].split(",")) and out[d]["score"] == 1
