@@ -15,7 +15,7 @@ from cohortloom.llm.components import components
 from cohortloom.llm.tokenizer_cache import balanced
 
 WORDS, SEED, MAX_BITS = 3, 42, 2
-#: Near copies: five-word shingles, at least 0.8 of the bits equal, and one of SAMPLES samples of SAMPLE shingles shared.
+#: Near copies are found by five-word shingles, dealt into SAMPLES hands; NEAR_BITS and SAMPLE are of the earlier rule, which a test still asks for.
 NEAR_WORDS, NEAR_BITS, SAMPLES, SAMPLE = 5, 12, 16, 8
 #: Candidates for near copies share one of SAMPLES samples of CANDIDATE_SAMPLE shingles and all but CANDIDATE_BITS bits, or all
 #: bits; a candidate is a link if its sets of shingles have this Jaccard similarity.
