@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortloom.llm.byte_bpe import byte_bpe
 from cohortloom.llm.common import documents
 from cohortloom.llm.exact_dedup import exact_dedup
+from cohortloom.llm.fill_in_middle import fill_in_middle_digests
+from cohortloom.llm.importance_sample import importance_sample
 from cohortloom.llm.license_scan import license_scan
+from cohortloom.llm.packing import packed_pieces
 from cohortloom.llm.pii import pii
 from cohortloom.llm.quality_rules import quality_rules
 from cohortloom.llm.simhash import simhash
@@ -33,6 +36,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": lambda spark, sf: byte_bpe(documents(spark, sf), RANKS_FILE),
     "op9_simhash": lambda spark, sf: simhash(documents(spark, sf)),
     "op10_pii": lambda spark, sf: pii(documents(spark, sf)),
+    "op11_fill_in_middle": lambda spark, sf: fill_in_middle_digests(documents(spark, sf)),
+    "op12_packing": lambda spark, sf: packed_pieces(documents(spark, sf), JSON_FILE),
+    "op13_importance_sample": lambda spark, sf: importance_sample(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")),
 }
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -96,4 +102,19 @@ counts AS (
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND chars - lost >= 0.1 * chars AS kept
 FROM judged""",
+    "op11_fill_in_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS d FROM documents),
+u AS (SELECT *, regexp_extract_all(x, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+             CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2,
+             CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+             CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(len(units) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM p""",
 }

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -163,3 +164,59 @@ def pii_base(docs):
         count = collections.Counter(k for _, _, k, _ in spans)
         out.append((doc_id, *(count[k[0]] for k in kinds), sha(",".join(names)), names))
     return out
+
+
+UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def fill_in_middle(docs):
+    """(doc_id, n, form, prefix_chars, middle_chars, output, text)"""
+    out = []
+    for doc_id, text in docs:
+        text = text or ""
+        digest = sha(f"42:{'null' if doc_id is None else doc_id}")
+        h = [int(digest[8 * k:8 * k + 8], 16) for k in range(4)]
+        units = UNIT.findall(text)
+        a, b = sorted(x % (len(units) + 1) for x in h[:2])
+        prefix, middle, suffix = ("".join(u) for u in (units[:a], units[a:b], units[b:]))
+        if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+            out.append((doc_id, len(units), "plain", None, None, text, text))
+        elif h[3] % 100 < 80:
+            out.append((doc_id, len(units), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}", text))
+        else:
+            out.append((doc_id, len(units), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}", text))
+    return out
+
+
+def document_ids(docs, end_id):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return [(d, [*t.encode(x or "", add_special_tokens=False).ids, end_id]) for d, x in docs]
+
+
+FEATURE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def features(text):
+    words = FEATURE_WORD.findall(lower(text or ""))
+    return [zlib.crc32(w.encode()) % 10000 for w in words + [f"{a} {b}" for a, b in zip(words, words[1:])]], len(words)
+
+
+def importance_sample(docs, target):
+    """(doc_id, n_features, weight, score, rank) in the order of the input; doc_ids that repeat tie in that order."""
+    s, t = collections.Counter(), collections.Counter()
+    found = [(d, *features(x)) for d, x in docs]
+    for _, f, _ in found:
+        s.update(f)
+    for x in target:
+        t.update(features(x)[0])
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s_all + 10000) / ((s[b] + 1) * (t_all + 10000)))) for b in range(10000)]
+    rows = []
+    for d, f, n in found:
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(sha(f"7:{'null' if d is None else d}")[:8], 16)
+        rows.append([d, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    fit = sorted((r for r in rows if r[5] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, r in enumerate(fit[:25 * len(fit) // 100], 1):
+        r[4] = rank
+    return [tuple(r[:5]) for r in rows]
