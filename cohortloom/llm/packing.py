@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from cohortloom.llm.arrow_text import portions
 from cohortloom.llm.common import materialize, numbered, whole_text
 from cohortloom.llm.hilbert import hilbert_key
-from cohortloom.llm.tokenizer_cache import BATCH_BYTES, encoder
+from cohortloom.llm.rank_encoder import rank_encoder
+from cohortloom.llm.tokenizer_cache import BATCH_BYTES
 
 LENGTH, END_ID, PAD_ID = 2048, 1, 0
 #: Dimensions of the hashed vectors and of their projection, bits of a cell in each, parts of one in a projected number.
@@ -38,7 +39,7 @@ def token_directions(n_ids: int) -> np.ndarray:
     hashed = _mixed(np.arange(n_ids))
     matrix = (_mixed(np.arange(HASHED * DIMS) + (1 << 32)) >> np.uint64(63)).astype(np.int64).reshape(HASHED, DIMS) * 2 - 1
     sign = (hashed >> np.uint64(63)).astype(np.int64) * 2 - 1
-    return matrix[(hashed % np.uint64(HASHED)).astype(np.int64)] * sign[:, None]
+    return (matrix[(hashed % np.uint64(HASHED)).astype(np.int64)] * sign[:, None]).T.astype(np.int8)
 
 
 def project(flat: np.ndarray, counts: np.ndarray, directions: np.ndarray) -> np.ndarray:
@@ -48,7 +49,7 @@ def project(flat: np.ndarray, counts: np.ndarray, directions: np.ndarray) -> np.
     if len(some):
         first = (np.cumsum(counts) - counts)[some]
         for d in range(DIMS):
-            out[some, d] = np.add.reduceat(directions[flat, d], first) * UNIT // counts[some]
+            out[some, d] = np.add.reduceat(directions[d][flat], first, dtype=np.int64) * UNIT // counts[some]
     return out
 
 
@@ -58,12 +59,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker, directions = encoder(tokenizer_path), None
+        worker, directions = rank_encoder(tokenizer_path), None
         for batch in batches:
             for row, data, at in portions(batch.column("text"), BATCH_BYTES):
                 flat, counts = worker.ids(data, at)
                 if directions is None:
-                    directions = token_directions(worker.tokenizer.get_vocab_size())
+                    directions = token_directions(worker.size())
                 points = project(flat, counts, directions)
                 flat = np.insert(flat, np.cumsum(counts), end_id).astype(np.int32)
                 offsets = np.append(0, np.cumsum(counts + 1)).astype(np.int32)

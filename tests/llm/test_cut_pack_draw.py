@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm import fill_in_middle, hilbert, importance_sample, packing, radix_sort
+from cohortloom.llm import fill_in_middle, hilbert, importance_sample, packing, radix_sort, rank_encoder
 from tests.llm import brute, data
 
 SF = "/root/testdata/sf0.001"
@@ -119,6 +119,18 @@ def test_packed_pieces_and_sequences(tables):
     assert len(last["ids"]) == 4 * (last["n_tokens"] if last["n_tokens"].bit_count() == 1 else 2048)
 
 
+def test_ids_by_rank_are_those_of_the_library(monkeypatch):
+    """Both libraries agree on odd texts, with special strings and in portions."""
+    monkeypatch.setattr(rank_encoder, "BATCH_BYTES", 64)
+    worker, rng = rank_encoder.rank_encoder(JSON_FILE), random.Random(3)
+    texts = [t or "" for t in data.odd_texts()]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xD800), 32, 10])) for _ in range(rng.randrange(200))) for _ in range(500)]
+    raw = [t.encode() for t in texts]
+    flat, counts = worker.ids(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [worker.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and flat.tolist() == [i for w in want for i in w]
+
+
 def test_neighbours_on_the_curve_are_alike(spark):
     """Documents of four vocabularies, mixed in the input, lie in stretches of one vocabulary along the curve."""
     rng, rows = random.Random(2), []
