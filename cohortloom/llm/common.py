@@ -21,6 +21,17 @@ def whole_text(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
+def apart(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``docs`` has it, in whatever case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
     """``row_id``, ``doc_id`` and the given expressions only, so that no other column can clash.
 
@@ -52,12 +63,13 @@ def keep_rows(docs: DataFrame, winners: DataFrame, listed: DataFrame) -> DataFra
     ``listed`` has doc_id and text_key of every row. Only if some rows share both are equal ones collapsed after
     the join. The text is moved once, by a key that no group of copies shares.
     """
-    winners = winners.select(F.col("doc_id").alias("_w_id"), F.col("text_key").alias("_w_key"))
+    id_, key = apart(docs, "w_id", "w_key")
+    winners = winners.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
     repeats = not listed.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    same = docs["doc_id"].eqNullSafe(F.col("_w_id")) & text_key(docs).eqNullSafe(F.col("_w_key"))
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & text_key(docs).eqNullSafe(F.col(key))
     kept = docs.join(winners, same, "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
 
 
-__all__ = ["SPACE", "SPACES", "documents", "whole_text", "numbered", "word_count", "word_array", "text_key",
+__all__ = ["SPACE", "SPACES", "documents", "whole_text", "apart", "numbered", "word_count", "word_array", "text_key",
            "keep_rows", "materialize"]

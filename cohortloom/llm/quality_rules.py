@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import SPACE, materialize, numbered, text_key, whole_text, word_array
+from cohortloom.llm.common import SPACE, apart, materialize, numbered, text_key, whole_text, word_array
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -108,7 +108,8 @@ def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, min_left: float =
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The rows that are kept, with all columns; rows equal in doc_id, text and source share their verdict."""
+    id_, key, host = apart(docs, "o_id", "o_key", "o_host")
     out = materialize(judged(measured(docs)).filter("not kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("host").alias("_host")).distinct())
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & text_key(docs).eqNullSafe(F.col("_key")) & docs["source"].cast("string").eqNullSafe(F.col("_host"))
+        F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("host").alias(host)).distinct())
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & text_key(docs).eqNullSafe(F.col(key)) & docs["source"].cast("string").eqNullSafe(F.col(host))
     return docs.join(out, same, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import materialize, text_key, whole_text, word_count
+from cohortloom.llm.common import apart, materialize, text_key, whole_text, word_count
 
 #: Share weights of the sources in code point order, repeating; at most CAP times a source's size is taken.
 WEIGHTS = (1, 2, 3)
@@ -105,7 +105,7 @@ def source_mix(docs: DataFrame) -> DataFrame:
 
 def take_mix(docs: DataFrame) -> DataFrame:
     """The mixed documents with all columns, each as often as the mix takes it."""
-    chosen = mix(sized(docs)).filter("times > 0").groupBy("doc_id", "text_key").agg(F.max("times").alias("_times"))
-    chosen = chosen.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & text_key(docs).eqNullSafe(F.col("_key"))
-    return docs.join(chosen, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    id_, key, times, copy = apart(docs, "m_id", "m_key", "m_times", "m_copy")
+    chosen = mix(sized(docs)).filter("times > 0").groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.max("times").alias(times))
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & text_key(docs).eqNullSafe(F.col(key))
+    return docs.join(chosen, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)

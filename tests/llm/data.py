@@ -40,7 +40,8 @@ def odd_docs(spark, ids=None):
 def clashing(docs):
     """The same rows with further columns of the names that the operators use."""
     names = ("row_id row text_key size kept keep_id group_size recipe fp first best times n_words labels score spans kind start end host lines "
-             "source_key draw klass pos stop around word base found pieces n_tokens at part ids").split()
+             "source_key draw klass pos stop around word base found pieces n_tokens at part ids "
+             "_id _key _host _times _copy _w_id _w_key o_id o_key O_HOST m_id m_key m_times m_copy m_copy_ w_id W_KEY _text _words draws output").split()
     return docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
 
 
