@@ -84,15 +84,17 @@ grams AS (
   FROM words WINDOW w AS (PARTITION BY rid ORDER BY pos)),
 twice AS (SELECT rid, pos FROM grams WHERE gram IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
 covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([pos, pos + 1, pos + 2, pos + 3, pos + 4]) AS p FROM twice) GROUP BY rid),
-lines0 AS (SELECT rid, source, unnest(string_split(x, chr(10))) AS line FROM t),
+lines0 AS (SELECT rid, source, unnest(string_split(x, chr(10))) AS line, unnest(range(len(string_split(x, chr(10))))) AS pos FROM t),
 lines AS (
-  SELECT rid, source, line, regexp_replace(regexp_replace(lower(trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))), '[0-9]', '0', 'g'),
-                                           '[\x20\x09-\x0D]+', ' ', 'g') AS norm
+  SELECT rid, source, line, pos, regexp_replace(regexp_replace(lower(trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))), '[0-9]', '0', 'g'),
+                                                '[\x20\x09-\x0D]+', ' ', 'g') AS norm
   FROM lines0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-sketches AS (SELECT rid, min(md5(norm)) AS sketch, count(*) - count(DISTINCT line) AS n_dup, sum(length(line)) AS chars FROM lines GROUP BY rid),
+sketches AS (
+  SELECT rid, md5(string_agg(norm, chr(10) ORDER BY pos)) AS sketch, count(*) - count(DISTINCT line) AS n_dup, sum(length(line)) AS chars
+  FROM lines GROUP BY rid),
 common AS (
-  SELECT source, norm FROM (SELECT DISTINCT l.rid, l.source, l.norm, s.sketch FROM lines l JOIN sketches s ON l.rid = s.rid)
-  GROUP BY source, norm HAVING count(DISTINCT sketch) > 50 AND count(DISTINCT sketch) >= 0.5 * count(*)),
+  SELECT l.source, l.norm FROM lines l JOIN sketches s ON l.rid = s.rid
+  GROUP BY l.source, l.norm HAVING count(DISTINCT s.sketch) > 50),
 lost AS (SELECT l.rid, sum(length(l.line)) AS lost FROM lines l JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.norm = c.norm GROUP BY l.rid),
 counts AS (
   SELECT t.rid, t.doc_id, CAST(len(l.ws) AS BIGINT) AS n_words, CAST(length(array_to_string(l.ws, '')) AS BIGINT) AS word_chars,

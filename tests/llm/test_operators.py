@@ -3,10 +3,12 @@
 import collections
 import random
 
+import duckdb
+import pandas
 import public_tokenizers
 import pytest
 
-from cohortloom.llm import (byte_bpe, exact_dedup, license_scan, pii, quality_rules, simhash, source_mix, suffix_dedup, token_counts,
+from cohortloom.llm import (byte_bpe, exact_dedup, license_scan, pii, quality_rules, queries, simhash, source_mix, suffix_dedup, token_counts,
                             token_files)
 from tests.llm import brute, data
 
@@ -125,6 +127,10 @@ def test_quality_depleted_pages(spark):
     out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, data.SCHEMA)).collect()}
     assert not any(r["base_failed"] for r in out.values())
     assert {d for d, r in out.items() if not r["kept"]} == set(range(51))
+    con = duckdb.connect()
+    con.register("documents", pandas.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]))
+    sql = con.execute(queries.ORACLES["op7_quality_rules"]).df()
+    assert {r.doc_id: (r.n_words, r.base_failed, r.kept) for r in sql.itertuples()} == {d: (r["n_words"], r["base_failed"], r["kept"]) for d, r in out.items()}
 
 
 def test_license_many_notices(spark):
