@@ -15,13 +15,6 @@ from cohortloom.llm.components import components
 from cohortloom.llm.tokenizer_cache import balanced
 
 WORDS, SEED, MAX_BITS = 3, 42, 2
-#: Near copies are found by five-word shingles, dealt into SAMPLES hands; NEAR_BITS and SAMPLE are of the earlier rule, which a test still asks for.
-NEAR_WORDS, NEAR_BITS, SAMPLES, SAMPLE = 5, 12, 16, 8
-#: Candidates for near copies share one of SAMPLES samples of CANDIDATE_SAMPLE shingles and all but CANDIDATE_BITS bits, or all
-#: bits; a candidate is a link if its sets of shingles have this Jaccard similarity.
-CANDIDATE_SAMPLE, CANDIDATE_BITS, NEAR = 4, 20, 0.8
-#: Rounds that compare the members of a group with one of them, before all that is still apart is compared.
-STAR_ROUNDS = 3
 BATCH_CHARS = 1 << 19
 #: Fingerprints of a group that one task indexes; a larger group is divided by the next bits, never cut.
 GROUP = 4096
@@ -38,10 +31,6 @@ def shingle_hashes(text: str, words: int) -> list[int]:
     return [xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*[w[i:] for i in range(words)]))]
 
 
-def _distinct(hashes: list[int]) -> np.ndarray:
-    return np.unique(np.array(hashes, np.uint64))
-
-
 def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A bit is set if it is in more than half of a text's hashes; zero for none."""
     out = np.zeros(len(counts), np.uint64)
@@ -55,50 +44,21 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_keys(hashes: np.ndarray, counts: np.ndarray, sample: int = SAMPLE) -> np.ndarray:
-    """SAMPLES keys for each text: shingles are dealt by hash, and a key is made of the ``sample`` smallest of each hand.
-
-    Texts with most shingles in common share such a sample with a chance near 1; an empty hand has key 0.
-    """
-    out = np.zeros((len(counts), SAMPLES), np.uint64)
-    hand = np.repeat(np.arange(len(counts)), counts) * SAMPLES + (hashes >> np.uint64(60)).astype(np.int64) % SAMPLES
-    order = np.lexsort((hashes, hand))
-    hand, hashes = hand[order], hashes[order]
-    fresh = np.append(True, (hand[1:] != hand[:-1]) | (hashes[1:] != hashes[:-1]))[:len(hand)]  # a repeated shingle counts once
-    hand, hashes = hand[fresh], hashes[fresh]
-    first = np.append(True, hand[1:] != hand[:-1])[:len(hand)]
-    start = np.flatnonzero(first)
-    place = np.arange(len(hand)) - start[np.cumsum(first) - 1] if len(hand) else hand
-    small = place < sample
-    np.add.at(out.ravel(), hand[small], (hashes[small] ^ (hashes[small] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15))
-    return out
-
-
-def fingerprinted(texts: DataFrame, words: int = WORDS, samples: bool = False) -> DataFrame:
-    """``fp`` (the 64 bits as a long), on demand ``keys`` and ``sig`` (a hash of the set of shingles), for a frame of (row_id, doc_id, text_key, text)."""
+def fingerprinted(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``fp``, the 64 bits as a long, for a frame of (row_id, doc_id, text_key, text)."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, keys, sigs = [], [], []
+            parts = []
             for some in balanced(batch.column("text").to_pylist(), BATCH_CHARS):
                 lists = [shingle_hashes(t, words) for t in some]
                 counts = np.fromiter(map(len, lists), np.int64, len(lists))
-                hashes = np.array([h for one in lists for h in one], np.uint64)
-                parts.append(fingerprints(hashes, counts))
-                if samples:
-                    keys.append(sample_keys(hashes, counts, CANDIDATE_SAMPLE))
-                    sigs += [xxhash.xxh64_intdigest(_distinct(one).tobytes(), SEED) for one in lists]
+                parts.append(fingerprints(np.array([h for one in lists for h in one], np.uint64), counts))
             fp = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            columns, names = [batch.column("row_id"), batch.column("doc_id"), batch.column("text_key"), pa.array(fp)], ["row_id", "doc_id", "text_key", "fp"]
-            if samples:
-                flat = np.concatenate(keys).ravel().view(np.int64) if keys else np.zeros(0, np.int64)
-                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SAMPLES, np.int32)), pa.array(flat)))
-                columns.append(pa.array(np.array(sigs, np.uint64).view(np.int64)))
-                names += ["keys", "sig"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "doc_id", "text_key")), pa.array(fp)], ["row_id", "doc_id", "text_key", "fp"])
 
-    return texts.mapInArrow(run, f"row_id long, doc_id {kind}, text_key string, fp long" + ", keys array<long>, sig long" * samples)
+    return texts.mapInArrow(run, f"row_id long, doc_id {kind}, text_key string, fp long")
 
 
 # The index
@@ -357,107 +317,8 @@ def simhash(docs: DataFrame, words: int = WORDS) -> DataFrame:
                                                 F.col("best.b").alias("component_id"))
 
 
-def candidate_groups(rows: DataFrame) -> DataFrame:
-    """path, key, sig, fp: the groups of two or more sets of shingles that share a sample, or the whole fingerprint."""
-    by_sample = rows.select("sig", "fp", F.posexplode("keys").alias("path", "key")).filter("key != 0")
-    by_print = rows.select("sig", "fp", F.lit(SAMPLES).alias("path"), F.col("fp").alias("key"))
-    dealt = by_sample.unionByName(by_print).distinct()
-    shared = dealt.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("path", "key")
-    return materialize(dealt.join(shared, ["path", "key"], "left_semi"))
-
-
-def shingle_sets(docs: DataFrame, rows: DataFrame, groups: DataFrame, words: int) -> DataFrame:
-    """sig and its distinct shingle hashes, for the sets in ``groups``; the text is read again for these only."""
-    named = rows.groupBy("sig").agg(F.min("text_key").alias("_key")).join(groups.select("sig").distinct(), "sig", "left_semi")
-    texts = docs.select(text_key(docs).alias("_key"), whole_text(docs).alias("text")).join(named, "_key").select("sig", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig, at = batch.column("sig"), 0
-            for some in balanced(batch.column("text").to_pylist(), BATCH_CHARS):
-                sets = [_distinct(shingle_hashes(t, words)).view(np.int64) for t in some]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([sig.slice(at, len(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["sig", "shingles"])
-                at += len(sets)
-
-    return materialize(texts.mapInArrow(run, "sig long, shingles array<long>").dropDuplicates(["sig"]))
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are similar enough."""
-    left = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("_a"))
-    right = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared, total = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
-    # i / (total - i) >= 0.8 in whole numbers
-    return materialize(both.filter(shared * round(100 + 100 * NEAR) >= total * round(100 * NEAR)).select("a", "b"))
-
-
-def _star_pairs(groups: DataFrame, turn: int, max_bits: int) -> DataFrame:
-    """Pairs of one member of each group, another by turn, with the members not yet linked to it."""
-    member = F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), F.col("sig"), F.col("fp"), F.col("root"))
-    middle = groups.groupBy("path", "key").agg(F.min(member).alias("m"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("m.fp"))) <= max_bits
-    return (groups.join(middle, ["path", "key"]).filter((F.col("root") != F.col("m.root")) & near)
-            .select(F.greatest("sig", "m.sig").alias("a"), F.least("sig", "m.sig").alias("b")).distinct())
-
-
-def _open_pairs(groups: DataFrame, max_bits: int) -> DataFrame:
-    """All pairs of a group within ``max_bits`` bits that are not linked yet; members linked to most others meet only the rest."""
-    apart = groups.groupBy("path", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("path", "key")
-    ordered = groups.join(apart, ["path", "key"], "left_semi").repartition("path", "key").sortWithinPartitions("path", "key")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_end(batches):
-            now = None if batch is None else [batch.column(c).to_numpy() for c in ("path", "key", "sig", "fp", "root")]
-            if now is not None and held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            ready, held = _whole_groups(held if now is None else now, last=now is None)
-            if ready is None:
-                continue
-            path, key, sig, fp, root = ready
-            cuts = np.flatnonzero((path[1:] != path[:-1]) | (key[1:] != key[:-1])) + 1
-            found = []
-            for s, e in zip([0, *cuts], [*cuts, len(path)]):
-                names, which, n = np.unique(root[s:e], return_inverse=True, return_counts=True)
-                for i in s + np.flatnonzero(which != n.argmax()):
-                    j = s + np.flatnonzero((np.bitwise_count((fp[s:e] ^ fp[i]).view(np.uint64)) <= max_bits) & (root[s:e] != root[i]))
-                    found.append((np.full(len(j), sig[i]), sig[j]))
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    return ordered.select("path", "key", "sig", "fp", "root").mapInArrow(search, "a long, b long").distinct()
-
-
-def near_links(docs: DataFrame, rows: DataFrame, words: int = NEAR_WORDS, max_bits: int = CANDIDATE_BITS) -> DataFrame:
-    """Links (a, b) between ``sig`` whose components are those of all candidates of similarity NEAR.
-
-    A group of copies is as a rule linked by a few of its members; then what is left is compared with all others, and
-    a pair that is linked over others already is not compared again.
-    """
-    groups = candidate_groups(rows)
-    sets = shingle_sets(docs, rows, groups, words)
-    made, now = None, groups.withColumn("root", F.col("sig"))
-    for turn in range(STAR_ROUNDS + 1):
-        found = verified(_star_pairs(now, turn, max_bits) if turn < STAR_ROUNDS else _open_pairs(now, max_bits), sets)
-        made = found if made is None else made.unionByName(found)
-        if turn < STAR_ROUNDS and not found.isEmpty():
-            rooted = components(made).select(F.col("node").alias("sig"), F.col("root").alias("_root"))
-            now = materialize(groups.join(rooted, "sig", "left").select("path", "key", "sig", "fp", F.coalesce("_root", "sig").alias("root")))
-    return made
-
-
-def drop_near_copies(docs: DataFrame, words: int = NEAR_WORDS, max_bits: int = CANDIDATE_BITS) -> DataFrame:
-    """One row of each group of near copies, that of the smallest doc_id, with all columns.
-
-    Near copies have NEAR of their shingles in common; a group is linked over its members.
-    """
-    text = numbered(docs, text_key(docs).alias("text_key"), whole_text(docs).alias("text"))
-    rows = materialize(fingerprinted(text, words, samples=True))
-    rooted = components(near_links(docs, rows, words, max_bits))
-    first = rows.groupBy("sig").agg(F.min(_first()).alias("first"))
-    joined = first.join(rooted, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("best"))
-    best = materialize(joined.select(F.col("best.b").alias("doc_id"), F.col("best.d").alias("text_key")).distinct())
+def drop_near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row of each component of ``simhash``, that of the smallest doc_id, with all columns."""
+    rows = simhash_rows(docs, words)
+    best = materialize(classes(rows).select(F.col("best.b").alias("doc_id"), F.col("best.d").alias("text_key")).distinct())
     return keep_rows(docs, best, rows)

@@ -3,7 +3,6 @@
 import collections
 import random
 
-import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
@@ -20,27 +19,8 @@ def rows(df):
 
 
 def near_winners(docs):
-    """The smallest doc_id of each component of documents that share a sample and 0.8 of the bits."""
-    prints, keys = [], []
-    for _, text, _ in docs:
-        hashes = np.array(simhash.shingle_hashes(text or "", simhash.NEAR_WORDS), np.uint64)
-        prints.append(brute.fingerprint(text, simhash.NEAR_WORDS))
-        keys.append({(g, int(k)) for g, k in enumerate(simhash.sample_keys(hashes, np.array([len(hashes)]))[0]) if k})
-    root = list(range(len(docs)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(docs)):
-        for j in range(i):
-            if prints[i] == prints[j] or (keys[i] & keys[j] and (prints[i] ^ prints[j]).bit_count() <= simhash.NEAR_BITS):
-                root[find(i)] = find(j)
-    best = {}
-    for i, (d, _, _) in enumerate(docs):
-        best[find(i)] = min(best.get(find(i), d), d)
-    return set(best.values())
+    """The smallest doc_id of each component of fingerprints of three-word shingles within two bits."""
+    return {root for _, _, root in brute.simhash([r[:2] for r in docs])}
 
 
 def test_stages(spark):
@@ -57,7 +37,6 @@ def test_stages(spark):
     near = materialize(stages["simhash_near_dedup"](spark, exact, SF))
     winners = near_winners(rows(exact))
     assert near.columns == columns and rows(near) == [r for r in rows(exact) if r[0] in winners]
-    assert len(winners) < exact.count()
 
     mixed = materialize(stages["source_mix"](spark, near, SF))
     times = {r["doc_id"]: r["taken"] // r["size"] for r in source_mix.source_mix(near).collect() if r["size"]}
@@ -82,28 +61,12 @@ def test_stages_on_odd_rows(spark):
 
 
 def test_near_copies_leave_one(spark):
-    texts = data.odd_texts()[18].split()
+    """Long texts with one word changed are mostly within two bits: what stays is what brute force says."""
+    texts, rng = data.odd_texts()[18].split(), random.Random(3)
     docs = []
     for k in range(40):
-        own = texts[k * 400:k * 400 + 300]
-        docs += [(3 * k, " ".join(own), "en", "s", 0), (3 * k + 1, " ".join([*own[:150], "changed", *own[151:]]), "en", "s", 0)]
-    out = simhash.drop_near_copies(spark.createDataFrame(docs, data.SCHEMA)).collect()
-    assert sorted(r["doc_id"] for r in out) == [3 * k for k in range(40)]
-
-
-def test_near_copies_by_similarity(spark):
-    """Against all pairs: similar documents leave one, also beyond 12 bits; pairs below 0.8 stay, short ones too."""
-    rng, docs = random.Random(3), []
-    for k in range(300):
-        words = [f"w{rng.randrange(10 ** 9)}" for _ in range((64, 64, 304)[k % 3])]
-        other = list(words)
-        for i in range(2, 5 * (1 + k % 5), 5) if k % 3 < 2 else range(2, 5 * (5 + k % 15), 5):
-            other[i] = f"x{rng.randrange(10 ** 9)}"
-        docs += [(2 * k, " ".join(words), "en", "s", 0), (2 * k + 1, " ".join(other), "en", "s", 0)]
-    sets = [set(simhash.shingle_hashes(d[1], simhash.NEAR_WORDS)) for d in docs]
-    alike = {k: len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(300)}
-    assert {True, False} == {v >= 0.8 for v in alike.values()}
-    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(docs, data.SCHEMA)).collect()}
-    assert kept >= {2 * k for k in range(300)}
-    assert not [k for k, v in alike.items() if v < 0.8 and 2 * k + 1 not in kept]
-    assert not [k for k, v in alike.items() if v >= 0.8 and 2 * k + 1 in kept]
+        own = texts[k * 400:k * 400 + 390]
+        docs += [(3 * k, " ".join(own), None, "s"), (3 * k + 1, " ".join([*own[:rng.randrange(380)], "changed", *own[381:]]), None, "s"), (3 * k + 2, "  ".join(own), None, "s")]
+    out = simhash.drop_near_copies(spark.createDataFrame([(*d, 0) for d in docs], data.SCHEMA)).collect()
+    kept = {r["doc_id"] for r in out}
+    assert kept == near_winners(docs) and {3 * k for k in range(40)} <= kept and len(kept) < 80
