@@ -25,7 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 0.8 of the five-word shingles in common."""
+    """One document of each group of near copies: fingerprints of three-word shingles that two bits link."""
     return drop_near_copies(docs)
 
 
