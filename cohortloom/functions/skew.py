@@ -6,30 +6,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+#: Frames of a guessed size beyond this are not counted to find out whether they are small.
+UNREAD_BYTES = 1 << 40
 HOT_ROWS = 2_000_000
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's upper estimate of the frame's size; starts no job."""
+    """The optimizer's guess of the frame's size, from file sizes; it may be far too low or too high. Starts no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` may be broadcast: at most BROADCAST_BYTES and ``max_rows`` rows (0 says no).
+    """Whether ``df`` may be broadcast: at most BROADCAST_BYTES and ``max_rows`` rows (0 says no), as measured.
 
-    The estimate of the plan answers without a job. Only where it is too large, which an estimate
-    over joins often is, rows are counted and weighed by the width of a row.
+    Only a read says yes. It ends as soon as one row more than may fit has been seen, and adds up the bytes of the
+    columns without a fixed width. The plan's guess is used to say no alone, where counting would read too much.
     """
-    if max_rows <= 0:
+    if max_rows <= 0 or plan_bytes(df) > UNREAD_BYTES:
         return False
-    if max_rows >= BROADCAST_ROWS and plan_bytes(df) <= BROADCAST_BYTES:
-        return True
-    rows = df.count()
-    width = sum(64 if f.dataType.simpleString() == "string" else 8 for f in df.schema.fields) + 16
-    return rows <= max_rows and rows * width <= BROADCAST_BYTES
+    fixed = 16 + 8 * len(df.columns)
+    limit = min(max_rows, BROADCAST_BYTES // fixed)
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.DatetimeType, T.BooleanType))]
+    size = F.lit(0).cast("long")
+    for c in wide:
+        plain = isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType))
+        column = F.col(f"`{c}`")
+        size = size + F.coalesce(F.octet_length(column if plain else F.to_json(F.struct(column))), F.lit(0))
+    found = df.select(size.alias("size")).limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    return found["n"] <= limit and found["n"] * fixed + found["size"] <= BROADCAST_BYTES
 
 
 def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
@@ -66,7 +74,7 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
 
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                 max_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Broadcast ``small`` when it is measured to fit, otherwise fall back to ``skew_join``."""
+    """Broadcast ``small`` where ``fits`` has measured it, otherwise fall back to ``skew_join``."""
     on = list(on)
     if fits(small, max_rows):
         return big.join(F.broadcast(small), on, how)

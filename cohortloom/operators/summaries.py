@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.distributions import test_p_value_udf
-from cohortloom.functions.quantiles import grouped_quantiles, quantile_struct
+from cohortloom.functions.quantiles import grouped_quantiles, wide_quantiles
 from cohortloom.functions.values import mean_sd, n_pct, n_pct_without
+from cohortloom.session import materialize
 
 ALL = "ALL"
 
@@ -109,11 +110,10 @@ def any_treatment_rows(rates: DataFrame, yearly: DataFrame, year: str) -> DataFr
 
 def time_to_first(df: DataFrame, time: str, first: str = "trt1", within: int = 365) -> DataFrame:
     """Five quantiles of the days to the first treatment, for those within ``within`` days."""
-    kept = df.filter(F.col(first).isNotNull() & (F.col(time) <= within))
-    q = quantile_struct(F.col(time), [0, 0.25, 0.5, 0.75, 1])
+    kept = materialize(df.filter(F.col(first).isNotNull() & (F.col(time) <= within)).select(first, time))
     names = ["q0", "q25", "q50", "q75", "q100"]
-    return (kept.groupBy(first).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
-            .select(first, "n", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(names)]))
+    quantiles = wide_quantiles(kept, first, time, [0, 0.25, 0.5, 0.75, 1], names)
+    return kept.groupBy(first).agg(F.count(F.lit(1)).alias("n")).join(quantiles, first).select(first, "n", *names)
 
 
 def missingness_rates(df: DataFrame, person: str, year: str, flags: Sequence[str]) -> DataFrame:
@@ -125,40 +125,39 @@ def missingness_rates(df: DataFrame, person: str, year: str, flags: Sequence[str
                        F.bround(F.col("n") / F.col("n_year"), 3).alias("p"))
 
 
+def _subset_rows(df: DataFrame, subsets: Mapping[str, tuple[Column, Column]], person: Column | None = None) -> DataFrame:
+    """_subset, _in, _value, _person of every row and subset, written once: what follows reads thin rows several times."""
+    entries = F.array(*[F.struct(F.lit(name).alias("_subset"), F.coalesce(cond, F.lit(False)).alias("_in"), value.cast("double").alias("_value"))
+                        for name, (value, cond) in subsets.items()])
+    person = F.lit(None).cast("string") if person is None else person
+    return materialize(df.select(person.alias("_person"), F.inline(entries)))
+
+
+def _by_subset(rows: DataFrame, subsets: Mapping, sizes: DataFrame, names: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Sizes and quantiles of every subset, of one without rows too."""
+    inside = rows.filter("_in").select("_subset", "_value")
+    every = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in subsets])).alias("_subset"))
+    return every.join(sizes, "_subset", "left").join(wide_quantiles(inside, "_subset", "_value", probs, names), "_subset", "left")
+
+
 def quartiles_by_outcome(df: DataFrame, person: str, time: str,
                          groups: Mapping[str, Column]) -> DataFrame:
-    """Count, share of all rows, median and quartiles of a day column per named subgroup."""
-    q = [0.25, 0.5, 0.75]
-    total = F.count(F.lit(1))
-    rows = []
-    for name, cond in groups.items():
-        inside = F.coalesce(cond, F.lit(False))
-        rows += [F.countDistinct(F.when(inside, F.col(person))).alias(f"{name}_n"),
-                 quantile_struct(F.when(inside, F.col(time)), q).alias(f"{name}_q")]
-    wide = df.agg(total.alias("_total"), *rows)
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("grp"), F.col(f"{name}_n").alias("n"),
-                 (F.col(f"{name}_n") / F.col("_total")).alias("p"),
-                 F.get(f"{name}_q", F.lit(1)).alias("med"),
-                 F.get(f"{name}_q", F.lit(0)).alias("q1"),
-                 F.get(f"{name}_q", F.lit(2)).alias("q3"))
-        for name in groups])))
+    """Count of persons, share of all rows, median and quartiles of a column per named subgroup."""
+    subsets = {name: (F.col(time), cond) for name, cond in groups.items()}
+    rows = _subset_rows(df, subsets, F.col(person))
+    n = F.countDistinct(F.when(F.col("_in"), F.col("_person")))
+    sizes = rows.groupBy("_subset").agg(n.alias("n"), (n / F.count(F.lit(1))).alias("p"))
+    out = _by_subset(rows, subsets, sizes, ["q1", "med", "q3"], [0.25, 0.5, 0.75])
+    return out.select(F.col("_subset").alias("grp"), F.coalesce("n", F.lit(0)).alias("n"), "p", "med", "q1", "q3")
 
 
 def six_numbers(df: DataFrame, subsets: Mapping[str, tuple[str, Column]]) -> DataFrame:
-    """Count, min, q1, median, mean, q3, max of a day column per named row subset, in one pass."""
-    aggs, rows = [], []
-    for name, (col, cond) in subsets.items():
-        v = F.when(F.coalesce(cond, F.lit(False)), F.col(col))
-        aggs += [F.count_if(cond).alias(f"{name}_n"),
-                 quantile_struct(v, [0, 0.25, 0.5, 0.75, 1]).alias(f"{name}_q"),
-                 F.avg(v).alias(f"{name}_m")]
-        at = lambda i, name=name: F.get(f"{name}_q", F.lit(i))
-        rows.append(F.struct(
-            F.lit(name).alias("subset"), F.col(f"{name}_n").alias("n"), at(0).alias("min"),
-            at(1).alias("q1"), at(2).alias("median"), F.col(f"{name}_m").alias("mean"),
-            at(3).alias("q3"), at(4).alias("max")))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    """Count, min, q1, median, mean, q3, max of a column per named row subset."""
+    subsets = {name: (F.col(col), cond) for name, (col, cond) in subsets.items()}
+    rows = _subset_rows(df, subsets)
+    sizes = rows.groupBy("_subset").agg(F.count_if("_in").alias("n"), F.avg(F.when(F.col("_in"), F.col("_value"))).alias("mean"))
+    out = _by_subset(rows, subsets, sizes, ["min", "q1", "median", "q3", "max"], [0, 0.25, 0.5, 0.75, 1])
+    return out.select(F.col("_subset").alias("subset"), F.coalesce("n", F.lit(0)).alias("n"), "min", "q1", "median", "mean", "q3", "max")
 
 
 def _long_values(df: DataFrame, columns: Sequence[str], kind: str, keep: Sequence[Column]) -> DataFrame:
