@@ -368,7 +368,7 @@ def _nearest_reference(spark, sf, **limit):
     reference = curve.select((F.floor(F.col("agemos") / 10) * 10).cast("int").alias("bucket"),
                              F.col("sex").cast("int").alias("sex"), F.col("agemos").alias("point"), "l", "m", "s")
     hits = C.nearest_reference_join(
-        _measured(spark, sf, _who(spark, sf)), reference, ["event_id"],
+        _measured(spark, sf, _who(spark, sf)), reference,
         {"bucket": "bucket", "sex_code": "sex"}, "agemos", "point", {"l": "l", "m": "m", "s": "s"}, **limit)
     return hits.select("event_id", "agemos", "point", "l", F.round("m", 6).alias("m"), F.round("s", 6).alias("s"))
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.catalog import query, star
-from cohortloom.functions.skew import BROADCAST_ROWS, fits
-from cohortloom.operators.endpoints import code_events, first_event_after_index, union_sources
+from cohortloom.operators.endpoints import EventRule, first_events
 from cohortloom.operators.timelines import (
     after_first_flags,
     any_treatment_time,
@@ -23,14 +22,22 @@ def _who(spark, sf):
     return materialize(star.cohort(spark, sf).select(*KEYS, "index_date"))
 
 
+def _cohort_lines(spark, sf):
+    """The cohort and its order lines: orders of others are gone before the lines are joined."""
+    who = _who(spark, sf)
+    return who, star.lines(spark, sf, who)
+
+
 @query("first_procedure", star.sql_stack("SELECT person_id, index_date, first_date FROM ep_surgery"))
 def q_first_procedure(spark, sf):
-    return star.surgery(spark, sf, _who(spark, sf))
+    who, rows = _cohort_lines(spark, sf)
+    return star.surgery(spark, sf, who, rows=rows)
 
 
 @query("first_prescription", star.sql_stack("SELECT person_id, index_date, therapy, first_date FROM ep_rx"))
 def q_first_prescription(spark, sf):
-    return star.first_prescriptions(spark, sf, _who(spark, sf))
+    who, rows = _cohort_lines(spark, sf)
+    return star.first_prescriptions(spark, sf, who, rows=rows)
 
 
 MED_SQL = """
@@ -51,52 +58,47 @@ ep_admin_nd AS (
 """
 
 
-def _first(who, events, codes, code, codeset_code, date, condition=None, small=None):
-    tagged = code_events(events, codes, code, codeset_code, "therapy", condition)
-    return first_event_after_index(who, tagged, KEYS, "index_date", date, ["therapy"], 30, small=small)
-
-
-def _dispensed(spark, sf, who, ndc, small=None):
-    return _first(who, star.dispensing(spark, sf), ndc, "ndc", "ndc", "dispense_date", small=small)
-
+def _drug_rules(codes, ndc):
+    """The four sources of drugs among the order lines: prescribed, dispensed, given by either code system."""
+    part, flag, status, ship = (F.col(c) for c in ("l_partkey", "l_returnflag", "l_linestatus", "ship"))
+    number, package = part.cast("string"), F.concat(F.lit("N"), part.cast("string"))
+    started = F.when(F.col("l_linenumber") % 5 != 0, ship)
+    return {r.source: r for r in (
+        EventRule("prescribed", number, started, codes, "p_partkey", flag == "R", 30),
+        EventRule("dispensed", package, ship, ndc, "ndc", flag == "A", 30),
+        EventRule("given_rx", number, ship, codes, "p_partkey", (flag == "N") & (status == "O"), 30),
+        EventRule("given_nd", package, ship, ndc, "ndc", (flag == "N") & (status != "O"), 30))}
 
-def _admin_rx(spark, sf, who, codes, small=None):
-    codes = codes.withColumn("p_partkey", F.col("p_partkey").cast("string"))
-    return _first(who, star.med_admin(spark, sf), codes, "code", "p_partkey", "start_date",
-                  F.col("kind") == "RX", small)
 
-
-def _admin_nd(spark, sf, who, ndc, small=None):
-    return _first(who, star.med_admin(spark, sf), ndc, "code", "ndc", "start_date", F.col("kind") == "ND", small)
+def _first_drugs(spark, sf, *sources):
+    """First drugs of the cohort by the named sources, in one scan of its lines."""
+    who, rows = _cohort_lines(spark, sf)
+    # both code sets serve two sources each, so they are persisted like the cohort
+    codes = materialize(star.codeset(spark, sf))
+    rules = _drug_rules(codes, materialize(star.crosswalk(spark, sf, codes=codes)))
+    return first_events(who, rows, [rules[s] for s in sources or rules], KEYS, "index_date", "therapy").drop("source")
 
 
 @query("first_dispensing", star.sql_stack("SELECT * FROM ep_disp", MED_SQL))
 def q_first_dispensing(spark, sf):
-    return _dispensed(spark, sf, _who(spark, sf), star.crosswalk(spark, sf))
+    return _first_drugs(spark, sf, "dispensed")
 
 
 @query("first_administration_rx", star.sql_stack("SELECT * FROM ep_admin_rx", MED_SQL))
 def q_first_administration_rx(spark, sf):
-    return _admin_rx(spark, sf, _who(spark, sf), star.codeset(spark, sf))
+    return _first_drugs(spark, sf, "given_rx")
 
 
 @query("first_administration_nd", star.sql_stack("SELECT * FROM ep_admin_nd", MED_SQL))
 def q_first_administration_nd(spark, sf):
-    return _admin_nd(spark, sf, _who(spark, sf), star.crosswalk(spark, sf))
+    return _first_drugs(spark, sf, "given_nd")
 
 
 @query("union_sources", star.sql_stack("""
 SELECT * FROM ep_rx UNION SELECT * FROM ep_disp UNION SELECT * FROM ep_admin_rx UNION SELECT * FROM ep_admin_nd
 """, MED_SQL))
 def q_union_sources(spark, sf):
-    who = _who(spark, sf)
-    small = fits(who, BROADCAST_ROWS)
-    # both code sets serve two sources each, so they are persisted like the cohort
-    codes = materialize(star.codeset(spark, sf))
-    ndc = materialize(star.crosswalk(spark, sf, codes=codes))
-    return union_sources(star.first_prescriptions(spark, sf, who, small, codes),
-                         _dispensed(spark, sf, who, ndc, small), _admin_rx(spark, sf, who, codes, small),
-                         _admin_nd(spark, sf, who, ndc, small))
+    return _first_drugs(spark, sf).distinct()
 
 
 @query("censor_date", star.sql_stack("SELECT person_id, index_date, censor_date FROM ep_censor"))

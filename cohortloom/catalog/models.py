@@ -381,6 +381,39 @@ def q_pooled_selected_table(spark, sf):
     return _rounded(result_table(rubin_pool(M.coefficients(spark, fits), n, len(IMPS)), "OR"))
 
 
+COX_CHOSEN = "(SELECT imp, arg_max(mask, step) AS mask FROM walk GROUP BY 1) w JOIN fitted f ON f.imp = w.imp"
+
+
+def _sql_pooled_hazards(chosen: str) -> tuple[str, ...]:
+    """Pooled hazards of each data set's selected model, its mask as ``chosen``."""
+    rows = f"SELECT n.term, f.b, f.se FROM {COX_CHOSEN} AND f.mask = {chosen} JOIN column_names n ON n.place = f.place"
+    return (COX_POINTS_SQL, COX_FITS, aic_walk(list(COX_TERMS)), pooled(rows, ONE_SET, len(IMPS), "hazards_"))
+
+
+def _pooled_hazards(spark, sf, choose):
+    coded, terms = _cox_frame(spark, sf)
+    coded = materialize(coded)
+    fits = choose(coded, terms, stepwise_cox(coded, "time6", "status6", terms, "imp", IMPS))
+    return _rounded(result_table(rubin_pool(M.coefficients(spark, fits), coded.filter("imp = 1").count(), len(IMPS)), "HR"))
+
+
+@query("pooled_selected_cox_table", sql_timeline(f"""
+SELECT term, {_sql_ratio('HR', 'p')} FROM hazards_pooled p""", *_sql_pooled_hazards("w.mask")))
+def q_pooled_selected_cox_table(spark, sf):
+    """Pooled coefficients of the stepwise Cox models."""
+    return _pooled_hazards(spark, sf, lambda coded, terms, picked: [s.fit for s in picked])
+
+
+@query("pooled_hand_selected_cox_table", sql_timeline(f"""
+SELECT term, {_sql_ratio('HR', 'p')} FROM hazards_pooled p""", *_sql_pooled_hazards("((w.mask & 14) | 16)")))
+def q_pooled_hand_selected_cox_table(spark, sf):
+    """Pooled coefficients of the hand-selected Cox models."""
+    def choose(coded, terms, picked):
+        return _hand_picked(coded, terms, picked, "age|race", ["race"], lambda specs: fit_cox(coded, "time6", "status6", specs, "imp"))
+
+    return _pooled_hazards(spark, sf, choose)
+
+
 # -- imputation -------------------------------------------------------------------------------------
 
 

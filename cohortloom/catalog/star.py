@@ -52,15 +52,10 @@ PX_EXACT = ["7", "17", "544", "1033"]
 PX_PREFIXES = ["12", "45"]
 ENDPOINTS = ["base_a", "base_b", "step_1", "step_2", "surgery", "censor"]
 TREATMENTS = ["standard", "step_1", "step_2", "surgery"]
-TRANSITIONS = [
-    Transition("time_std2s2", "standard", ("base_a", "base_b"), "step_2"),
-    Transition("time_std2s1", "standard", ("base_a", "base_b"), "step_1"),
-    Transition("time_std2sur", "standard", ("base_a", "base_b"), "surgery"),
-    Transition("time_s2_s1", "step_2", ("step_2",), "step_1"),
-    Transition("time_s2_sur", "step_2", ("step_2",), "surgery"),
-    Transition("time_s1_s2", "step_1", ("step_1",), "step_2"),
-    Transition("time_s1_sur", "step_1", ("step_1",), "surgery"),
-]
+LABELS = {"standard": "std", "step_1": "s1", "step_2": "s2", "surgery": "sur"}
+#: Every treatment but the last, to every other later in severity.
+TRANSITIONS = [Transition(f"time_{LABELS[a]}{'2' if a == 'standard' else '_'}{LABELS[b]}", a, ("base_a", "base_b") if a == "standard" else (a,), b)
+               for a in ("standard", "step_2", "step_1") for b in ("step_2", "step_1", "surgery") if a != b]
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -221,21 +216,6 @@ def prescribing(spark: SparkSession, sf: str, rows: DataFrame | None = None) ->
         F.col("ordered").alias("order_date"))
 
 
-def dispensing(spark: SparkSession, sf: str) -> DataFrame:
-    return lines(spark, sf).filter("l_returnflag = 'A'").select(
-        "person_id", F.concat(F.lit("N"), F.col("l_partkey").cast("string")).alias("ndc"),
-        F.col("ship").alias("dispense_date"))
-
-
-def med_admin(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.when(F.col("l_linestatus") == "O", "RX").otherwise("ND")
-    key = F.col("l_partkey").cast("string")
-    return lines(spark, sf).filter("l_returnflag = 'N'").select(
-        "person_id", kind.alias("kind"),
-        F.when(kind == "RX", key).otherwise(F.concat(F.lit("N"), key)).alias("code"),
-        F.col("ship").alias("start_date"))
-
-
 def procedures(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     return (lines(spark, sf) if rows is None else rows).filter("l_returnflag = 'A'").select(
         "person_id", F.col("l_partkey").cast("string").alias("px"),
@@ -346,14 +326,14 @@ stack AS (
 # -- timelines ------------------------------------------------------------------------------------
 
 
-def wide(spark: SparkSession, sf: str) -> DataFrame:
-    firsts = first_nonnegative_event(stack(spark, sf), KEYS)
+def wide(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFrame:
+    firsts = first_nonnegative_event(stack(spark, sf, who), KEYS)
     return composite_endpoint(pivot_endpoints(firsts, KEYS, ENDPOINTS), "standard", ["base_a", "base_b"])
 
 
-def timeline(spark: SparkSession, sf: str) -> DataFrame:
+def timeline(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFrame:
     """Wide endpoints with order, status and time columns, transitions and the outcome."""
-    w = wide(spark, sf)
+    w = wide(spark, sf, who)
     seq = after_first_flags(with_sequence(w, TREATMENTS), {
         "surgery_after": "surgery", "step_1_after": "step_1", "step_2_after": "step_2"})
     out = status_time(seq, ENDPOINTS[:-1])
@@ -363,8 +343,8 @@ def timeline(spark: SparkSession, sf: str) -> DataFrame:
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Persons who began with the standard treatment, with their outcome and covariates."""
-    people = cohort(spark, sf).select(*KEYS, "site", "sex", "race", "age", "balance", "index_date")
-    kept = timeline(spark, sf).filter((F.col("trt1") == "standard") & (F.col("time6") >= 0))
+    people = materialize(cohort(spark, sf).select(*KEYS, "site", "sex", "race", "age", "balance", "index_date"))
+    kept = timeline(spark, sf, people.select(*KEYS, "index_date")).filter((F.col("trt1") == "standard") & (F.col("time6") >= 0))
     return people.join(kept, KEYS).withColumn("index_year", F.year("index_date"))
 
 

@@ -243,11 +243,12 @@ YEARS = [365 * i for i in range(1, 11)]
 
 
 @query("survival_at", sql_timeline("""
-SELECT t.sex, t.at, CAST(coalesce(r.n_risk, 0) AS BIGINT) AS n_risk,
-       round(coalesce(k.survival, 1), 8) AS survival
+SELECT t.sex, t.at, CAST(coalesce(r.n_risk, 0) AS BIGINT) AS n_risk, round(coalesce(k.survival, 1), 8) AS survival,
+       round(CASE WHEN k.survival IS NULL THEN 1 ELSE k.survival * exp(-1.959963984540054 * k.se) END, 8) AS lower,
+       round(CASE WHEN k.survival IS NULL THEN 1 WHEN k.se IS NOT NULL THEN least(1, k.survival * exp(1.959963984540054 * k.se)) END, 8) AS upper
 FROM (SELECT DISTINCT a.sex, g.at FROM km a, (SELECT CAST(365 * i AS INTEGER) AS at FROM range(1, 11) x(i)) g
       WHERE g.at <= (SELECT max(time6) FROM km b WHERE b.sex = a.sex)) t
-LEFT JOIN (SELECT g.at, a.sex, arg_max(survival, time6) AS survival
+LEFT JOIN (SELECT g.at, a.sex, arg_max(survival, time6) AS survival, arg_max_null(se, time6) AS se
            FROM km a JOIN (SELECT 365 * i AS at FROM range(1, 11) x(i)) g ON a.time6 <= g.at GROUP BY 1, 2) k
   ON k.at = t.at AND k.sex = t.sex
 LEFT JOIN (SELECT g.at, a.sex, max(n_risk) AS n_risk
@@ -256,7 +257,7 @@ LEFT JOIN (SELECT g.at, a.sex, max(n_risk) AS n_risk
 def q_survival_at(spark, sf):
     curve = kaplan_meier(star.outcomes(spark, sf), "time6", "status6", ["sex"])
     return survival_at(curve, YEARS, "time6", ["sex"]).select(
-        "sex", "at", "n_risk", F.round("survival", 8).alias("survival"))
+        "sex", "at", "n_risk", *[F.round(c, 8).alias(c) for c in ("survival", "lower", "upper")])
 
 
 def _number(var, grp, where="TRUE", by=""):

@@ -10,23 +10,16 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
-#: Frames of a guessed size beyond this are not counted to find out whether they are small.
-UNREAD_BYTES = 1 << 40
 HOT_ROWS = 2_000_000
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's guess of the frame's size, from file sizes; it may be far too low or too high. Starts no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` may be broadcast: at most BROADCAST_BYTES and ``max_rows`` rows (0 says no), as measured.
 
-    Only a read says yes. It ends as soon as one row more than may fit has been seen, and adds up the bytes of the
-    columns without a fixed width. The plan's guess is used to say no alone, where counting would read too much.
+    A read says so, not the optimizer's guess, which file compression and joins lead far astray. It ends as soon as one row
+    more than may fit has been seen, and adds up the bytes of the columns without a fixed width.
     """
-    if max_rows <= 0 or plan_bytes(df) > UNREAD_BYTES:
+    if max_rows <= 0:
         return False
     fixed = 16 + 8 * len(df.columns)
     limit = min(max_rows, BROADCAST_BYTES // fixed)

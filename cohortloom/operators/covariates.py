@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.predicates import any_of, is_member, starts_with_any
-from cohortloom.functions.skew import attach_index, fits, lookup_join, skew_join
+from cohortloom.functions.scans import in_blocks, neighbours
+from cohortloom.functions.skew import attach_index, fits, lookup_join
 from cohortloom.functions.values import days_between, decade_bucket, lms_zscore, round_half_even
 from cohortloom.operators.cohort import earliest
 from cohortloom.sources.contracts import assert_unique
@@ -188,25 +189,24 @@ def growth_age(df: DataFrame, persons: DataFrame, keys: Sequence[str], age_days:
             .withColumn("sex_code", F.when(F.col(sex) == "M", 1).otherwise(2)))
 
 
-def nearest_reference_join(df: DataFrame, reference: DataFrame, keys: Sequence[str],
-                           equal: Mapping[str, str], value: str, point: str,
+def nearest_reference_join(df: DataFrame, reference: DataFrame, equal: Mapping[str, str], value: str, point: str,
                            keep: Mapping[str, str], max_rows: int = REFERENCE_ROWS) -> DataFrame:
     """Left join to the reference row nearest to ``value`` among those with equal keys.
 
     A reference that is measured to fit becomes one broadcast row per equality key holding its
     sorted points, and the choice is an array expression inside the row. With a larger one the
-    distinct combinations of keys and value are answered by the salted shuffle join and a map-side
-    combined minimum, and every input row takes the answer of its combination. Ties take the lower
-    point; both ways answer each input row once.
+    distinct asked values and the points are merged in one order, range by range: each value meets the last point
+    at or below it and the first above, carried over the edges of ranges, so nothing grows beyond values plus points.
+    Ties take the lower point, of equal points the smallest row; both ways answer each input row once.
     ``keep`` maps reference columns to output names.
     """
     renamed = reference.select(
         *[F.col(r).alias(l) for l, r in equal.items()],
         F.col(point).alias("_point"), *[F.col(c).alias(f"_k_{c}") for c in keep])
     gap = lambda p: F.abs(p - F.col(value))
+    fields = F.struct(F.col("_point"), *[F.col(f"_k_{c}") for c in keep])
     if fits(reference, max_rows):
-        fields = [F.col("_point"), *[F.col(f"_k_{c}") for c in keep]]
-        lists = renamed.groupBy(*equal).agg(F.collect_list(F.struct(*fields)).alias("_points"))
+        lists = renamed.groupBy(*equal).agg(F.collect_list(fields).alias("_points"))
         joined = df.join(F.broadcast(lists), list(equal), "left")
         ranked = F.transform("_points", lambda p: F.struct(
             gap(p["_point"]).alias("_gap"), p["_point"].alias("_point"), p.alias("_hit")))
@@ -214,15 +214,21 @@ def nearest_reference_join(df: DataFrame, reference: DataFrame, keys: Sequence[s
         return best.select(*df.columns, F.col("_best._point").alias(point),
                            *[F.col(f"_best._k_{c}").alias(n) for c, n in keep.items()])
     asked = [*equal, value]
-    joined = skew_join(df.select(*asked).distinct(), renamed, list(equal))
-    found = earliest(joined, asked, [gap(F.col("_point")), F.col("_point")],
-                     ["_point", *[f"_k_{c}" for c in keep]])
-    found = found.select(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(asked)], "_point", *[f"_k_{c}" for c in keep])
+    points = renamed.filter(F.col("_point").isNotNull()).groupBy(*equal, F.col("_point").cast("double").alias("_at")).agg(F.min(fields).alias("_hit"))
+    values = df.select(*equal, F.col(value).cast("double").alias("_at")).distinct()
+    merged = points.unionByName(values.withColumn("_hit", F.lit(None).cast(points.schema["_hit"].dataType)))
+    # at one place points come first, so that a value meets the point it stands on
+    blocks = in_blocks(merged.withColumn("_asked", F.col("_hit").isNull().cast("int")), list(equal), ["_at", "_asked"])
+    near = neighbours(blocks, list(equal), ["_at", "_asked"], "_hit", "_low", "_high").filter("_asked = 1")
+    low, high = F.col("_at") - F.col("_low._point"), F.col("_high._point") - F.col("_at")
+    # without a value there is no distance: the smallest point, as the minimum over all would take
+    best = F.when(F.col("_low").isNull() | (high < low), F.col("_high")).otherwise(F.col("_low"))
+    found = near.select(*[F.col(f"`{c}`").alias(f"_a{i}") for i, c in enumerate(equal)], F.col("_at").alias(f"_a{len(equal)}"), best.alias("_best"))
     same = F.lit(True)
     for i, c in enumerate(asked):
-        same = same & (F.col(f"`{c}`") == F.col(f"_a{i}") if c != value else F.col(f"`{c}`").eqNullSafe(F.col(f"_a{i}")))
-    return df.join(found, same, "left").select(*df.columns, F.col("_point").alias(point),
-                                               *[F.col(f"_k_{c}").alias(n) for c, n in keep.items()])
+        same = same & (F.col(f"`{c}`") == F.col(f"_a{i}") if c != value else F.col(f"`{c}`").cast("double").eqNullSafe(F.col(f"_a{i}")))
+    return df.join(found, same, "left").select(*df.columns, F.col("_best._point").alias(point),
+                                               *[F.col(f"_best._k_{c}").alias(n) for c, n in keep.items()])
 
 
 def growth_zscores(df: DataFrame, curves: Mapping[str, tuple[DataFrame, float]],
@@ -235,7 +241,7 @@ def growth_zscores(df: DataFrame, curves: Mapping[str, tuple[DataFrame, float]],
     columns = list(df.columns)
     for measure, (curve, factor) in curves.items():
         parts = {c: f"_{measure}_{c}" for c in ("l", "m", "s")}
-        df = _with_curve(df, curve, keys, parts)
+        df = _with_curve(df, curve, parts)
         df = df.withColumn(f"{measure}_Z", lms_zscore(
             F.col(measure) * factor, *[F.col(parts[c]) for c in ("l", "m", "s")]))
         columns.append(f"{measure}_Z")
@@ -243,11 +249,11 @@ def growth_zscores(df: DataFrame, curves: Mapping[str, tuple[DataFrame, float]],
     return df
 
 
-def _with_curve(df: DataFrame, curve: DataFrame, keys: Sequence[str], parts: Mapping[str, str]) -> DataFrame:
+def _with_curve(df: DataFrame, curve: DataFrame, parts: Mapping[str, str]) -> DataFrame:
     reference = curve.select(
         decade_bucket(F.col("agemos")).cast("int").alias("bucket"),
         F.col("sex").cast("int").alias("sex"), F.col("agemos").alias("curve_agemos"), "l", "m", "s")
-    return nearest_reference_join(df, reference, keys, {"bucket": "bucket", "sex_code": "sex"},
+    return nearest_reference_join(df, reference, {"bucket": "bucket", "sex_code": "sex"},
                                   "agemos", "curve_agemos", parts)
 
 

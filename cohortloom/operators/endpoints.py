@@ -39,6 +39,38 @@ def union_sources(*firsts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), firsts).distinct()
 
 
+@dataclass(frozen=True)
+class EventRule:
+    """Which rows of an event table count for a source, and by which codes and date."""
+
+    source: str
+    code: Column
+    date: Column
+    codes: DataFrame
+    codes_column: str
+    condition: Column | None = None
+    lookback_days: int = 0
+
+
+def first_events(cohort: DataFrame, events: DataFrame, rules: Sequence[EventRule], keys: Sequence[str], index: str, group: str,
+                 first: str = "first_date", small: bool | None = None) -> DataFrame:
+    """Earliest event per person, source and code group by all rules over one event table: ``(keys, index, source, group, first)``.
+
+    The table is scanned once, whatever the number of rules: a row is tagged with the rules it satisfies, the code sets
+    are one table tagged the same way, and the minimum is conditional on the source. A row may count for several.
+    """
+    tags = [F.when(F.lit(True) if r.condition is None else r.condition,
+                   F.struct(F.lit(r.source).alias("source"), r.code.cast("string").alias("_code"), F.to_date(r.date).alias("_date"),
+                            F.lit(r.lookback_days).alias("_back"))) for r in rules]
+    tagged = events.select(*keys, F.inline(F.array_compact(F.array(*tags)))).filter(F.col("_date").isNotNull())
+    codes = reduce(lambda a, b: a.unionByName(b), [
+        r.codes.select(F.lit(r.source).alias("source"), F.col(r.codes_column).cast("string").alias("_code"), F.col(group)) for r in rules])
+    coded = lookup_join(tagged, codes.distinct(), ["source", "_code"]).drop("_code")
+    joined = attach_index(coded, cohort.select(*keys, index), keys, distinct=True, small=small)
+    inside = joined.filter(F.col("_date") >= F.date_sub(F.col(index), F.col("_back")))
+    return inside.groupBy(*keys, index, "source", group).agg(F.min("_date").alias(first))
+
+
 @dataclass(frozen=True)
 class ActivitySource:
     """Event table with a preferred and a substitute date column."""

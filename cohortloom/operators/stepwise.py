@@ -63,7 +63,10 @@ def stepwise_aic(fit_many: Callable[..., list[Fit]], terms: Mapping[str, Sequenc
         tried = fit_many(specs, [_carried(s, sel.fit) for s, (sel, _a, _vs) in zip(specs, moves)], SEARCH_TOL)
         moved = []
         for sel in running:
-            own = [(f.aic, n) for n, (m, f) in enumerate(zip(moves, tried)) if m[0] is sel]
+            # a separated or singular candidate has no likelihood to compare
+            own = [(f.aic, n) for n, (m, f) in enumerate(zip(moves, tried)) if m[0] is sel and f.converged]
+            if not own:
+                continue
             aic, n = min(own)
             if aic < sel.fit.aic - 1e-7:
                 sel.variables, sel.fit = moves[n][2], tried[n]

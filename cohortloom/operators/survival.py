@@ -4,43 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortloom.functions.scans import in_blocks, running_sums
+
 Z_95 = 1.959963984540054
 
 
-def _whole_days(df: DataFrame, time: str) -> None:
+def _whole_times(df: DataFrame, time: str) -> None:
     if not isinstance(df.schema[time].dataType, T.IntegralType):
-        raise TypeError(f"{time} must be a whole number of days")
+        raise TypeError(f"{time} must be a whole number")
 
 
 def kaplan_meier(df: DataFrame, time: str, status: str, group: Sequence[str] = ()) -> DataFrame:
     """Survival curve per group: at risk, events, censored, survival, standard error.
 
-    Times are whole days, so after the map-side combined count a group holds at most one row per
-    calendar day, however many persons it has; only those rows meet in a window.
+    Times are whole numbers of any unit. Rows are counted by time where they are read; the sums along the curve go by
+    blocks of times and carries between them, so a curve with as many times as rows is spread over tasks too.
     """
-    _whole_days(df, time)
+    _whole_times(df, time)
     known = df.filter(F.col(time).isNotNull() & F.col(status).isNotNull())
-    per_day = known.groupBy(*group, time).agg(
+    per_time = known.groupBy(*group, time).agg(
         F.sum(F.col(status)).cast("bigint").alias("n_event"), F.count(F.lit(1)).alias("_all"))
-    part = Window.partitionBy(*(group or [F.lit(0)]))
-    upto = part.orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = part.orderBy(time).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    blocks = in_blocks(per_time, group, [time])
     d, n = F.col("n_event"), F.col("n_risk")
-    out = per_day.withColumn("n_risk", F.sum("_all").over(onward))
-    # ln(1 - d/n) is undefined when everybody left fails at once; the curve is zero from there on
-    ended = F.max((d == n).cast("int")).over(upto) == 1
-    log_s = F.sum(F.when(d < n, F.ln(1 - d / n)).otherwise(0.0)).over(upto)
-    var = F.sum(F.when(d < n, d / (n * (n - d))).otherwise(0.0)).over(upto)
-    out = out.withColumns({
-        "survival": F.when(ended, 0.0).otherwise(F.exp(log_s)),
-        "_var": F.when(~ended, var),
-    })
+    out = running_sums(blocks, group, [time], onward={"n_risk": F.col("_all")})
+    # ln(1 - d/n) is undefined when everybody left fails at once; that is the curve's last time, and it is zero there
+    out = running_sums(out, group, [time], upto={"_log": F.when(d < n, F.ln(1 - d / n)).otherwise(0.0),
+                                                 "_var": F.when(d < n, d / (n * (n - d))).otherwise(0.0)})
     return out.select(*group, time, "n_risk", "n_event", (F.col("_all") - d).alias("n_censor"),
-                      "survival", F.sqrt("_var").alias("std_err_log"))
+                      F.when(d == n, 0.0).otherwise(F.exp("_log")).alias("survival"), F.sqrt(F.when(d < n, F.col("_var"))).alias("std_err_log"))
 
 
 def with_log_ci(curve: DataFrame, z: float = Z_95) -> DataFrame:

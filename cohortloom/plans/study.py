@@ -29,10 +29,11 @@ from cohortloom.operators.cox import fit_cox
 from cohortloom.operators.design import dummy_code, fill_constants, select_terms
 from cohortloom.operators.endpoints import (
     ActivitySource,
+    EventRule,
     censor_date,
-    code_events,
     endpoint_stack,
     first_event_after_index,
+    first_events,
     union_sources,
 )
 from cohortloom.operators.impute import mice_impute
@@ -127,17 +128,18 @@ def endpoints(src: Sources, people: DataFrame, codes: Mapping[str, DataFrame]) -
     px = src.procedures.filter(code_matches(F.col("px"), D.COLECTOMY_CODES, D.COLECTOMY_PREFIXES))
     colectomy = first_event_after_index(who, px, KEYS, "index_date", "px_date", small=small)
 
-    def drug(events, code, set_name, set_code, date, condition=None):
-        tagged = code_events(events, codes[set_name], code, set_code, "therapy", condition)
-        return first_event_after_index(who, tagged, KEYS, "index_date", date, ["therapy"], D.LOOKBACK_DAYS,
-                                       small=small)
+    def drugs_of(events, *rules):
+        return first_events(who, events, rules, KEYS, "index_date", "therapy", small=small).drop("source")
+
+    def rule(source, code, set_name, set_code, date, condition=None):
+        return EventRule(source, F.col(code), F.col(date), codes[set_name], set_code, condition, D.LOOKBACK_DAYS)
 
     kind = F.col("medadmin_type")
     drugs = union_sources(
-        drug(src.prescribing, "rxnorm_cui", "drugs", "rxcui", "rx_start_date"),
-        drug(src.dispensing, "ndc", "ndc", "ndc", "dispense_date"),
-        drug(src.med_admin, "medadmin_code", "drugs", "rxcui", "medadmin_start_date", kind == "RX"),
-        drug(src.med_admin, "medadmin_code", "ndc", "ndc", "medadmin_start_date", kind == "ND"))
+        drugs_of(src.prescribing, rule("prescribed", "rxnorm_cui", "drugs", "rxcui", "rx_start_date")),
+        drugs_of(src.dispensing, rule("dispensed", "ndc", "ndc", "ndc", "dispense_date")),
+        drugs_of(src.med_admin, rule("given_rx", "medadmin_code", "drugs", "rxcui", "medadmin_start_date", kind == "RX"),
+                 rule("given_nd", "medadmin_code", "ndc", "ndc", "medadmin_start_date", kind == "ND")))
     censor = censor_date(who, [
         ActivitySource(src.diagnosis, "admit_date", "dx_date"),
         ActivitySource(src.procedures, "admit_date", "px_date"),
@@ -266,9 +268,13 @@ def impute(aset: DataFrame, m: int = D.IMPUTATIONS, sweeps: int = 5, seed: int =
 
 
 def model_terms(imputed: DataFrame) -> dict[str, list[str]]:
-    """Design columns per model variable; a factor stands for its coded columns."""
-    return {v: [c for c in imputed.columns if c.startswith(v) and c != v] if v in D.MODEL_FACTORS else [v]
-            for v in D.MODEL_VARIABLES}
+    """Design columns per model variable; a factor stands for its coded columns.
+
+    Coded columns are those that are no variable themselves; each belongs to the factor with the longest name it begins with.
+    """
+    own = {*D.MODEL_VARIABLES, *D.IMPUTE_EXTRA, *D.IMPUTE_METHODS, "patid", "status6", "time6", "imp"}
+    coded = {c: max((v for v in D.MODEL_FACTORS if c.startswith(v)), key=len, default=None) for c in imputed.columns if c not in own}
+    return {v: [c for c, f in coded.items() if f == v] if v in D.MODEL_FACTORS else [v] for v in D.MODEL_VARIABLES}
 
 
 def fit_models(imputed: DataFrame, m: int = D.IMPUTATIONS) -> dict[str, DataFrame]:

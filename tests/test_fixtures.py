@@ -176,7 +176,7 @@ def test_nearest_reference_stays_in_its_bucket(spark, max_rows):
     ref = spark.createDataFrame([(70, 1, 75.5), (80, 1, 80.5), (70, 2, 71.5)], "bucket int, sex int, p double")
     df = spark.createDataFrame([("a", 79.9, 70, 1), ("b", 79.9, 70, 2), ("c", 99.0, 90, 1)],
                                "id string, age double, bucket int, sex_code int")
-    out = C.nearest_reference_join(df, ref, ["id"], {"bucket": "bucket", "sex_code": "sex"}, "age", "p", {"p": "hit"},
+    out = C.nearest_reference_join(df, ref, {"bucket": "bucket", "sex_code": "sex"}, "age", "p", {"p": "hit"},
                                    max_rows=max_rows)
     assert {r["id"]: r["hit"] for r in out.collect()} == {"a": 75.5, "b": 71.5, "c": None}
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.quantiles import grouped_quantiles, with_ordered_key
 from cohortloom.functions.ranks import bucketed_rank
+from cohortloom.functions.scans import in_blocks
 from cohortloom.functions.skew import BROADCAST_ROWS, attach_index, fits, lookup_join, skew_join
 from cohortloom.operators.cohort import index_event
 from cohortloom.operators.covariates import nearest_reference_join
+from cohortloom.operators.endpoints import EventRule, code_events, first_event_after_index, first_events
 from cohortloom.operators.summaries import first_treatment_rates, table_one, univariate_summary
+from cohortloom.operators.survival import kaplan_meier
 from cohortloom.session import scratch_dir
 
 
@@ -151,10 +154,78 @@ def test_index_event_same_at_any_size(spark):
 def test_nearest_reference_answers_every_row(spark):
     rows = spark.createDataFrame([(1, 5, 2.0), (1, 5, 2.0), (1, 5, 9.0), (2, None, 1.0), (3, 6, None), (3, 7, 1.0)], "id int, b int, v double")
     ref = spark.createDataFrame([(5, 1.0, "a"), (5, 3.0, "b"), (5, 8.0, "c"), (6, 1.0, "d")], "b int, at double, name string")
-    got = [sorted(map(str, nearest_reference_join(rows, ref, ["id"], {"b": "b"}, "v", "at", {"name": "name"}, n).collect())) for n in (100, 0)]
+    got = [sorted(map(str, nearest_reference_join(rows, ref, {"b": "b"}, "v", "at", {"name": "name"}, n).collect())) for n in (100, 0)]
     assert got[0] == got[1] and len(got[0]) == 6
 
 
+def test_nearest_reference_in_one_bucket(spark):
+    """As many asked values as points, all of one bucket: merged in one order, with nothing of their product's size."""
+    rng = np.random.default_rng(3)
+    points, values = np.unique(rng.integers(0, 10**7, 100_000)) / 8, rng.integers(-1000, 10**7 + 1000, 100_000) / 8
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(100_000), "b": 1, "v": values})).repartition(5)
+    ref = spark.createDataFrame(pd.DataFrame({"b": 1, "at": points, "name": np.arange(len(points))}))
+    out = nearest_reference_join(rows, ref, {"b": "b"}, "v", "at", {"name": "name"}, 0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Generate" not in plan
+    got = out.toPandas().sort_values("id")
+    above = np.searchsorted(points, values, "right").clip(0, len(points) - 1)
+    below = (above - 1).clip(0)
+    below = np.where(points[above] <= values, above, below)
+    want = np.where(np.abs(points[above] - values) < np.abs(points[below] - values), above, below)
+    assert len(got) == 100_000 and (got["at"].to_numpy() == points[want]).all() and (got["name"].to_numpy() == want).all()
+
+
+def test_nearest_reference_over_many_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, None if k % 50 == 0 else int(rng.integers(0, 4)), None if k % 31 == 0 else float(rng.integers(0, 300))) for k in range(900)], "id int, b int, v double")
+    ref = spark.createDataFrame([(int(rng.integers(0, 3)), None if k == 7 else float(rng.integers(0, 300)), k) for k in range(250)], "b int, at double, name int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [sorted(map(str, nearest_reference_join(rows, ref.filter("at is not null"), {"b": "b"}, "v", "at", {"name": "name"}, n).collect())) for n in (1000, 0)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got[0] == got[1] and len(got[0]) == 900
+
+
+def test_survival_over_a_million_times(spark):
+    """Times as fine as the rows: the curve equals the one added up in a row, and is dealt over tasks."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("g").alias("g"), (F.col("id") * 7919 % n * 1000003).alias("t"), (F.col("id") % 3 == 0).cast("int").alias("s"))
+    curve = kaplan_meier(df, "t", "s", ["g"]).select("t", "n_risk", "n_event", "survival", "std_err_log").toPandas().sort_values("t")
+    order = df.select("t", "s").toPandas().sort_values("t")
+    risk, event = np.arange(n, 0, -1), order["s"].to_numpy()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want, var = np.cumprod(1 - event / risk), np.cumsum(event / (risk * (risk - event)))
+    assert (curve["n_risk"].to_numpy() == risk).all() and np.allclose(curve["survival"], want, rtol=1e-9, atol=1e-15)
+    some = risk > event
+    assert np.allclose(curve["std_err_log"].to_numpy()[some], np.sqrt(var[some]), rtol=1e-9)
+    blocks = in_blocks(df, ["g"], ["t"]).groupBy("_part").count().toPandas()["count"]
+    assert len(blocks) > 1 and blocks.max() < n / 2
+
+
+def test_one_scan_for_all_rules(spark, tmp_path):
+    """Four rules over one table give what four passes give, from one scan."""
+    rng = np.random.default_rng(5)
+    pd.DataFrame({"p": rng.integers(0, 40, 3000), "flag": rng.choice(list("RAN"), 3000), "code": rng.integers(0, 30, 3000),
+                  "d": pd.Timestamp("2020-01-01") + pd.to_timedelta(rng.integers(0, 400, 3000), "D")}).astype({"d": "datetime64[us]"}).to_parquet(f"{tmp_path}/e.parquet")
+    events = spark.read.parquet(f"{tmp_path}/e.parquet")
+    cohort = spark.createDataFrame([(p, f"2020-0{1 + p % 9}-15") for p in range(30)], "p long, i string").withColumn("i", F.to_date("i"))
+    a = spark.createDataFrame([(k, f"t{k % 3}") for k in range(20)] + [(3, "t9")], "code long, therapy string")
+    b = spark.createDataFrame([(f"N{k}", f"t{k % 2}") for k in range(25)], "ndc string, therapy string")
+    package = F.concat(F.lit("N"), F.col("code").cast("string"))
+    rules = [EventRule("r", F.col("code"), F.col("d"), a, "code", F.col("flag") == "R", 30), EventRule("a", package, F.col("d"), b, "ndc", F.col("flag") == "A"),
+             EventRule("n", F.col("code"), F.col("d"), a, "code", F.col("flag") == "N", 10), EventRule("all", package, F.col("d"), b, "ndc", None, 400)]
+    out = first_events(cohort, events, rules, ["p"], "i", "therapy")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [p#") == 1
+    want = []
+    for r in rules:
+        rows = events if r.condition is None else events.filter(r.condition)
+        tagged = code_events(rows.select("p", r.code.cast("string").alias("c"), "d"), r.codes.withColumn("c", F.col(r.codes_column).cast("string")), "c", "c", "therapy")
+        one = first_event_after_index(cohort, tagged, ["p"], "i", "d", ["therapy"], r.lookback_days)
+        want += [(x["p"], r.source, x["therapy"], x["first_date"]) for x in one.collect()]
+    assert sorted((x["p"], x["source"], x["therapy"], x["first_date"]) for x in out.collect()) == sorted(want) and want
+
+
 def test_missing_keys_go_round_the_skew_join(spark):
     big = spark.range(4000).select(F.when(F.col("id") < 9, F.col("id")).alias("k"), "id")
     small = spark.createDataFrame([(k, k * 2) for k in range(5)], "k long, w long")
