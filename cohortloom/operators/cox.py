@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.operators.models import (
+    Evaluate,
     Fit,
     ModelSpec,
     _finish,
@@ -70,14 +71,13 @@ def efron_sums(s0: np.ndarray, e0: np.ndarray, d: np.ndarray) -> tuple[np.ndarra
     return d * np.log(s0) + logs, inv / s0, inv2 / s0**2
 
 
-def _event_days(frame: DataFrame, time: str, status: str, specs: Sequence[ModelSpec]) -> list[np.ndarray]:
-    """Sorted event days of each model's data set: at most one value per calendar day and data set."""
+def event_days(frame: DataFrame, time: str, status: str) -> dict[int | None, np.ndarray]:
+    """Sorted event days of each data set, and of all (None): at most one value per calendar day and data set."""
     found = frame.filter(F.col(f"`{status}`") > 0).select("_imp", F.col(f"`{time}`").cast("long").alias("day")).distinct().collect()
-    by: dict[int, set[int]] = {}
+    by: dict[int | None, set[int]] = {None: {r["day"] for r in found}}
     for r in found:
         by.setdefault(r["_imp"], set()).add(r["day"])
-    every = np.array(sorted(set().union(*by.values())), dtype="int64")
-    return [every if s.imp is None else np.array(sorted(by.get(s.imp, ())), dtype="int64") for s in specs]
+    return {i: np.array(sorted(d), dtype="int64") for i, d in by.items()}
 
 
 def _add_by_day(place: np.ndarray, values: np.ndarray, days: int) -> np.ndarray:
@@ -158,14 +158,10 @@ def _event_day_sums(per_day: DataFrame, dims: Sequence[int]) -> DataFrame:
     return per_day.mapInPandas(task, "model int, place int, k int, v double")
 
 
-def fit_cox(df: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
-            imp: str | None = None, max_iter: int = 50, tol: float = 1e-12,
-            prepared: bool = False, starts: Sequence[np.ndarray] | None = None) -> list[Fit]:
-    """Log hazard ratios of every spec; ``n`` counts the events."""
-    specs = list(specs)
-    frame = df if prepared else design_frame(df, specs, [time, status], imp)
+def cox_evaluator(frame: DataFrame, time: str, status: str, specs: Sequence[ModelSpec], by_set: dict[int | None, np.ndarray]) -> Evaluate:
+    """Partial likelihood, score, information and event count of Cox models at given coefficients, in two jobs for all."""
     dims = [len(s.columns) for s in specs]
-    days = _event_days(frame, time, status, specs)
+    days = [by_set.get(s.imp, np.zeros(0, "int64")) for s in specs]
 
     def evaluate(active: list[int], betas: list[np.ndarray]) -> list[tuple]:
         chosen, held = [specs[i] for i in active], [days[i] for i in active]
@@ -206,5 +202,16 @@ def fit_cox(df: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
             out.append((v[t + d], v[t:t + d], unpack(whole - v[:t], d), v[t + d + 1]))
         return out
 
-    results = newton(specs, dims, evaluate, max_iter, tol, starts)
+    return evaluate
+
+
+def fit_cox(df: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
+            imp: str | None = None, max_iter: int = 50, tol: float = 1e-12,
+            prepared: bool = False, starts: Sequence[np.ndarray] | None = None,
+            by_set: dict[int | None, np.ndarray] | None = None) -> list[Fit]:
+    """Log hazard ratios of every spec; ``n`` counts the events."""
+    specs = list(specs)
+    frame = df if prepared else design_frame(df, specs, [time, status], imp)
+    by_set = event_days(frame, time, status) if by_set is None else by_set
+    results = newton(specs, [len(s.columns) for s in specs], cox_evaluator(frame, time, status, specs, by_set), max_iter, tol, starts)
     return _finish(specs, results, lambda s: list(s.columns))

@@ -53,6 +53,10 @@ class Fit:
         return -2.0 * self.loglik + 2.0 * len(self.beta)
 
 
+#: ``evaluate(active, betas)`` gives (loglik, score, information, n) of the models with these numbers.
+Evaluate = Callable[[list[int], list[np.ndarray]], list[tuple]]
+
+
 def unpack(values: np.ndarray, q: int) -> np.ndarray:
     """Symmetric matrix from its upper triangle."""
     out = np.zeros((q, q))
@@ -158,12 +162,8 @@ def _finish(specs, results, terms_of) -> list[Fit]:
     return fits
 
 
-def fit_logistic(df: DataFrame, y: str, specs: Sequence[ModelSpec], imp: str | None = None,
-                 max_iter: int = 50, tol: float = 1e-12, prepared: bool = False,
-                 starts: Sequence[np.ndarray] | None = None) -> list[Fit]:
-    """Logistic regression of every spec; rows with a missing value are left out per model."""
-    specs = list(specs)
-    frame = df if prepared else design_frame(df, specs, [y], imp)
+def logistic_evaluator(frame: DataFrame, y: str, specs: Sequence[ModelSpec]) -> Evaluate:
+    """Likelihood, score, information and row count of logistic models at given coefficients, in one job for all."""
     dims = [len(s.columns) + 1 for s in specs]
 
     def evaluate(active: list[int], betas: list[np.ndarray]) -> list[tuple]:
@@ -186,7 +186,16 @@ def fit_logistic(df: DataFrame, y: str, specs: Sequence[ModelSpec], imp: str | N
             out.append((v[t + d], v[t:t + d], unpack(v[:t], d), v[t + d + 1]))
         return out
 
-    results = newton(specs, dims, evaluate, max_iter, tol, starts)
+    return evaluate
+
+
+def fit_logistic(df: DataFrame, y: str, specs: Sequence[ModelSpec], imp: str | None = None,
+                 max_iter: int = 50, tol: float = 1e-12, prepared: bool = False,
+                 starts: Sequence[np.ndarray] | None = None) -> list[Fit]:
+    """Logistic regression of every spec; rows with a missing value are left out per model."""
+    specs = list(specs)
+    frame = df if prepared else design_frame(df, specs, [y], imp)
+    results = newton(specs, [len(s.columns) + 1 for s in specs], logistic_evaluator(frame, y, specs), max_iter, tol, starts)
     return _finish(specs, results, lambda s: ["(Intercept)", *s.columns])
 
 

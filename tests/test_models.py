@@ -13,9 +13,9 @@ from cohortloom.functions.distributions import betainc, chi2_upper, f_upper, t_q
 from cohortloom.operators.cox import efron_sums, fit_cox
 from cohortloom.operators.design import dummy_code, select_terms
 from cohortloom.operators.impute import mice_impute
-from cohortloom.operators.models import ModelSpec, coefficients, fit_linear, fit_logistic
+from cohortloom.operators.models import ModelSpec, coefficients, design_frame, fit_linear, fit_logistic
 from cohortloom.operators.pooling import rubin_pool
-from cohortloom.operators.stepwise import stepwise_cox, stepwise_logistic
+from cohortloom.operators.stepwise import expected_changes, stepwise_aic, stepwise_cox, stepwise_logistic
 from cohortloom.operators.summaries import univariate_summary
 
 
@@ -131,6 +131,65 @@ def test_stepwise_logistic_equals_one_by_one(spark, data):
     assert {"x", "z"} <= want
 
 
+def test_one_sweep_gives_all_score_and_wald_tests():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 6))
+    info, score, beta = x.T @ x, rng.normal(size=6), rng.normal(size=6)
+    score[[0, 2]] = 0  # at the estimates of the model inside
+    got = expected_changes(beta, score, info, [0, 2], {"a": [0], "c": [2], "b": [1], "de": [3, 4], "f": [5]})
+    inner = np.linalg.inv(info[np.ix_([0, 2], [0, 2])])
+    assert got["a"] == pytest.approx(beta[0] ** 2 / inner[0, 0] - 2) and got["c"] == pytest.approx(beta[2] ** 2 / inner[1, 1] - 2)
+    for name, at in (("b", [1]), ("de", [3, 4]), ("f", [5])):
+        left = info[np.ix_(at, at)] - info[np.ix_(at, [0, 2])] @ inner @ info[np.ix_([0, 2], at)]
+        assert got[name] == pytest.approx(2 * len(at) - score[at] @ np.linalg.solve(left, score[at]))
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Nineteen variables, some of them telling, in ten data sets that differ a little."""
+    rng, n = np.random.default_rng(8), 150
+    base = rng.normal(size=(n, 19))
+    t = np.ceil(rng.exponential(30 * np.exp(-0.7 * base[:, 0] + 0.6 * base[:, 1] - 0.5 * base[:, 2]))).astype(int)
+    s = (rng.random(n) < 0.8).astype(int)
+    parts = []
+    for imp in range(1, 11):
+        x = base + 0.15 * rng.normal(size=base.shape) * (np.arange(19) % 4 == 1)
+        parts.append(pd.DataFrame(x, columns=[f"v{k}" for k in range(19)]).assign(imp=imp, t=t, s=s, y=(base[:, 0] + rng.normal(size=n) > 0).astype(float)))
+    return spark.createDataFrame(pd.concat(parts)), {f"v{k}": [f"v{k}"] for k in range(19)}
+
+
+def test_cox_search_over_ten_data_sets(many):
+    """The likely moves alone lead to a model that no single change improves."""
+    df, terms = many
+    found = stepwise_cox(df, "t", "s", terms, "imp", range(1, 11))
+    assert all({"v0", "v1", "v2"} <= set(s.variables) and s.fit.converged for s in found)
+    for sel in (found[0], found[9]):
+        near = [[u for u in sel.variables if u != v] if v in sel.variables else [*sel.variables, v] for v in terms]
+        fits = fit_cox(df, "t", "s", [ModelSpec("m", tuple(vs), sel.imp) for vs in near], "imp")
+        assert min(f.aic for f in fits) >= sel.fit.aic - 1e-6
+
+
+def test_likely_moves_walk_the_same_path(many):
+    df, terms = many
+    few = dict(list(terms.items())[:8])
+    frame = design_frame(df, [ModelSpec("all", tuple(few))], ["y"], "imp")
+    fit_many = lambda specs, starts, tol: fit_logistic(frame, "y", specs, tol=tol, prepared=True, starts=starts)
+    every = stepwise_aic(fit_many, few, [1, 2, 3])
+    likely = stepwise_logistic(df, "y", few, "imp", [1, 2, 3])
+    assert [[a for a, _ in s.path] for s in likely] == [[a for a, _ in s.path] for s in every]
+
+
+def test_missing_values_turn_off_the_shortcut(spark, data):
+    """Columns outside the model that lack values: every move is fitted on its own rows, as one by one."""
+    holes = data.assign(w=data["w"].where(data["id"] % 3 > 0), z=data["z"].where(data["id"] % 5 > 0))
+    df, names = spark.createDataFrame(holes), ["x", "z", "w"]
+    frame = design_frame(df, [ModelSpec("all", tuple(names))], ["y"], None)
+    fit_many = lambda specs, starts, tol: fit_logistic(frame, "y", specs, tol=tol, prepared=True, starts=starts)
+    every, = stepwise_aic(fit_many, {n: [n] for n in names})
+    likely, = stepwise_logistic(df, "y", {n: [n] for n in names})
+    assert [a for a, _ in likely.path] == [a for a, _ in every.path]
+
+
 def test_stepwise_cox_equals_brute_force(spark, data):
     df = spark.createDataFrame(data)
     sel, = stepwise_cox(df, "t", "s", {n: [n] for n in ("x", "w")})
