@@ -463,20 +463,18 @@ def q_baseline_dx_flags(spark, sf):
 SELECT w.person_id, w.site, w.sex, CAST(year(w.index_date) AS INTEGER) AS index_year, e.n_events,
        round(b.BMI, 6) AS BMI, round(l.hemoglobin, 6) AS hemoglobin, round(l.CRP, 6) AS CRP,
        i.IP_IND1, i.IP_IND2, i.IP_IND3, d.abdominal_pain, d.diarrhea, d.rectal_bleeding
-FROM visitors w JOIN (SELECT person_id, CAST(count(*) AS BIGINT) AS n_events FROM log
-                      WHERE event_type = 'error' GROUP BY 1) e ON w.person_id = e.person_id
+FROM visitors w JOIN (SELECT person_id, CAST(count(*) AS BIGINT) AS n_events FROM log GROUP BY 1) e ON w.person_id = e.person_id
 LEFT JOIN (SELECT person_id, max(BMI) AS BMI FROM bmi GROUP BY 1) b ON w.person_id = b.person_id
 LEFT JOIN labs l ON w.person_id = l.person_id LEFT JOIN ip i ON w.person_id = i.person_id
 LEFT JOIN dxf d ON w.person_id = d.person_id""", LOG_SQL, VITALS_SQL, MORE_SQL))
 def q_analysis_set(spark, sf):
     who = _who(spark, sf)
-    counts = log(spark, sf).filter("event_type = 'error'").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_events"))
+    counts = log(spark, sf).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_events"))
     body = _body(spark, sf, who).groupBy(*KEYS).agg(F.max("BMI").alias("BMI"))
     labs = _lab_wide(spark, sf, who)
     out = C.analysis_set(
         who, counts, [body, labs, C.inpatient_flags(who, _stays(spark, sf, who), KEYS, "enc_type", ["IP", "EI"]),
-                      C.baseline_dx_flags(who, _dx(spark, sf, who), KEYS, list(DX_RULES))], KEYS, "index_date",
-        check=False)
+                      C.baseline_dx_flags(who, _dx(spark, sf, who), KEYS, list(DX_RULES))], KEYS, "index_date")
     return out.select("person_id", "site", "sex", "index_year", "n_events", F.round("BMI", 6).alias("BMI"),
                       F.round("hemoglobin", 6).alias("hemoglobin"), F.round("CRP", 6).alias("CRP"),
                       "IP_IND1", "IP_IND2", "IP_IND3", "abdominal_pain", "diarrhea", "rectal_bleeding")

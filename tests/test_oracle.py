@@ -1,5 +1,9 @@
 """Every query with a SQL counterpart gives the same rows, names and types."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry_module
@@ -43,3 +47,11 @@ def test_entry(spark):
     by = {(r["site"], r["criterion"]): r["pat_cnt"] for r in rows}
     for site in {r["site"] for r in rows}:
         assert by[site, "eligible"] <= by[site, "initial"]
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "cohortloom.llm", "corpus_pipeline"])
+def test_entry_without_the_training_data_operators(missing):
+    """A missing package costs the queries that need it and no other."""
+    code = (f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q = e.queries(); "
+            "assert 'attrition' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q), sorted(q)")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry_module.__file__)))
