@@ -86,27 +86,26 @@ def q_logistic_univariate(spark, sf):
 
 
 IRLS_SQL = """
-points AS (SELECT s.imp, s.y, c.c_acctbal / 1000 AS x FROM stacked s JOIN customer c ON c.c_custkey = s.person_id
-           WHERE s.imp = 1),
-irls(i, b0, b1, v1) AS (
-  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+points AS (SELECT s.imp, s.y, c.c_acctbal / 1000 AS x FROM stacked s JOIN customer c ON c.c_custkey = s.person_id),
+irls(imp, i, b0, b1, v1) AS (
+  SELECT DISTINCT imp, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM points
   UNION ALL
-  SELECT i + 1, b0 + (sxx * g0 - sx * g1) / (s * sxx - sx * sx), b1 + (s * g1 - sx * g0) / (s * sxx - sx * sx),
+  SELECT imp, i + 1, b0 + (sxx * g0 - sx * g1) / (s * sxx - sx * sx), b1 + (s * g1 - sx * g0) / (s * sxx - sx * sx),
          s / (s * sxx - sx * sx)
-  FROM (SELECT i, b0, b1, sum(p * (1 - p)) AS s, sum(p * (1 - p) * x) AS sx, sum(p * (1 - p) * x * x) AS sxx,
+  FROM (SELECT imp, i, b0, b1, sum(p * (1 - p)) AS s, sum(p * (1 - p) * x) AS sx, sum(p * (1 - p) * x * x) AS sxx,
                sum(y - p) AS g0, sum((y - p) * x) AS g1
-        FROM (SELECT r.i, r.b0, r.b1, q.x, q.y, 1 / (1 + exp(-(r.b0 + r.b1 * q.x))) AS p
-              FROM irls r, points q WHERE r.i < 12) GROUP BY i, b0, b1))
+        FROM (SELECT r.imp, r.i, r.b0, r.b1, q.x, q.y, 1 / (1 + exp(-(r.b0 + r.b1 * q.x))) AS p
+              FROM irls r JOIN points q ON q.imp = r.imp WHERE r.i < 12) GROUP BY imp, i, b0, b1))
 """
 
 
 @query("logistic_continuous", sql("""
-SELECT 'balance' AS term, round(b1, 6) AS estimate, round(sqrt(v1), 6) AS std_error FROM irls WHERE i = 12
+SELECT CAST(imp AS INTEGER) AS imp, 'balance' AS term, round(b1, 6) AS estimate, round(sqrt(v1), 6) AS std_error FROM irls WHERE i = 12
 """, STACKED_SQL, IRLS_SQL))
 def q_logistic_continuous(spark, sf):
-    fits = M.fit_logistic(_stacked(spark, sf).filter("imp = 1"), "y", [M.ModelSpec("balance", ("balance",))])
-    return M.coefficients(spark, fits).select(
-        "term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
+    specs = [M.ModelSpec("balance", ("balance",), i) for i in IMPS]
+    return M.coefficients(spark, M.fit_logistic(_stacked(spark, sf), "y", specs, "imp")).select(
+        "imp", "term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
 
 
 FACTOR_SQL = """
