@@ -50,6 +50,33 @@ def license_base(docs):
     return out
 
 
+def license_labels(docs, scan):
+    """{doc_id: (labels, score)} with every template of the module tried at every place; base phrases as in license_base."""
+    split = [(d, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))) for d, t in docs]
+    weights = {w: round(math.log((len(docs) + 1) / (sum(w in words for _, words in split) + 1)) + 0.01, 6) for w in scan.VOCABULARY}
+    base = {d: names for d, *_, names in license_base(docs)}
+    out = {}
+    for d, words in split:
+        labels, score = set(base[d].split(",")) - {""}, scan.BASE_SCORE if base[d] else 0.0
+        for label, notice, key in scan.TEMPLATES:
+            parts = notice.split()
+            rare = sorted(set(parts), key=lambda w: (-weights[w], w))[:min(8, max(2, (len(set(parts)) + 1) // 2))]
+            for shift in range(1 - len(parts), len(words)):
+                here = dict(enumerate(words[max(shift, 0):shift + len(parts)], max(shift, 0)))
+                if sum(w in rare and here.get(shift + p) == w for p, w in enumerate(parts)) < 2:
+                    continue
+                line = " " + " ".join(words[max(shift - 3, 0):shift + len(parts) + 3]) + " "
+                if f" {key} " not in line or any(f" {no} {key} " in line for no in ("not", "never", "nor")):
+                    continue
+                held = sum((weights[w] for p, w in enumerate(parts) if w in words[max(shift + p - 3, 0):max(shift + p + 4, 0)]), 0.0)
+                share = min(round(held / sum(weights[w] for w in parts), 6), 1.0)
+                if share >= scan.MIN_SHARE:
+                    labels.add(label)
+                    score = max(score, share)
+        out[d] = (",".join(sorted(labels)), score)
+    return out
+
+
 def token_files(docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out, start = [], 0

@@ -145,3 +145,36 @@ def test_license_many_notices(spark):
     out = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, data.SCHEMA)).collect()}
     for d, labels in want.items():
         assert labels <= set(out[d]["labels"].split(",")) and out[d]["score"] == 1
+
+
+def test_license_labels_by_brute_force(spark):
+    """Labels and scores equal those of a scan that tries every template at every place."""
+    rng, rows = random.Random(21), []
+    filler = "the code of this file is kept for any person who may use it and or change it as software".split()
+    for k in range(150):
+        words = rng.choices(filler, k=rng.randint(0, 30))
+        for _, notice, _ in rng.sample(license_scan.TEMPLATES, k % 4):
+            part = notice.split()
+            for _ in range(rng.choice([0, 0, 1, 4, len(part) // 3])):
+                spot = rng.randrange(len(part))
+                part[spot:spot + rng.randint(0, 1)] = rng.choices(filler, k=rng.randint(0, 2))
+                part = part or ["end"]
+            words += rng.choice([[], ["not"]]) + part + rng.choices(filler, k=rng.randint(0, 6))
+        rows.append((k, " ".join(words), "en", "s", 0))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.license_scan(spark.createDataFrame(rows, data.SCHEMA)).collect()}
+    want = brute.license_labels([(d, t) for d, t, *_ in rows], license_scan)
+    assert got == want
+    assert len({x for x, _ in want.values()}) > 20 and any(0 < s < 1 for _, s in want.values())
+
+
+def test_license_mentions_are_no_notices(spark):
+    """Files that name, compare or deny a licence have no label; changed notices keep theirs."""
+    mit = next(notice for label, notice, _ in license_scan.TEMPLATES if label == "mit").split()
+    changed = " ".join(mit[:30] + ["and", "data"] + mit[31:70] + mit[72:])
+    mentions = ["see the mozilla public license for a comparison", "this is not the mit license at all", "the gnu general public license version 3 is long",
+                "this work is not licensed under the gnu general public license version 3", "permission is hereby granted free of charge",
+                "redistribution and use in source and binary forms is what the bsd terms speak of", "apache license, version 1"]
+    texts = [*mentions, changed, "Copyright 2001. " + changed.upper() + " THE SOFTWARE", "Licensed under the GNU Lesser General Public License"]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)] + [(100 + k, f"plain text {k} the of and", "en", "s", 0) for k in range(50)]
+    out = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(spark.createDataFrame(rows, data.SCHEMA)).collect()}
+    assert [out[k] for k in range(len(texts))] == [""] * len(mentions) + ["mit", "mit", "lgpl"]
