@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.patterns import matching_texts
 from cohortloom.functions.predicates import (
     text_contains_any,
     text_excludes_any,
@@ -76,5 +77,19 @@ def build_lab_codeset(dictionary: DataFrame, patterns: Mapping[str, str], text:
     return _tag(dictionary, tags, name).select(name, *keep).distinct()
 
 
+def build_codeset_from_rules(dictionary: DataFrame, rules: DataFrame, text: str, keep: Sequence[str], group: str = "therapy",
+                             pattern: str = "pattern", exclude: str = "exclude") -> DataFrame:
+    """Distinct ``keep`` columns per group of a rule table, which may hold thousands of patterns.
+
+    A rule is a LIKE pattern in lower case; ``exclude`` tells whether it takes rows out. A row belongs to a group if one of
+    the group's including patterns fits its text and none of the excluding ones. A missing ``exclude`` counts as false.
+    """
+    named = rules.select(F.col(group), F.col(pattern), F.coalesce(F.col(exclude), F.lit(False)).alias("_out"))
+    hits = matching_texts(dictionary, text, named, pattern)
+    fitting = hits.groupBy("_text", group).agg(F.bool_or("_out").alias("_out")).filter(~F.col("_out")).drop("_out")
+    rows = dictionary.select(*keep, F.lower(F.col(text)).alias("_text")).distinct()
+    return lookup_join(rows, fitting, ["_text"]).select(*keep, group).distinct()
+
+
 def codeset_counts(codeset: DataFrame, group: str, counted: str, alias: str) -> DataFrame:
     return codeset.groupBy(group).agg(F.countDistinct(counted).alias(alias))
