@@ -26,9 +26,14 @@ def _grams(text: Column, length: int) -> Column:
     return F.when(F.length(text) >= length, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def _runs(pattern: Column) -> Column:
+    """The literal runs of a pattern; an escaped character ends a run."""
+    return F.split(pattern, r"\\.|[%_]")
+
+
 def _pattern_grams(pattern: Column) -> Column:
-    """The grams that every text of the pattern holds, as long as its literal runs allow; an escaped character ends a run."""
-    runs = F.split(pattern, r"\\.|[%_]")
+    """The grams that every text of the pattern holds, as long as its literal runs allow."""
+    runs = _runs(pattern)
     longest = F.array_max(F.transform(runs, F.length))
     out = _grams(pattern, 0)
     for length in range(1, GRAM + 1):
@@ -44,7 +49,10 @@ def matching_texts(texts: DataFrame, text: str, patterns: DataFrame, pattern: st
     Missing texts and patterns match nothing; rows that repeat a pattern are all returned. ``max_rows`` bounds what
     may be broadcast after measuring; larger indexes are joined by shuffle.
     """
-    words = materialize(texts.select(F.lower(F.col(text)).alias("_text")).filter("_text is not null").distinct())
+    # Few bytes can mean many tests, so the texts are dealt to all tasks and not merged by size.
+    spark = texts.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = materialize(texts.select(F.lower(F.col(text)).alias("_text")).filter("_text is not null").distinct().repartition(tasks, "_text"))
     asked = materialize(patterns.select(F.col(pattern).alias("_pattern")).filter("_pattern is not null").distinct()
                         .select("_pattern", F.explode(_pattern_grams(F.col("_pattern"))).alias("_gram")))
     lengths = sorted(r[0] for r in asked.select(F.length("_gram")).distinct().collect())  # GRAM + 1 values at most
@@ -56,10 +64,13 @@ def matching_texts(texts: DataFrame, text: str, patterns: DataFrame, pattern: st
     # A gram that no text holds settles its patterns: they fit nothing.
     filed = (asked.join(counts, "_gram", "left").groupBy("_pattern")
              .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_best"))
-             .filter("_best.n > 0").select("_pattern", F.col("_best.gram").alias("_gram")))
-    found = lookup_join(held, materialize(filed), ["_gram"], max_rows=max_rows).filter(F.like(F.col("_text"), F.col("_pattern")))
+             .filter("_best.n > 0").select("_pattern", F.col("_best.gram").alias("_gram"), _runs(F.col("_pattern")).alias("_runs")))
+    tried = lookup_join(held, materialize(filed), ["_gram"], max_rows=max_rows)
+    # The runs are looked for first: a pattern from a column is compiled anew for each text.
+    likely = F.forall("_runs", lambda r: F.contains(F.col("_text"), r))
+    found = materialize(tried.filter(F.when(likely, F.like(F.col("_text"), F.col("_pattern"))).otherwise(False)).select("_text", "_pattern"))
     rows = patterns.withColumn("_pattern", F.col(pattern))
-    return lookup_join(found.select("_text", "_pattern"), rows, ["_pattern"], max_rows=max_rows).drop("_pattern")
+    return lookup_join(found, rows, ["_pattern"], max_rows=max_rows).drop("_pattern")
 
 
 def match_patterns(texts: DataFrame, text: str, patterns: DataFrame, pattern: str,
