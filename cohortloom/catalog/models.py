@@ -460,6 +460,40 @@ def q_impute_random_forest(spark, sf):
         F.count_if(F.col("donor").isNull()).alias("not_observed"))
 
 
+#: Where the chain over two incomplete columns begins.
+CHAIN_STARTS = {"price": 1000.0, "weight": 100.0}
+
+
+def _chain_sql(sweeps: int) -> str:
+    """Two columns that predict each other beside a complete one: least squares with two predictors in closed form."""
+    out = ["""WITH holes AS (
+  SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, CASE WHEN p_partkey % 5 <> 0 THEN round(p_retailprice + p_size * 3, 1) END AS price0,
+         CASE WHEN p_partkey % 4 <> 1 THEN CAST(length(p_name) * 10 + p_partkey % 7 AS DOUBLE) END AS weight0 FROM part)""",
+           f"step0 AS (SELECT *, coalesce(price0, {CHAIN_STARTS['price']}) AS price, coalesce(weight0, {CHAIN_STARTS['weight']}) AS weight FROM holes)"]
+    for k in range(2 * sweeps):
+        y, x = ("price", "weight") if k % 2 == 0 else ("weight", "price")
+        out.append(f"""sums{k} AS (
+  SELECT avg({y}0) AS my, avg(size) AS m1, avg({x}) AS m2, var_pop(size) AS v1, var_pop({x}) AS v2, covar_pop(size, {x}) AS c12,
+         covar_pop({y}0, size) AS c1, covar_pop({y}0, {x}) AS c2 FROM step{k} WHERE {y}0 IS NOT NULL)""")
+        out.append(f"""fit{k} AS (
+  SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM sums{k})""")
+        out.append(f"""step{k + 1} AS (
+  SELECT p_partkey, size, price0, weight0, coalesce({y}0, my + b1 * (size - m1) + b2 * ({x} - m2)) AS {y}, {x} FROM step{k}, fit{k})""")
+    return ", ".join(out) + f"""
+SELECT CAST(i.imp AS INTEGER) AS imp, p_partkey, round(price, 4) AS price, round(weight, 4) AS weight
+FROM step{2 * sweeps}, (VALUES (1), (2)) i(imp)"""
+
+
+@query("impute_chained", _chain_sql(2))
+def q_impute_chained(spark, sf):
+    """Two incomplete columns, each predicted by the other and a complete one, over two sweeps."""
+    df = _incomplete(spark, sf).drop("len").join(
+        table(spark, sf, "part").select("p_partkey", F.when(
+            F.col("p_partkey") % 4 != 1, (F.length("p_name") * 10 + F.col("p_partkey") % 7).cast("double")).alias("weight")), "p_partkey")
+    out = mice_impute(df, "p_partkey", dict.fromkeys(CHAIN_STARTS, "norm.predict"), ["size"], m=2, sweeps=2, starts=CHAIN_STARTS)
+    return out.select("imp", "p_partkey", F.round("price", 4).alias("price"), F.round("weight", 4).alias("weight"))
+
+
 @query("complete_long", sql("""
 SELECT CAST(imp AS INTEGER) AS imp, p_partkey, size, round(price, 5) AS price FROM done""", INCOMPLETE_SQL))
 def q_complete_long(spark, sf):

@@ -39,8 +39,8 @@ def _draw(seed: int, salt: str, n: Column, *ids: str) -> Column:
 
 
 def start_frame(df: DataFrame, row_id: str, columns: Sequence[str], m: int, seed: int,
-                imp: str = "imp") -> DataFrame:
-    """``m`` copies of the data whose gaps are filled with random observed values.
+                imp: str = "imp", starts: Mapping[str, float] | None = None) -> DataFrame:
+    """``m`` copies of the data whose gaps are filled with random observed values, or with the constant in ``starts``.
 
     Every gap draws the rank of an observed value of its column, uniformly, and meets it in one
     join on (column, rank) for all columns together.
@@ -51,10 +51,15 @@ def start_frame(df: DataFrame, row_id: str, columns: Sequence[str], m: int, seed
         raise ValueError(f"no observed value in {empty}")
     flagged = df.withColumns({_missing(c): F.col(c).isNull() for c in columns})
     copies = flagged.withColumn(imp, F.explode(F.sequence(F.lit(1), F.lit(m))))
+    given = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) for c, v in (starts or {}).items() if c in columns}
+    copies = copies.withColumns(given)
+    columns = [c for c in columns if c not in given]
+    if not columns:
+        return copies
     long = F.inline(F.array(*[
         F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_val")) for c in columns]))
     observed = df.select(row_id, long).filter("_val is not null")
-    buckets = max(1, math.ceil(max(counts) / ROWS_PER_BUCKET))
+    buckets = max(1, math.ceil(max(counts[c] for c in columns) / ROWS_PER_BUCKET))
     donors = bucketed_rank(observed, ["_var"], [F.col(row_id), F.col("_var"), F.lit(seed)], buckets,
                            "_rank").select("_var", "_rank", "_val")
     gap = F.inline(F.array_compact(F.array(*[
@@ -150,18 +155,19 @@ def _draw_column(frame: DataFrame, row_id: str, target: str, predictors: Sequenc
 
 def mice_impute(df: DataFrame, row_id: str, methods: Mapping[str, str], predictors: Sequence[str],
                 m: int = 10, sweeps: int = 5, seed: int = 20, trees: int = 10, min_leaf: int = 5,
-                bins: int = 32, imp: str = "imp") -> DataFrame:
+                bins: int = 32, imp: str = "imp", starts: Mapping[str, float] | None = None) -> DataFrame:
     """Completed data sets 1..m stacked in one frame with the column ``imp``.
 
     ``methods`` maps each incomplete column to ``norm.predict`` or ``rf``; columns are visited in
     that order. ``predictors`` are numeric columns without gaps of their own; the other incomplete
     columns always take part as well. Observed values are never changed. Trees of the forest method grow until a
     leaf would hold fewer than ``min_leaf`` rows, splitting at ``bins`` candidate points per column.
+    The chain begins with random observed values, or with the constants of ``starts`` for the columns it names.
     """
     unknown = set(methods.values()) - {"norm.predict", "rf"}
     if unknown:
         raise ValueError(f"unknown methods {sorted(unknown)}")
-    frame = materialize(start_frame(df, row_id, list(methods), m, seed, imp))
+    frame = materialize(start_frame(df, row_id, list(methods), m, seed, imp, starts))
     for sweep in range(sweeps):
         for n, (target, method) in enumerate(methods.items()):
             used = [*predictors, *[c for c in methods if c != target]]
