@@ -266,6 +266,30 @@ def test_imputation_properties(spark, data):
     assert run().equals(out)
 
 
+def test_chain_of_three_columns(spark, data):
+    """Both methods in one chain; the column visited last fits the completed others, in each data set with its own donors."""
+    rng = np.random.default_rng(8)
+    holes = data[["id", "x", "z"]].copy()
+    holes["cat"] = np.round(holes["x"] ** 2, 1)
+    holes["lin"] = holes["x"] - 2 * holes["z"] + rng.normal(size=len(holes))
+    holes["wt"] = holes["lin"] + holes["cat"] + rng.normal(size=len(holes))
+    for c in ("cat", "lin", "wt"):
+        holes.loc[rng.random(len(holes)) < 0.2, c] = np.nan
+    df = spark.createDataFrame(holes).replace(float("nan"), None)
+    out = mice_impute(df, "id", {"cat": "rf", "lin": "norm.predict", "wt": "norm.predict"}, ["x", "z"], m=2, sweeps=2, trees=3, seed=4,
+                      starts={"lin": 0.5}).orderBy("imp", "id").toPandas()
+    holes = holes.sort_values("id").reset_index(drop=True)
+    parts = [part.reset_index(drop=True) for _, part in out.groupby("imp")]
+    assert len(parts) == 2 and not parts[0]["wt"].equals(parts[1]["wt"])
+    for part in parts:
+        for c in ("cat", "lin", "wt"):
+            assert part[c].notna().all() and (part[c] == holes[c])[holes[c].notna()].all()
+        x = np.column_stack([np.ones(len(part)), part[["x", "z", "cat", "lin"]].astype(float)])
+        seen = holes["wt"].notna().to_numpy()
+        beta = np.linalg.lstsq(x[seen], holes["wt"][seen].to_numpy(), rcond=None)[0]
+        assert part["wt"].to_numpy()[~seen] == pytest.approx((x @ beta)[~seen], abs=1e-6)
+
+
 def test_contrast_statistics(spark, data):
     df = spark.createDataFrame(data.assign(g=data["s"].astype(str), c=np.where(data["x"] > 0, "hi", "lo")))
     out = {(r["var"], r["level"], r["grp"]): r for r in
