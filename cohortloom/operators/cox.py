@@ -1,10 +1,10 @@
 """Batched proportional-hazards regression with Efron's handling of ties.
 
-Times are whole days. A Newton step takes two passes over the rows. The first sums 1 and x, weighted by exp(xb),
-per (model, event day): a running sum over days gives the risk sets, and these the likelihood, the score, and
-two numbers per event day. The second adds up the weighted xx' of all rows into one matrix per model: summed over
-event days, a row's weight is what the risk sets up to its own day give it. So no second moment is held by day, and
-nothing per day is larger than the calendar.
+Every row is placed once at the last event day it is at risk on. A Newton step then takes two passes over the rows. The
+first sums 1 and x, weighted by exp(xb), per (model, event day): a running sum over days gives the risk sets, and these
+the likelihood, the score, and the hazard of each day. The second joins the running hazard to the rows and adds up the
+weighted xx' into one matrix per model: summed over event days, a row's weight is what the risk sets up to its own day
+give it. So no second moment is held by day, and nothing by day reaches the driver: only one vector and one matrix a model do.
 """
 
 from __future__ import annotations
@@ -16,20 +16,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.functions.scans import in_blocks, neighbours
 from cohortloom.operators.models import (
     Evaluate,
     Fit,
     ModelSpec,
     _finish,
-    batch_sums,
+    batch_rows,
     design_frame,
     model_rows,
     newton,
     unpack,
 )
+from cohortloom.session import materialize
 
 #: Terms of a tied day that are added one by one.
 TAIL = 64
+#: Numbers a task of the first pass holds (8 bytes each) before it gives its sums out.
+HELD = 1 << 23
 
 
 def _series(x: np.ndarray) -> np.ndarray:
@@ -71,39 +75,46 @@ def efron_sums(s0: np.ndarray, e0: np.ndarray, d: np.ndarray) -> tuple[np.ndarra
     return d * np.log(s0) + logs, inv / s0, inv2 / s0**2
 
 
-def event_days(frame: DataFrame, time: str, status: str) -> dict[int | None, np.ndarray]:
-    """Sorted event days of each data set, and of all (None): at most one value per calendar day and data set."""
-    found = frame.filter(F.col(f"`{status}`") > 0).select("_imp", F.col(f"`{time}`").cast("long").alias("day")).distinct().collect()
-    by: dict[int | None, set[int]] = {None: {r["day"] for r in found}}
-    for r in found:
-        by.setdefault(r["_imp"], set()).add(r["day"])
-    return {i: np.array(sorted(d), dtype="int64") for i, d in by.items()}
+def risk_frame(frame: DataFrame, time: str, status: str) -> DataFrame:
+    """The rows of a design frame with ``_day``, the last event time of any data set at or before their own; written once.
+
+    Rows that end before the first event are in no risk set and left out. Times go by ranges with carries, events before
+    the others of their time and rows of one time over several ranges, so a time at which very many end is no single task.
+    """
+    ends, event = F.col(f"`{time}`"), F.col(f"`{status}`") > 0
+    placed = frame.withColumns({"_event": F.when(event & ~F.isnan(ends), ends), "_late": F.when(event, 0).otherwise(1),
+                                "_row": F.monotonically_increasing_id()})
+    order = [time, "_late", "_row"]
+    days = neighbours(in_blocks(placed, [], order), [], order, "_event", "_day", "_next")
+    return materialize(days.filter("_day IS NOT NULL").select(*frame.columns, "_day"))
 
 
-def _add_by_day(place: np.ndarray, values: np.ndarray, days: int) -> np.ndarray:
-    out = np.zeros((days, values.shape[1]))
-    order = np.argsort(place, kind="stable")
-    place, values = place[order], values[order]
-    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    out[place[start]] = np.add.reduceat(values, start, axis=0)
-    return out
+def _add_by_day(day: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct days and the sums of their rows."""
+    order = np.argsort(day, kind="stable")
+    day, values = day[order], values[order]
+    start = np.flatnonzero(np.r_[True, day[1:] != day[:-1]])
+    return day[start], np.add.reduceat(values, start, axis=0)
 
 
-def _risk_terms(frame: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
-                betas: Sequence[np.ndarray], days: Sequence[np.ndarray]) -> DataFrame:
-    """One row per (model, place of the event day) and task with the sums of its rows.
+def _risk_terms(frame: DataFrame, time: str, status: str, specs: Sequence[ModelSpec], betas: Sequence[np.ndarray]) -> DataFrame:
+    """One row per (model, day) and task with the sums of its rows; what a task holds is given out above HELD numbers.
 
     ``v``: 1 and x weighted by exp(xb), over all rows; the same over event rows; number of events, their sum of xb,
-    their sum of x. A row counts at the last event day it is at risk on; one that is over before the first, nowhere.
+    their sum of x.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [np.zeros((len(d), 2 * (len(s.columns) + 1) + len(s.columns) + 2)) for s, d in zip(specs, days)]
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            for m, (day, sums) in held.items():
+                yield pd.DataFrame({"model": np.full(len(day), m, dtype="int32"), "day": day, "v": list(sums)})
+            held.clear()
+
         for pdf in batches:
             for m, spec in enumerate(specs):
-                y, x = model_rows(pdf, spec, [time, status], False)
-                place = np.searchsorted(days[m], y[:, 0], "right") - 1
-                y, x, place = y[place >= 0], x[place >= 0], place[place >= 0]
+                y, x = model_rows(pdf, spec, [time, status, "_day"], False)
                 if not len(y):
                     continue
                 eta = x @ betas[m]
@@ -114,17 +125,22 @@ def _risk_terms(frame: DataFrame, time: str, status: str, specs: Sequence[ModelS
                 with np.errstate(invalid="ignore"):
                     event = risk * y[:, 1:2]
                 seen = np.column_stack([np.ones(len(x)), eta, x]) * y[:, 1:2]
-                held[m] += _add_by_day(place, np.column_stack([risk, event, seen]), len(days[m]))
-        for m, sums in enumerate(held):
-            some = np.flatnonzero(sums.any(axis=1))
-            if len(some):
-                yield pd.DataFrame({"model": np.full(len(some), m, dtype="int32"), "place": some.astype("int32"), "v": list(sums[some])})
+                day, sums = _add_by_day(y[:, 2], np.column_stack([risk, event, seen]))
+                if m in held:
+                    day, sums = _add_by_day(np.concatenate([held[m][0], day]), np.concatenate([held[m][1], sums]))
+                held[m] = day, sums
+            if sum(sums.size for _, sums in held.values()) > HELD:
+                yield from out()
+        yield from out()
 
-    return frame.mapInPandas(task, "model int, place int, v array<double>")
+    return frame.mapInPandas(task, "model int, day double, v array<double>")
 
 
 def _event_day_sums(per_day: DataFrame, dims: Sequence[int]) -> DataFrame:
-    """Contributions of the event days, summed per model (place -1), and two numbers for each of them (k 0 and 1)."""
+    """Contributions of the event days, summed per model (numbered by k), and each day's hazard and tie share (k -1).
+
+    A day on which a model has no event of its own has neither.
+    """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, np.ndarray] = {}
@@ -132,73 +148,90 @@ def _event_day_sums(per_day: DataFrame, dims: Sequence[int]) -> DataFrame:
             for m, part in pdf.groupby("model"):
                 q = dims[m]
                 v = np.array([r[:3 * q + 4] for r in part["v"]], dtype="float64")
-                risk = np.array([r[:q + 1] for r in part["risk"]], dtype="float64")
-                event, seen = v[:, q + 1:2 * q + 2], v[:, 2 * q + 2:]
-                d, eta, sum_x = seen[:, 0], seen[:, 1], seen[:, 2:]
-                s0, e0, s1, e1 = risk[:, 0], event[:, 0], risk[:, 1:], event[:, 1:]
-                logs, inv, inv2 = efron_sums(s0, e0, d)
-                # (s - f*e) / (s0 - f*e0) = a + b / (s0 - f*e0), linear in the reciprocal
-                a1 = e1 / e0[:, None]
-                b1 = s1 - a1 * s0[:, None]
-                score = sum_x - (a1 * d[:, None] + b1 * inv[:, None])
-                i, j = np.triu_indices(q)
-                outer = (a1[:, i] * a1[:, j] * d[:, None]
-                         + (a1[:, i] * b1[:, j] + b1[:, i] * a1[:, j]) * inv[:, None]
-                         + b1[:, i] * b1[:, j] * inv2[:, None])
-                part_sum = np.concatenate([outer.sum(0), score.sum(0), [(eta - logs).sum(), d.sum()]])
-                totals[m] = totals.get(m, 0.0) + part_sum
                 n = len(part)
-                yield pd.DataFrame({"model": np.full(2 * n, m, dtype="int32"), "place": np.tile(part["place"].to_numpy("int32"), 2),
-                                    "k": np.repeat(np.arange(2, dtype="int32"), n),
-                                    "v": np.concatenate([inv, (s0 * inv - d) / e0])})
+                out = np.zeros((n, 2))
+                on = v[:, 2 * q + 2] > 0
+                if on.any():
+                    risk = np.array([r[:q + 1] for r in part["risk"]], dtype="float64")[on]
+                    event, seen = v[on, q + 1:2 * q + 2], v[on, 2 * q + 2:]
+                    d, eta, sum_x = seen[:, 0], seen[:, 1], seen[:, 2:]
+                    s0, e0, s1, e1 = risk[:, 0], event[:, 0], risk[:, 1:], event[:, 1:]
+                    logs, inv, inv2 = efron_sums(s0, e0, d)
+                    # (s - f*e) / (s0 - f*e0) = a + b / (s0 - f*e0), linear in the reciprocal
+                    a1 = e1 / e0[:, None]
+                    b1 = s1 - a1 * s0[:, None]
+                    score = sum_x - (a1 * d[:, None] + b1 * inv[:, None])
+                    i, j = np.triu_indices(q)
+                    outer = (a1[:, i] * a1[:, j] * d[:, None]
+                             + (a1[:, i] * b1[:, j] + b1[:, i] * a1[:, j]) * inv[:, None]
+                             + b1[:, i] * b1[:, j] * inv2[:, None])
+                    totals[m] = totals.get(m, 0.0) + np.concatenate([outer.sum(0), score.sum(0), [(eta - logs).sum(), d.sum()]])
+                    out[on] = np.column_stack([inv, (s0 * inv - d) / e0])
+                yield pd.DataFrame({"model": np.full(n, m, dtype="int32"), "day": part["day"].to_numpy("float64"),
+                                    "k": np.full(n, -1, dtype="int32"), "v": out[:, 0], "own": out[:, 1]})
         for m, v in totals.items():
-            yield pd.DataFrame({"model": np.full(len(v), m, dtype="int32"), "place": np.full(len(v), -1, dtype="int32"),
-                                "k": np.arange(len(v), dtype="int32"), "v": v})
+            yield pd.DataFrame({"model": np.full(len(v), m, dtype="int32"), "day": np.zeros(len(v)),
+                                "k": np.arange(len(v), dtype="int32"), "v": v, "own": np.zeros(len(v))})
+
+    return per_day.mapInPandas(task, "model int, day double, k int, v double, own double")
 
-    return per_day.mapInPandas(task, "model int, place int, k int, v double")
 
+def _running_hazard(sums: DataFrame, specs: Sequence[ModelSpec]) -> tuple[DataFrame, list[int], list[str]]:
+    """One row per day (and data set): each model's hazard up to that day and tie share of it, in columns by slot.
 
-def cox_evaluator(frame: DataFrame, time: str, status: str, specs: Sequence[ModelSpec], by_set: dict[int | None, np.ndarray]) -> Evaluate:
-    """Partial likelihood, score, information and event count of Cox models at given coefficients, in two jobs for all."""
+    Models of different data sets share slots, unless one of them reads all data sets.
+    """
+    apart = all(s.imp is not None for s in specs)
+    slots, used = [], {}
+    for s in specs:
+        key = s.imp if apart else None
+        slots.append(used.get(key, 0))
+        used[key] = slots[-1] + 1
+    upto = Window.partitionBy("model").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_day = sums.filter("k < 0").select("model", "day", F.sum("v").over(upto).alias("h"), "own")
+    number = F.col("model") + 1
+    slot = F.element_at(F.array(*[F.lit(n) for n in slots]), number)
+    keys = ["_imp", "_day"] if apart else ["_day"]
+    named = by_day.withColumns({"slot": slot, "_day": F.col("day")} | ({"_imp": F.element_at(F.array(*[F.lit(s.imp) for s in specs]), number)} if apart else {}))
+    at = lambda n, c: F.coalesce(F.max(F.when(F.col("slot") == n, F.col(c))), F.lit(0.0))
+    wide = named.groupBy(*keys).agg(*[at(n, c).alias(f"_{c}{n}") for n in range(max(used.values())) for c in ("h", "own")])
+    return wide, slots, keys
+
+
+def cox_evaluator(frame: DataFrame, time: str, status: str, specs: Sequence[ModelSpec]) -> Evaluate:
+    """Partial likelihood, score, information and event count of Cox models at given coefficients, for all in two passes.
+
+    ``frame`` comes from ``risk_frame``.
+    """
     dims = [len(s.columns) for s in specs]
-    days = [by_set.get(s.imp, np.zeros(0, "int64")) for s in specs]
 
     def evaluate(active: list[int], betas: list[np.ndarray]) -> list[tuple]:
-        chosen, held = [specs[i] for i in active], [days[i] for i in active]
+        chosen = [specs[i] for i in active]
         q = [dims[i] for i in active]
         width = max(q)
         added = F.array(*[F.sum(F.get("v", F.lit(k))) for k in range(3 * width + 4)])
-        sums = _risk_terms(frame, time, status, chosen, betas, held).groupBy("model", "place").agg(added.alias("v"))
-        later = (Window.partitionBy("model").orderBy(F.col("place").desc())
+        sums = _risk_terms(frame, time, status, chosen, betas).groupBy("model", "day").agg(added.alias("v"))
+        later = (Window.partitionBy("model").orderBy(F.col("day").desc())
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         at_risk = F.array(*[F.sum(F.get("v", F.lit(k))).over(later) for k in range(width + 1)])
-        per_day = sums.withColumn("risk", at_risk)
-        # days on which this model has no event are left out; its number of events stands behind the moments
-        events = F.element_at(F.array(*[F.lit(2 * d + 2) for d in q]), F.col("model") + 1)
-        rows = _event_day_sums(per_day.filter(F.get("v", events) > 0), q)
-        rows = rows.groupBy("model", "place", "k").agg(F.sum("v").alias("v")).collect()
-        sizes = [d * (d + 1) // 2 + d + 2 for d in q]
-        flat = [np.zeros(n) for n in sizes]
-        hazard, own = ([np.zeros(len(d)) for d in held] for _ in range(2))
-        for r in rows:
-            if r["place"] < 0:
-                flat[r["model"]][r["k"]] = r["v"]
-            else:
-                (hazard, own)[r["k"]][r["model"]][r["place"]] = r["v"]
-        hazard = [np.cumsum(h) for h in hazard]
+        by_day = _event_day_sums(sums.withColumn("risk", at_risk), q)
+        hazard, slots, keys = _running_hazard(by_day, chosen)
 
         def add(pdf: pd.DataFrame, m: int) -> np.ndarray:
-            y, x = model_rows(pdf, chosen[m], [time, status], False)
-            place = np.searchsorted(held[m], y[:, 0], "right") - 1
-            y, x, place = y[place >= 0], x[place >= 0], place[place >= 0]
+            y, x = model_rows(pdf, chosen[m], [time, status, f"_h{slots[m]}", f"_own{slots[m]}"], False)
             with np.errstate(over="ignore", invalid="ignore"):
-                weight = np.exp(x @ betas[m]) * (hazard[m][place] - y[:, 1] * own[m][place])
+                weight = np.exp(x @ betas[m]) * (y[:, 2] - y[:, 1] * y[:, 3])
                 return (x.T @ (x * weight[:, None]))[np.triu_indices(q[m])]
 
-        second = batch_sums(frame, chosen, [d * (d + 1) // 2 for d in q], add)
+        # one query: both parts read the same shuffle of sums by day
+        sizes = [d * (d + 1) // 2 for d in q]
+        second = batch_rows(frame.join(hazard, keys), sizes, add).withColumn("part", F.lit(1))
+        first = by_day.filter("k >= 0").groupBy("model", "k").agg(F.sum("v").alias("v")).withColumn("part", F.lit(0))
+        found = [[np.zeros(n + d + 2) for n, d in zip(sizes, q)], [np.zeros(n) for n in sizes]]
+        for r in first.unionByName(second).collect():
+            found[r["part"]][r["model"]][r["k"]] = r["v"]
         out = []
-        for d, v, whole in zip(q, flat, second):
-            t = d * (d + 1) // 2
+        for d, t, v, whole in zip(q, sizes, *found):
             out.append((v[t + d], v[t:t + d], unpack(whole - v[:t], d), v[t + d + 1]))
         return out
 
@@ -207,11 +240,9 @@ def cox_evaluator(frame: DataFrame, time: str, status: str, specs: Sequence[Mode
 
 def fit_cox(df: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
             imp: str | None = None, max_iter: int = 50, tol: float = 1e-12,
-            prepared: bool = False, starts: Sequence[np.ndarray] | None = None,
-            by_set: dict[int | None, np.ndarray] | None = None) -> list[Fit]:
-    """Log hazard ratios of every spec; ``n`` counts the events."""
+            prepared: bool = False, starts: Sequence[np.ndarray] | None = None) -> list[Fit]:
+    """Log hazard ratios of every spec; ``n`` counts the events. A ``prepared`` frame comes from ``risk_frame``."""
     specs = list(specs)
-    frame = df if prepared else design_frame(df, specs, [time, status], imp)
-    by_set = event_days(frame, time, status) if by_set is None else by_set
-    results = newton(specs, [len(s.columns) for s in specs], cox_evaluator(frame, time, status, specs, by_set), max_iter, tol, starts)
+    frame = df if prepared else risk_frame(design_frame(df, specs, [time, status], imp), time, status)
+    results = newton(specs, [len(s.columns) for s in specs], cox_evaluator(frame, time, status, specs), max_iter, tol, starts)
     return _finish(specs, results, lambda s: list(s.columns))

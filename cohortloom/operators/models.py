@@ -91,9 +91,8 @@ def model_rows(pdf: pd.DataFrame, spec: ModelSpec, outcomes: Sequence[str],
     return y, np.column_stack([np.ones(len(x)), x]) if intercept else x
 
 
-def batch_sums(frame: DataFrame, specs: Sequence[ModelSpec], sizes: Sequence[int],
-               add: Callable[[pd.DataFrame, int], np.ndarray]) -> list[np.ndarray]:
-    """Sum ``add(batch, model)`` over all rows for every model."""
+def batch_rows(frame: DataFrame, sizes: Sequence[int], add: Callable[[pd.DataFrame, int], np.ndarray]) -> DataFrame:
+    """Sums of ``add(batch, model)`` over all rows for every model, one row per number: model, k, v."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = [np.zeros(n) for n in sizes]
@@ -106,10 +105,14 @@ def batch_sums(frame: DataFrame, specs: Sequence[ModelSpec], sizes: Sequence[int
             "v": np.concatenate(totals),
         })
 
-    rows = (frame.mapInPandas(task, SUMS_SCHEMA).groupBy("model", "k")
-            .agg(F.sum("v").alias("v")).collect())
+    return frame.mapInPandas(task, SUMS_SCHEMA).groupBy("model", "k").agg(F.sum("v").alias("v"))
+
+
+def batch_sums(frame: DataFrame, specs: Sequence[ModelSpec], sizes: Sequence[int],
+               add: Callable[[pd.DataFrame, int], np.ndarray]) -> list[np.ndarray]:
+    """Sum ``add(batch, model)`` over all rows for every model."""
     out = [np.zeros(n) for n in sizes]
-    for r in rows:
+    for r in batch_rows(frame, sizes, add).collect():
         out[r["model"]][r["k"]] = r["v"]
     return out
 

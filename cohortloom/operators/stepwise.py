@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.operators.cox import cox_evaluator, event_days, fit_cox
+from cohortloom.operators.cox import cox_evaluator, fit_cox, risk_frame
 from cohortloom.operators.models import Evaluate, Fit, ModelSpec, design_frame, fit_logistic, logistic_evaluator
 
 SEARCH_TOL = 1e-6
@@ -164,11 +164,10 @@ def stepwise_logistic(df: DataFrame, y: str, terms: Mapping[str, Sequence[str]],
 
 def stepwise_cox(df: DataFrame, time: str, status: str, terms: Mapping[str, Sequence[str]],
                  imp: str | None = None, imps: Sequence[int | None] = (None,)) -> list[Selection]:
-    frame = design_frame(df, _all_columns(terms), [time, status], imp)
-    by_set = event_days(frame, time, status)
+    frame = risk_frame(design_frame(df, _all_columns(terms), [time, status], imp), time, status)
     return stepwise_aic(
-        lambda specs, starts, tol: fit_cox(frame, time, status, specs, tol=tol, prepared=True, starts=starts, by_set=by_set), terms, imps,
-        evaluator=lambda specs: cox_evaluator(frame, time, status, specs, by_set))
+        lambda specs, starts, tol: fit_cox(frame, time, status, specs, tol=tol, prepared=True, starts=starts), terms, imps,
+        evaluator=lambda specs: cox_evaluator(frame, time, status, specs))
 
 
 def selection_path(spark: SparkSession, selections: Sequence[Selection]) -> DataFrame:

@@ -313,3 +313,22 @@ def test_coefficient_table(spark, data):
     row = coefficients(spark, fits).collect()[0]
     assert row["exp_estimate"] == pytest.approx(math.exp(row["estimate"]))
     assert coefficients(spark, fits, intercept=True).filter(F.col("term") == "(Intercept)").count() == 1
+
+
+def test_cox_sums_given_out_early_and_shared_slots(spark, monkeypatch):
+    """Many rows end at one time, a task gives its sums out again and again, and a model of all sets stands beside one set's."""
+    rng = np.random.default_rng(11)
+    rows = [(int(rng.integers(1, 3)), 40.0 if rng.random() < 0.4 else float(rng.integers(1, 40)), float(rng.normal())) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, float(t < 40 and rng.random() < 0.6), x) for i, t, x in rows] + [(1, None, 1.0, 0.3), (2, 0.5, 0.0, None)],
+                               "imp int, t double, s double, x double")
+    specs = [ModelSpec("one", ("x",), 1), ModelSpec("all", ("x",)), ModelSpec("two", ("x",), 2)]
+    apart = [fit_cox(df, "t", "s", [s], "imp")[0] for s in specs]
+    monkeypatch.setattr("cohortloom.operators.cox.HELD", 10)
+    for fit, own in zip(fit_cox(df, "t", "s", specs, "imp"), apart):
+        assert fit.converged and fit.n == own.n and fit.n > 0
+        assert np.allclose(fit.beta, own.beta, rtol=1e-9) and np.allclose(fit.cov, own.cov, rtol=1e-7)
+
+
+def test_cox_without_events(spark):
+    fit, = fit_cox(spark.createDataFrame([(1.0, 0.0, 2.0), (2.0, 0.0, 1.0)], "t double, s double, x double"), "t", "s", [ModelSpec("m", ("x",))])
+    assert fit.n == 0 and not fit.converged
