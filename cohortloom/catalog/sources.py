@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortloom.catalog import query
@@ -13,6 +15,7 @@ from cohortloom.sources.reference_files import read_codeset, read_growth_referen
 from cohortloom.sources.tables import (
     append_table,
     conform,
+    create_store,
     create_table,
     read_sites,
     read_table,
@@ -109,6 +112,21 @@ def q_append_table(spark, sf):
                                       F.sum(F.col("price").cast("bigint")).alias("total"))
 
 
+@query("person_store", """
+SELECT c_custkey, c_mktsegment AS site, CAST(count(o_orderkey) AS BIGINT) AS n_orders, CAST(min(o_orderdate) AS DATE) AS first_order
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
+def q_person_store(spark, sf):
+    """Events and persons in the same buckets: joined and counted by person without a shuffle of either."""
+    root, run = scratch_dir(spark), uuid.uuid4().hex
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = create_store(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus"),
+                          f"events_{run}", f"{root}/events", ["o_custkey"], buckets)
+    people = create_store(table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("site")),
+                          f"people_{run}", f"{root}/people", ["c_custkey"], buckets, ["site"])
+    joined = people.hint("merge").join(events, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.groupBy("c_custkey", "site").agg(F.count("o_orderkey").alias("n_orders"), F.min("o_orderdate").cast("date").alias("first_order"))
+
+
 @query("snapshot", """
 SELECT 'customer' AS name, CAST(count(*) AS BIGINT) AS n, CAST(max(c_custkey) AS BIGINT) AS last FROM customer
 UNION ALL SELECT 'orders', CAST(count(*) AS BIGINT), CAST(max(o_orderkey) AS BIGINT) FROM orders""")

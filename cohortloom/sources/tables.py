@@ -61,6 +61,27 @@ def append_table(df: DataFrame, path: str, schema: T.StructType,
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def create_store(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int,
+                 partition_by: Sequence[str] = ()) -> DataFrame:
+    """Create or replace the catalog table ``name`` at ``path``, bucketed and sorted by person and partitioned (by site).
+
+    Joins and groupings by ``keys`` read it without a shuffle, as do joins of two stores with the same keys and number of
+    buckets; a cohort that is not laid out so is brought to its buckets. ``buckets`` should be at least
+    ``spark.sql.shuffle.partitions``, else Spark may shuffle both sides to gain tasks. Rows are dealt by bucket
+    first, so a task writes one file per bucket and site. A bucket is read by one task: a person with a large share of all
+    rows belongs in a plain table, which ``skew_join`` spreads. Rows with a missing key are kept. Nothing of the table
+    is replaced before ``df`` is checked for the key columns.
+    """
+    missing = [c for c in (*keys, *partition_by) if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns not in the rows: {missing}")
+    spark = df.sparkSession
+    dealt = df.repartition(buckets, *[F.col(f"`{c}`") for c in keys])
+    writer = dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
+    return spark.table(name)
+
+
 def snapshot(frames: Mapping[str, DataFrame], root: str) -> dict[str, DataFrame]:
     """Write several tables side by side and return them re-read; nothing reaches the driver."""
     out = {}
