@@ -173,8 +173,11 @@ def same_day_pivot(df: DataFrame, keys: Sequence[str], day: str, kind: str, valu
 
 def derived_bmi(df: DataFrame, height: str = "HT", weight: str = "WT", bmi: str = "BMI",
                 upper: float = 60) -> DataFrame:
-    """Fill a missing BMI from height and weight (rounded half to even) and drop absurd rows."""
-    computed = round_half_even(F.col(weight) / (F.col(height) * F.col(height)))
+    """Fill a missing BMI from height and weight (rounded half to even) and drop absurd rows.
+
+    A height of zero gives no BMI: the row stays only with a measured one.
+    """
+    computed = round_half_even(F.try_divide(F.col(weight), F.col(height) * F.col(height)))
     return (df.withColumn(bmi, F.coalesce(F.col(bmi), computed))
             .filter((F.col(weight) > 0) & (F.col(bmi) > 0) & (F.col(bmi) < upper)))
 

@@ -272,3 +272,9 @@ def test_sites_with_different_columns(spark):
     rows = {r["id"]: r.asDict() for r in union_sites({"A": a, "B": b}).collect()}
     assert rows[1] == {"id": 1, "a": "x", "site": "A", "b": None}
     assert rows[2] == {"id": 2, "a": None, "site": "B", "b": "y"}
+
+
+def test_a_height_of_zero_gives_no_bmi(spark):
+    rows = spark.createDataFrame([(1, 0.0, 50.0, None), (2, 0.0, 50.0, 17.0), (3, 2.0, 50.0, None), (4, 0.0, 0.0, None), (5, None, 50.0, None)],
+                                 "p int, HT double, WT double, BMI double")
+    assert {(r["p"], r["BMI"]) for r in C.derived_bmi(rows).collect()} == {(2, 17.0), (3, 12.0)}
