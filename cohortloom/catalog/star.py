@@ -209,6 +209,12 @@ def lines(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFra
     return lookup_join(li, o, ["l_orderkey"])
 
 
+def activity(rows: DataFrame) -> DataFrame:
+    """The order lines that are prescriptions or procedures, with the columns these are made of."""
+    return rows.filter(F.col("l_returnflag").isin("R", "A")).select(
+        *KEYS, "l_partkey", "l_linenumber", "l_returnflag", "ship", "ordered")
+
+
 def prescribing(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     return (lines(spark, sf) if rows is None else rows).filter("l_returnflag = 'R'").select(
         "person_id", F.col("l_partkey").alias("code"),
@@ -265,7 +271,7 @@ def first_prescriptions(spark: SparkSession, sf: str, who: DataFrame,
 def censoring(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = None,
               rows: DataFrame | None = None) -> DataFrame:
     if rows is None:
-        rows = materialize(lines(spark, sf, who))
+        rows = materialize(activity(lines(spark, sf, who)))
     sources = [ActivitySource(diagnoses(spark, sf), "admit_date", "dx_date"),
                ActivitySource(procedures(spark, sf, rows), "admit_date", "px_date"),
                ActivitySource(prescribing(spark, sf, rows), "start_date", "order_date")]
@@ -276,11 +282,12 @@ def stack(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFra
     # the cohort feeds five joins, so it is persisted as a table first, as a study would
     who = materialize(cohort(spark, sf).select(*KEYS, "index_date")) if who is None else who
     small = fits(who, BROADCAST_ROWS)
-    # so do the cohort's lines: they are scanned and joined once
-    rows = materialize(lines(spark, sf, who))
+    # so do the cohort's lines: they are scanned and joined once, those that no endpoint reads not at all
+    rows = materialize(activity(lines(spark, sf, who)))
+    codes = materialize(codeset(spark, sf).select("p_partkey", "therapy"))
     return endpoint_stack({
         "surgery": (surgery(spark, sf, who, small, rows), "first_date", None),
-        "drug": (first_prescriptions(spark, sf, who, small, rows=rows), "first_date", "therapy"),
+        "drug": (first_prescriptions(spark, sf, who, small, codes, rows), "first_date", "therapy"),
         "censor": (censoring(spark, sf, who, small, rows), "censor_date", None),
     }, KEYS, "index_date")
 

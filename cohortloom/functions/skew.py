@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 2_000_000
+HOT_BUCKETS = 4096
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -33,6 +34,21 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return found["n"] <= limit and found["n"] * fixed + found["size"] <= BROADCAST_BYTES
 
 
+def _hot_keys(big: DataFrame, on: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Keys above ``hot_rows`` rows with their number of salts, or None where there is none.
+
+    Rows are counted by a hash of the key first, so that a read without a shuffle of the keys rules out nearly all of them;
+    only the keys of a hash with more rows than that are counted one by one.
+    """
+    bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in on]), F.lit(HOT_BUCKETS))
+    counts = big.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
+    full = [r["_bucket"] for r in counts.filter(F.col("_rows") > hot_rows).collect()]
+    if not full:
+        return None
+    rows = big.filter(bucket.isin(*full)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    return rows.filter(F.col("_rows") > hot_rows).select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
+
+
 def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
               hot_rows: int = HOT_ROWS) -> DataFrame:
     """Shuffle join in which every key above ``hot_rows`` rows is spread over several tasks.
@@ -40,7 +56,8 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     A hot key gets ``ceil(count / hot_rows)`` salts, its partner rows are copied to each salt,
     and all other keys keep salt 0. The salt is a hash of the row and its input partition: stable
     when a task is retried, spread even among equal rows. Rows with a missing key match nothing:
-    they go round the join. The engine broadcasts the table of hot keys if it is small.
+    they go round the join. Hot keys are as few as there are multiples of ``hot_rows`` among the rows, so their table is
+    broadcast and each side is shuffled once; without any the join is a plain one and keeps the partitioning by ``on``.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -49,19 +66,19 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     for c in on:
         missing = missing | F.col(f"`{c}`").isNull()
     apart, big = big.filter(missing), big.filter(~missing)
-    hot = (
-        big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
-    )
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns], F.spark_partition_id()),
-                    F.coalesce("_salts", F.lit(1)))
-    left = (big.join(hot, on, "left")
-            .withColumn("_salt", spread.cast("int")).drop("_salts"))
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    right = (small.join(hot, on, "left")
-             .withColumn("_salt", copies).drop("_salts"))
-    joined = left.join(right, [*on, "_salt"], how).drop("_salt")
+    hot = _hot_keys(big, on, hot_rows)
+    if hot is None:
+        joined = big.join(small, on, how)
+    else:
+        hot = F.broadcast(hot)
+        spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns], F.spark_partition_id()),
+                        F.coalesce("_salts", F.lit(1)))
+        left = (big.join(hot, on, "left")
+                .withColumn("_salt", spread.cast("int")).drop("_salts"))
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+        right = (small.join(hot, on, "left")
+                 .withColumn("_salt", copies).drop("_salts"))
+        joined = left.join(right, [*on, "_salt"], how).drop("_salt")
     return joined if how == "inner" else joined.unionByName(apart, allowMissingColumns=True)
 
 

@@ -7,10 +7,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cohortloom.catalog import star
 from cohortloom.functions.quantiles import grouped_quantiles, with_ordered_key
 from cohortloom.functions.ranks import bucketed_rank
 from cohortloom.functions.scans import in_blocks
-from cohortloom.functions.skew import BROADCAST_ROWS, attach_index, fits, lookup_join, skew_join
+from cohortloom.functions.skew import BROADCAST_ROWS, _hot_keys, attach_index, fits, lookup_join, skew_join
 from cohortloom.operators.cohort import index_event
 from cohortloom.operators.covariates import nearest_reference_join
 from cohortloom.operators.endpoints import EventRule, code_events, first_event_after_index, first_events
@@ -258,3 +259,58 @@ def test_missing_site_keeps_its_rows(spark):
     assert cells["1_N", None] == "2 (100%)" and cells["sex:f", None] == "2 (100%)" and cells["2_age", None] == "5 (1.4)"
     rates = first_treatment_rates(spark.createDataFrame([(k, 2020, "t" if k else "u") for k in range(16)], "p int, y int, trt1 string"), "p", "y")
     assert {r["var"]: r["p"] for r in rates.collect()}["u"] == 0.062
+
+
+def _joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(plan.count(j) for j in ("SortMergeJoin", "ShuffledHashJoin")), plan.count("BroadcastHashJoin")
+
+
+def test_skew_join_shuffles_each_side_once(skewed, spark):
+    """Without a hot key the join is a plain one; with some only their small table is added, by broadcast."""
+    big, small = skewed
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain, spread = skew_join(big, small, ["k"]), skew_join(big, small, ["k"], hot_rows=100)
+        assert _joins(plain) == (1, 0) and "_salt" not in plain._jdf.queryExecution().toString()
+        assert _joins(spread) == (1, 2)
+        assert rows(plain) == rows(spread) == rows(big.join(small, "k"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_keys_are_found_by_count(spark):
+    """Every key above the limit and no other, also where keys of several columns share a hash bucket."""
+    df = spark.range(30_000).select((F.col("id") % 9000).alias("a"), F.when(F.col("id") % 9000 < 3, "x").otherwise((F.col("id") % 2).cast("string")).alias("b"))
+    want = {(r["a"], r["b"]): -(-r["count"] // 3) for r in df.groupBy("a", "b").count().filter("count > 3").collect()}
+    assert want and {(r["a"], r["b"]): r["_salts"] for r in _hot_keys(df, ["a", "b"], 3).collect()} == want
+    assert _hot_keys(df, ["a", "b"], 30_000) is None
+
+
+@pytest.fixture(scope="module")
+def shop(spark, tmp_path_factory):
+    """A few customers with orders, lines of every flag and parts of every rule."""
+    d, n = str(tmp_path_factory.mktemp("shop")), 40
+    days = pd.Timestamp("1992-01-01") + pd.to_timedelta(np.arange(n * 4) * 11, "D")
+    parts = [("large ring", "SMALL"), ("red box", "STANDARD"), ("anvil", "LARGE"), ("gizmo", "ECONOMY")]
+    tables = {
+        "customer": pd.DataFrame({"c_custkey": np.arange(n) + 3000, "c_nationkey": 1, "c_acctbal": 5.0, "c_mktsegment": "BUILDING"}),
+        "orders": pd.DataFrame({"o_orderkey": np.arange(n * 4), "o_custkey": np.arange(n * 4) % n + 3000, "o_orderstatus": "O",
+                                "o_orderdate": days, "o_orderpriority": "1-URGENT"}),
+        "lineitem": pd.DataFrame({"l_orderkey": np.arange(n * 24) % (n * 4), "l_partkey": np.arange(n * 24) % 30, "l_suppkey": 1,
+                                  "l_linenumber": np.arange(n * 24) % 7, "l_returnflag": [("R", "A", "N", None)[k // 7 % 4] for k in range(n * 24)],
+                                  "l_linestatus": "O", "l_shipdate": np.resize(days, n * 24) + pd.to_timedelta(9, "D")}),
+        "part": pd.DataFrame([(k, *parts[k % 4], 1) for k in range(30)], columns=["p_partkey", "p_name", "p_type", "p_size"])}
+    for name, df in tables.items():
+        spark.createDataFrame(df).write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+def test_endpoints_write_the_lines_they_read(spark, monkeypatch, shop):
+    """Lines without a prescription or procedure, and columns of neither, are not written."""
+    written = []
+    monkeypatch.setattr(star, "materialize", lambda df, *by: written.append(df) or df)
+    assert star.stack(spark, shop).filter("endpoint = 'base_a'").count() > 0
+    lines = next(df for df in written if "l_returnflag" in df.columns)
+    assert {r[0] for r in lines.select("l_returnflag").distinct().collect()} == {"R", "A"}
+    assert not {"l_suppkey", "l_linestatus"} & set(lines.columns)
