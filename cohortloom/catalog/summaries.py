@@ -110,8 +110,9 @@ def q_yearly_denominators(spark, sf):
 
 
 def _dated(spark, sf):
-    years = star.cohort(spark, sf).select("person_id", F.year("index_date").alias("index_year"))
-    return star.timeline(spark, sf).join(years, "person_id")
+    people = materialize(star.cohort(spark, sf).select("person_id", "index_date"))
+    years = people.select("person_id", F.year("index_date").alias("index_year"))
+    return star.timeline(spark, sf, people).join(years, "person_id")
 
 
 DATED_SQL = """

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortloom.catalog import star
+from cohortloom.catalog.summaries import _dated, q_missingness_rates
 from cohortloom.functions.quantiles import grouped_quantiles, with_ordered_key
 from cohortloom.functions.ranks import bucketed_rank
 from cohortloom.functions.scans import in_blocks
@@ -314,3 +315,12 @@ def test_endpoints_write_the_lines_they_read(spark, monkeypatch, shop):
     lines = next(df for df in written if "l_returnflag" in df.columns)
     assert {r[0] for r in lines.select("l_returnflag").distinct().collect()} == {"R", "A"}
     assert not {"l_suppkey", "l_linestatus"} & set(lines.columns)
+
+
+def test_dated_timeline_selects_the_cohort_once(spark, monkeypatch, shop):
+    made, cohort = [], star.cohort
+    monkeypatch.setattr(star, "cohort", lambda *a: made.append(a) or cohort(*a))
+    assert {r["index_year"] for r in _dated(spark, shop).collect()} and len(made) == 1
+    made.clear()
+    seen = {r["index_year"]: r["n_year"] for r in q_missingness_rates(spark, shop).collect()}
+    assert len(made) == 1 and sum(seen.values()) == _dated(spark, shop).count()
