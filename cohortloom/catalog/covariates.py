@@ -500,8 +500,8 @@ LEFT JOIN dxf d ON c.person_id = d.person_id""", COHORT_SQL, CODESET_SQL, EVENTS
 def q_analysis_set_full(spark, sf):
     """Cohort, endpoints, sequence, transitions, z-scores, labs with presence flags, stays and diagnoses, keys checked."""
     base = materialize(star.cohort(spark, sf).select("person_id", "site", "sex", "age", "index_date"))
-    endpoints = materialize(star.timeline(spark, sf))
-    who = materialize(_who(spark, sf))
+    endpoints = materialize(star.timeline(spark, sf, base.select(*KEYS, "index_date")))
+    who = _who(spark, sf)
     scores = _zscores(spark, sf, who).groupBy(*KEYS).agg(*[F.max(f"{m}_Z").alias(f"{m}_Z") for m in ("HT", "WT", "BMI")])
     labs = materialize(_lab_wide(spark, sf, who))
     sides = [materialize(scores), labs, C.presence_flags(base, labs, KEYS, LABS),

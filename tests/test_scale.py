@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortloom.catalog import star
+from cohortloom.catalog.covariates import q_analysis_set_full
 from cohortloom.catalog.summaries import _dated, q_missingness_rates
 from cohortloom.functions.quantiles import grouped_quantiles, with_ordered_key
 from cohortloom.functions.ranks import bucketed_rank
@@ -324,3 +325,17 @@ def test_dated_timeline_selects_the_cohort_once(spark, monkeypatch, shop):
     made.clear()
     seen = {r["index_year"]: r["n_year"] for r in q_missingness_rates(spark, shop).collect()}
     assert len(made) == 1 and sum(seen.values()) == _dated(spark, shop).count()
+
+
+def test_full_set_passes_its_cohort_to_the_timeline(spark, monkeypatch, shop):
+    class Reached(Exception):
+        pass
+
+    def timeline(spark, sf, who=None):
+        raise Reached(who)
+
+    monkeypatch.setattr(star, "timeline", timeline)
+    with pytest.raises(Reached) as reached:
+        q_analysis_set_full(spark, shop)
+    who = reached.value.args[0]
+    assert who is not None and who.columns == ["person_id", "index_date"] and who.count() == star.cohort(spark, shop).count() > 0
