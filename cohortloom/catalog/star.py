@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortloom.functions.predicates import code_matches, guarded_inclusion, starts_with_any
-from cohortloom.functions.skew import BROADCAST_ROWS, fits, lookup_join
+from cohortloom.functions.skew import BROADCAST_ROWS, fits, lookup_join, skew_join
 from cohortloom.functions.values import age_years, days_between, event_date, recode
 from cohortloom.operators.codesets import DrugRule, build_drug_codeset, crosswalk_codes
 from cohortloom.operators.cohort import apply_exclusion, exclusion_set, index_event
@@ -196,29 +196,64 @@ crosswalk AS (
 """
 
 
-def lines(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFrame:
-    """Order lines with their person, of the given persons or of all."""
-    li = table(spark, sf, "lineitem").select(
+def order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus",
         F.to_date("l_shipdate").alias("ship"))
+
+
+def placed_orders(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFrame:
+    """Orders with their person, of the given persons or of all."""
     o = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person_id"),
         F.to_date("o_orderdate").alias("ordered"))
-    if who is not None:
-        o = o.join(who.select(*KEYS), KEYS, "left_semi")
-    return lookup_join(li, o, ["l_orderkey"])
+    return o if who is None else o.join(who.select(*KEYS), KEYS, "left_semi")
+
+
+def lines(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFrame:
+    """Order lines with their person, of the given persons or of all."""
+    return lookup_join(order_lines(spark, sf), placed_orders(spark, sf, who), ["l_orderkey"])
+
+
+def coded_lines(spark: SparkSession, sf: str, codes: DataFrame, orders: DataFrame, small: bool) -> DataFrame:
+    """The prescriptions and procedures of an endpoint's code, with their person.
+
+    Lines of other codes are gone before the join to the orders, where the code set fits.
+    """
+    li = order_lines(spark, sf).drop("l_suppkey", "l_linestatus")
+    rx = li.filter("l_returnflag = 'R'")
+    if fits(codes, BROADCAST_ROWS):
+        rx = rx.join(F.broadcast(codes.select(F.col("p_partkey").alias("l_partkey"))), "l_partkey", "left_semi")
+    px = li.filter((F.col("l_returnflag") == "A") & is_surgery(F.col("l_partkey").cast("string")))
+    rows = rx.unionByName(px)
+    return rows.join(F.broadcast(orders), "l_orderkey") if small else skew_join(rows, orders, ["l_orderkey"])
+
+
+def activity(spark: SparkSession, sf: str, orders: DataFrame, small: bool) -> DataFrame:
+    """The dates of every prescription and procedure, with their person: a line is its order, kind and day in the join."""
+    flag, ship = F.col("l_returnflag"), F.col("ship")
+    kind = F.when(flag == "R", 0).when(F.col("l_linenumber") % 2 == 0, 1).otherwise(2).cast("byte")
+    li = order_lines(spark, sf).filter(flag.isin("R", "A")).select(
+        "l_orderkey", kind.alias("kind"), F.when(flag == "R", started()).otherwise(ship).alias("day"))
+    rows = li.join(F.broadcast(orders), "l_orderkey") if small else skew_join(li, orders, ["l_orderkey"])
+    rx, day, ordered = F.col("kind") == 0, F.col("day"), F.col("ordered")
+    return rows.select(*KEYS, F.when(rx, day).alias("start_date"), F.when(rx, ordered).alias("order_date"),
+                       F.when(F.col("kind") == 1, ordered).alias("admit_date"), F.when(~rx, day).alias("px_date"))
+
+
+def started():
+    """Start of a prescription: the day its line was shipped, unknown for every fifth line."""
+    return F.when(F.col("l_linenumber") % 5 != 0, F.col("ship"))
 
 
-def activity(rows: DataFrame) -> DataFrame:
-    """The order lines that are prescriptions or procedures, with the columns these are made of."""
-    return rows.filter(F.col("l_returnflag").isin("R", "A")).select(
-        *KEYS, "l_partkey", "l_linenumber", "l_returnflag", "ship", "ordered")
+def is_surgery(px):
+    return code_matches(px, PX_EXACT, PX_PREFIXES)
 
 
 def prescribing(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     return (lines(spark, sf) if rows is None else rows).filter("l_returnflag = 'R'").select(
         "person_id", F.col("l_partkey").alias("code"),
-        F.when(F.col("l_linenumber") % 5 != 0, F.col("ship")).alias("start_date"),
+        started().alias("start_date"),
         F.col("ordered").alias("order_date"))
 
 
@@ -256,7 +291,7 @@ procedures AS (
 
 def surgery(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = None,
             rows: DataFrame | None = None) -> DataFrame:
-    px = procedures(spark, sf, rows).filter(code_matches(F.col("px"), PX_EXACT, PX_PREFIXES))
+    px = procedures(spark, sf, rows).filter(is_surgery(F.col("px")))
     return first_event_after_index(who, px, KEYS, "index_date", "px_date", small=small)
 
 
@@ -269,12 +304,11 @@ def first_prescriptions(spark: SparkSession, sf: str, who: DataFrame,
 
 
 def censoring(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = None,
-              rows: DataFrame | None = None) -> DataFrame:
-    if rows is None:
-        rows = materialize(activity(lines(spark, sf, who)))
+              orders: DataFrame | None = None, few: bool | None = None) -> DataFrame:
+    orders = placed_orders(spark, sf, who) if orders is None else orders
+    rows = activity(spark, sf, orders, fits(orders, BROADCAST_ROWS) if few is None else few)
     sources = [ActivitySource(diagnoses(spark, sf), "admit_date", "dx_date"),
-               ActivitySource(procedures(spark, sf, rows), "admit_date", "px_date"),
-               ActivitySource(prescribing(spark, sf, rows), "start_date", "order_date")]
+               ActivitySource(rows, "admit_date", "px_date"), ActivitySource(rows, "start_date", "order_date")]
     return censor_date(who, sources, KEYS, "index_date", small=small)
 
 
@@ -282,13 +316,15 @@ def stack(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFra
     # the cohort feeds five joins, so it is persisted as a table first, as a study would
     who = materialize(cohort(spark, sf).select(*KEYS, "index_date")) if who is None else who
     small = fits(who, BROADCAST_ROWS)
-    # so do the cohort's lines: they are scanned and joined once, those that no endpoint reads not at all
-    rows = materialize(activity(lines(spark, sf, who)))
+    # so do the cohort's lines of a code that an endpoint reads; of the others only the dates count
     codes = materialize(codeset(spark, sf).select("p_partkey", "therapy"))
+    orders = placed_orders(spark, sf, who)
+    few = fits(orders, BROADCAST_ROWS)
+    rows = materialize(coded_lines(spark, sf, codes, orders, few))
     return endpoint_stack({
         "surgery": (surgery(spark, sf, who, small, rows), "first_date", None),
         "drug": (first_prescriptions(spark, sf, who, small, codes, rows), "first_date", "therapy"),
-        "censor": (censoring(spark, sf, who, small, rows), "censor_date", None),
+        "censor": (censoring(spark, sf, who, small, orders, few), "censor_date", None),
     }, KEYS, "index_date")
 
 

@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from cohortloom.functions.skew import BROADCAST_ROWS, fits, skew_join
 
 
-def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
+def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], keep: Sequence[str]) -> DataFrame:
     """First row per key by ``order`` with nulls last.
 
     A minimum over a struct is combined map-side, so a key with very many rows is reduced
-    where it is read; a row_number window would sort it in one task.
+    where it is read; a row_number window would sort it in one task. A column that ``order`` names is
+    carried once, even if it is kept too.
     """
-    rank = []
-    for i, col in enumerate(order):
+    rank, place = [], {}
+    for i, item in enumerate(order):
+        col = F.col(f"`{item}`") if isinstance(item, str) else item
         rank += [col.isNull().alias(f"_n{i}"), col.alias(f"_o{i}")]
-    payload = F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]).alias("_row")
-    best = df.groupBy(*keys).agg(F.min(F.struct(*rank, payload)).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best._row.`{c}`").alias(c) for c in keep])
+        if isinstance(item, str):
+            place[item] = f"_o{i}"
+    rest = [c for c in keep if c not in place]
+    payload = [F.struct(*[F.col(f"`{c}`").alias(c) for c in rest]).alias("_row")] if rest else []
+    best = df.groupBy(*keys).agg(F.min(F.struct(*rank, *payload)).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.{place[c]}" if c in place else f"_best._row.`{c}`").alias(c) for c in keep])
 
 
 def index_event(events: DataFrame, persons: DataFrame, keys: Sequence[str], date: str,
@@ -39,7 +44,7 @@ def index_event(events: DataFrame, persons: DataFrame, keys: Sequence[str], date
     else:
         joined = skew_join(events, persons, keys)
     joined = joined.filter(condition)
-    order = [F.col(c) for c in dict.fromkeys([date, *tiebreak, *person_keep])]
+    order = list(dict.fromkeys([date, *tiebreak, *person_keep]))
     keep = list(dict.fromkeys([date, *event_keep, *person_keep]))
     return earliest(joined, keys, order, keep)
 
@@ -85,7 +90,7 @@ def attrition(included: DataFrame, excluded: DataFrame, person: str, site: str,
 def dedup_person(cohort: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
     """Keep the row with the earliest ``by`` per key; further columns break ties."""
     rest = [c for c in cohort.columns if c not in keys]
-    order = [F.col(f"`{c}`") for c in [by, *[c for c in rest if c != by]]]
+    order = [by, *[c for c in rest if c != by]]
     return earliest(cohort, keys, order, rest).select(*cohort.columns)
 
 

@@ -153,7 +153,7 @@ def plausible_range(df: DataFrame, rules: Sequence[PlausibleRule], kind: str, va
 def nearest_to_index(df: DataFrame, keys: Sequence[str], offset: Column, tiebreak: Sequence[str]) -> DataFrame:
     """Row with the smallest absolute offset per key, missing offsets last."""
     rest = [c for c in df.columns if c not in keys]
-    order = [F.abs(offset), *[F.col(f"`{c}`") for c in tiebreak]]
+    order = [F.abs(offset), *tiebreak]
     return earliest(df, keys, order, rest)
 
 

@@ -86,24 +86,35 @@ def censor_date(cohort: DataFrame, sources: Sequence[ActivitySource], keys: Sequ
 
     Per source the result is the latest primary date, or the latest fallback date when no
     primary one exists: the substitution happens after the maximum, not row by row. Only the
-    row's own first known date decides whether it counts, so each source is reduced to two
-    maxima per (person, that date) when the cohort is too large to broadcast.
+    row's own first known date decides whether it counts, so of each source two dates per person are
+    enough: the latest primary one and, over the rows without one, the latest fallback. All sources are
+    reduced to these in one grouping, before the join when the cohort is too large to broadcast; a frame
+    that several sources share is read once.
     """
     slim = cohort.select(*keys, index)
     small = fits(slim, BROADCAST_ROWS) if small is None else small
-    parts = []
-    for src in sources:
-        dated = src.events.select(
-            *keys, F.to_date(src.primary).alias("_a"), F.to_date(src.fallback).alias("_b")
-        ).withColumn("_d", F.coalesce("_a", "_b"))
-        if not small:
-            dated = dated.groupBy(*keys, "_d").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
-        joined = dated.join(F.broadcast(slim) if small else slim, keys)
-        parts.append(joined.filter(F.col("_d") >= F.col(index))
-                     .groupBy(*keys, index)
-                     .agg(F.coalesce(F.max("_a"), F.max("_b")).alias(alias)))
-    stacked = reduce(lambda a, b: a.unionByName(b), parts)
-    return stacked.groupBy(*keys, index).agg(F.max(alias).alias(alias))
+    frames, pairs = {}, []
+    for i, src in enumerate(sources):
+        primary = F.to_date(src.primary)
+        pairs.append((f"_a{i}", f"_b{i}"))
+        frames.setdefault(id(src.events), (src.events, []))[1].extend([
+            primary.alias(f"_a{i}"), F.when(primary.isNull(), F.to_date(src.fallback)).alias(f"_b{i}")])
+    parts = [events.select(*keys, *cols) for events, cols in frames.values()]
+    dated = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    dates = [c for pair in pairs for c in pair]
+    latest = [F.max(c).alias(c) for c in dates]
+    if small:
+        joined = dated.join(F.broadcast(slim), keys)
+        found = joined.filter(F.array_max(F.array(*dates)) >= F.col(index)).groupBy(*keys, index).agg(*latest)
+    else:
+        found = dated.filter(F.coalesce(*dates).isNotNull()).groupBy(*keys).agg(*latest).join(slim, keys)
+
+    def since(c: str) -> Column:
+        return F.when(F.col(c) >= F.col(index), F.col(c))
+
+    ends = F.array_max(F.array(*[F.coalesce(since(a), since(b)) for a, b in pairs]))
+    return (found.select(*keys, index, ends.alias(alias)).filter(F.col(alias).isNotNull())
+            .groupBy(*keys, index).agg(F.max(alias).alias(alias)))
 
 
 def endpoint_stack(parts: Mapping[str | None, tuple[DataFrame, str, str | None]],

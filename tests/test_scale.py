@@ -14,9 +14,9 @@ from cohortloom.functions.quantiles import grouped_quantiles, with_ordered_key
 from cohortloom.functions.ranks import bucketed_rank
 from cohortloom.functions.scans import in_blocks
 from cohortloom.functions.skew import BROADCAST_ROWS, _hot_keys, attach_index, fits, lookup_join, skew_join
-from cohortloom.operators.cohort import index_event
+from cohortloom.operators.cohort import earliest, index_event
 from cohortloom.operators.covariates import nearest_reference_join
-from cohortloom.operators.endpoints import EventRule, code_events, first_event_after_index, first_events
+from cohortloom.operators.endpoints import ActivitySource, EventRule, censor_date, code_events, first_event_after_index, first_events
 from cohortloom.operators.summaries import first_treatment_rates, table_one, univariate_summary
 from cohortloom.operators.survival import kaplan_meier
 from cohortloom.session import scratch_dir
@@ -339,3 +339,69 @@ def test_full_set_passes_its_cohort_to_the_timeline(spark, monkeypatch, shop):
         q_analysis_set_full(spark, shop)
     who = reached.value.args[0]
     assert who is not None and who.columns == ["person_id", "index_date"] and who.count() == star.cohort(spark, shop).count() > 0
+
+
+def test_only_lines_of_an_endpoint_are_written(spark, monkeypatch, shop):
+    """Of the other prescriptions and procedures only dates count: they are not written, and reach the orders as kind and day."""
+    written, joined = [], []
+    monkeypatch.setattr(star, "materialize", lambda df, *by: written.append(df) or df)
+    monkeypatch.setattr(star, "fits", lambda df, n: "ordered" not in df.columns)
+    monkeypatch.setattr(star, "skew_join", lambda big, small, on: joined.append(big) or skew_join(big, small, on, hot_rows=50))
+    want = rows(star.stack(spark, shop).select("person_id", "endpoint", "endpoint_date"))
+    lines = next(df for df in written if "l_returnflag" in df.columns)
+    codes = {r[0] for r in star.codeset(spark, shop).select("p_partkey").collect()}
+    seen = {(r["l_returnflag"], r["l_partkey"]) for r in lines.collect()}
+    assert {p for f, p in seen if f == "R"} == codes and {p for f, p in seen if f == "A"} == {7, 12, 17}
+    assert sorted(len(df.columns) for df in joined) == [3, 5]
+    monkeypatch.undo()
+    assert rows(star.stack(spark, shop).select("person_id", "endpoint", "endpoint_date")) == want
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_censoring_by_brute_force(spark, small):
+    """Dates before and after the index, missing ones, repeated cohort rows, and a frame with two sources."""
+    rng = np.random.default_rng(5)
+    day = lambda: None if rng.random() < 0.3 else int(rng.integers(0, 40))
+    events = [[(int(rng.integers(0, 25)) if rng.random() < 0.95 else None, *(day() for _ in range(4))) for _ in range(60)] for _ in range(2)]
+    cohort = [(p, d) for p in range(25) for d in ((15, 25) if p % 5 == 0 else (20, 20) if p % 5 == 1 else (20,))] + [(None, 3)]
+    as_date = lambda c: F.date_add(F.lit("2000-01-01").cast("date"), F.col(c)).alias(c)
+    a, b = (spark.createDataFrame(e, "p int, w int, x int, y int, z int").select("p", *map(as_date, "wxyz")) for e in events)
+    who = spark.createDataFrame(cohort, "p int, at int").select("p", as_date("at"))
+    out = censor_date(who, [ActivitySource(a, "w", "x"), ActivitySource(b, "w", "x"), ActivitySource(b, "y", "z")], ["p"], "at", small=small)
+    want = set()
+    for p, at in cohort:
+        ends = []
+        for e, i in ((events[0], 1), (events[1], 1), (events[1], 3)):
+            counted = [(r[i], r[i + 1]) for r in e if p is not None and r[0] == p and (r[i] if r[i] is not None else r[i + 1] or -1) >= at]
+            first, other = [u for u, _ in counted if u is not None], [v for _, v in counted if v is not None]
+            ends += [max(first or other)] if first or other else []
+        if ends:
+            want.add((p, at, max(ends)))
+    number = lambda c: F.date_diff(c, F.lit("2000-01-01").cast("date"))
+    got = [tuple(r) for r in out.select("p", number("at"), number("censor_date")).collect()]
+    assert set(got) == want and len(got) == len(want) > 10
+
+
+def test_sources_of_one_frame_are_read_together(spark):
+    events = spark.range(9).select(F.col("id").alias("p"), *[F.current_date().alias(c) for c in "wxyz"])
+    out = censor_date(events.select("p", F.col("w").alias("at")), [ActivitySource(events, "w", "x"), ActivitySource(events, "y", "z")], ["p"], "at", small=True)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2  # the cohort and the events
+
+
+def test_first_row_carries_a_column_once(spark):
+    """Columns that order and are kept stand once in the shuffled minimum; missing values come last, repeats give one row."""
+    data = [(1, None, "b", 1.0), (1, 3, None, 2.0), (1, 3, "c", 3.0), (2, None, None, None), (2, None, None, 5.0), (None, 1, "x", 1.0), (None, 1, "x", 1.0)]
+    df = spark.createDataFrame(data, "k int, t int, s string, v double")
+    out = earliest(df, ["k"], ["t", "s"], ["t", "s", "v"])
+    assert {tuple(r)[:3] for r in out.collect()} == {(1, 3, "c"), (2, None, None), (None, 1, "x")}
+    assert rows(out.filter("k = 1")) == rows(df.filter("v = 3"))
+    least = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line)
+    assert all(least.count(f"{c}#") <= 3 for c in "ts")
+
+
+def test_first_event_of_repeated_persons(spark):
+    events = spark.createDataFrame([(1, 5, 1), (1, 4, 2), (1, 4, 2)], "p int, t int, e int")
+    people = spark.createDataFrame([(1, "y", 2.0), (1, "x", 3.0), (1, None, 1.0)], "p int, s string, b double")
+    for small in (True, False):
+        out = index_event(events, people, ["p"], "t", F.lit(True), ["e"], ["e"], ["s", "b"], small=small)
+        assert [tuple(r) for r in out.select("p", "t", "e", "s", "b").collect()] == [(1, 4, 2, "x", 3.0)]
