@@ -5,6 +5,7 @@ first sums 1 and x, weighted by exp(xb), per (model, event day): a running sum o
 the likelihood, the score, and the hazard of each day. The second joins the running hazard to the rows and adds up the
 weighted xx' into one matrix per model: summed over event days, a row's weight is what the risk sets up to its own day
 give it. So no second moment is held by day, and nothing by day reaches the driver: only one vector and one matrix a model do.
+Models of few columns take one pass instead: their second moments by day are no more than SECOND numbers, summed with the first.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from cohortloom.session import materialize
 TAIL = 64
 #: Numbers a task of the first pass holds (8 bytes each) before it gives its sums out.
 HELD = 1 << 23
+#: Second moments of a model that are summed by day; with more, the rows are gone through a second time.
+SECOND = 36
 
 
 def _series(x: np.ndarray) -> np.ndarray:
@@ -89,6 +92,11 @@ def risk_frame(frame: DataFrame, time: str, status: str) -> DataFrame:
     return materialize(days.filter("_day IS NOT NULL").select(*frame.columns, "_day"))
 
 
+def _numbers(q: int, second: bool) -> int:
+    """Sums over a risk set of a model with ``q`` columns: 1, x and, if ``second``, the upper triangle of xx'."""
+    return 1 + q + (q * (q + 1) // 2 if second else 0)
+
+
 def _add_by_day(day: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct days and the sums of their rows."""
     order = np.argsort(day, kind="stable")
@@ -97,11 +105,12 @@ def _add_by_day(day: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return day[start], np.add.reduceat(values, start, axis=0)
 
 
-def _risk_terms(frame: DataFrame, time: str, status: str, specs: Sequence[ModelSpec], betas: Sequence[np.ndarray]) -> DataFrame:
+def _risk_terms(frame: DataFrame, time: str, status: str, specs: Sequence[ModelSpec], betas: Sequence[np.ndarray],
+                second: bool = False) -> DataFrame:
     """One row per (model, day) and task with the sums of its rows; what a task holds is given out above HELD numbers.
 
-    ``v``: 1 and x weighted by exp(xb), over all rows; the same over event rows; number of events, their sum of xb,
-    their sum of x.
+    ``v``: 1 and x (and, if ``second``, the upper triangle of xx') weighted by exp(xb), over all rows; the same over event
+    rows; number of events, their sum of xb, their sum of x.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,6 +130,9 @@ def _risk_terms(frame: DataFrame, time: str, status: str, specs: Sequence[ModelS
                 with np.errstate(over="ignore"):  # an overflow is a step too far: Newton halves it
                     weight = np.exp(eta)
                 one = np.column_stack([np.ones(len(x)), x])
+                if second:
+                    i, j = np.triu_indices(x.shape[1])
+                    one = np.column_stack([one, x[:, i] * x[:, j]])
                 risk = one * weight[:, None]
                 with np.errstate(invalid="ignore"):
                     event = risk * y[:, 1:2]
@@ -136,10 +148,11 @@ def _risk_terms(frame: DataFrame, time: str, status: str, specs: Sequence[ModelS
     return frame.mapInPandas(task, "model int, day double, v array<double>")
 
 
-def _event_day_sums(per_day: DataFrame, dims: Sequence[int]) -> DataFrame:
+def _event_day_sums(per_day: DataFrame, dims: Sequence[int], second: bool = False) -> DataFrame:
     """Contributions of the event days, summed per model (numbered by k), and each day's hazard and tie share (k -1).
 
-    A day on which a model has no event of its own has neither.
+    A day on which a model has no event of its own has neither. With ``second`` moments by day the matrix is that of the model,
+    and the days are not given.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,15 +160,16 @@ def _event_day_sums(per_day: DataFrame, dims: Sequence[int]) -> DataFrame:
         for pdf in batches:
             for m, part in pdf.groupby("model"):
                 q = dims[m]
-                v = np.array([r[:3 * q + 4] for r in part["v"]], dtype="float64")
+                w = _numbers(q, second)
+                v = np.array([r[:2 * w + q + 2] for r in part["v"]], dtype="float64")
                 n = len(part)
                 out = np.zeros((n, 2))
-                on = v[:, 2 * q + 2] > 0
+                on = v[:, 2 * w] > 0
                 if on.any():
-                    risk = np.array([r[:q + 1] for r in part["risk"]], dtype="float64")[on]
-                    event, seen = v[on, q + 1:2 * q + 2], v[on, 2 * q + 2:]
+                    risk = np.array([r[:w] for r in part["risk"]], dtype="float64")[on]
+                    event, seen = v[on, w:2 * w], v[on, 2 * w:]
                     d, eta, sum_x = seen[:, 0], seen[:, 1], seen[:, 2:]
-                    s0, e0, s1, e1 = risk[:, 0], event[:, 0], risk[:, 1:], event[:, 1:]
+                    s0, e0, s1, e1 = risk[:, 0], event[:, 0], risk[:, 1:q + 1], event[:, 1:q + 1]
                     logs, inv, inv2 = efron_sums(s0, e0, d)
                     # (s - f*e) / (s0 - f*e0) = a + b / (s0 - f*e0), linear in the reciprocal
                     a1 = e1 / e0[:, None]
@@ -165,8 +179,13 @@ def _event_day_sums(per_day: DataFrame, dims: Sequence[int]) -> DataFrame:
                     outer = (a1[:, i] * a1[:, j] * d[:, None]
                              + (a1[:, i] * b1[:, j] + b1[:, i] * a1[:, j]) * inv[:, None]
                              + b1[:, i] * b1[:, j] * inv2[:, None])
+                    own = (s0 * inv - d) / e0
+                    if second:
+                        outer = risk[:, q + 1:] * inv[:, None] - event[:, q + 1:] * own[:, None] - outer
                     totals[m] = totals.get(m, 0.0) + np.concatenate([outer.sum(0), score.sum(0), [(eta - logs).sum(), d.sum()]])
-                    out[on] = np.column_stack([inv, (s0 * inv - d) / e0])
+                    out[on] = np.column_stack([inv, own])
+                if second:
+                    continue
                 yield pd.DataFrame({"model": np.full(n, m, dtype="int32"), "day": part["day"].to_numpy("float64"),
                                     "k": np.full(n, -1, dtype="int32"), "v": out[:, 0], "own": out[:, 1]})
         for m, v in totals.items():
@@ -199,7 +218,7 @@ def _running_hazard(sums: DataFrame, specs: Sequence[ModelSpec]) -> tuple[DataFr
 
 
 def cox_evaluator(frame: DataFrame, time: str, status: str, specs: Sequence[ModelSpec]) -> Evaluate:
-    """Partial likelihood, score, information and event count of Cox models at given coefficients, for all in two passes.
+    """Partial likelihood, score, information and event count of Cox models at given coefficients, for all in two passes, or in one (SECOND).
 
     ``frame`` comes from ``risk_frame``.
     """
@@ -208,13 +227,21 @@ def cox_evaluator(frame: DataFrame, time: str, status: str, specs: Sequence[Mode
     def evaluate(active: list[int], betas: list[np.ndarray]) -> list[tuple]:
         chosen = [specs[i] for i in active]
         q = [dims[i] for i in active]
-        width = max(q)
-        added = F.array(*[F.sum(F.get("v", F.lit(k))) for k in range(3 * width + 4)])
-        sums = _risk_terms(frame, time, status, chosen, betas).groupBy("model", "day").agg(added.alias("v"))
+        sizes = [d * (d + 1) // 2 for d in q]
+        one_pass = max(sizes) <= SECOND
+        width = max(_numbers(d, one_pass) for d in q)
+        added = F.array(*[F.sum(F.get("v", F.lit(k))) for k in range(2 * width + max(q) + 2)])
+        sums = _risk_terms(frame, time, status, chosen, betas, one_pass).groupBy("model", "day").agg(added.alias("v"))
         later = (Window.partitionBy("model").orderBy(F.col("day").desc())
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        at_risk = F.array(*[F.sum(F.get("v", F.lit(k))).over(later) for k in range(width + 1)])
-        by_day = _event_day_sums(sums.withColumn("risk", at_risk), q)
+        at_risk = F.array(*[F.sum(F.get("v", F.lit(k))).over(later) for k in range(width)])
+        by_day = _event_day_sums(sums.withColumn("risk", at_risk), q, one_pass)
+        first = by_day.filter("k >= 0").groupBy("model", "k").agg(F.sum("v").alias("v"))
+        if one_pass:
+            found = [np.zeros(n + d + 2) for n, d in zip(sizes, q)]
+            for r in first.collect():
+                found[r["model"]][r["k"]] = r["v"]
+            return [(v[t + d], v[t:t + d], unpack(v[:t], d), v[t + d + 1]) for d, t, v in zip(q, sizes, found)]
         hazard, slots, keys = _running_hazard(by_day, chosen)
 
         def add(pdf: pd.DataFrame, m: int) -> np.ndarray:
@@ -224,11 +251,9 @@ def cox_evaluator(frame: DataFrame, time: str, status: str, specs: Sequence[Mode
                 return (x.T @ (x * weight[:, None]))[np.triu_indices(q[m])]
 
         # one query: both parts read the same shuffle of sums by day
-        sizes = [d * (d + 1) // 2 for d in q]
         second = batch_rows(frame.join(hazard, keys), sizes, add).withColumn("part", F.lit(1))
-        first = by_day.filter("k >= 0").groupBy("model", "k").agg(F.sum("v").alias("v")).withColumn("part", F.lit(0))
         found = [[np.zeros(n + d + 2) for n, d in zip(sizes, q)], [np.zeros(n) for n in sizes]]
-        for r in first.unionByName(second).collect():
+        for r in first.withColumn("part", F.lit(0)).unionByName(second).collect():
             found[r["part"]][r["model"]][r["k"]] = r["v"]
         out = []
         for d, t, v, whole in zip(q, sizes, *found):
@@ -240,9 +265,9 @@ def cox_evaluator(frame: DataFrame, time: str, status: str, specs: Sequence[Mode
 
 def fit_cox(df: DataFrame, time: str, status: str, specs: Sequence[ModelSpec],
             imp: str | None = None, max_iter: int = 50, tol: float = 1e-12,
-            prepared: bool = False, starts: Sequence[np.ndarray] | None = None) -> list[Fit]:
-    """Log hazard ratios of every spec; ``n`` counts the events. A ``prepared`` frame comes from ``risk_frame``."""
+            prepared: bool = False, starts: Sequence[np.ndarray] | None = None, known: Sequence[tuple | None] = ()) -> list[Fit]:
+    """Log hazard ratios of every spec; ``n`` counts the events. A ``prepared`` frame comes from ``risk_frame``; ``known`` as in ``newton``."""
     specs = list(specs)
     frame = df if prepared else risk_frame(design_frame(df, specs, [time, status], imp), time, status)
-    results = newton(specs, [len(s.columns) for s in specs], cox_evaluator(frame, time, status, specs), max_iter, tol, starts)
+    results = newton(specs, [len(s.columns) for s in specs], cox_evaluator(frame, time, status, specs), max_iter, tol, starts, known)
     return _finish(specs, results, lambda s: list(s.columns))

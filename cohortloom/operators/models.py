@@ -83,9 +83,12 @@ def design_frame(df: DataFrame, specs: Sequence[ModelSpec], outcomes: Sequence[s
 def model_rows(pdf: pd.DataFrame, spec: ModelSpec, outcomes: Sequence[str],
                intercept: bool) -> tuple[np.ndarray, np.ndarray]:
     """Outcome and design arrays of the complete rows that belong to a model."""
-    part = pdf if spec.imp is None else pdf[pdf["_imp"].to_numpy() == spec.imp]
-    y = part[list(outcomes)].to_numpy("float64")
-    x = part[list(spec.columns)].to_numpy("float64")
+    own = slice(None) if spec.imp is None else pdf["_imp"].to_numpy() == spec.imp
+
+    def part(columns: Sequence[str]) -> np.ndarray:
+        return np.column_stack([np.zeros((len(pdf), 0)), *[pdf[c].to_numpy("float64") for c in columns]])[own]
+
+    y, x = part(outcomes), part(spec.columns)
     ok = ~(np.isnan(y).any(axis=1) | np.isnan(x).any(axis=1))
     y, x = y[ok], x[ok]
     return y, np.column_stack([np.ones(len(x)), x]) if intercept else x
@@ -119,12 +122,14 @@ def batch_sums(frame: DataFrame, specs: Sequence[ModelSpec], sizes: Sequence[int
 
 def newton(specs: Sequence[ModelSpec], dims: Sequence[int],
            evaluate: Callable[[list[int], list[np.ndarray]], list[tuple]],
-           max_iter: int, tol: float, starts: Sequence[np.ndarray] | None = None) -> list[tuple]:
+           max_iter: int, tol: float, starts: Sequence[np.ndarray] | None = None, known: Sequence[tuple | None] = ()) -> list[tuple]:
     """Newton-Raphson with step halving for all models side by side.
 
     ``evaluate(active, betas)`` returns ``(loglik, score, information, n)`` per active model.
-    Converged models drop out of the later jobs; ``starts`` are guesses to begin from.
+    Converged models drop out of the later jobs; ``starts`` are guesses to begin from. ``known`` has what ``evaluate`` would return
+    there, or None, for each model: those it has begin without a job.
     """
+    given = {i: state for i, state in enumerate(known) if state is not None}
     beta = [np.zeros(d) for d in dims] if starts is None else [np.array(b, float) for b in starts]
     step = [np.zeros(d) for d in dims]
     best: list[tuple | None] = [None] * len(specs)
@@ -132,8 +137,12 @@ def newton(specs: Sequence[ModelSpec], dims: Sequence[int],
     halvings = [0] * len(specs)
     active = list(range(len(specs)))
     for _ in range(max_iter):
-        trial = [beta[i] + step[i] for i in active]
-        for i, b, state in zip(active, trial, evaluate(active, trial)):
+        trial = {i: beta[i] + step[i] for i in active}
+        asked = [i for i in active if i not in given]
+        states = given | (dict(zip(asked, evaluate(asked, [trial[i] for i in asked]))) if asked else {})
+        given = {}
+        for i in active:
+            b, state = trial[i], states[i]
             ll, score, info, _n = state
             old = best[i]
             if old is not None and not ll >= old[0] - 1e-9 * (abs(old[0]) + 1.0) and halvings[i] < 30:
@@ -194,11 +203,11 @@ def logistic_evaluator(frame: DataFrame, y: str, specs: Sequence[ModelSpec]) ->
 
 def fit_logistic(df: DataFrame, y: str, specs: Sequence[ModelSpec], imp: str | None = None,
                  max_iter: int = 50, tol: float = 1e-12, prepared: bool = False,
-                 starts: Sequence[np.ndarray] | None = None) -> list[Fit]:
-    """Logistic regression of every spec; rows with a missing value are left out per model."""
+                 starts: Sequence[np.ndarray] | None = None, known: Sequence[tuple | None] = ()) -> list[Fit]:
+    """Logistic regression of every spec; rows with a missing value are left out per model. ``known`` as in ``newton``."""
     specs = list(specs)
     frame = df if prepared else design_frame(df, specs, [y], imp)
-    results = newton(specs, [len(s.columns) + 1 for s in specs], logistic_evaluator(frame, y, specs), max_iter, tol, starts)
+    results = newton(specs, [len(s.columns) + 1 for s in specs], logistic_evaluator(frame, y, specs), max_iter, tol, starts, known)
     return _finish(specs, results, lambda s: ["(Intercept)", *s.columns])
 
 

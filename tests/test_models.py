@@ -10,10 +10,11 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from cohortloom.functions.distributions import betainc, chi2_upper, f_upper, t_quantile, t_two_sided
-from cohortloom.operators.cox import efron_sums, fit_cox
+from cohortloom.operators import cox
+from cohortloom.operators.cox import cox_evaluator, efron_sums, fit_cox, risk_frame
 from cohortloom.operators.design import dummy_code, select_terms
 from cohortloom.operators.impute import mice_impute
-from cohortloom.operators.models import ModelSpec, coefficients, design_frame, fit_linear, fit_logistic
+from cohortloom.operators.models import ModelSpec, coefficients, design_frame, fit_linear, fit_logistic, newton
 from cohortloom.operators.pooling import rubin_pool
 from cohortloom.operators.stepwise import expected_changes, stepwise_aic, stepwise_cox, stepwise_logistic
 from cohortloom.operators.summaries import univariate_summary
@@ -332,3 +333,34 @@ def test_cox_sums_given_out_early_and_shared_slots(spark, monkeypatch):
 def test_cox_without_events(spark):
     fit, = fit_cox(spark.createDataFrame([(1.0, 0.0, 2.0), (2.0, 0.0, 1.0)], "t double, s double, x double"), "t", "s", [ModelSpec("m", ("x",))])
     assert fit.n == 0 and not fit.converged
+
+
+def test_cox_models_of_few_columns_take_one_pass(spark, data, monkeypatch):
+    """Likelihood, score, information and events are those of two passes, with ties, data sets and an empty model."""
+    both = pd.concat([data.assign(imp=i, x=data["x"] + 0.1 * i) for i in (1, 2)])
+    specs = [ModelSpec("0", (), 1), ModelSpec("x", ("x",), 1), ModelSpec("xz", ("x", "z"), 2), ModelSpec("xzw", ("x", "z", "w"), 2)]
+    frame = risk_frame(design_frame(spark.createDataFrame(both), specs, ["t", "s"], "imp"), "t", "s")
+    betas = [np.array([0.3, -0.2, 0.1])[:len(s.columns)] for s in specs]
+    passes, joined = [], cox._running_hazard
+    monkeypatch.setattr(cox, "_running_hazard", lambda *a: passes.append(1) or joined(*a))
+    evaluate = cox_evaluator(frame, "t", "s", specs)
+    one = evaluate([0, 1, 2, 3], betas)
+    assert not passes
+    monkeypatch.setattr(cox, "SECOND", 5)
+    two = evaluate([0, 1, 2, 3], betas)
+    assert passes
+    for a, b in zip(one, two):
+        assert all(np.asarray(u) == pytest.approx(np.asarray(v), rel=1e-9, abs=1e-9) for u, v in zip(a, b))
+
+
+def test_known_starts_are_not_evaluated():
+    asked = []
+
+    def evaluate(active, betas):
+        asked.append(list(active))
+        return [(-float((b[0] - i) ** 2), np.array([-2 * (b[0] - i)]), np.array([[2.0]]), 5) for i, b in zip(active, betas)]
+
+    known = [(-0.0, np.array([0.0]), np.array([[2.0]]), 5), None, (-4.0, np.array([4.0]), np.array([[2.0]]), 5)]
+    out = newton([None] * 3, [1] * 3, evaluate, 20, 1e-9, known=known)
+    assert [float(b[0]) for b, _, _ in out] == pytest.approx([0, 1, 2]) and all(done for *_, done in out)
+    assert asked == [[1], [1, 2]]
