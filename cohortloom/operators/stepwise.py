@@ -81,7 +81,7 @@ def stepwise_aic(fit_many: Callable[..., list[Fit]], terms: Mapping[str, Sequenc
                  evaluator: Callable[[Sequence[ModelSpec]], Evaluate] | None = None) -> list[Selection]:
     """Start from the model without variables; add or drop one variable while AIC falls.
 
-    ``fit_many(specs, starts, tol)`` fits a batch. Every data set follows its own way, but the
+    ``fit_many(specs, starts, tol)`` fits a batch, with an ``evaluator`` also ``known`` evaluations at the starts (as in ``newton``). Every data set follows its own way, but the
     moves of all of them share each batch. A factor enters or leaves with all its columns.
     With an ``evaluator``, one evaluation of all columns at the current coefficients tells how much each move should change AIC; only
     those near the best are fitted, and AIC of the fits decides. Before a search ends, all moves whose expected change
@@ -96,7 +96,8 @@ def stepwise_aic(fit_many: Callable[..., list[Fit]], terms: Mapping[str, Sequenc
         cols = tuple(c for v in variables for c in terms[v])
         return ModelSpec("+".join(variables) or "1", cols, imp)
 
-    def expectations(running: Sequence[Selection]) -> list[dict[str, float] | None]:
+    def expectations(running: Sequence[Selection]) -> list[tuple[dict[str, float], Callable | None] | None]:
+        """Expected changes of each search and what an added variable's model evaluates to at the current coefficients."""
         if evaluator is None or not everything:
             return [None] * len(running)
         specs = [spec(list(terms), sel.imp) for sel in running]
@@ -108,13 +109,23 @@ def stepwise_aic(fit_many: Callable[..., list[Fit]], terms: Mapping[str, Sequenc
             columns = {v: [places[c] for c in terms[v]] for v in terms}
             inside = [*range(first), *(k for v in sel.variables for k in columns[v])]
             same_rows = n == sel.fit.n and abs(ll - sel.fit.loglik) <= 1e-3 + 1e-6 * abs(ll)
-            out.append(expected_changes(b, score, info, inside, columns) if same_rows else None)
+
+            def begin(variables, first=first, columns=columns, state=(ll, score, info, n)):
+                at = [*range(first), *(k for v in variables for k in columns[v])]
+                return state[0], state[1][at], state[2][np.ix_(at, at)], state[3]
+
+            # near is enough to rank moves, but a start must be of the very rows: one row less at risk shows in the likelihood
+            exact = abs(ll - sel.fit.loglik) <= 1e-6 + 1e-10 * abs(ll)
+            out.append((expected_changes(b, score, info, inside, columns), begin if exact else None) if same_rows else None)
         return out
 
-    def tried(moves: list[tuple[Selection, str]]) -> list[tuple[float, Selection, str, list[str], Fit]]:
+    def tried(moves: list[tuple[Selection, str]], begins: Mapping[int, Callable]) -> list[tuple[float, Selection, str, list[str], Fit]]:
         sets = [[u for u in sel.variables if u != v] if v in sel.variables else [*sel.variables, v] for sel, v in moves]
         specs = [spec(vs, sel.imp) for (sel, _v), vs in zip(moves, sets)]
-        fits = fit_many(specs, [_carried(s, sel.fit) for s, (sel, _v) in zip(specs, moves)], SEARCH_TOL) if moves else []
+        # a model that gains a variable starts where all columns were evaluated: its part of that is known
+        known = [begins[id(sel)](vs) if id(sel) in begins and v not in sel.variables else None for (sel, v), vs in zip(moves, sets)]
+        more = {"known": known} if any(k is not None for k in known) else {}
+        fits = fit_many(specs, [_carried(s, sel.fit) for s, (sel, _v) in zip(specs, moves)], SEARCH_TOL, **more) if moves else []
         # a separated or singular candidate has no likelihood to compare
         return [(f.aic, sel, v, vs, f) for (sel, v), vs, f in zip(moves, sets, fits) if f.converged]
 
@@ -128,11 +139,13 @@ def stepwise_aic(fit_many: Callable[..., list[Fit]], terms: Mapping[str, Sequenc
     for _ in range(max_steps):
         if not running or not terms:
             break
-        expected = expectations(running)
+        evaluated = expectations(running)
+        expected = [e and e[0] for e in evaluated]
+        begins = {id(sel): e[1] for sel, e in zip(running, evaluated) if e is not None and e[1] is not None}
         likely = [set(terms) if e is None else _likely(e) for e in expected]
-        done = tried([(sel, v) for sel, some in zip(running, likely) for v in terms if v in some])
+        done = tried([(sel, v) for sel, some in zip(running, likely) for v in terms if v in some], begins)
         stuck = [k for k, sel in enumerate(running) if expected[k] is not None and best_of(sel, done) is None]
-        done += tried([(running[k], v) for k in stuck for v in terms if v not in likely[k] and expected[k][v] < len(terms[v])])
+        done += tried([(running[k], v) for k in stuck for v in terms if v not in likely[k] and expected[k][v] < len(terms[v])], begins)
         moved = []
         for sel in running:
             move = best_of(sel, done)
@@ -158,7 +171,7 @@ def stepwise_logistic(df: DataFrame, y: str, terms: Mapping[str, Sequence[str]],
                       imp: str | None = None, imps: Sequence[int | None] = (None,)) -> list[Selection]:
     frame = design_frame(df, _all_columns(terms), [y], imp)
     return stepwise_aic(
-        lambda specs, starts, tol: fit_logistic(frame, y, specs, tol=tol, prepared=True, starts=starts), terms, imps,
+        lambda specs, starts, tol, known=(): fit_logistic(frame, y, specs, tol=tol, prepared=True, starts=starts, known=known), terms, imps,
         evaluator=lambda specs: logistic_evaluator(frame, y, specs))
 
 
@@ -166,7 +179,7 @@ def stepwise_cox(df: DataFrame, time: str, status: str, terms: Mapping[str, Sequ
                  imp: str | None = None, imps: Sequence[int | None] = (None,)) -> list[Selection]:
     frame = risk_frame(design_frame(df, _all_columns(terms), [time, status], imp), time, status)
     return stepwise_aic(
-        lambda specs, starts, tol: fit_cox(frame, time, status, specs, tol=tol, prepared=True, starts=starts), terms, imps,
+        lambda specs, starts, tol, known=(): fit_cox(frame, time, status, specs, tol=tol, prepared=True, starts=starts, known=known), terms, imps,
         evaluator=lambda specs: cox_evaluator(frame, time, status, specs))
 
 

@@ -364,3 +364,16 @@ def test_known_starts_are_not_evaluated():
     out = newton([None] * 3, [1] * 3, evaluate, 20, 1e-9, known=known)
     assert [float(b[0]) for b, _, _ in out] == pytest.approx([0, 1, 2]) and all(done for *_, done in out)
     assert asked == [[1], [1, 2]]
+
+
+def test_search_starts_added_variables_from_the_evaluation(spark, data, monkeypatch):
+    """A search evaluates no model that the evaluation of all columns holds already, and ends where the whole search does."""
+    asked, evaluator = [], cox_evaluator
+    monkeypatch.setattr(cox, "cox_evaluator", lambda *a: (lambda at, betas, run=evaluator(*a): asked.append((len(at), betas)) or run(at, betas)))
+    terms = {n: [n] for n in ("x", "z", "w")}
+    df = spark.createDataFrame(data)
+    found, = stepwise_cox(df, "t", "s", terms)
+    assert not any(len(b) and not b.any() for _, betas in asked for b in betas)
+    frame = risk_frame(design_frame(df, [ModelSpec("all", tuple(terms))], ["t", "s"], None), "t", "s")
+    whole, = stepwise_aic(lambda specs, starts, tol: fit_cox(frame, "t", "s", specs, tol=tol, prepared=True, starts=starts), terms)
+    assert found.variables == whole.variables and [a for _, a in found.path] == pytest.approx([a for _, a in whole.path], abs=1e-5)
