@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortloom.functions.predicates import code_matches, guarded_inclusion, starts_with_any
-from cohortloom.functions.skew import BROADCAST_ROWS, fits, lookup_join, skew_join
+from cohortloom.functions.skew import BROADCAST_ROWS, fits, lookup_join
 from cohortloom.functions.values import age_years, days_between, event_date, recode
 from cohortloom.operators.codesets import DrugRule, build_drug_codeset, crosswalk_codes
 from cohortloom.operators.cohort import apply_exclusion, exclusion_set, index_event
@@ -215,30 +215,21 @@ def lines(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFra
     return lookup_join(order_lines(spark, sf), placed_orders(spark, sf, who), ["l_orderkey"])
 
 
-def coded_lines(spark: SparkSession, sf: str, codes: DataFrame, orders: DataFrame, small: bool) -> DataFrame:
-    """The prescriptions and procedures of an endpoint's code, with their person.
+def activity(spark: SparkSession, sf: str, who: DataFrame) -> DataFrame:
+    """The dates of the persons' prescriptions and procedures, written once, with the code where an endpoint may read it.
 
-    Lines of other codes are gone before the join to the orders, where the code set fits.
+    A line is its order, kind, day and that code in the join to the orders.
     """
-    li = order_lines(spark, sf).drop("l_suppkey", "l_linestatus")
-    rx = li.filter("l_returnflag = 'R'")
-    if fits(codes, BROADCAST_ROWS):
-        rx = rx.join(F.broadcast(codes.select(F.col("p_partkey").alias("l_partkey"))), "l_partkey", "left_semi")
-    px = li.filter((F.col("l_returnflag") == "A") & is_surgery(F.col("l_partkey").cast("string")))
-    rows = rx.unionByName(px)
-    return rows.join(F.broadcast(orders), "l_orderkey") if small else skew_join(rows, orders, ["l_orderkey"])
-
-
-def activity(spark: SparkSession, sf: str, orders: DataFrame, small: bool) -> DataFrame:
-    """The dates of every prescription and procedure, with their person: a line is its order, kind and day in the join."""
-    flag, ship = F.col("l_returnflag"), F.col("ship")
+    flag, ship, part = F.col("l_returnflag"), F.col("ship"), F.col("l_partkey")
     kind = F.when(flag == "R", 0).when(F.col("l_linenumber") % 2 == 0, 1).otherwise(2).cast("byte")
     li = order_lines(spark, sf).filter(flag.isin("R", "A")).select(
-        "l_orderkey", kind.alias("kind"), F.when(flag == "R", started()).otherwise(ship).alias("day"))
-    rows = li.join(F.broadcast(orders), "l_orderkey") if small else skew_join(li, orders, ["l_orderkey"])
+        "l_orderkey", kind.alias("kind"), F.when(flag == "R", started()).otherwise(ship).alias("day"),
+        F.when((flag == "R") | is_surgery(part.cast("string")), part).alias("l_partkey"))
+    rows = lookup_join(li, placed_orders(spark, sf, who), ["l_orderkey"])
     rx, day, ordered = F.col("kind") == 0, F.col("day"), F.col("ordered")
-    return rows.select(*KEYS, F.when(rx, day).alias("start_date"), F.when(rx, ordered).alias("order_date"),
-                       F.when(F.col("kind") == 1, ordered).alias("admit_date"), F.when(~rx, day).alias("px_date"))
+    return materialize(rows.select(
+        *KEYS, F.when(rx, "R").otherwise("A").alias("l_returnflag"), "l_partkey", F.when(rx, day).alias("start_date"),
+        F.when(rx, ordered).alias("order_date"), F.when(F.col("kind") == 1, ordered).alias("admit_date"), F.when(~rx, day).alias("px_date")))
 
 
 def started():
@@ -251,17 +242,19 @@ def is_surgery(px):
 
 
 def prescribing(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
-    return (lines(spark, sf) if rows is None else rows).filter("l_returnflag = 'R'").select(
-        "person_id", F.col("l_partkey").alias("code"),
-        started().alias("start_date"),
-        F.col("ordered").alias("order_date"))
+    """Prescriptions among all order lines or those given; rows of ``activity`` have their dates already."""
+    rows = lines(spark, sf) if rows is None else rows
+    if "start_date" not in rows.columns:
+        rows = rows.withColumns({"start_date": started(), "order_date": F.col("ordered")})
+    return rows.filter("l_returnflag = 'R'").select("person_id", F.col("l_partkey").alias("code"), "start_date", "order_date")
 
 
 def procedures(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
-    return (lines(spark, sf) if rows is None else rows).filter("l_returnflag = 'A'").select(
-        "person_id", F.col("l_partkey").cast("string").alias("px"),
-        F.col("ship").alias("px_date"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.col("ordered")).alias("admit_date"))
+    """Procedures among all order lines or those given, as ``prescribing``."""
+    rows = lines(spark, sf) if rows is None else rows
+    if "px_date" not in rows.columns:
+        rows = rows.withColumns({"px_date": F.col("ship"), "admit_date": F.when(F.col("l_linenumber") % 2 == 0, F.col("ordered"))})
+    return rows.filter("l_returnflag = 'A'").select("person_id", F.col("l_partkey").cast("string").alias("px"), "px_date", "admit_date")
 
 
 EVENTS_SQL = """
@@ -304,9 +297,8 @@ def first_prescriptions(spark: SparkSession, sf: str, who: DataFrame,
 
 
 def censoring(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = None,
-              orders: DataFrame | None = None, few: bool | None = None) -> DataFrame:
-    orders = placed_orders(spark, sf, who) if orders is None else orders
-    rows = activity(spark, sf, orders, fits(orders, BROADCAST_ROWS) if few is None else few)
+              rows: DataFrame | None = None) -> DataFrame:
+    rows = activity(spark, sf, who) if rows is None else rows
     sources = [ActivitySource(diagnoses(spark, sf), "admit_date", "dx_date"),
                ActivitySource(rows, "admit_date", "px_date"), ActivitySource(rows, "start_date", "order_date")]
     return censor_date(who, sources, KEYS, "index_date", small=small)
@@ -316,15 +308,13 @@ def stack(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFra
     # the cohort feeds five joins, so it is persisted as a table first, as a study would
     who = materialize(cohort(spark, sf).select(*KEYS, "index_date")) if who is None else who
     small = fits(who, BROADCAST_ROWS)
-    # so do the cohort's lines of a code that an endpoint reads; of the others only the dates count
+    # so do the cohort's lines: they are scanned and joined once, those that no endpoint reads not at all
+    rows = activity(spark, sf, who)
     codes = materialize(codeset(spark, sf).select("p_partkey", "therapy"))
-    orders = placed_orders(spark, sf, who)
-    few = fits(orders, BROADCAST_ROWS)
-    rows = materialize(coded_lines(spark, sf, codes, orders, few))
     return endpoint_stack({
         "surgery": (surgery(spark, sf, who, small, rows), "first_date", None),
         "drug": (first_prescriptions(spark, sf, who, small, codes, rows), "first_date", "therapy"),
-        "censor": (censoring(spark, sf, who, small, orders, few), "censor_date", None),
+        "censor": (censoring(spark, sf, who, small, rows), "censor_date", None),
     }, KEYS, "index_date")
 
 

@@ -341,20 +341,23 @@ def test_full_set_passes_its_cohort_to_the_timeline(spark, monkeypatch, shop):
     assert who is not None and who.columns == ["person_id", "index_date"] and who.count() == star.cohort(spark, shop).count() > 0
 
 
-def test_only_lines_of_an_endpoint_are_written(spark, monkeypatch, shop):
-    """Of the other prescriptions and procedures only dates count: they are not written, and reach the orders as kind and day."""
-    written, joined = [], []
+def test_lines_reach_the_orders_as_kind_day_and_code(spark, monkeypatch, shop):
+    """A procedure that no endpoint reads has no code left; the rows that are written give the same endpoints as the lines."""
+    written, joined, join = [], [], star.lookup_join
     monkeypatch.setattr(star, "materialize", lambda df, *by: written.append(df) or df)
-    monkeypatch.setattr(star, "fits", lambda df, n: "ordered" not in df.columns)
-    monkeypatch.setattr(star, "skew_join", lambda big, small, on: joined.append(big) or skew_join(big, small, on, hot_rows=50))
-    want = rows(star.stack(spark, shop).select("person_id", "endpoint", "endpoint_date"))
-    lines = next(df for df in written if "l_returnflag" in df.columns)
-    codes = {r[0] for r in star.codeset(spark, shop).select("p_partkey").collect()}
-    seen = {(r["l_returnflag"], r["l_partkey"]) for r in lines.collect()}
-    assert {p for f, p in seen if f == "R"} == codes and {p for f, p in seen if f == "A"} == {7, 12, 17}
-    assert sorted(len(df.columns) for df in joined) == [3, 5]
+    monkeypatch.setattr(star, "lookup_join", lambda big, small, on: joined.append(big) or join(big, small, on, max_rows=0, hot_rows=50))
+    who = star.cohort(spark, shop).select("person_id", "index_date")
+    kept = star.activity(spark, shop, who)
+    assert [df.columns for df in joined] == [["l_orderkey", "kind", "day", "l_partkey"]] and written == [kept]
+    assert {r[0] for r in kept.filter("l_returnflag = 'A'").select("l_partkey").distinct().collect()} == {7, 12, 17, None}
     monkeypatch.undo()
-    assert rows(star.stack(spark, shop).select("person_id", "endpoint", "endpoint_date")) == want
+    lines = star.lines(spark, shop, who)
+    for part in (star.first_prescriptions, star.surgery):
+        assert rows(part(spark, shop, who, rows=kept)) == rows(part(spark, shop, who, rows=lines)) != []
+    apart = censor_date(who, [ActivitySource(star.diagnoses(spark, shop), "admit_date", "dx_date"),
+                              ActivitySource(star.procedures(spark, shop, lines), "admit_date", "px_date"),
+                              ActivitySource(star.prescribing(spark, shop, lines), "start_date", "order_date")], ["person_id"], "index_date")
+    assert rows(star.censoring(spark, shop, who, rows=kept)) == rows(apart) != []
 
 
 @pytest.mark.parametrize("small", [True, False])
