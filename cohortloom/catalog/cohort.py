@@ -23,7 +23,7 @@ FROM dx d JOIN persons p ON d.person_id = p.person_id""", star.COHORT_SQL))
 def q_person_join(spark, sf):
     dx = star.diagnoses(spark, sf).select("event_id", "person_id")
     people = star.persons(spark, sf).select("person_id", "site", "sex", "race", "birth_date")
-    return lookup_join(dx, people, ["person_id"])
+    return lookup_join(dx, people, ["person_id"], selective=False)
 
 
 @query("exclusion_set", star.sql_cohort("SELECT person_id FROM excluded"))

@@ -19,7 +19,7 @@ KEYS = star.KEYS
 
 
 def _who(spark, sf):
-    return materialize(star.cohort(spark, sf).select(*KEYS, "index_date"))
+    return materialize(star.cohort(spark, sf, True).select(*KEYS, "index_date"))
 
 
 def _cohort_lines(spark, sf):

@@ -72,7 +72,7 @@ def q_multi_wildcard_like(spark, sf):
 
 
 def _guarded(spark, sf, mode):
-    joined = lookup_join(star.diagnoses(spark, sf), star.persons(spark, sf), ["person_id"])
+    joined = lookup_join(star.diagnoses(spark, sf), star.persons(spark, sf), ["person_id"], selective=False)
     guard = F.col("dx_date") >= F.date_add(F.col("birth_date"), 7300)
     return joined.filter(P.guarded_inclusion(F.col("code"), ["1-"], ["2-"], guard, mode)).select(
         "event_id", "code", "dx_date")
@@ -124,7 +124,7 @@ SELECT d.event_id, CAST(round(date_diff('day', p.birth_date, d.admit_date) / 365
 FROM dx d JOIN persons p ON d.person_id = p.person_id""", star.COHORT_SQL))
 def q_age_at_index(spark, sf):
     people = star.persons(spark, sf).select("person_id", "birth_date")
-    j = lookup_join(star.diagnoses(spark, sf), people, ["person_id"])
+    j = lookup_join(star.diagnoses(spark, sf), people, ["person_id"], selective=False)
     birth, at = F.col("birth_date"), F.col("admit_date")
     return j.select("event_id", V.age_years(birth, at).alias("age"), V.days_between(birth, at).alias("age_days"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortloom.functions.predicates import code_matches, guarded_inclusion, starts_with_any
-from cohortloom.functions.skew import BROADCAST_ROWS, fits, lookup_join
+from cohortloom.functions.skew import BROADCAST_ROWS, fits, lookup_join, matching
 from cohortloom.functions.values import age_years, days_between, event_date, recode
 from cohortloom.operators.codesets import DrugRule, build_drug_codeset, crosswalk_codes
 from cohortloom.operators.cohort import apply_exclusion, exclusion_set, index_event
@@ -93,13 +93,17 @@ def diagnoses(spark: SparkSession, sf: str) -> DataFrame:
                F.date_add(admit, (F.col("o_orderkey") % 3).cast("int"))).alias("dx_date"))
 
 
-def included(spark: SparkSession, sf: str, date_guard: str = "as_written") -> DataFrame:
+def included(spark: SparkSession, sf: str, date_guard: str = "as_written", slim: bool = False) -> DataFrame:
+    """Persons with a first wanted diagnosis; ``slim`` leaves out the attributes that neither dates nor ages need."""
     dx = diagnoses(spark, sf).withColumn("index_date", event_date(F.col("dx_date"), F.col("admit_date")))
     wanted = dx.filter(starts_with_any(F.col("code"), ["1-", "2-"]))
     cond = guarded_inclusion(F.col("code"), ["1-"], ["2-"], F.col("dx_date") >= F.col("birth_date"), date_guard)
-    out = index_event(wanted, persons(spark, sf), KEYS, "index_date", cond, event_keep=["enc_type"],
-                      tiebreak=["event_id"],
-                      person_keep=["birth_date", "site", "sex", "race", "balance"])
+    if slim:
+        out = index_event(wanted, persons(spark, sf).select(*KEYS, "birth_date"), KEYS, "index_date", cond, person_keep=["birth_date"])
+    else:
+        out = index_event(wanted, persons(spark, sf), KEYS, "index_date", cond, event_keep=["enc_type"],
+                          tiebreak=["event_id"],
+                          person_keep=["birth_date", "site", "sex", "race", "balance"])
     birth, at = F.col("birth_date"), F.col("index_date")
     return out.withColumns({"age": age_years(birth, at), "age_days": days_between(birth, at)})
 
@@ -109,8 +113,8 @@ def excluded(spark: SparkSession, sf: str) -> DataFrame:
     return exclusion_set(diagnoses(spark, sf), cond, KEYS)
 
 
-def cohort(spark: SparkSession, sf: str) -> DataFrame:
-    return apply_exclusion(included(spark, sf), excluded(spark, sf), KEYS, F.col("age") < 18)
+def cohort(spark: SparkSession, sf: str, slim: bool = False) -> DataFrame:
+    return apply_exclusion(included(spark, sf, slim=slim), excluded(spark, sf), KEYS, F.col("age") < 18)
 
 
 COHORT_SQL = """
@@ -207,12 +211,15 @@ def placed_orders(spark: SparkSession, sf: str, who: DataFrame | None = None) ->
     o = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person_id"),
         F.to_date("o_orderdate").alias("ordered"))
-    return o if who is None else o.join(who.select(*KEYS), KEYS, "left_semi")
+    if who is None:
+        return o
+    who = who.select(*KEYS)
+    return (o if fits(who, BROADCAST_ROWS) else matching(o, who, KEYS)).join(who, KEYS, "left_semi")
 
 
 def lines(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFrame:
     """Order lines with their person, of the given persons or of all."""
-    return lookup_join(order_lines(spark, sf), placed_orders(spark, sf, who), ["l_orderkey"])
+    return lookup_join(order_lines(spark, sf), placed_orders(spark, sf, who), ["l_orderkey"], selective=who is not None)
 
 
 def activity(spark: SparkSession, sf: str, who: DataFrame) -> DataFrame:
@@ -306,7 +313,7 @@ def censoring(spark: SparkSession, sf: str, who: DataFrame, small: bool | None =
 
 def stack(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFrame:
     # the cohort feeds five joins, so it is persisted as a table first, as a study would
-    who = materialize(cohort(spark, sf).select(*KEYS, "index_date")) if who is None else who
+    who = materialize(cohort(spark, sf, True).select(*KEYS, "index_date")) if who is None else who
     small = fits(who, BROADCAST_ROWS)
     # so do the cohort's lines: they are scanned and joined once, those that no endpoint reads not at all
     rows = activity(spark, sf, who)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.catalog import star
 from cohortloom.catalog.covariates import q_analysis_set_full
 from cohortloom.catalog.summaries import _dated, q_missingness_rates
+from cohortloom.functions import skew
 from cohortloom.functions.quantiles import grouped_quantiles, with_ordered_key
 from cohortloom.functions.ranks import bucketed_rank
 from cohortloom.functions.scans import in_blocks
@@ -360,6 +361,44 @@ def test_lines_reach_the_orders_as_kind_day_and_code(spark, monkeypatch, shop):
     assert rows(star.censoring(spark, shop, who, rows=kept)) == rows(apart) != []
 
 
+@pytest.mark.parametrize("key", ["long", "int", "date", "string"])
+def test_rows_without_a_partner_are_gone_before_the_join(spark, key):
+    """All rows with a partner stay, of the others few; keys of several columns, missing ones and types without a filter too."""
+    as_key = F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")) if key == "date" else (F.col("id") * 7 - 9000).cast(key)
+    big = spark.range(20_000).select(F.when(F.col("id") % 50 != 0, as_key).alias("k"), (F.col("id") % 3).alias("part"), F.col("id").alias("v"))
+    looked_up = big.filter("v % 10 = 1 or v % 50 = 0").withColumn("w", F.col("v") * 2)
+    for on in (["k"], ["k", "part"]):
+        small = looked_up.select(*on, "w")
+        kept, want = skew.matching(big, small, on), big.join(small, on)
+        few = kept.count()
+        assert kept.columns == big.columns and rows(kept.join(small, on)) == rows(want) != []
+        assert few == 20_000 if key == "string" else 2_000 <= few <= 3_000
+        assert rows(skew_join(big, small, on, selective=True)) == rows(want)
+        assert rows(skew_join(big, small, on, "left", hot_rows=100, selective=True)) == rows(big.join(small, on, "left"))
+    assert skew.matching(big, looked_up.withColumn("k", F.col("v").cast("short")), ["k"]).count() == 20_000
+
+
+def test_lines_of_other_persons_are_gone_before_the_shuffle(spark, monkeypatch, shop):
+    """Lines join the orders of a few persons: with no table broadcast, the lines of the others' orders do not reach the join."""
+    who = star.cohort(spark, shop).select("person_id", "index_date").filter("person_id % 8 = 1")
+    want, seen, match = rows(star.stack(spark, shop, who)), [], skew.matching
+    monkeypatch.setattr(skew, "fits", lambda df, n: False)
+    monkeypatch.setattr(star, "fits", lambda df, n: False)
+    for module in (skew, star):
+        monkeypatch.setattr(module, "matching", lambda big, small, on: seen.append((big, match(big, small, on))) or seen[-1][1])
+    assert rows(star.stack(spark, shop, who)) == want != []
+    for columns in (["l_orderkey", "person_id", "ordered"], ["l_orderkey", "kind", "day", "l_partkey"]):
+        before, after = next((big.count(), kept.count()) for big, kept in seen if big.columns == columns)
+        assert 0 < after < before / 4
+
+
+def test_slim_cohort_has_the_same_persons_and_dates(spark, shop):
+    columns = ["person_id", "index_date", "birth_date", "age", "age_days"]
+    slim = star.cohort(spark, shop, True)
+    assert rows(slim.select(columns)) == rows(star.cohort(spark, shop).select(columns)) != []
+    assert set(slim.columns) == set(columns)
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_censoring_by_brute_force(spark, small):
     """Dates before and after the index, missing ones, repeated cohort rows, and a frame with two sources."""
