@@ -54,7 +54,7 @@ def _hot_keys(big: DataFrame, on: Sequence[str], hot_rows: int) -> DataFrame | N
 
 
 def matching(big: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``big`` whose key may be among those of ``small``: all that are, and one other in 37 by four million keys.
+    """Rows of ``big`` whose key may be among those of ``small``: all that are, and one other in 33 by four million keys.
 
     The keys set a bit each by their hash. The bits, 16 MB whatever the number of keys, are broadcast in chunks of words, so the
     rows of other keys are gone before a shuffle join; that join still has the last word. Rows with keys of other types than
