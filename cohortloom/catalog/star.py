@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortloom.functions.predicates import code_matches, guarded_inclusion, starts_with_any
-from cohortloom.functions.skew import BROADCAST_ROWS, fits, lookup_join, matching
+from cohortloom.functions.skew import BROADCAST_ROWS, fits, lookup_join, marked, matching
 from cohortloom.functions.values import age_years, days_between, event_date, recode
 from cohortloom.operators.codesets import DrugRule, build_drug_codeset, crosswalk_codes
 from cohortloom.operators.cohort import apply_exclusion, exclusion_set, index_event
@@ -207,14 +207,21 @@ def order_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def placed_orders(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFrame:
-    """Orders with their person, of the given persons or of all."""
+    """Orders with their person, of the given persons or of all.
+
+    Persons that do not fit are told by the bits of their keys, where these have any, which moves no order: a few orders of
+    others stay then, and what reads the result must join ``who`` too, as every endpoint does.
+    """
     o = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person_id"),
         F.to_date("o_orderdate").alias("ordered"))
     if who is None:
         return o
     who = who.select(*KEYS)
-    return (o if fits(who, BROADCAST_ROWS) else matching(o, who, KEYS)).join(who, KEYS, "left_semi")
+    if fits(who, BROADCAST_ROWS):
+        return o.join(F.broadcast(who), KEYS, "left_semi")
+    few = matching(o, who, KEYS)
+    return o.join(who, KEYS, "left_semi") if few is o else few
 
 
 def lines(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFrame:
@@ -222,21 +229,32 @@ def lines(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFra
     return lookup_join(order_lines(spark, sf), placed_orders(spark, sf, who), ["l_orderkey"], selective=who is not None)
 
 
-def activity(spark: SparkSession, sf: str, who: DataFrame) -> DataFrame:
+def activity(spark: SparkSession, sf: str, who: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """The dates of the persons' prescriptions and procedures, written once, with the code where an endpoint may read it.
 
-    A line is its order, kind, day and that code in the join to the orders.
+    A line is its order, kind, day and that code in the join to the orders; with the drug ``codes``, nearly all prescriptions of
+    other parts lose theirs before it. A substitute date is written where it may be asked for.
     """
     flag, ship, part = F.col("l_returnflag"), F.col("ship"), F.col("l_partkey")
     kind = F.when(flag == "R", 0).when(F.col("l_linenumber") % 2 == 0, 1).otherwise(2).cast("byte")
-    li = order_lines(spark, sf).filter(flag.isin("R", "A")).select(
-        "l_orderkey", kind.alias("kind"), F.when(flag == "R", started()).otherwise(ship).alias("day"),
-        F.when((flag == "R") | is_surgery(part.cast("string")), part).alias("l_partkey"))
+    li = order_lines(spark, sf).filter(flag.isin("R", "A"))
+    drug = F.lit(True)
+    if codes is not None:
+        parts, drug = codes.select(F.col("p_partkey").alias("l_partkey")), F.col("_drug")
+        if fits(parts, BROADCAST_ROWS):
+            li = li.join(F.broadcast(parts.distinct().withColumn("_drug", F.lit(True))), "l_partkey", "left")
+        else:
+            li = marked(li, parts, ["l_partkey"], "_drug")
+    read = ((flag == "R") & drug & started().isNotNull()) | ((flag == "A") & is_surgery(part.cast("string")))
+    li = li.select("l_orderkey", kind.alias("kind"), F.when(flag == "R", started()).otherwise(ship).alias("day"),
+                   F.when(read, part).alias("l_partkey"))
     rows = lookup_join(li, placed_orders(spark, sf, who), ["l_orderkey"])
     rx, day, ordered = F.col("kind") == 0, F.col("day"), F.col("ordered")
+    admit = F.when(F.col("kind") == 1, ordered)
     return materialize(rows.select(
         *KEYS, F.when(rx, "R").otherwise("A").alias("l_returnflag"), "l_partkey", F.when(rx, day).alias("start_date"),
-        F.when(rx, ordered).alias("order_date"), F.when(F.col("kind") == 1, ordered).alias("admit_date"), F.when(~rx, day).alias("px_date")))
+        F.when(rx & day.isNull(), ordered).alias("order_date"), admit.alias("admit_date"),
+        F.when(~rx & (admit.isNull() | F.col("l_partkey").isNotNull()), day).alias("px_date")))
 
 
 def started():
@@ -306,7 +324,9 @@ def first_prescriptions(spark: SparkSession, sf: str, who: DataFrame,
 def censoring(spark: SparkSession, sf: str, who: DataFrame, small: bool | None = None,
               rows: DataFrame | None = None) -> DataFrame:
     rows = activity(spark, sf, who) if rows is None else rows
-    sources = [ActivitySource(diagnoses(spark, sf), "admit_date", "dx_date"),
+    small = fits(who.select(*KEYS, "index_date"), BROADCAST_ROWS) if small is None else small
+    dx = diagnoses(spark, sf) if small else matching(diagnoses(spark, sf), who, KEYS)
+    sources = [ActivitySource(dx, "admit_date", "dx_date"),
                ActivitySource(rows, "admit_date", "px_date"), ActivitySource(rows, "start_date", "order_date")]
     return censor_date(who, sources, KEYS, "index_date", small=small)
 
@@ -315,9 +335,9 @@ def stack(spark: SparkSession, sf: str, who: DataFrame | None = None) -> DataFra
     # the cohort feeds five joins, so it is persisted as a table first, as a study would
     who = materialize(cohort(spark, sf, True).select(*KEYS, "index_date")) if who is None else who
     small = fits(who, BROADCAST_ROWS)
-    # so do the cohort's lines: they are scanned and joined once, those that no endpoint reads not at all
-    rows = activity(spark, sf, who)
     codes = materialize(codeset(spark, sf).select("p_partkey", "therapy"))
+    # so do the cohort's lines: they are scanned and joined once, those that no endpoint reads not at all
+    rows = activity(spark, sf, who, codes)
     return endpoint_stack({
         "surgery": (surgery(spark, sf, who, small, rows), "first_date", None),
         "drug": (first_prescriptions(spark, sf, who, small, codes, rows), "first_date", "therapy"),

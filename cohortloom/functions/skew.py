@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,26 +53,44 @@ def _hot_keys(big: DataFrame, on: Sequence[str], hot_rows: int) -> DataFrame | N
     return rows.filter(F.col("_rows") > hot_rows).select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
 
 
-def matching(big: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``big`` whose key may be among those of ``small``: all that are, and one other in 33 by four million keys.
+def marked(big: DataFrame, small: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
+    """``big`` with a column that is true for every row whose key is among those of ``small``, and for few others.
 
-    The keys set a bit each by their hash. The bits, 16 MB whatever the number of keys, are broadcast in chunks of words, so the
-    rows of other keys are gone before a shuffle join; that join still has the last word. Rows with keys of other types than
-    whole numbers and dates, or of two types, all pass.
+    The keys set two bits each by their hash. The bits, 16 MB whatever the number of keys, are broadcast in chunks of words. Of the
+    rows with other keys one in 300 is true by four million keys, one in 12 by 22 million; all rows with keys of other types
+    than whole numbers and dates, or of two types, are.
     """
     on = list(on)
-    if any(big.schema[c].dataType != small.schema[c].dataType or not isinstance(big.schema[c].dataType, KEY_TYPES) for c in on):
-        return big
+    if not _comparable(big, small, on):
+        return big.withColumn(flag, F.lit(True))
     key = F.xxhash64(*[F.col(f"`{c}`") for c in on])
     chunk = F.pmod(key, F.lit(KEY_CHUNKS)).cast("int")
-    word = F.pmod(F.shiftright(key, 20), F.lit(KEY_WORDS)).cast("int")
-    bit = F.pmod(F.shiftright(key, 30), F.lit(64)).cast("int")
+    places = [(F.pmod(F.shiftright(key, w), F.lit(KEY_WORDS)).cast("int"), F.pmod(F.shiftright(key, b), F.lit(64)).cast("int")) for w, b in ((20, 30), (40, 50))]
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    places = small.select(chunk.alias("_chunk"), word.alias("_word"), F.call_function("shiftleft", one, bit).alias("_bit"))
-    seen = places.groupBy("_chunk").agg(F.array(*[
-        F.bit_or(F.when(F.col("_word") == i, F.col("_bit")).otherwise(zero)) for i in range(KEY_WORDS)]).alias("_words"))
-    found = big.withColumn("_chunk", chunk).join(F.broadcast(seen), "_chunk")
-    return found.filter(F.getbit(F.element_at("_words", word + 1), bit) == 1).select(*[F.col(f"`{c}`") for c in big.columns])
+    keys = small.select(chunk.alias("_chunk"), *[c for i, (word, bit) in enumerate(places) for c in (
+        word.alias(f"_word{i}"), F.call_function("shiftleft", one, bit).alias(f"_bit{i}"))])
+
+    def of_word(k: int) -> Column:
+        first, second = (F.when(F.col(f"_word{i}") == k, F.col(f"_bit{i}")).otherwise(zero) for i in range(2))
+        return F.bit_or(first.bitwiseOR(second))
+
+    seen = keys.groupBy("_chunk").agg(F.array(*[of_word(k) for k in range(KEY_WORDS)]).alias("_words"))
+    found = big.withColumn("_chunk", chunk).join(F.broadcast(seen), "_chunk", "left")
+    first, second = (F.getbit(F.element_at("_words", word + 1), bit) == 1 for word, bit in places)
+    return found.select(*[F.col(f"`{c}`") for c in big.columns], (first & second).alias(flag))
+
+
+def _comparable(big: DataFrame, small: DataFrame, on: Sequence[str]) -> bool:
+    return all(big.schema[c].dataType == small.schema[c].dataType and isinstance(big.schema[c].dataType, KEY_TYPES) for c in on)
+
+
+def matching(big: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``big`` whose key may be among those of ``small``, as ``marked`` tells: all that are, and few others.
+
+    The rows of other keys are gone before a shuffle join; that join still has the last word. It must not be a semi join, which
+    the optimizer would take below this filter.
+    """
+    return marked(big, small, on, "_may_match").filter("_may_match").drop("_may_match") if _comparable(big, small, on) else big
 
 
 def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",

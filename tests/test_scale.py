@@ -392,6 +392,72 @@ def test_lines_of_other_persons_are_gone_before_the_shuffle(spark, monkeypatch,
         assert 0 < after < before / 4
 
 
+def test_other_keys_set_two_bits_to_pass(spark, monkeypatch):
+    """With a key for every 16 bits, one bit each lets 1 in 17 others pass, two 1 in 70; every key of the table is marked, no row is lost."""
+    monkeypatch.setattr(skew, "KEY_CHUNKS", 64)
+    big = spark.range(40_000).select(F.when(F.col("id") % 100 != 99, F.col("id")).alias("k"), F.col("id").alias("v"))
+    small = big.filter("v % 10 = 1")
+    seen = skew.marked(big, small, ["k"], "in_small").groupBy((F.col("v") % 10 == 1).alias("own"), "in_small").count().collect()
+    n = {(r["own"], r["in_small"]): r["count"] for r in seen}
+    assert sum(n.values()) == 40_000 and n[True, True] == 4_000 and 0 < n[False, True] < 36_000 * 0.03
+    assert skew.marked(big, small.select(F.col("k").cast("short")), ["k"], "m").filter("m").count() == 40_000
+
+
+def test_orders_are_not_shuffled_by_person(spark, monkeypatch, shop):
+    """Persons that do not fit leave their orders, and few of others, by a broadcast of bits; the endpoints are those of the persons alone."""
+    who = star.materialize(star.cohort(spark, shop).select("person_id", "index_date").filter("person_id % 8 = 1"))
+    want, exact = rows(star.stack(spark, shop, who)), star.placed_orders(spark, shop, who)
+    monkeypatch.setattr(star, "fits", lambda df, n: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = star.placed_orders(spark, shop, who)
+        assert _joins(found) == (0, 1) and sorted(found.columns) == sorted(exact.columns)
+        assert set(rows(exact)) <= set(rows(found)) and 0 < found.count() < star.placed_orders(spark, shop).count() / 4
+        assert rows(star.stack(spark, shop, who)) == want != []
+        other = who.withColumn("person_id", F.col("person_id").cast("int"))  # keys of another type have no bits
+        assert rows(star.placed_orders(spark, shop, other)) == rows(exact) and rows(star.stack(spark, shop, other)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_censoring_drops_the_orders_of_others(spark, monkeypatch, shop):
+    """Orders of others are not grouped by person when the cohort does not fit."""
+    who = star.cohort(spark, shop).select("person_id", "index_date").filter("person_id % 8 = 1")
+    given, censor = [], star.censor_date
+    monkeypatch.setattr(star, "censor_date", lambda who, sources, *a, **k: given.append(sources[0].events) or censor(who, sources, *a, **k))
+    kept = star.activity(spark, shop, who)
+    assert rows(star.censoring(spark, shop, who, False, kept)) == rows(star.censoring(spark, shop, who, True, kept)) != []
+    large, small = (df.count() for df in given)
+    assert 0 < large < small / 4 and small == star.diagnoses(spark, shop).count()
+
+
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("missing", [False, True])
+def test_activity_keeps_what_an_endpoint_reads(spark, monkeypatch, shop, missing, small):
+    """Codes of drugs and surgery only, one date a row but where another is asked for; with missing order dates too."""
+    if missing:
+        table = star.table
+        monkeypatch.setattr(star, "table", lambda *a: table(*a) if a[2] != "orders" else table(*a).withColumn(
+            "o_orderdate", F.when((F.col("o_orderkey") % 3 > 0) | (F.col("o_orderkey") < 40), F.col("o_orderdate"))))
+    monkeypatch.setattr(star, "fits", lambda df, n: small)
+    who = star.cohort(spark, shop).select("person_id", "index_date")
+    codes = star.codeset(spark, shop).filter("p_partkey % 5 = 2").select("p_partkey", "therapy")
+    drugs = {r[0] for r in codes.collect()}
+    kept, lines = star.activity(spark, shop, who, codes), star.lines(spark, shop, who)
+    assert kept.count() == lines.filter("l_returnflag in ('R', 'A')").count() > 0
+    seen = kept.collect()
+    assert {r["l_partkey"] for r in seen if r["l_returnflag"] == "R"} == drugs | {None}
+    assert all((r["start_date"] is None) or (r["order_date"] is None) for r in seen)
+    extra = [r for r in seen if r["admit_date"] is not None and r["px_date"] is not None]
+    assert extra and {r["l_partkey"] for r in extra} <= {7, 12, 17}
+    for part in (lambda given: star.first_prescriptions(spark, shop, who, codes=codes, rows=given),
+                 lambda given: star.surgery(spark, shop, who, rows=given),
+                 lambda given: censor_date(who, [ActivitySource(star.diagnoses(spark, shop), "admit_date", "dx_date"),
+                                                 ActivitySource(star.procedures(spark, shop, given), "admit_date", "px_date"),
+                                                 ActivitySource(star.prescribing(spark, shop, given), "start_date", "order_date")], ["person_id"], "index_date")):
+        assert rows(part(kept)) == rows(part(lines)) != []
+
+
 def test_slim_cohort_has_the_same_persons_and_dates(spark, shop):
     columns = ["person_id", "index_date", "birth_date", "age", "age_days"]
     slim = star.cohort(spark, shop, True)
